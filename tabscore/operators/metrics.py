@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabscore.functions.linear import LinearModel
+from tabscore.operators.columns import align_features
 from tabscore.operators.scoring import score
 
 
@@ -50,7 +51,12 @@ def binary_metrics(df: DataFrame, label: str = "target", prediction: str = "pred
 
 def evaluate(df: DataFrame, model: LinearModel, label: str = "target",
              threshold: float = 0.5, on_invalid: str = "error") -> DataFrame:
-    """Score a labelled table and compute the metrics in the same job."""
+    """Score a labelled table and compute the metrics in the same job.
+
+    If none of the model's feature names exist, the non-label columns are
+    used in order (see :func:`tabscore.operators.columns.align_features`).
+    """
+    df = align_features(df, model.features, label)
     scored = score(df, model, threshold=threshold, on_invalid=on_invalid)
     return binary_metrics(scored, label, "prediction")
 

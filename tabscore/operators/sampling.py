@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabscore.functions.hashing import TWO_POW_32, hash32
-from tabscore.operators.selection import column_stats, select_ranks_with_counts
+from tabscore.operators.selection import EmptyInput, select_ranks_detail
 
 DEFAULT_SEED = 42
 # A tie group is the set of rows sharing one 32-bit hash; with a unique key it
@@ -53,32 +53,42 @@ def _keys(key) -> list[str]:
 
 
 def exact_cut(df: DataFrame, test_fraction: float, key, seed=DEFAULT_SEED) -> tuple[int, Column]:
-    """Size of the test side and the predicate that selects it."""
+    """Size of the test side and the predicate that selects it.
+
+    The hash range is known, so the first histogram round also counts the
+    rows (no separate count pass).  With a seed, a NULL key hashes like an
+    empty key (``concat_ws`` skips NULL, in Spark and DuckDB alike); without a
+    seed a NULL single key has no hash and stays on the train side.  Keys
+    are expected to be unique and non-NULL, as a split key should be.
+    """
     keys = _keys(key)
-    hashed = df.select(*keys).withColumn("_h", hash32(keys, seed))
-    stats = column_stats(hashed, ["_h"])
-    n = stats["_h"][0]
-    k = math.ceil(n * test_fraction)
     h = hash32(keys, seed)
+    hashed = df.select(*keys).withColumn("_h", h.cast("double"))
+    sizes: dict[str, int] = {}
+
+    def rank_of(n: int) -> int:
+        sizes["n"], sizes["k"] = n, math.ceil(n * test_fraction)
+        return max(1, min(sizes["k"], n))
+
+    try:
+        [t] = select_ranks_detail(hashed, [("_h", rank_of)], {"_h": (None, 0.0, TWO_POW_32 - 1.0)})
+    except EmptyInput:
+        return 0, F.lit(False)
+    k = sizes["k"]
     if k <= 0:
         return 0, F.lit(False)
-    if k >= n:
-        return n, h.isNotNull()
-    [(h_star, below)] = select_ranks_with_counts(hashed, [("_h", k)], stats)
-    h_star = int(h_star)
-    need = k - below
-    ties = hashed.where(F.col("_h") == F.lit(h_star))
-    tie_count = ties.count()
-    if tie_count > MAX_TIE_GROUP:
-        raise ValueError(f"{tie_count} rows share one hash value: the split key {keys} is not unique")
-    key_struct = F.struct(*[F.col(k) for k in keys])
-    if need == tie_count:
+    h_star, need = int(t.value), k - t.below
+    if need == t.ties:
         cut = h <= F.lit(h_star)
     else:
+        if t.ties > MAX_TIE_GROUP:
+            raise ValueError(f"{t.ties} rows share one hash value: the split key {keys} is not unique")
+        ties = hashed.where(F.col("_h") == F.lit(float(h_star)))
         last = ties.orderBy(*keys).offset(need - 1).limit(1).first()
-        bound = F.struct(*[F.lit(last[k]).alias(k) for k in keys])
+        bound = F.struct(*[F.lit(last[c]).alias(c) for c in keys])
+        key_struct = F.struct(*[F.col(c) for c in keys])
         cut = (h < F.lit(h_star)) | ((h == F.lit(h_star)) & (key_struct <= bound))
-    return k, cut
+    return k, F.coalesce(cut, F.lit(False))
 
 
 def split_exact(df: DataFrame, test_fraction: float, key, seed=DEFAULT_SEED) -> tuple[DataFrame, DataFrame]:

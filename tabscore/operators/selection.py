@@ -1,39 +1,55 @@
 """Exact order statistics without a global sort.
 
-``select_ranks`` finds the value of given ranks in numeric columns by
-narrowing a value range with histograms: every round is one aggregate that
-returns at most ``bins`` rows per open target (count, min, max per bin), so
-nothing unbounded ever reaches a single task or the driver.  Rows outside the
-open ranges are filtered first, which lets Parquet skip row groups by their
-min/max statistics from the second round on.  A heavy value (one value held
-by a third of the rows) needs no special care: it ends up alone in a bin and
-the round that sees ``min == max`` returns it.
-
-Typical data converges in two or three rounds; each round reads only the
-target columns.
+``select_ranks`` finds the values at given ranks of numeric columns by
+narrowing a value range with histograms.  Every round is one aggregate that
+returns at most ``bins`` rows per open range (count, min, max per bin), read
+back through Arrow; nothing unbounded reaches a single task or the driver.
+Rows outside the open ranges are filtered first, which lets Parquet skip row
+groups by their min/max statistics from the second round on.  A heavy value
+(one value held by a third of the rows) needs no special care: it lands alone
+in a bin whose ``min == max`` and the round that sees it returns it; the
+group-by combines map-side, so the hot bin costs one partial row per task.
+
+Rounds needed: about ``log(n) / log(bins)`` + 1 (two or three in practice);
+each round reads only the target columns.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-DEFAULT_BINS = 4096
+MIN_BINS = 2048
+MAX_BINS = 65536
 MAX_ROUNDS = 40
 
+Rank = int | Callable[[int], int]
+
+
+class EmptyInput(ValueError):
+    """The column has no valid (non-NULL, non-NaN) values in the searched range."""
+
 
 @dataclass
 class _Target:
     column: str
-    rank: int            # 1-based rank among the valid values
+    rank: Rank           # 1-based rank among the valid values (or n -> rank)
     lo: float
     hi: float
     below: int = 0       # number of valid values < lo
     value: float | None = None
+    ties: int = 0        # number of valid values == value (once found)
+
+
+def default_bins(n: int | None) -> int:
+    if not n:
+        return MAX_BINS
+    return int(min(MAX_BINS, max(MIN_BINS, 2 ** math.ceil(math.log2(max(2.0, math.sqrt(n)))))))
 
 
 def _valid(c: Column) -> Column:
@@ -50,69 +66,88 @@ def column_stats(df: DataFrame, columns: Sequence[str]) -> dict[str, tuple[int,
     return {name: (row[f"n{i}"], row[f"lo{i}"], row[f"hi{i}"]) for i, name in enumerate(columns)}
 
 
-def select_ranks(df: DataFrame, targets: Sequence[tuple[str, int]],
-                 stats: dict[str, tuple[int, float, float]] | None = None,
-                 bins: int = DEFAULT_BINS) -> list[float]:
-    """Values at the given 1-based ranks of the valid values of each column."""
-    return [v for v, _ in select_ranks_with_counts(df, targets, stats, bins)]
+def _histogram(df: DataFrame, probes: dict[tuple[str, float, float], int], bins: int):
+    """Per probe (column, lo, hi): count, min, max in each of ``bins`` equal-width bins."""
+    parts, conds = [], []
+    for (column, lo, hi), pid in probes.items():
+        v = F.col(column).cast("double")
+        inside = _valid(F.col(column)) & (v >= F.lit(lo)) & (v <= F.lit(hi))
+        width = hi - lo
+        raw = F.floor((v - F.lit(lo)) / F.lit(width) * F.lit(float(bins)))
+        parts.append((pid, inside, F.least(raw, F.lit(bins - 1)).cast("int"), v))
+        conds.append(inside)
+    aggs = [F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")]
+    if len(parts) == 1:
+        pid, inside, b, v = parts[0]
+        hist = (df.where(inside).select(F.lit(pid).alias("p"), b.alias("b"), v.alias("v"))
+                  .groupBy("p", "b").agg(*aggs))
+    else:
+        cond = conds[0]
+        for c in conds[1:]:
+            cond = cond | c
+        entries = [F.when(inside, F.struct(F.lit(pid).alias("p"), b.alias("b"), v.alias("v")))
+                   for pid, inside, b, v in parts]
+        hist = (df.where(cond)
+                  .select(F.inline(F.filter(F.array(*entries), lambda s: s.isNotNull())))
+                  .groupBy("p", "b").agg(*aggs))
+    return hist.toPandas().sort_values(["p", "b"])
 
 
-def select_ranks_with_counts(df: DataFrame, targets: Sequence[tuple[str, int]],
-                             stats: dict[str, tuple[int, float, float]] | None = None,
-                             bins: int = DEFAULT_BINS) -> list[tuple[float, int]]:
-    """Like :func:`select_ranks`, with the number of values strictly below each."""
+def select_ranks_detail(df: DataFrame, targets: Sequence[tuple[str, Rank]],
+                        stats: dict[str, tuple[int | None, float, float]] | None = None,
+                        bins: int | None = None) -> list[_Target]:
+    """Values at the given ranks; ``stats[c] = (n, lo, hi)`` (n may be None: taken from round 1)."""
     columns = sorted({c for c, _ in targets})
     stats = stats or column_stats(df, columns)
-    state: list[_Target] = []
-    for column, rank in targets:
-        n, lo, hi = stats[column]
-        if not 1 <= rank <= n:
-            raise ValueError(f"rank {rank} outside 1..{n} for column {column!r}")
-        t = _Target(column, rank, lo, hi)
-        if lo == hi:
-            t.value = lo
-        state.append(t)
+    bins = bins or default_bins(max((s[0] or 0) for s in stats.values()) or None)
+    state = [_Target(column, rank, stats[column][1], stats[column][2]) for column, rank in targets]
+
+    def resolve(t: _Target, n: int) -> None:
+        if callable(t.rank):
+            t.rank = t.rank(n)
+        if not 1 <= t.rank <= n:
+            raise ValueError(f"rank {t.rank} outside 1..{n} for column {t.column!r}")
+
+    for t in state:
+        n = stats[t.column][0]
+        if n is not None:
+            resolve(t, n)
+            if t.lo == t.hi:
+                t.value, t.ties = t.lo, n
 
     for _ in range(MAX_ROUNDS):
         open_targets = [t for t in state if t.value is None]
         if not open_targets:
-            break
+            return state
         probes: dict[tuple[str, float, float], int] = {}
         for t in open_targets:
             probes.setdefault((t.column, t.lo, t.hi), len(probes))
-        entries, ranges = [], []
-        for (column, lo, hi), pid in probes.items():
-            v = F.col(column).cast("double")
-            inside = _valid(F.col(column)) & (v >= F.lit(lo)) & (v <= F.lit(hi))
-            width = hi - lo
-            raw = F.floor((v - F.lit(lo)) / F.lit(width) * F.lit(float(bins)))
-            b = F.least(raw, F.lit(bins - 1)).cast("int")
-            entries.append(F.when(inside, F.struct(F.lit(pid).alias("p"), b.alias("b"), v.alias("v"))))
-            ranges.append(inside)
-        cond = ranges[0]
-        for r in ranges[1:]:
-            cond = cond | r
-        hist = (df.where(cond)
-                  .select(F.explode(F.filter(F.array(*entries), lambda s: s.isNotNull())).alias("e"))
-                  .groupBy(F.col("e.p").alias("p"), F.col("e.b").alias("b"))
-                  .agg(F.count(F.lit(1)).alias("n"), F.min("e.v").alias("lo"), F.max("e.v").alias("hi"))
-                  .collect())
-        by_probe: dict[int, list] = {}
-        for row in hist:
-            by_probe.setdefault(row["p"], []).append(row)
+        hist = _histogram(df, probes, bins)
+        groups = {int(p): g for p, g in hist.groupby("p")}
         for t in open_targets:
-            rows = sorted(by_probe[probes[(t.column, t.lo, t.hi)]], key=lambda r: r["b"])
-            seen = t.below
-            for row in rows:
-                if seen + row["n"] >= t.rank:
-                    t.below, t.lo, t.hi = seen, row["lo"], row["hi"]
-                    if t.lo == t.hi:
-                        t.value = t.lo
-                    break
-                seen += row["n"]
-    else:
-        raise RuntimeError("rank selection did not converge")
-    return [(t.value, t.below) for t in state]
+            g = groups.get(probes[(t.column, t.lo, t.hi)])
+            if g is None:
+                raise EmptyInput(f"no valid values in column {t.column!r}")
+            counts = g["n"].to_numpy(dtype=np.int64)
+            if callable(t.rank):           # first round doubles as the count
+                resolve(t, int(counts.sum()))
+            cum = t.below + np.cumsum(counts)
+            i = int(np.searchsorted(cum, t.rank, side="left"))
+            t.below = int(cum[i] - counts[i])
+            t.lo, t.hi = float(g["lo"].iloc[i]), float(g["hi"].iloc[i])
+            if t.lo == t.hi:
+                t.value, t.ties = t.lo, int(counts[i])
+    raise RuntimeError("rank selection did not converge")
+
+
+def select_ranks_with_counts(df, targets, stats=None, bins=None) -> list[tuple[float, int]]:
+    """(value, number of values strictly below it) per target."""
+    return [(t.value, t.below) for t in select_ranks_detail(df, targets, stats, bins)]
+
+
+def select_ranks(df, targets, stats=None, bins=None) -> list[float]:
+    """Values at the given 1-based ranks of the valid values of each column."""
+    return [t.value for t in select_ranks_detail(df, targets, stats, bins)]
 
 
 def quantile_ranks(n: int, q: float) -> tuple[int, int, float]:
@@ -131,14 +166,14 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], qs: Sequence[float],
     for c in columns:
         n = stats[c][0]
         for q in qs:
-            if n == 0:
+            if not n:
                 plan[(c, q)] = None
                 continue
             r_lo, r_hi, w = quantile_ranks(n, q)
             plan[(c, q)] = (r_lo, r_hi, w)
             wanted += [(c, r_lo), (c, r_hi)]
     uniq = sorted(set(wanted))
-    values = dict(zip(uniq, select_ranks(df, uniq, stats))) if uniq else {}
+    values = dict(zip(uniq, select_ranks(df, uniq, {c: stats[c] for c in columns if stats[c][0]}))) if uniq else {}
     out = {}
     for (c, q), p in plan.items():
         if p is None:

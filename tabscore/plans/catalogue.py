@@ -14,6 +14,7 @@ from __future__ import annotations
 import datetime as _dt
 import math
 import os
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -38,6 +39,9 @@ EVENTS_MODEL_C = LinearModel(("value",), (2.1,), -1.1, (30.0,), (25.0,), "events
 DOC_MODEL = LinearModel(("n_chars",), (1.5,), 0.8, (2000.0,), (1000.0,), "doc_quality", "v1")
 DOC_NEVER = LinearModel(("n_chars",), (0.1,), -50.0, (2000.0,), (1000.0,), "doc_never", "v1")
 LINEITEM_FEATURES = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
+LINEITEM_MODEL = LinearModel(LINEITEM_FEATURES, (0.9, -0.35, 1.8, -0.6), 0.15,
+                             (25.5, 38000.0, 0.05, 0.04), (14.4, 23000.0, 0.032, 0.026),
+                             "lineitem_risk", "v1")
 THRESHOLD = 0.7
 RUN_TS = _dt.datetime(2024, 2, 1, 12, 0, 0)
 SPLIT_FRACTION = 0.2
@@ -144,6 +148,18 @@ def q_score_linear(spark, sf_dir):
     return scoring.score(df, EVENTS_MODEL)
 
 
+def q_score_lineitem(spark, sf_dir):
+    df = table(spark, sf_dir, "lineitem")
+    return scoring.score(df, LINEITEM_MODEL).select("l_orderkey", "l_linenumber", "prediction")
+
+
+def q_score_lineitem_python(spark, sf_dir):
+    df = table(spark, sf_dir, "lineitem")
+    scored = score_with_predictor(df, LinearPredictor(LINEITEM_MODEL),
+                                  columns=["l_orderkey", "l_linenumber", *LINEITEM_FEATURES])
+    return scored.select("l_orderkey", "l_linenumber", "prediction")
+
+
 def q_score_threshold(spark, sf_dir):
     df = table(spark, sf_dir, "events")
     return scoring.shape_output(df, EVENTS_MODEL, id_col="event_id", threshold=THRESHOLD,
@@ -186,6 +202,19 @@ def q_evaluate_binary(spark, sf_dir):
                     *[F.round(c, 6).alias(c) for c in ("accuracy", "precision", "recall", "f1")])
 
 
+def q_evaluate_positional(spark, sf_dir):
+    # the declared feature name is absent: the non-label column is used in its place
+    data = labelled_documents(spark, sf_dir).select(F.col("n_chars").alias("length"), "quality")
+    m = metrics.evaluate(data, DOC_MODEL, label="quality")
+    return m.select("n", "tp", "fp", "fn", "tn",
+                    *[F.round(c, 6).alias(c) for c in ("accuracy", "precision", "recall", "f1")])
+
+
+def q_random_sample(spark, sf_dir):
+    df = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
+    return sampling.random_sample(df, SAMPLE_FRACTION, SAMPLE_SEED)
+
+
 def q_evaluate_no_positives(spark, sf_dir):
     m = metrics.evaluate(labelled_documents(spark, sf_dir), DOC_NEVER, label="toxic")
     return m.select("n", "tp", "fp", "fn", "tn",
@@ -301,7 +330,7 @@ def q_json_roundtrip(spark, sf_dir):
 
 def q_table_roundtrip(spark, sf_dir):
     df = table(spark, sf_dir, "customer")
-    name = "tabscore_customer_copy"
+    name = f"tabscore_customer_{uuid.uuid4().hex[:10]}"
     files.write_output(df, table=name)
     return files.load_input(spark, table=name)
 
@@ -337,6 +366,8 @@ QUERIES: dict[str, Query] = {
     "scaler_fit": q_scaler_fit,
     "scaler_transform": q_scaler_transform,
     "score_linear": q_score_linear,
+    "score_lineitem": q_score_lineitem,
+    "score_lineitem_python": q_score_lineitem_python,
     "score_threshold": q_score_threshold,
     "score_python": q_score_python,
     "score_skip_invalid": q_score_skip_invalid,
@@ -346,6 +377,8 @@ QUERIES: dict[str, Query] = {
     "validate_report": q_validate_report,
     "evaluate_binary": q_evaluate_binary,
     "evaluate_no_positives": q_evaluate_no_positives,
+    "evaluate_positional": q_evaluate_positional,
+    "random_sample": q_random_sample,
     "describe_numeric": q_describe_numeric,
     "value_counts": q_value_counts,
     "head_rows": q_head_rows,

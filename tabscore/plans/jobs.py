@@ -60,6 +60,26 @@ def train_job(df: DataFrame, features: Sequence[str], label: str, key: str | Seq
     return TrainResult(model, scores, params, {"train": params.n})
 
 
+HYPERPARAMETER_DEFAULTS = {"max_iter": 1000, "C": 1.0, "tol": 1e-6}
+CONFIG_DEFAULTS = {"test_size": 0.2, "split_mode": "exact", "seed": 42}
+
+
+def training_settings(config: dict | None) -> dict:
+    """Flat settings from ``{"test_size": .., "hyperparameters": {"max_iter": ..}}`` with defaults."""
+    config = config or {}
+    out = {k: config.get(k, v) for k, v in CONFIG_DEFAULTS.items()}
+    hp = config.get("hyperparameters") or {}
+    out.update({k: hp.get(k, v) for k, v in HYPERPARAMETER_DEFAULTS.items()})
+    return out
+
+
+def train_from_config(df: DataFrame, features: Sequence[str], label: str, key, config: dict | None = None,
+                      **kwargs) -> TrainResult:
+    s = training_settings(config)
+    return train_job(df, features, label, key, test_fraction=s["test_size"], split_mode=s["split_mode"],
+                     seed=s["seed"], C=s["C"], max_iter=s["max_iter"], tol=s["tol"], **kwargs)
+
+
 def score_job(spark: SparkSession, model: LinearModel, *, input_path: str | None = None,
               table: str | None = None, output_path: str | None = None,
               output_table: str | None = None, schema: InputSchema | None = None,

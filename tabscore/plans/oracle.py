@@ -174,6 +174,9 @@ def build() -> dict[str, str]:
         "scaler_fit": _scaler_fit(),
         "scaler_transform": _scaler_transform(),
         "score_linear": _score_events(),
+        "score_lineitem": f"SELECT l_orderkey, l_linenumber, {pred(c.LINEITEM_MODEL)} AS prediction FROM lineitem",
+        "score_lineitem_python": (
+            f"SELECT l_orderkey, l_linenumber, {pred(c.LINEITEM_MODEL)} AS prediction FROM lineitem"),
         "score_threshold": (
             f"SELECT event_id, {pred(m, c.THRESHOLD, 'INTEGER')} AS is_positive, {prob(m)} AS p_positive, "
             f"TIMESTAMP '{c.RUN_TS.isoformat(sep=' ')}' AS scored_at FROM events"),
@@ -187,6 +190,7 @@ def build() -> dict[str, str]:
         "validate_report": _validate_report(),
         "evaluate_binary": _metrics(c.DOC_MODEL, "quality"),
         "evaluate_no_positives": _metrics(c.DOC_NEVER, "toxic"),
+        "evaluate_positional": _metrics(c.DOC_MODEL, "quality"),
         "describe_numeric": _describe(),
         "value_counts": ("SELECT event_type, count(*) AS \"count\" FROM events "
                          "WHERE event_type IS NOT NULL GROUP BY event_type"),

@@ -82,3 +82,13 @@ def test_split_on_test_table(spark):
     train, test = sampling.split(orders, 0.2, "o_orderkey")
     n = orders.count()
     assert test.count() == math.ceil(n * 0.2) and train.count() == n - test.count()
+
+
+def test_exact_split_empty_and_null_keys(spark):
+    empty = spark.createDataFrame([], "k bigint")
+    train, test = sampling.split_exact(empty, 0.2, "k")
+    assert train.count() == 0 and test.count() == 0
+    # a NULL key hashes like an empty key (concat_ws skips NULL, as DuckDB does)
+    df = spark.createDataFrame([(None,)] + [(i,) for i in range(12)], "k bigint")
+    train, test = sampling.split_exact(df, 0.2, "k")
+    assert test.count() == 3 and train.count() == 10

@@ -94,3 +94,18 @@ def test_metrics_edge_cases(spark):
     m = metrics.binary_metrics(perfect).first()
     assert (m.n, m.tp, m.fp, m.fn, m.tn) == (2, 1, 0, 0, 1)
     assert m.tp + m.fp + m.fn + m.tn == m.n
+
+
+def test_training_settings_defaults():
+    s = jobs.training_settings({"test_size": 0.3, "hyperparameters": {"max_iter": 50}})
+    assert s["test_size"] == 0.3 and s["max_iter"] == 50 and s["C"] == 1.0 and s["seed"] == 42
+    assert jobs.training_settings(None)["max_iter"] == 1000
+
+
+def test_positional_fallback(spark):
+    from tabscore.operators.columns import align_features, features_or_rest
+    df = spark.createDataFrame([(1.0, 2.0, 1)], "x double, y double, target int")
+    assert features_or_rest(df, ["a", "b"]) == ["x", "y"]
+    assert align_features(df, ["a", "b"]).columns == ["a", "b", "target"]
+    with pytest.raises(ValueError):
+        align_features(df, ["a"])
