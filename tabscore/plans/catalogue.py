@@ -285,6 +285,14 @@ def q_stream_score(spark, sf_dir):
     return spark.read.parquet(path)
 
 
+def q_stream_batch_sink(spark, sf_dir):
+    stream = streaming.stream_from_table(spark, os.path.join(sf_dir, "events.parquet"))
+    scored = streaming.score_stream(stream.select("event_id", "user_id", "value"), EVENTS_MODEL)
+    out = scratch_path(spark, "stream-batches")
+    streaming.run_available_now(scored, foreach_batch=streaming.idempotent_batch_sink(out), name="stream-batches")
+    return spark.read.parquet(out).select("event_id", "user_id", "value", "prediction")
+
+
 RECORD = T.StructType([T.StructField("event_id", T.LongType()), T.StructField("user_id", T.LongType()),
                        T.StructField("value", T.DoubleType())])
 
@@ -391,6 +399,7 @@ QUERIES: dict[str, Query] = {
     "batch_score_job": q_batch_score_job,
     "stream_score": q_stream_score,
     "stream_requests": q_stream_requests,
+    "stream_batch_sink": q_stream_batch_sink,
     "csv_roundtrip": q_csv_roundtrip,
     "parquet_roundtrip": q_parquet_roundtrip,
     "json_roundtrip": q_json_roundtrip,

@@ -212,6 +212,7 @@ def build() -> dict[str, str]:
             "FROM events) t WHERE rn = 1"),
         "batch_score_job": _score_events(),
         "stream_score": _score_events(),
+        "stream_batch_sink": _score_events(),
         "stream_requests": (
             f"SELECT event_id // {c.REQUEST_SIZE} AS request_id, "
             f"row_number() OVER (PARTITION BY event_id // {c.REQUEST_SIZE} ORDER BY event_id) - 1 AS pos, "

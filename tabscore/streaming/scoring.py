@@ -100,6 +100,26 @@ def run_available_now(df: DataFrame, path: str | None = None, fmt: str = "parque
     return path
 
 
+def idempotent_batch_sink(output_path: str, run_log=None, fmt: str = "parquet",
+                          query_name: str = "stream") -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` function writing batch N to ``output_path/batch_id=N``.
+
+    A replayed batch (after a driver restart the last uncommitted batch runs
+    again) overwrites its own folder instead of appending twice.  The row
+    count is observed during the write and, if a run log is given, logged as
+    ``rows:<query_name>:<batch_id>`` (last write wins there too).
+    """
+    from tabscore.operators.profile import observed
+
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        counted, obs = observed(batch)
+        counted.write.mode("overwrite").format(fmt).save(f"{output_path}/batch_id={batch_id}")
+        if run_log is not None:
+            run_log.log_metrics({f"rows:{query_name}:{batch_id}": obs.get["rows"]})
+
+    return sink
+
+
 def _stream_path(path: str) -> str:
     """File sources watch folders; a single file becomes a glob that matches only it."""
     if os.path.isfile(path):

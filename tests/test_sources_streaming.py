@@ -113,3 +113,23 @@ def test_foreach_batch_sink(spark):
 
     streaming.run_available_now(streaming.score_stream(stream, MODEL), foreach_batch=sink, name="t-fb")
     assert sum(n for _, n in seen) == spark.read.parquet(f"{SF0001}/events.parquet").count()
+
+
+def test_idempotent_batch_sink_replay(spark, tmp_dir):
+    from tabscore.operators.runlog import RunLog
+    log = RunLog(spark, f"{tmp_dir}/log", run_id="s")
+    out = f"{tmp_dir}/scored"
+    sink = streaming.idempotent_batch_sink(out, log, query_name="q")
+    batch = score(spark.read.parquet(f"{SF0001}/events.parquet"), MODEL)
+    sink(batch, 0)
+    sink(batch, 0)   # replay of the same batch id
+    n = batch.count()
+    assert spark.read.parquet(out).count() == n
+    cur = {r.key: r.value for r in log.current().collect()}
+    assert cur == {"rows:q:0": str(n)}
+    # used as a real foreachBatch sink on a stream
+    stream = streaming.stream_from_table(spark, f"{SF0001}/events.parquet")
+    out2 = f"{tmp_dir}/scored2"
+    streaming.run_available_now(streaming.score_stream(stream, MODEL),
+                                foreach_batch=streaming.idempotent_batch_sink(out2), name="t-idem")
+    assert spark.read.parquet(out2).count() == n
