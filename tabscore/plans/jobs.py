@@ -75,9 +75,12 @@ def training_settings(config: dict | None) -> dict:
 
 def train_from_config(df: DataFrame, features: Sequence[str], label: str, key, config: dict | None = None,
                       **kwargs) -> TrainResult:
+    """Settings from the config (defaults filled in); explicit keyword arguments win."""
     s = training_settings(config)
-    return train_job(df, features, label, key, test_fraction=s["test_size"], split_mode=s["split_mode"],
-                     seed=s["seed"], C=s["C"], max_iter=s["max_iter"], tol=s["tol"], **kwargs)
+    settings = {"test_fraction": s["test_size"], "split_mode": s["split_mode"], "seed": s["seed"],
+                "C": s["C"], "max_iter": s["max_iter"], "tol": s["tol"]}
+    settings.update(kwargs)
+    return train_job(df, features, label, key, **settings)
 
 
 def score_job(spark: SparkSession, model: LinearModel, *, input_path: str | None = None,
