@@ -78,7 +78,8 @@ def shape_output(df: DataFrame, model: LinearModel, *, id_col: str,
         out.append(cols["probability"].alias(probability_col))
     if timestamp_col:
         ts = run_timestamp or _dt.datetime(1970, 1, 1)
-        out.append(F.lit(ts).cast("timestamp_ntz").alias(timestamp_col))
+        # wall-clock literal, independent of the Python and session time zones
+        out.append(F.to_timestamp_ntz(F.lit(ts.isoformat(sep=" "))).alias(timestamp_col))
     if model_col:
         out.append(F.lit(f"{model.name}:{model.version}").alias(model_col))
     return df.select(*out)
