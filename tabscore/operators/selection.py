@@ -21,12 +21,18 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MIN_BINS = 2048
 MAX_BINS = 65536
-MAX_ROUNDS = 40
+# Histogram rows a round may return to the driver, over all open ranges.  With
+# many ranges open at once the bin count per range shrinks (to no fewer than
+# FLOOR_BINS) and more rounds are taken instead.
+ROUND_BUDGET = 1 << 20
+FLOOR_BINS = 64
+MAX_ROUNDS = 200
 
 Rank = int | Callable[[int], int]
 
@@ -122,7 +128,11 @@ def select_ranks_detail(df: DataFrame, targets: Sequence[tuple[str, Rank]],
         probes: dict[tuple[str, float, float], int] = {}
         for t in open_targets:
             probes.setdefault((t.column, t.lo, t.hi), len(probes))
-        hist = _histogram(df, probes, bins)
+        round_bins = max(FLOOR_BINS, min(bins, ROUND_BUDGET // len(probes)))
+        per_job = max(1, ROUND_BUDGET // round_bins)
+        items = list(probes.items())
+        hist = pd.concat([_histogram(df, dict(items[i:i + per_job]), round_bins)
+                          for i in range(0, len(items), per_job)])
         groups = {int(p): g for p, g in hist.groupby("p")}
         for t in open_targets:
             g = groups.get(probes[(t.column, t.lo, t.hi)])

@@ -92,3 +92,15 @@ def test_exact_split_empty_and_null_keys(spark):
     df = spark.createDataFrame([(None,)] + [(i,) for i in range(12)], "k bigint")
     train, test = sampling.split_exact(df, 0.2, "k")
     assert test.count() == 3 and train.count() == 10
+
+
+def test_many_probes_use_fewer_bins(spark, monkeypatch):
+    monkeypatch.setattr(selection, "ROUND_BUDGET", 256)
+    rng = np.random.default_rng(5)
+    cols = {f"c{i}": rng.normal(size=400) for i in range(6)}
+    rows = list(zip(*[map(float, v) for v in cols.values()]))
+    df = spark.createDataFrame(rows, ", ".join(f"{c} double" for c in cols))
+    q = selection.exact_quantiles(df, list(cols), [0.1, 0.5, 0.9])
+    for c, v in cols.items():
+        for p in (0.1, 0.5, 0.9):
+            assert abs(q[(c, p)] - float(np.quantile(v, p))) < 1e-12
