@@ -16,6 +16,7 @@ from collections.abc import Iterator, Sequence
 from typing import Any
 
 import numpy as np
+from pyspark import cloudpickle
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -76,21 +77,41 @@ def _attach(batch: pd.DataFrame, result, output: str) -> pd.DataFrame:
     return batch.assign(**{output: values})
 
 
+MAX_BROADCAST_BYTES = 256 * 1024 * 1024
+
+
 def score_with_predictor(df: DataFrame, predictor: BasePredictor, *,
                          columns: Sequence[str] | None = None, output: str = "prediction",
-                         prediction_type: T.DataType = T.DoubleType()) -> DataFrame:
-    """Input (or ``columns``) + ``output`` computed by the predictor per Arrow batch."""
+                         prediction_type: T.DataType = T.DoubleType(),
+                         max_broadcast_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
+    """Input (or ``columns``) + ``output`` computed by the predictor per Arrow batch.
+
+    The loaded state is broadcast when its pickled size is within
+    ``max_broadcast_bytes``; a larger state is not shipped from the driver:
+    each partition calls ``load()`` once on its executor instead.
+    """
     if columns is not None:
         df = df.select(*columns)
     if predictor.input_schema is not None:
         predictor.input_schema.validate(df)
     if output in df.columns:
         raise ValueError(f"input already has column {output!r}")
-    state = df.sparkSession.sparkContext.broadcast(predictor.load())
+    loaded_state = predictor.load()
+    size = len(cloudpickle.dumps(loaded_state))
+    if size <= max_broadcast_bytes:
+        shared = df.sparkSession.sparkContext.broadcast(loaded_state)
+
+        def state():
+            return shared.value
+    else:
+        del loaded_state
+
+        def state():
+            return predictor.load()
     schema = T.StructType(list(df.schema.fields) + [T.StructField(output, prediction_type, True)])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        loaded = state.value
+        loaded = state()
         for batch in batches:
             yield _attach(batch, predictor.predict(loaded, batch), output)
 

@@ -150,3 +150,10 @@ def test_no_join_in_multi_plan(rows, capsys):
     multi.score_many(rows, [MODEL, MODEL.renamed("b")], ["id"]).explain()
     plan = capsys.readouterr().out
     assert "Join" not in plan and "Exchange" not in plan
+
+
+def test_large_state_loads_per_partition(rows):
+    native = {r.id: r.prediction for r in scoring.score(rows, MODEL).collect()}
+    got = {r.id: r.prediction for r in
+           score_with_predictor(rows, LinearPredictor(MODEL), max_broadcast_bytes=1).collect()}
+    assert got == native
