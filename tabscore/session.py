@@ -43,12 +43,16 @@ def checkpoint_root(spark: SparkSession) -> str:
 
     Streaming checkpoints, lineage cuts and job outputs that must survive a
     lost executor live here.  A folder of our own is only chosen when the
-    setting is unset, which is the case in local tests.
+    setting is unset on a ``local[...]`` master (tests); on a cluster an unset
+    value is an error rather than a machine-local folder.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder: streaming checkpoints "
+                               "and intermediate outputs must survive a lost executor")
         root = tempfile.mkdtemp(prefix="tabscore-ckpt-")
         spark.conf.set("spark.checkpoint.dir", root)
     if not spark.sparkContext.getCheckpointDir():
