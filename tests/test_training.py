@@ -50,16 +50,26 @@ def test_all_null_feature_scaler(spark):
     assert p.means == (None,) and p.scales == (1.0,)
 
 
-def test_logistic_matches_newton(spark):
+@pytest.mark.parametrize("solver,atol", [("newton", 1e-9), ("mllib", 1e-5)])
+def test_logistic_matches_newton(spark, solver, atol):
     rng = np.random.default_rng(42)
     X = rng.normal(size=(600, 3))
     y = (X @ np.array([1.5, -2.0, 0.3]) + 0.4 + rng.logistic(size=600) > 0).astype(float)
     df = spark.createDataFrame([tuple(map(float, r)) + (float(t),) for r, t in zip(X, y)],
                                "a double, b double, c double, target double")
-    m = logistic.fit_logistic(df, ["a", "b", "c"], "target", max_iter=500, tol=1e-12)
+    m = logistic.fit_logistic(df, ["a", "b", "c"], "target", max_iter=500, tol=1e-12, solver=solver)
     w, b = newton_logistic(X, y)
-    assert np.allclose(m.coefficients, w, atol=1e-5)
-    assert m.intercept == pytest.approx(b, abs=1e-5)
+    assert np.allclose(m.coefficients, w, atol=atol)
+    assert m.intercept == pytest.approx(b, abs=atol)
+
+
+def test_newton_separable_data_stays_finite(spark):
+    # perfectly separable: the L2 term keeps the optimum finite; damping keeps steps sane
+    df = spark.createDataFrame([(float(x), float(x > 0)) for x in np.linspace(-3, 3, 40)], "a double, target double")
+    m = logistic.fit_logistic(df, ["a"], "target", tol=1e-10, solver="newton")
+    X = np.linspace(-3, 3, 40)[:, None]
+    w, b = newton_logistic(X, (X[:, 0] > 0).astype(float))
+    assert np.isfinite(m.coefficients[0]) and abs(m.coefficients[0] - w[0]) < 1e-8
 
 
 def test_train_job_on_documents(spark, tmp_dir):
