@@ -52,8 +52,9 @@ TRAIN_WINDOW = ("1996-01-01", "1997-12-31")
 SCORING_DAY = "1997-03-15"
 STATUS_REQUEST = ("events_a", "events_b", "no_such_model", "events_c")
 REQUEST_SIZE = 8
-INVALID_VALUE = ("CASE WHEN event_id % 10 = 0 THEN NULL "
-                 "WHEN event_id % 7 = 0 THEN CAST('NaN' AS DOUBLE) ELSE value END")
+# error events carry no value (NULL); readings above 250 are treated as a failed sensor (NaN)
+INVALID_VALUE = ("CASE WHEN event_type = 'error' THEN NULL "
+                 "WHEN value > 250.0 THEN CAST('NaN' AS DOUBLE) ELSE value END")
 REPORT_SPEC = [("event_id", "int64"), ("value", "float64"), ("user_id", "int32"),
                ("score", "float64"), ("ts", "datetime64[ns]"), ("props", "object", False),
                ("label", None, False)]
