@@ -24,12 +24,22 @@ def _check_output_free(df: DataFrame, *names: str) -> None:
 
 def score(df: DataFrame, model: LinearModel, *, threshold: float = 0.5,
           output: str = "prediction", prediction_type: str = "double",
-          on_invalid: str = "error", validate: bool = True) -> DataFrame:
-    """Input columns + ``prediction`` (1/0 as ``prediction_type``)."""
+          classes: tuple | None = None, on_invalid: str = "error", validate: bool = True) -> DataFrame:
+    """Input columns + ``prediction``.
+
+    The prediction is 1/0 cast to ``prediction_type``, or, with
+    ``classes=(negative, positive)``, the class labels themselves (strings or
+    integers keep their type).
+    """
     if validate:
         InputSchema.from_feature_columns(model.features).validate(df)
     _check_output_free(df, output)
-    pred = predicted_label(margin(model), threshold).cast(prediction_type)
+    positive = predicted_label(margin(model), threshold)
+    if classes is not None:
+        neg, pos = classes
+        pred = F.when(positive, F.lit(pos)).otherwise(F.lit(neg))
+    else:
+        pred = positive.cast(prediction_type)
     df, pred = guard_prediction(df, model.features, pred, on_invalid)
     return df.withColumn(output, pred)
 

@@ -59,16 +59,20 @@ def render(template: str, **identifier_lists: str) -> str:
 
 def training_extract(spark: SparkSession, table: str, features: Sequence[str], target_column: str,
                      date_column: str, start_date, end_date, sample_fraction: float = 1.0,
-                     sample_key: Sequence[str] | str | None = None,
+                     sample_key: Sequence[str] | str | None = None, sample_seed: str | None = None,
                      template: str | None = None) -> DataFrame:
-    """Features + ``target`` for rows with start_date <= day(date_column) <= end_date."""
+    """Features + ``target`` for rows with start_date <= day(date_column) <= end_date.
+
+    The sample keeps rows whose key hash (md5 of the key columns, and of the
+    seed when one is given, joined by ``|``) falls below the fraction.
+    """
     cols = _columns(spark, table)
     feats = _checked(cols, features, "features")
     _checked(cols, [target_column], "target column")
     keys = [sample_key] if isinstance(sample_key, str) else list(sample_key or features)
     qkeys = _checked(cols, keys, "sample key")
-    key_text = (f"CAST({qkeys[0]} AS STRING)" if len(qkeys) == 1 else
-                "concat_ws('|', " + ", ".join(f"CAST({k} AS STRING)" for k in qkeys) + ")")
+    parts = [f"CAST({k} AS STRING)" for k in qkeys] + ([":sample_seed"] if sample_seed is not None else [])
+    key_text = parts[0] if len(parts) == 1 else "concat_ws('|', " + ", ".join(parts) + ")"
     text = render(template or load_template("training_extract.sql"),
                   features=", ".join(feats), date_type=_date_type(cols, date_column),
                   sample_key=key_text)
@@ -76,6 +80,8 @@ def training_extract(spark: SparkSession, table: str, features: Sequence[str], t
     args = {"table_name": table, "target_column": target_column, "date_column": date_column,
             "window_start": start.isoformat(), "window_end": (end + _dt.timedelta(days=1)).isoformat(),
             "sample_fraction": float(min(sample_fraction, 2.0))}
+    if sample_seed is not None:
+        args["sample_seed"] = str(sample_seed)
     return spark.sql(text, args=args)
 
 

@@ -157,3 +157,13 @@ def test_large_state_loads_per_partition(rows):
     got = {r.id: r.prediction for r in
            score_with_predictor(rows, LinearPredictor(MODEL), max_broadcast_bytes=1).collect()}
     assert got == native
+
+
+def test_class_labels_keep_type(rows):
+    out = scoring.score(rows, MODEL, classes=("no", "yes"))
+    assert dict(out.dtypes)["prediction"] == "string"
+    native = {r.id: r.prediction for r in scoring.score(rows, MODEL).collect()}
+    for r in out.collect():
+        assert r.prediction == ("yes" if native[r.id] == 1.0 else "no")
+    ints = scoring.score(rows, MODEL, classes=(0, 1))
+    assert dict(ints.dtypes)["prediction"] == "int"

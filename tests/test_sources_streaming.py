@@ -133,3 +133,23 @@ def test_idempotent_batch_sink_replay(spark, tmp_dir):
     streaming.run_available_now(streaming.score_stream(stream, MODEL),
                                 foreach_batch=streaming.idempotent_batch_sink(out2), name="t-idem")
     assert spark.read.parquet(out2).count() == n
+
+
+def test_extracts_on_date_column_with_seed(spark):
+    import datetime as dt
+    rows = [(i, float(i), i % 2, dt.date(2024, 1, 1) + dt.timedelta(days=i % 40)) for i in range(400)]
+    spark.createDataFrame(rows, "id bigint, f0 double, y int, d date").createOrReplaceTempView("t_dates")
+    full = sql_extract.training_extract(spark, "t_dates", ["f0"], "y", "d", "2024-01-10", "2024-01-19", 1.0, "id")
+    assert full.count() == 100
+    a = sorted(r.f0 for r in sql_extract.training_extract(spark, "t_dates", ["f0"], "y", "d", "2024-01-10",
+                                                          "2024-01-19", 0.5, "id", sample_seed="s1").collect())
+    b = sorted(r.f0 for r in sql_extract.training_extract(spark, "t_dates", ["f0"], "y", "d", "2024-01-10",
+                                                          "2024-01-19", 0.5, "id", sample_seed="s2").collect())
+    assert a != b and 30 < len(a) < 70
+    from tabscore.functions.hashing import hash32
+    want = sorted(r.f0 for r in spark.table("t_dates")
+                  .where("d BETWEEN DATE'2024-01-10' AND DATE'2024-01-19'")
+                  .where(hash32("id", "s1") < 0.5 * 4294967296.0).collect())
+    assert a == want
+    day = sql_extract.scoring_extract(spark, "t_dates", "id", ["f0"], "d", "2024-01-05")
+    assert day.count() == 10
