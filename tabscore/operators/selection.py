@@ -72,12 +72,19 @@ def column_stats(df: DataFrame, columns: Sequence[str]) -> dict[str, tuple[int,
     return {name: (row[f"n{i}"], row[f"lo{i}"], row[f"hi{i}"]) for i, name in enumerate(columns)}
 
 
-def _histogram(df: DataFrame, probes: dict[tuple[str, float, float], int], bins: int):
-    """Per probe (column, lo, hi): count, min, max in each of ``bins`` equal-width bins."""
+def _histogram(df: DataFrame, probes: dict[tuple[str, float, float], int], bins: int,
+               full: frozenset = frozenset()):
+    """Per probe (column, lo, hi): count, min, max in each of ``bins`` equal-width bins.
+
+    Probes in ``full`` span the column's whole range, so they need no range
+    test (which would evaluate a computed column once more per row).
+    """
     parts, conds = [], []
     for (column, lo, hi), pid in probes.items():
         v = F.col(column).cast("double")
-        inside = _valid(F.col(column)) & (v >= F.lit(lo)) & (v <= F.lit(hi))
+        inside = _valid(F.col(column))
+        if (column, lo, hi) not in full:
+            inside = inside & (v >= F.lit(lo)) & (v <= F.lit(hi))
         width = hi - lo
         raw = F.floor((v - F.lit(lo)) / F.lit(width) * F.lit(float(bins)))
         parts.append((pid, inside, F.least(raw, F.lit(bins - 1)).cast("int"), v))
@@ -107,6 +114,7 @@ def select_ranks_detail(df: DataFrame, targets: Sequence[tuple[str, Rank]],
     stats = stats or column_stats(df, columns)
     bins = bins or default_bins(max((s[0] or 0) for s in stats.values()) or None)
     state = [_Target(column, rank, stats[column][1], stats[column][2]) for column, rank in targets]
+    full = frozenset((c, stats[c][1], stats[c][2]) for c in columns)
 
     def resolve(t: _Target, n: int) -> None:
         if callable(t.rank):
@@ -131,7 +139,7 @@ def select_ranks_detail(df: DataFrame, targets: Sequence[tuple[str, Rank]],
         round_bins = max(FLOOR_BINS, min(bins, ROUND_BUDGET // len(probes)))
         per_job = max(1, ROUND_BUDGET // round_bins)
         items = list(probes.items())
-        hist = pd.concat([_histogram(df, dict(items[i:i + per_job]), round_bins)
+        hist = pd.concat([_histogram(df, dict(items[i:i + per_job]), round_bins, full)
                           for i in range(0, len(items), per_job)])
         groups = {int(p): g for p, g in hist.groupby("p")}
         for t in open_targets:

@@ -167,3 +167,15 @@ def test_class_labels_keep_type(rows):
         assert r.prediction == ("yes" if native[r.id] == 1.0 else "no")
     ints = scoring.score(rows, MODEL, classes=(0, 1))
     assert dict(ints.dtypes)["prediction"] == "int"
+
+
+def test_predictor_is_abstract():
+    with pytest.raises(TypeError):
+        BasePredictor()
+
+    class OnlyLoad(BasePredictor):
+        def load(self):
+            return None
+
+    with pytest.raises(TypeError):
+        OnlyLoad()
