@@ -91,3 +91,15 @@ def test_registry_latest(spark, tmp_dir):
 
 def test_artifact_key():
     assert runlog.artifact_key("f", "m", "v", "model.pkl") == "f/m/v/model.pkl"
+
+
+def test_artifact_store_cross_model(spark, tmp_dir):
+    a = runlog.ArtifactStore(spark, f"{tmp_dir}/art", "feat", "m1", "v1")
+    b = runlog.ArtifactStore(spark, f"{tmp_dir}/art", "feat", "m2", "v7")
+    assert a.save("scaler", {"mean": [1.0, 2.0]}, dt.datetime(2024, 1, 1)) == "feat/m1/v1/scaler"
+    a.save("scaler", {"mean": [3.0]}, dt.datetime(2024, 1, 2))
+    b.save("model", [1, 2, 3])
+    assert a.load("scaler") == {"mean": [3.0]}
+    assert a.load("model", model_name="m2", version="v7") == [1, 2, 3]
+    with pytest.raises(KeyError, match="feat/m1/v1/missing"):
+        a.load("missing")
