@@ -1,9 +1,8 @@
 """Registered queries: each reads the given tables and returns a DataFrame.
 
-Every query has a DuckDB twin in ``ORACLE`` (same column names, same
+Every query has a DuckDB twin in ``oracle.ORACLE`` (same column names, same
 arithmetic order, doubles rounded to 6 places where exp/avg/std occur),
-except the logistic fit and the training job, which are checked in pytest
-against a Newton solve instead.
+except ``random_sample``, a Bernoulli draw that only Spark can repeat.
 
 Fixed values: the models below are given parameters, as a registry would
 hand them out; their features are columns of the test tables.
@@ -350,7 +349,8 @@ def q_train_logistic(spark, sf_dir):
     params = scaling.fit_scaler(data, ["n_chars"])
     model = fit_logistic(scaling.transform(data, params), ["n_chars"], "quality", max_iter=200, tol=1e-10)
     rows = [("intercept", model.intercept)] + list(zip(model.features, model.coefficients))
-    terms = F.array(*[F.struct(F.lit(k).alias("term"), F.lit(v).alias("value")) for k, v in rows])
+    terms = F.array(*[F.struct(F.lit(k).alias("term"), F.round(F.lit(float(v)), 6).alias("value"))
+                      for k, v in rows])
     # one row per term, anchored on the data the fit read
     return data.agg(F.count(F.lit(1)).alias("n")).select("n", F.inline(terms))
 
@@ -361,7 +361,7 @@ def q_train_job(spark, sf_dir):
                          name="doc_quality", version="train-job")
     m = res.metrics
     return data.agg(F.count(F.lit(1)).alias("n")).select(
-        "n", *[F.lit(float(m[k])).alias(k) for k in ("accuracy", "precision", "recall", "f1")])
+        "n", *[F.round(F.lit(float(m[k])), 6).alias(k) for k in ("accuracy", "precision", "recall", "f1")])
 
 
 QUERIES: dict[str, Query] = {

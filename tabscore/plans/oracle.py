@@ -142,6 +142,64 @@ def _quarantine_reason() -> str:
             "WHEN user_id IS NULL THEN 'null:user_id' ELSE 'ok' END")
 
 
+NEWTON_ROUNDS = 30
+
+
+def _newton(points: str) -> str:
+    """Recursive CTE ``it(k, w, b)``: Newton steps for C*sum(logloss) + w^2/2 on ``points(x, y)``."""
+    return f"""it(k, w, b) AS (
+  SELECT 0, CAST(0 AS DOUBLE), CAST(0 AS DOUBLE)
+  UNION ALL
+  SELECT k + 1, w - (hbb * gw - hwb * gb) / (hww * hbb - hwb * hwb),
+         b - (hww * gb - hwb * gw) / (hww * hbb - hwb * hwb)
+  FROM (SELECT q.k AS k, q.w AS w, q.b AS b,
+               sum((p - y) * x) + q.w AS gw, sum(p - y) AS gb,
+               sum(p * (1 - p) * x * x) + 1 AS hww, sum(p * (1 - p) * x) AS hwb, sum(p * (1 - p)) AS hbb
+        FROM (SELECT it.k, it.w, it.b, {points}.x, {points}.y,
+                     1 / (1 + exp(-(it.w * {points}.x + it.b))) AS p
+              FROM it, {points} WHERE it.k < {NEWTON_ROUNDS}) q
+        GROUP BY q.k, q.w, q.b) g)"""
+
+
+def _train_logistic() -> str:
+    return f"""WITH RECURSIVE src AS (
+  SELECT CAST(d.n_chars AS DOUBLE) AS x, CAST(l.quality AS DOUBLE) AS y
+  FROM documents d JOIN labels l ON d.doc_id = l.doc_id WHERE l.quality IS NOT NULL),
+st AS (SELECT avg(x) AS m, stddev_pop(x) AS sd FROM src),
+z AS (SELECT (x - m) / (CASE WHEN sd = 0 THEN 1.0 ELSE sd END) AS x, y FROM src, st),
+{_newton("z")}
+SELECT (SELECT count(*) FROM src) AS n, 'intercept' AS term, round(b, 6) AS value
+FROM it WHERE k = {NEWTON_ROUNDS}
+UNION ALL
+SELECT (SELECT count(*) FROM src) AS n, 'n_chars' AS term, round(w, 6) AS value
+FROM it WHERE k = {NEWTON_ROUNDS}"""
+
+
+def _train_job() -> str:
+    h = sql_hash32(["doc_id"], 42)
+    return f"""WITH RECURSIVE src AS (
+  SELECT d.doc_id, CAST(d.n_chars AS DOUBLE) AS x, CAST(l.quality AS DOUBLE) AS y
+  FROM documents d JOIN labels l ON d.doc_id = l.doc_id WHERE l.quality IS NOT NULL),
+ranked AS (SELECT x, y, row_number() OVER (ORDER BY {h}, doc_id) AS rn FROM src),
+cut AS (SELECT ceil(count(*) * 0.2) AS kk FROM src),
+train AS (SELECT x, y FROM ranked, cut WHERE rn > kk),
+test AS (SELECT x, y FROM ranked, cut WHERE rn <= kk),
+st AS (SELECT avg(x) AS m, CASE WHEN stddev_pop(x) = 0 THEN 1.0 ELSE stddev_pop(x) END AS sd FROM train),
+z AS (SELECT (x - m) / sd AS x, y FROM train, st),
+{_newton("z")},
+fin AS (SELECT w, b FROM it WHERE k = {NEWTON_ROUNDS}),
+scored AS (SELECT y, CAST(((x - m) / sd) * w + b > 0 AS DOUBLE) AS p FROM test, st, fin),
+c AS (SELECT count(*) AS n, count(*) FILTER (WHERE y = 1 AND p = 1) AS tp,
+             count(*) FILTER (WHERE y <> 1 AND p = 1) AS fp, count(*) FILTER (WHERE y = 1 AND p <> 1) AS fn,
+             count(*) FILTER (WHERE y <> 1 AND p <> 1) AS tn FROM scored)
+SELECT (SELECT count(*) FROM src) AS n,
+  round(CASE WHEN n = 0 THEN 0.0 ELSE CAST(tp + tn AS DOUBLE) / n END, 6) AS accuracy,
+  round(CASE WHEN tp + fp = 0 THEN 0.0 ELSE CAST(tp AS DOUBLE) / (tp + fp) END, 6) AS precision,
+  round(CASE WHEN tp + fn = 0 THEN 0.0 ELSE CAST(tp AS DOUBLE) / (tp + fn) END, 6) AS recall,
+  round(CASE WHEN 2 * tp + fp + fn = 0 THEN 0.0 ELSE CAST(2 * tp AS DOUBLE) / (2 * tp + fp + fn) END, 6) AS f1
+FROM c"""
+
+
 def build() -> dict[str, str]:
     m = c.EVENTS_MODEL
     inv = f"({invalid_events()}) e"
@@ -221,6 +279,8 @@ def build() -> dict[str, str]:
         "parquet_roundtrip": "SELECT * FROM customer",
         "json_roundtrip": "SELECT * FROM nation",
         "table_roundtrip": "SELECT * FROM customer",
+        "train_logistic": _train_logistic(),
+        "train_job": _train_job(),
     }
 
 
