@@ -100,11 +100,18 @@ def sql_double(x: float) -> str:
     return f"CAST('{float(x)!r}' AS DOUBLE)"
 
 
-def sql_margin(model: LinearModel, qualifier: str = "") -> str:
+def vector_inputs(column: str, features: Sequence[str]) -> dict[str, Column]:
+    """Feature i read from element i of an array column."""
+    return {name: F.col(column)[i] for i, name in enumerate(features)}
+
+
+def sql_margin(model: LinearModel, qualifier: str = "", exprs: dict[str, str] | None = None) -> str:
     """DuckDB text of :func:`margin`, same association order."""
+    exprs = exprs or {}
     total = None
     for i, name in enumerate(model.features):
-        term = (f"((({qualifier}{name} - {sql_double(model.means[i])}) / "
+        x = exprs.get(name, f"{qualifier}{name}")
+        term = (f"((({x} - {sql_double(model.means[i])}) / "
                 f"{sql_double(model.scales[i])}) * {sql_double(model.coefficients[i])})")
         total = term if total is None else f"({total} + {term})"
     if total is None:

@@ -12,7 +12,8 @@ Two solvers, both distributed:
   standardisation of its own, unpenalised intercept.  Used for wide inputs,
   where the Hessian would be too large.
 
-``auto`` picks Newton up to ``NEWTON_MAX_FEATURES`` features.
+``auto`` picks Newton up to ``NEWTON_MAX_FEATURES`` features; wider inputs go
+to MLlib.
 """
 
 from __future__ import annotations
@@ -26,7 +27,12 @@ from pyspark.sql import functions as F
 
 from tabscore.functions.linear import LinearModel
 
-NEWTON_MAX_FEATURES = 64
+# Each Newton pass is a fresh aggregate whose generated code is compiled anew
+# (the coefficients are literals); with (p+1)(p+2)/2 sums that cost grows
+# quickly with p.  Measured locally at sf0.1 (2,000 rows): p=8 Newton 4.0 s vs
+# MLlib 1.1 s, p=32 28 s vs 1.6 s.  Newton is kept for narrow inputs, where it
+# reaches the exact optimum in a handful of passes.
+NEWTON_MAX_FEATURES = 8
 
 
 def _prepare(df: DataFrame, features: Sequence[str], label: str) -> DataFrame:
@@ -60,15 +66,18 @@ def _fit_newton(df, features, label, C, max_iter, tol, name, version) -> LinearM
         z = xs[p] * F.lit(float(theta[p]))
         for i in range(p):
             z = z + xs[i] * F.lit(float(theta[i]))
-        mu = F.lit(1.0) / (F.lit(1.0) + F.exp(-z))
-        w = mu * (F.lit(1.0) - mu)
-        y = F.col("y")
-        # log(1 + exp(z)) - y*z, written to avoid overflow for large |z|
-        loss = F.greatest(z, F.lit(0.0)) + F.log1p(F.exp(-F.abs(z))) - y * z
-        aggs = [F.count(F.lit(1)).alias("n"), F.sum(loss).alias("loss")]
-        aggs += [F.sum((mu - y) * xs[j]).alias(f"g{j}") for j in range(p + 1)]
-        aggs += [F.sum(w * xs[j] * xs[k]).alias(f"h{j}_{k}") for j, k in pairs]
-        row = data.agg(*aggs).first()
+        # the margin and its derived weights once per row, then plain sums over them
+        rows = data.select(*[F.col(f"x{i}") for i in range(p)], "y", z.alias("z"))
+        mu = F.lit(1.0) / (F.lit(1.0) + F.exp(-F.col("z")))
+        rows = rows.select("*", (mu - F.col("y")).alias("r"), (mu * (F.lit(1.0) - mu)).alias("wt"),
+                           # log(1 + exp(z)) - y*z, written to avoid overflow for large |z|
+                           (F.greatest(F.col("z"), F.lit(0.0)) + F.log1p(F.exp(-F.abs(F.col("z"))))
+                            - F.col("y") * F.col("z")).alias("ll"))
+        r, wt = F.col("r"), F.col("wt")
+        aggs = [F.count(F.lit(1)).alias("n"), F.sum("ll").alias("loss")]
+        aggs += [F.sum(r * xs[j]).alias(f"g{j}") for j in range(p + 1)]
+        aggs += [F.sum(wt * xs[j] * xs[k]).alias(f"h{j}_{k}") for j, k in pairs]
+        row = rows.agg(*aggs).first()
         if not row["n"]:
             raise ValueError("no labelled rows to fit")
         g = np.array([row[f"g{j}"] for j in range(p + 1)])

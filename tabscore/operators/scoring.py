@@ -12,7 +12,7 @@ import datetime as _dt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabscore.functions.linear import LinearModel, margin, predicted_label, probability
+from tabscore.functions.linear import LinearModel, margin, predicted_label, probability, vector_inputs
 from tabscore.operators.validate import InputSchema, guard_prediction
 
 
@@ -44,6 +44,42 @@ def score(df: DataFrame, model: LinearModel, *, threshold: float = 0.5,
     return df.withColumn(output, pred)
 
 
+def score_vector(df: DataFrame, model: LinearModel, vector_col: str, *, threshold: float = 0.5,
+                 output: str = "prediction", probability_col: str | None = "probability",
+                 digits: int | None = 6, on_invalid: str = "error") -> DataFrame:
+    """Score a model whose features are the elements of one array column.
+
+    Element i feeds feature i; the margin is the same native expression as
+    for named columns (no explode, no Python).  A row whose array is NULL,
+    too short, or holds a NULL/NaN element is invalid.
+    """
+    from pyspark.sql.types import ArrayType
+    if vector_col not in df.columns or not isinstance(df.schema[vector_col].dataType, ArrayType):
+        raise ValueError(f"{vector_col!r} is not an array column")
+    _check_output_free(df, output, probability_col)
+    v = F.col(vector_col)
+    k = len(model.features)
+    bad = (v.isNull() | (F.size(v) < k)
+           | F.exists(F.slice(v, 1, k), lambda x: x.isNull() | F.isnan(x)))
+    m = margin(model, vector_inputs(vector_col, model.features))
+    pred = predicted_label(m, threshold).cast("double")
+    prob = probability(m)
+    if digits is not None:
+        prob = F.round(prob, digits)
+    if on_invalid == "skip":
+        df = df.where(~bad)
+    elif on_invalid == "null":
+        pred, prob = (F.when(bad, F.lit(None)).otherwise(pred), F.when(bad, F.lit(None)).otherwise(prob))
+    elif on_invalid == "error":
+        pred = F.when(bad, F.raise_error(F.lit(f"invalid feature vector in {vector_col}"))).otherwise(pred)
+    else:
+        raise ValueError("on_invalid must be one of ('error', 'skip', 'null')")
+    cols = {output: pred}
+    if probability_col:
+        cols[probability_col] = prob
+    return df.withColumns(cols)
+
+
 def score_columns(model: LinearModel, threshold: float = 0.5,
                   digits: int | None = None) -> dict[str, Column]:
     """margin, probability and label expressions for one model."""

@@ -41,6 +41,11 @@ LINEITEM_FEATURES = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
 LINEITEM_MODEL = LinearModel(LINEITEM_FEATURES, (0.9, -0.35, 1.8, -0.6), 0.15,
                              (25.5, 38000.0, 0.05, 0.04), (14.4, 23000.0, 0.032, 0.026),
                              "lineitem_risk", "v1")
+# a 64-weight model over embeddings.embedding, generated by a rule
+EMBED_DIM = 64
+EMBED_MODEL = LinearModel(tuple(f"e{i}" for i in range(EMBED_DIM)),
+                          tuple(((i * 37) % 17 - 8) / 10.0 for i in range(EMBED_DIM)), -0.1,
+                          name="embedding_linear", version="v1")
 THRESHOLD = 0.7
 RUN_TS = _dt.datetime(2024, 2, 1, 12, 0, 0)
 SPLIT_FRACTION = 0.2
@@ -160,6 +165,11 @@ def q_score_lineitem_python(spark, sf_dir):
     return scored.select("l_orderkey", "l_linenumber", "prediction")
 
 
+def q_score_wide(spark, sf_dir):
+    df = table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
+    return scoring.score_vector(df, EMBED_MODEL, "embedding").drop("embedding")
+
+
 def q_score_threshold(spark, sf_dir):
     df = table(spark, sf_dir, "events")
     return scoring.shape_output(df, EVENTS_MODEL, id_col="event_id", threshold=THRESHOLD,
@@ -377,6 +387,7 @@ QUERIES: dict[str, Query] = {
     "score_linear": q_score_linear,
     "score_lineitem": q_score_lineitem,
     "score_lineitem_python": q_score_lineitem_python,
+    "score_wide": q_score_wide,
     "score_threshold": q_score_threshold,
     "score_python": q_score_python,
     "score_skip_invalid": q_score_skip_invalid,

@@ -161,6 +161,11 @@ def _newton(points: str) -> str:
         GROUP BY q.k, q.w, q.b) g)"""
 
 
+def _wide_margin() -> str:
+    exprs = {f: f"embedding[{i + 1}]" for i, f in enumerate(c.EMBED_MODEL.features)}
+    return sql_margin(c.EMBED_MODEL, exprs=exprs)
+
+
 def _train_logistic() -> str:
     return f"""WITH RECURSIVE src AS (
   SELECT CAST(d.n_chars AS DOUBLE) AS x, CAST(l.quality AS DOUBLE) AS y
@@ -235,6 +240,9 @@ def build() -> dict[str, str]:
         "score_lineitem": f"SELECT l_orderkey, l_linenumber, {pred(c.LINEITEM_MODEL)} AS prediction FROM lineitem",
         "score_lineitem_python": (
             f"SELECT l_orderkey, l_linenumber, {pred(c.LINEITEM_MODEL)} AS prediction FROM lineitem"),
+        "score_wide": (
+            f"SELECT vec_id, label, CAST({_wide_margin()} > {sql_double(0.0)} AS DOUBLE) AS prediction, "
+            f"round({ONE} / ({ONE} + exp(-{_wide_margin()})), 6) AS probability FROM embeddings"),
         "score_threshold": (
             f"SELECT event_id, {pred(m, c.THRESHOLD, 'INTEGER')} AS is_positive, {prob(m)} AS p_positive, "
             f"TIMESTAMP '{c.RUN_TS.isoformat(sep=' ')}' AS scored_at FROM events"),

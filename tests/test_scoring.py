@@ -179,3 +179,26 @@ def test_predictor_is_abstract():
 
     with pytest.raises(TypeError):
         OnlyLoad()
+
+
+def test_score_vector_matches_named_columns(spark):
+    vm = LinearModel(("v0", "v1", "v2"), (0.5, -1.25, 2.0), 0.1, (1.0, 0.0, -1.0), (2.0, 1.0, 4.0))
+    rows = [(i, [float(i % 3), float(i % 5) - 2.0, float(i % 7) / 3.0]) for i in range(60)]
+    df = spark.createDataFrame(rows, "id int, vec array<double>")
+    named = df.select("id", *[F.col("vec")[i].alias(f"v{i}") for i in range(3)])
+    a = {r.id: r.prediction for r in scoring.score(named, vm).collect()}
+    b = {r.id: r.prediction for r in scoring.score_vector(df, vm, "vec").collect()}
+    assert a == b
+
+
+def test_score_vector_invalid(spark):
+    vm = LinearModel(("v0", "v1"), (1.0, 1.0), 0.0)
+    df = spark.createDataFrame([(1, [1.0, 2.0]), (2, [1.0]), (3, [1.0, float("nan")]), (4, None), (5, [None, 1.0])],
+                               "id int, vec array<double>")
+    assert [r.id for r in scoring.score_vector(df, vm, "vec", on_invalid="skip").collect()] == [1]
+    nulls = {r.id: r.prediction for r in scoring.score_vector(df, vm, "vec", on_invalid="null").collect()}
+    assert nulls == {1: 1.0, 2: None, 3: None, 4: None, 5: None}
+    with pytest.raises(Exception, match="invalid feature vector"):
+        scoring.score_vector(df, vm, "vec").collect()
+    with pytest.raises(ValueError):
+        scoring.score_vector(df, vm, "id")
