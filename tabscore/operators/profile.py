@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabscore.operators.selection import column_stats, exact_quantiles
+from tabscore.operators.selection import exact_quantiles
 
 NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
 STATISTICS = ("count", "mean", "std", "min", "25%", "50%", "75%", "max")

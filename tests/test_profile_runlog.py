@@ -3,8 +3,6 @@
 import datetime as dt
 import re
 
-import numpy as np
-import pandas as pd
 import pytest
 
 from tabscore.operators import profile, runlog

@@ -153,3 +153,15 @@ def test_extracts_on_date_column_with_seed(spark):
     assert a == want
     day = sql_extract.scoring_extract(spark, "t_dates", "id", ["f0"], "d", "2024-01-05")
     assert day.count() == 10
+
+
+def test_rows_frame_preview_and_column_helpers(spark):
+    from tabscore.operators import columns
+    df = files.rows_frame(spark, [("Alice", 34), ("Bob", 45), ("Cathy", 29)], ["Name", "Age"])
+    assert df.filter(df.Age > 26).count() == 3 and files.preview(df, 2).count() == 2
+    assert columns.select_features(df, ["Age"]).columns == ["Age"]
+    assert columns.drop_columns(df, "Age", "not_there").columns == ["Name"]
+    assert df.select(columns.label_as("Age")).columns == ["target"]
+    assert columns.append_column(df, "x", F.lit(1)).columns == ["Name", "Age", "x"]
+    with pytest.raises(ValueError):
+        columns.append_column(df, "Age", F.lit(1))

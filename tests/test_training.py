@@ -1,11 +1,8 @@
 """Scaler (population std, zero std → 1), logistic fit against Newton, train job."""
 
-import math
-
 import numpy as np
 import pytest
 
-from tabscore.functions.linear import LinearModel
 from tabscore.operators import logistic, metrics, scaling
 from tabscore.operators.runlog import ModelStore, RunLog
 from tabscore.plans import jobs
