@@ -86,8 +86,14 @@ def _histogram(df: DataFrame, probes: dict[tuple[str, float, float], int], bins:
         if (column, lo, hi) not in full:
             inside = inside & (v >= F.lit(lo)) & (v <= F.lit(hi))
         width = hi - lo
-        raw = F.floor((v - F.lit(lo)) / F.lit(width) * F.lit(float(bins)))
-        parts.append((pid, inside, F.least(raw, F.lit(bins - 1)).cast("int"), v))
+        if math.isfinite(width):
+            raw = F.floor((v - F.lit(lo)) / F.lit(width) * F.lit(float(bins)))
+            b = F.least(raw, F.lit(bins - 1)).cast("int")
+        else:
+            # an infinite end: the ends get their own bins, finite values the middle one
+            b = (F.when(v == F.lit(lo), F.lit(0)).when(v == F.lit(hi), F.lit(bins - 1))
+                  .otherwise(F.lit(1)))
+        parts.append((pid, inside, b, v))
         conds.append(inside)
     aggs = [F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")]
     if len(parts) == 1:

@@ -104,3 +104,11 @@ def test_many_probes_use_fewer_bins(spark, monkeypatch):
     for c, v in cols.items():
         for p in (0.1, 0.5, 0.9):
             assert abs(q[(c, p)] - float(np.quantile(v, p))) < 1e-12
+
+
+def test_select_ranks_with_infinities(spark):
+    vals = [float("-inf"), -2.0, 0.5, 3.0, float("inf"), float("inf"), 7.0]
+    df = spark.createDataFrame([(v,) for v in vals], "x double")
+    srt = sorted(vals)
+    got = selection.select_ranks(df, [("x", r) for r in range(1, len(vals) + 1)])
+    assert got == srt
