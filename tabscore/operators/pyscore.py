@@ -23,6 +23,7 @@ from pyspark.sql import types as T
 
 from tabscore.functions.linear import LinearModel
 from tabscore.operators.validate import InputSchema
+from tabscore.session import spark_context
 
 
 class BasePredictor(ABC):
@@ -98,11 +99,16 @@ def score_with_predictor(df: DataFrame, predictor: BasePredictor, *,
         raise ValueError(f"input already has column {output!r}")
     loaded_state = predictor.load()
     size = len(cloudpickle.dumps(loaded_state))
-    if size <= max_broadcast_bytes:
-        shared = df.sparkSession.sparkContext.broadcast(loaded_state)
+    sc = spark_context(df.sparkSession)
+    if size <= max_broadcast_bytes and sc is not None:
+        shared = sc.broadcast(loaded_state)
 
         def state():
             return shared.value
+    elif size <= max_broadcast_bytes:
+        # Spark Connect has no broadcast variables: the (bounded) state rides in the task closure
+        def state():
+            return loaded_state
     else:
         del loaded_state
 

@@ -38,6 +38,20 @@ def build_session(master: str | None = None, app: str = "tabscore",
     return builder.getOrCreate()
 
 
+def spark_context(spark: SparkSession):
+    """The SparkContext, or None on a Spark Connect session (which has none)."""
+    try:
+        return spark.sparkContext
+    except Exception:  # Spark Connect raises here
+        return None
+
+
+def is_local(spark: SparkSession) -> bool:
+    sc = spark_context(spark)
+    master = sc.master if sc is not None else spark.conf.get("spark.master", "")
+    return str(master).startswith("local")
+
+
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder the cluster names in ``spark.checkpoint.dir``.
 
@@ -46,17 +60,18 @@ def checkpoint_root(spark: SparkSession) -> str:
     setting is unset on a ``local[...]`` master (tests); on a cluster an unset
     value is an error rather than a machine-local folder.
     """
+    sc = spark_context(spark)
     root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and sc is not None:
+        root = sc.getCheckpointDir()
     if not root:
-        root = spark.sparkContext.getCheckpointDir()
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
+        if not is_local(spark):
             raise RuntimeError("set spark.checkpoint.dir to a shared folder: streaming checkpoints "
                                "and intermediate outputs must survive a lost executor")
         root = tempfile.mkdtemp(prefix="tabscore-ckpt-")
         spark.conf.set("spark.checkpoint.dir", root)
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(root)
+    if sc is not None and not sc.getCheckpointDir():
+        sc.setCheckpointDir(root)
     return root
 
 
