@@ -19,13 +19,17 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# The version id format (UTC time, then 8 hex digits).
+VERSION_TIME_FORMAT = "%Y%m%d_%H%M%S"
+VERSION_SUFFIX_HEX = 8
+
 RUNLOG_SCHEMA = "run_id string, kind string, key string, value string, seq bigint, ts timestamp_ntz"
 
 
 def generate_version(now: _dt.datetime | None = None) -> str:
     """``YYYYmmdd_HHMMSS_<8 hex>`` in UTC; sorts by creation time."""
     now = now or _dt.datetime.now(_dt.timezone.utc)
-    return f"{now.strftime('%Y%m%d_%H%M%S')}_{uuid.uuid4().hex[:8]}"
+    return f"{now.strftime(VERSION_TIME_FORMAT)}_{uuid.uuid4().hex[:VERSION_SUFFIX_HEX]}"
 
 
 def _render(value: Any) -> str:
