@@ -55,3 +55,15 @@ def test_train_then_score_csv(spark, tmp_dir):
 
     kinds = {r.kind for r in log.current().collect()}
     assert kinds == {"param", "metric", "artifact"}
+
+
+def test_command_line_train_and_score(spark, tmp_dir):
+    from tabscore.__main__ import main
+    train_path, inf_path = _fixtures(tmp_dir)
+    store, log = os.path.join(tmp_dir, "m"), os.path.join(tmp_dir, "log")
+    out = main(["train", "--input", train_path, "--model-store", store, "--model-name", "cli_model",
+                "--features", ",".join(FEATURES), "--key", "id", "--run-log", log, "--version", "v1"], spark)
+    assert out["status"] == "ok" and set(out["metrics"]) == {"accuracy", "precision", "recall", "f1"}
+    res = main(["score", "--input", inf_path, "--model-store", store, "--model-name", "cli_model",
+                "--output", os.path.join(tmp_dir, "p.parquet"), "--run-log", log], spark)
+    assert res == {"status": "ok", "model": "cli_model", "version": "v1", "rows": 10}
