@@ -142,6 +142,18 @@ class ModelStore:
         return t.select("feature_name", "model_name", "version", "registered_at",
                         F.col("metrics")["accuracy"].alias("accuracy"))
 
+    def load_latest(self, model_names: list[str]) -> dict:
+        """Latest version of each named model, resolved in one aggregate; absent names are left out."""
+        from tabscore.functions.linear import LinearModel
+        t = self.table().where((F.col("feature_name") == self.feature_name)
+                               & F.col("model_name").isin(list(model_names)))
+        rows = latest_per_key(t, ["model_name"],
+                              ["version", "features", "coefficients", "intercept", "means", "scales"],
+                              ["registered_at", "version"]).collect()  # one row per requested model
+        return {r["model_name"]: LinearModel(tuple(r["features"]), tuple(r["coefficients"]), r["intercept"],
+                                             tuple(r["means"]), tuple(r["scales"]), r["model_name"], r["version"])
+                for r in rows}
+
     def load(self, model_name: str, version: str = "latest"):
         from tabscore.functions.linear import LinearModel
         t = self.table().where((F.col("feature_name") == self.feature_name)

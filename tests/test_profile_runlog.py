@@ -101,3 +101,19 @@ def test_artifact_store_cross_model(spark, tmp_dir):
     assert a.load("model", model_name="m2", version="v7") == [1, 2, 3]
     with pytest.raises(KeyError, match="feat/m1/v1/missing"):
         a.load("missing")
+
+
+def test_registry_latest_of_many_then_status(spark, tmp_dir):
+    from tabscore.functions.linear import LinearModel
+    from tabscore.operators import multi
+    store = runlog.ModelStore(spark, f"{tmp_dir}/reg2", "feat")
+    base = LinearModel(("x",), (1.0,), 0.0)
+    store.save(base.renamed("a", "1"), registered_at=dt.datetime(2024, 1, 1))
+    store.save(LinearModel(("x",), (-1.0,), 0.0).renamed("a", "2"), registered_at=dt.datetime(2024, 2, 1))
+    store.save(base.renamed("b", "1"), registered_at=dt.datetime(2024, 1, 1))
+    models = store.load_latest(["a", "b", "ghost"])
+    assert {k: m.version for k, m in models.items()} == {"a": "2", "b": "1"}
+    df = spark.createDataFrame([(1.0,), (-2.0,), (3.0,)], "x double")
+    st = {r.model_name: (r.status, r.positives) for r in
+          multi.model_status(df, list(models.values()), ["a", "b", "ghost"]).collect()}
+    assert st == {"a": ("ok", 1), "b": ("ok", 2), "ghost": ("error: unknown model", None)}
