@@ -34,6 +34,8 @@ EVENTS_MODEL_B = LinearModel(("value", "user_id"), (-0.8, 0.6), 0.35,
                              (48.0, 70.0), (45.0, 40.0), "events_b", "v3")
 EVENTS_MODEL_C = LinearModel(("value",), (2.1,), -1.1, (30.0,), (25.0,), "events_c", "v2")
 DOC_MODEL = LinearModel(("n_chars",), (1.5,), 0.8, (2000.0,), (1000.0,), "doc_quality", "v1")
+DOC_TEXT_MODEL = LinearModel(("n_chars", "n_lines"), (1.2, -0.7), 0.9, (2000.0, 40.0), (1500.0, 30.0),
+                             "doc_text", "v1")
 DOC_NEVER = LinearModel(("n_chars",), (0.1,), -50.0, (2000.0,), (1000.0,), "doc_never", "v1")
 LINEITEM_FEATURES = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
 LINEITEM_MODEL = LinearModel(LINEITEM_FEATURES, (0.9, -0.35, 1.8, -0.6), 0.15,
@@ -168,6 +170,13 @@ def q_score_wide(spark, sf_dir):
     return scoring.score_vector(df, EMBED_MODEL, "embedding").drop("embedding")
 
 
+def q_score_documents(spark, sf_dir):
+    from tabscore.functions.text import line_count
+    docs = table(spark, sf_dir, "documents").select("doc_id", "n_chars", line_count("text").alias("n_lines"))
+    return scoring.score_proba(docs, DOC_TEXT_MODEL, label_col="prediction", probability_col="probability",
+                               digits=6)
+
+
 def q_score_threshold(spark, sf_dir):
     df = table(spark, sf_dir, "events")
     return scoring.shape_output(df, EVENTS_MODEL, id_col="event_id", threshold=THRESHOLD,
@@ -390,6 +399,7 @@ QUERIES: dict[str, Query] = {
     "score_lineitem": q_score_lineitem,
     "score_lineitem_python": q_score_lineitem_python,
     "score_wide": q_score_wide,
+    "score_documents": q_score_documents,
     "score_threshold": q_score_threshold,
     "score_python": q_score_python,
     "score_skip_invalid": q_score_skip_invalid,

@@ -243,6 +243,10 @@ def build() -> dict[str, str]:
         "score_wide": (
             f"SELECT vec_id, label, CAST({_wide_margin()} > {sql_double(0.0)} AS DOUBLE) AS prediction, "
             f"round({ONE} / ({ONE} + exp(-{_wide_margin()})), 6) AS probability FROM embeddings"),
+        "score_documents": (
+            f"SELECT doc_id, n_chars, n_lines, {prob(c.DOC_TEXT_MODEL)} AS probability, "
+            f"{pred(c.DOC_TEXT_MODEL, typ='INTEGER')} AS prediction "
+            "FROM (SELECT doc_id, n_chars, len(string_split(text, chr(10))) AS n_lines FROM documents) d"),
         "score_threshold": (
             f"SELECT event_id, {pred(m, c.THRESHOLD, 'INTEGER')} AS is_positive, {prob(m)} AS p_positive, "
             f"TIMESTAMP '{c.RUN_TS.isoformat(sep=' ')}' AS scored_at FROM events"),

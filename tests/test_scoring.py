@@ -202,3 +202,10 @@ def test_score_vector_invalid(spark):
         scoring.score_vector(df, vm, "vec").collect()
     with pytest.raises(ValueError):
         scoring.score_vector(df, vm, "id")
+
+
+def test_line_count_whole_text(spark):
+    from tabscore.functions.text import char_count, line_count
+    df = spark.createDataFrame([("a\nb\n",), ("",), (None,), ("x" * 50000 + "\ny",)], "t string")
+    got = [(r.n, r.c) for r in df.select(line_count("t").alias("n"), char_count("t").alias("c")).collect()]
+    assert got == [(3, 4), (1, 0), (None, None), (2, 50002)]
