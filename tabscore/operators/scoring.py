@@ -59,8 +59,11 @@ def score_vector(df: DataFrame, model: LinearModel, vector_col: str, *, threshol
     _check_output_free(df, output, probability_col)
     v = F.col(vector_col)
     k = len(model.features)
-    bad = (v.isNull() | (F.size(v) < k)
-           | F.exists(F.slice(v, 1, k), lambda x: x.isNull() | F.isnan(x)))
+    head = F.slice(v, 1, k)
+    # built-ins only (no per-row lambda): NULL elements drop out of array_compact,
+    # and NaN sorts above every number, so array_max is NaN when any element is
+    bad = (v.isNull() | (F.size(v) < k) | (F.size(F.array_compact(head)) < k)
+           | F.isnan(F.array_max(head)))
     m = margin(model, vector_inputs(vector_col, model.features))
     pred = predicted_label(m, threshold).cast("double")
     prob = probability(m)

@@ -104,10 +104,14 @@ def _histogram(df: DataFrame, probes: dict[tuple[str, float, float], int], bins:
         cond = conds[0]
         for c in conds[1:]:
             cond = cond | c
-        entries = [F.when(inside, F.struct(F.lit(pid).alias("p"), b.alias("b"), v.alias("v")))
-                   for pid, inside, b, v in parts]
+        # one (p, b, v) triple per open range; a row outside a range gets p = NULL
+        # there.  ``stack`` is a code-generated generator (no per-row lambda).
+        triples = []
+        for pid, inside, b, v in parts:
+            triples += [F.when(inside, F.lit(pid)), b, v]
         hist = (df.where(cond)
-                  .select(F.inline(F.filter(F.array(*entries), lambda s: s.isNotNull())))
+                  .select(F.stack(F.lit(len(parts)), *triples).alias("p", "b", "v"))
+                  .where(F.col("p").isNotNull())
                   .groupBy("p", "b").agg(*aggs))
     return hist.toPandas().sort_values(["p", "b"])
 
