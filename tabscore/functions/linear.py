@@ -58,8 +58,19 @@ def _lit(x: float) -> Column:
 
 
 def standardised(model: LinearModel, i: int, source: Column | None = None) -> Column:
+    """``(x - mean) / scale``; a zero mean or unit scale is left out.
+
+    Leaving them out changes no value (``x - 0.0`` and ``x / 1.0`` are exact
+    in IEEE arithmetic, also for -0.0 and NaN) and keeps the generated code
+    small for wide models without a scaler.
+    """
     x = F.col(model.features[i]) if source is None else source
-    return (x - _lit(model.means[i])) / _lit(model.scales[i])
+    x = x.cast("double")
+    if model.means[i] != 0.0:
+        x = x - _lit(model.means[i])
+    if model.scales[i] != 1.0:
+        x = x / _lit(model.scales[i])
+    return x
 
 
 def margin(model: LinearModel, inputs: dict[str, Column] | None = None) -> Column:

@@ -59,12 +59,14 @@ def score_vector(df: DataFrame, model: LinearModel, vector_col: str, *, threshol
     _check_output_free(df, output, probability_col)
     v = F.col(vector_col)
     k = len(model.features)
-    head = F.slice(v, 1, k)
-    # built-ins only (no per-row lambda): NULL elements drop out of array_compact,
-    # and NaN sorts above every number, so array_max is NaN when any element is
-    bad = (v.isNull() | (F.size(v) < k) | (F.size(F.array_compact(head)) < k)
-           | F.isnan(F.array_max(head)))
-    m = margin(model, vector_inputs(vector_col, model.features))
+    # The margin once per row, and only for arrays long enough to index.  A
+    # NULL element makes it NULL and a NaN element makes it NaN, so validity
+    # needs no scan of the array (and no per-row lambda).
+    short = v.isNull() | (F.size(v) < k)
+    df = df.withColumn("_margin", F.when(short, F.lit(None).cast("double"))
+                       .otherwise(margin(model, vector_inputs(vector_col, model.features))))
+    m = F.col("_margin")
+    bad = m.isNull() | F.isnan(m)
     pred = predicted_label(m, threshold).cast("double")
     prob = probability(m)
     if digits is not None:
@@ -80,7 +82,7 @@ def score_vector(df: DataFrame, model: LinearModel, vector_col: str, *, threshol
     cols = {output: pred}
     if probability_col:
         cols[probability_col] = prob
-    return df.withColumns(cols)
+    return df.withColumns(cols).drop("_margin")
 
 
 def score_columns(model: LinearModel, threshold: float = 0.5,
