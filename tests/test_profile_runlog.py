@@ -117,3 +117,13 @@ def test_registry_latest_of_many_then_status(spark, tmp_dir):
     st = {r.model_name: (r.status, r.positives) for r in
           multi.model_status(df, list(models.values()), ["a", "b", "ghost"]).collect()}
     assert st == {"a": ("ok", 1), "b": ("ok", 2), "ghost": ("error: unknown model", None)}
+
+
+def test_describe_empty_and_all_null(spark):
+    df = spark.createDataFrame([(None, 1.0), (None, 2.0)], "a double, b double")
+    got = {(r.column_name, r.statistic): r.value for r in profile.describe(df).collect()}
+    assert got[("a", "count")] == 0.0 and got[("a", "mean")] is None and got[("a", "50%")] is None
+    assert got[("b", "50%")] == 1.5
+    empty = spark.createDataFrame([], "a double")
+    got = {(r.column_name, r.statistic): r.value for r in profile.describe(empty).collect()}
+    assert got[("a", "count")] == 0.0 and got[("a", "max")] is None
