@@ -36,7 +36,7 @@ def confusion(df: DataFrame, label: str = "target", prediction: str = "predictio
 def metrics_from_confusion(conf: DataFrame) -> DataFrame:
     tp, fp, fn, tn, n = (F.col(c) for c in ("tp", "fp", "fn", "tn", "n"))
     return conf.select(
-        "n", "tp", "fp", "fn", "tn",
+        "*",
         _safe_div(tp + tn, n).alias("accuracy"),
         _safe_div(tp, tp + fp).alias("precision"),
         _safe_div(tp, tp + fn).alias("recall"),
@@ -64,3 +64,32 @@ def evaluate(df: DataFrame, model: LinearModel, label: str = "target",
 def metrics_dict(metrics_df: DataFrame) -> dict[str, float]:
     row = metrics_df.first()
     return {k: float(row[k]) for k in ("accuracy", "precision", "recall", "f1")}
+
+
+def evaluate_many(df: DataFrame, models, label: str = "target", threshold: float = 0.5) -> DataFrame:
+    """Metrics of several models on one labelled table in one aggregate.
+
+    Every model's prediction is an expression on the same row, so the K
+    confusion matrices are 4K conditional counts of a single pass; the
+    result has one row per model (model_name, model_version, n, tp, fp, fn,
+    tn, accuracy, precision, recall, f1).  Rows with a NULL label or an
+    invalid feature for a model are not counted for that model.
+    """
+    from tabscore.functions.linear import margin, predicted_label
+    from tabscore.operators.validate import invalid_row
+    y = F.col(label).cast("double")
+    aggs = []
+    for i, m in enumerate(models):
+        p = predicted_label(margin(m), threshold)
+        valid = y.isNotNull() & ~invalid_row(df, m.features)
+        aggs += [F.count_if(valid).alias(f"n{i}"),
+                 F.count_if(valid & (y == 1) & p).alias(f"tp{i}"),
+                 F.count_if(valid & (y != 1) & p).alias(f"fp{i}"),
+                 F.count_if(valid & (y == 1) & ~p).alias(f"fn{i}"),
+                 F.count_if(valid & (y != 1) & ~p).alias(f"tn{i}")]
+    wide = df.agg(*aggs)
+    rows = [F.struct(F.lit(m.name).alias("model_name"), F.lit(m.version).alias("model_version"),
+                     *[F.col(f"{c}{i}").alias(c) for c in ("n", "tp", "fp", "fn", "tn")])
+            for i, m in enumerate(models)]
+    return metrics_from_confusion(wide.select(F.inline(F.array(*rows)))).select(
+        "model_name", "model_version", "n", "tp", "fp", "fn", "tn", "accuracy", "precision", "recall", "f1")

@@ -36,6 +36,7 @@ EVENTS_MODEL_C = LinearModel(("value",), (2.1,), -1.1, (30.0,), (25.0,), "events
 DOC_MODEL = LinearModel(("n_chars",), (1.5,), 0.8, (2000.0,), (1000.0,), "doc_quality", "v1")
 DOC_TEXT_MODEL = LinearModel(("n_chars", "n_lines"), (1.2, -0.7), 0.9, (2000.0, 40.0), (1500.0, 30.0),
                              "doc_text", "v1")
+DOC_MODEL_B = LinearModel(("n_chars",), (-0.9,), 1.4, (2500.0,), (800.0,), "doc_short", "v2")
 DOC_NEVER = LinearModel(("n_chars",), (0.1,), -50.0, (2000.0,), (1000.0,), "doc_never", "v1")
 LINEITEM_FEATURES = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
 LINEITEM_MODEL = LinearModel(LINEITEM_FEATURES, (0.9, -0.35, 1.8, -0.6), 0.15,
@@ -219,6 +220,12 @@ def q_evaluate_binary(spark, sf_dir):
                     *[F.round(c, 6).alias(c) for c in ("accuracy", "precision", "recall", "f1")])
 
 
+def q_evaluate_many(spark, sf_dir):
+    m = metrics.evaluate_many(labelled_documents(spark, sf_dir), [DOC_MODEL, DOC_NEVER, DOC_MODEL_B], "quality")
+    return m.select("model_name", "model_version", "n", "tp", "fp", "fn", "tn",
+                    *[F.round(c, 6).alias(c) for c in ("accuracy", "precision", "recall", "f1")])
+
+
 def q_evaluate_positional(spark, sf_dir):
     # the declared feature name is absent: the non-label column is used in its place
     data = labelled_documents(spark, sf_dir).select(F.col("n_chars").alias("length"), "quality")
@@ -410,6 +417,7 @@ QUERIES: dict[str, Query] = {
     "evaluate_binary": q_evaluate_binary,
     "evaluate_no_positives": q_evaluate_no_positives,
     "evaluate_positional": q_evaluate_positional,
+    "evaluate_many": q_evaluate_many,
     "random_sample": q_random_sample,
     "describe_numeric": q_describe_numeric,
     "value_counts": q_value_counts,

@@ -47,6 +47,14 @@ SELECT n, tp, fp, fn, tn,
 FROM k"""
 
 
+def _evaluate_many() -> str:
+    parts = []
+    for m in (c.DOC_MODEL, c.DOC_NEVER, c.DOC_MODEL_B):
+        parts.append(f"SELECT '{m.name}' AS model_name, '{m.version}' AS model_version, * "
+                     f"FROM ({_metrics(m, 'quality')}) t")
+    return "\nUNION ALL ".join(parts)
+
+
 def _describe() -> str:
     aggs, parts = [], []
     for i, col in enumerate(c.LINEITEM_FEATURES):
@@ -261,6 +269,7 @@ def build() -> dict[str, str]:
         "evaluate_binary": _metrics(c.DOC_MODEL, "quality"),
         "evaluate_no_positives": _metrics(c.DOC_NEVER, "toxic"),
         "evaluate_positional": _metrics(c.DOC_MODEL, "quality"),
+        "evaluate_many": _evaluate_many(),
         "describe_numeric": _describe(),
         "value_counts": ("SELECT event_type, count(*) AS \"count\" FROM events "
                          "WHERE event_type IS NOT NULL GROUP BY event_type"),

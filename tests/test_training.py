@@ -116,3 +116,15 @@ def test_positional_fallback(spark):
     assert align_features(df, ["a", "b"]).columns == ["a", "b", "target"]
     with pytest.raises(ValueError):
         align_features(df, ["a"])
+
+
+def test_evaluate_many_equals_single(spark):
+    from tabscore.functions.linear import LinearModel
+    docs = spark.read.parquet(f"{SF0001}/documents.parquet").join(
+        spark.read.parquet(f"{SF0001}/labels.parquet"), "doc_id")
+    ms = [LinearModel(("n_chars",), (1.0,), 0.2, (2000.0,), (900.0,), "a"),
+          LinearModel(("n_chars",), (-1.0,), 0.5, (1500.0,), (700.0,), "b")]
+    many = {r.model_name: r.asDict() for r in metrics.evaluate_many(docs, ms, "quality").collect()}
+    for m in ms:
+        one = metrics.evaluate(docs, m, "quality").first().asDict()
+        assert {k: many[m.name][k] for k in one} == one
