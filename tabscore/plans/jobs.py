@@ -100,3 +100,55 @@ def score_job(spark: SparkSession, model: LinearModel, *, input_path: str | None
     if run_log is not None:
         run_log.log_metrics({"rows_scored": rows})
     return scored, rows
+
+
+def score_models_job(spark: SparkSession, store: ModelStore, model_names: Sequence[str], *,
+                     keep: Sequence[str], input_path: str | None = None, table: str | None = None,
+                     output_path: str | None = None, output_table: str | None = None,
+                     threshold: float = 0.5, mode: str = "overwrite") -> dict[str, dict]:
+    """Score several registered models in one pass; one status per requested name.
+
+    Latest versions are resolved with one aggregate; the long-form output
+    (``keep`` columns + model_name, model_version, prediction, probability)
+    is written partitioned by model; rows and positives per model are
+    observed during that write.  A name without a model, or a model whose
+    features are missing from the input, gets ``error: …`` and does not stop
+    the others.
+    """
+    from pyspark.sql import functions as F
+    from tabscore.operators import multi
+
+    df = load_input(spark, input_path, table)
+    found = store.load_latest(list(model_names))
+    status: dict[str, dict] = {}
+    usable = []
+    for name in model_names:
+        m = found.get(name)
+        if m is None:
+            status[name] = {"status": "error: unknown model"}
+        elif [f for f in m.features if f not in df.columns]:
+            status[name] = {"status": f"error: missing columns {[f for f in m.features if f not in df.columns]}"}
+        else:
+            usable.append(m)
+    if not usable:
+        return status
+    long = multi.score_many(df, usable, keep, threshold)
+    counters = []
+    for i, m in enumerate(usable):
+        this = F.col("model_name") == F.lit(m.name)
+        counters += [F.count_if(this).alias(f"rows{i}"),
+                     F.count_if(this & (F.col("prediction") == 1.0)).alias(f"pos{i}")]
+    from pyspark.sql import Observation
+    obs = Observation("models")
+    counted = long.observe(obs, *counters)
+    if output_path:
+        counted.write.mode(mode).partitionBy("model_name").parquet(output_path)
+    elif output_table:
+        counted.write.mode(mode).partitionBy("model_name").saveAsTable(output_table)
+    else:
+        counted.write.format("noop").mode("overwrite").save()
+    got = obs.get
+    for i, m in enumerate(usable):
+        status[m.name] = {"status": "ok", "version": m.version, "rows": got[f"rows{i}"],
+                          "positives": got[f"pos{i}"]}
+    return status

@@ -67,3 +67,22 @@ def test_command_line_train_and_score(spark, tmp_dir):
     res = main(["score", "--input", inf_path, "--model-store", store, "--model-name", "cli_model",
                 "--output", os.path.join(tmp_dir, "p.parquet"), "--run-log", log], spark)
     assert res == {"status": "ok", "model": "cli_model", "version": "v1", "rows": 10}
+
+
+def test_score_models_job_statuses(spark, tmp_dir):
+    from tabscore.functions.linear import LinearModel
+    store = ModelStore(spark, os.path.join(tmp_dir, "reg"), "example")
+    store.save(LinearModel(("f0", "f1"), (1.0, -1.0), 0.0, name="m_a", version="1"))
+    store.save(LinearModel(("f0",), (2.0,), -0.5, name="m_b", version="3"))
+    store.save(LinearModel(("zz",), (1.0,), 0.0, name="m_bad", version="1"))
+    _, inf_path = _fixtures(tmp_dir)
+    out = os.path.join(tmp_dir, "multi.parquet")
+    st = jobs.score_models_job(spark, store, ["m_a", "ghost", "m_b", "m_bad"], keep=FEATURES,
+                               input_path=inf_path, output_path=out)
+    assert st["ghost"] == {"status": "error: unknown model"}
+    assert st["m_bad"]["status"].startswith("error: missing columns")
+    assert st["m_a"]["status"] == "ok" and st["m_a"]["rows"] == 10 and st["m_b"]["version"] == "3"
+    back = spark.read.parquet(out)
+    assert back.count() == 20 and {r.model_name for r in back.select("model_name").distinct().collect()} == {"m_a", "m_b"}
+    pos = back.where("model_name = 'm_b' AND prediction = 1.0").count()
+    assert pos == st["m_b"]["positives"]
