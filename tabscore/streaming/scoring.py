@@ -49,6 +49,31 @@ def read_requests(spark: SparkSession, path: str, record: T.StructType,
     return reader.json(path)
 
 
+def parse_requests(messages: DataFrame, record: T.StructType, value_col: str = "value",
+                   id_field: str = "request_id") -> DataFrame:
+    """Requests from a column of JSON strings (a message bus ``value``, cast to string).
+
+    Same shape as :func:`read_requests`: a line that is not JSON keeps its
+    text in ``_corrupt_record`` and has no ``records``, so :func:`rejects`
+    routes it instead of dropping it.
+    """
+    schema = request_schema(record, id_field)
+    body = T.StructType([f for f in schema.fields if f.name != "_corrupt_record"])
+    raw = F.col(value_col).cast("string")
+    parsed = F.from_json(raw, body, {"mode": "PERMISSIVE"})
+    ok = parsed.isNotNull() & F.coalesce(F.trim(raw).startswith("{"), F.lit(False))
+    return messages.select(
+        F.when(ok, parsed[id_field]).alias(id_field),
+        F.when(ok, parsed["records"]).alias("records"),
+        F.when(~ok, raw).alias("_corrupt_record"))
+
+
+def replies_as_json(replies: DataFrame, id_field: str = "request_id") -> DataFrame:
+    """``key`` = request id, ``value`` = ``{"predictions": [...]}`` (ready for a message sink)."""
+    return replies.select(F.col(id_field).cast("string").alias("key"),
+                          F.to_json(F.struct(F.col("predictions").alias("predictions"))).alias("value"))
+
+
 def reply(requests: DataFrame, model: LinearModel, id_field: str = "request_id",
           threshold: float = 0.5) -> DataFrame:
     """request_id + predictions: each record with ``prediction`` appended."""

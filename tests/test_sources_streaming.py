@@ -165,3 +165,16 @@ def test_rows_frame_preview_and_column_helpers(spark):
     assert columns.append_column(df, "x", F.lit(1)).columns == ["Name", "Age", "x"]
     with pytest.raises(ValueError):
         columns.append_column(df, "Age", F.lit(1))
+
+
+def test_parse_requests_and_json_replies(spark):
+    record = T.StructType([T.StructField("event_id", T.LongType()), T.StructField("user_id", T.LongType()),
+                           T.StructField("value", T.DoubleType())])
+    lines = [json.dumps({"request_id": 1, "records": [{"event_id": 10, "user_id": 5, "value": 99.0}]}),
+             json.dumps({"request_id": 2}), "not json at all", json.dumps({"request_id": 3, "records": []})]
+    msgs = spark.createDataFrame([(l,) for l in lines], "value string")
+    reqs = streaming.parse_requests(msgs, record)
+    out = {r.key: json.loads(r.value) for r in streaming.replies_as_json(streaming.reply(reqs, MODEL)).collect()}
+    assert out == {"1": {"predictions": [{"event_id": 10, "user_id": 5, "value": 99.0, "prediction": 1.0}]},
+                   "3": {"predictions": []}}
+    assert sorted(r.reason for r in streaming.rejects(reqs).collect()) == ["no records", "not json"]
