@@ -178,3 +178,23 @@ def test_parse_requests_and_json_replies(spark):
     assert out == {"1": {"predictions": [{"event_id": 10, "user_id": 5, "value": 99.0, "prediction": 1.0}]},
                    "3": {"predictions": []}}
     assert sorted(r.reason for r in streaming.rejects(reqs).collect()) == ["no records", "not json"]
+
+
+def test_stream_restart_resumes_from_checkpoint(spark, tmp_dir):
+    events = spark.read.parquet(f"{SF0001}/events.parquet")
+    src, out, ckpt = (os.path.join(tmp_dir, d) for d in ("src", "out", "ckpt"))
+    events.where("event_id % 2 = 0").write.parquet(os.path.join(src, "part-a"))
+    schema = events.schema
+
+    def run():
+        stream = spark.readStream.schema(schema).parquet(os.path.join(src, "*"))
+        streaming.run_available_now(streaming.score_stream(stream, MODEL), path=out, checkpoint=ckpt,
+                                    name="t-restart")
+
+    run()
+    first = spark.read.parquet(out).count()
+    events.where("event_id % 2 = 1").write.parquet(os.path.join(src, "part-b"))
+    run()                          # a new query on the same checkpoint: only the new file is read
+    back = spark.read.parquet(out)
+    assert first < back.count() == events.count()
+    assert back.select("event_id").distinct().count() == events.count()
