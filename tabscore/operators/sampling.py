@@ -35,16 +35,17 @@ def random_sample(df: DataFrame, fraction: float, seed: int | None = None) -> Da
     return df.sample(withReplacement=False, fraction=fraction, seed=seed)
 
 
-def keyed_sample(df: DataFrame, fraction: float, key, seed=None) -> DataFrame:
+def keyed_sample(df: DataFrame, fraction: float, key, seed=None, algorithm: str = "md5") -> DataFrame:
     """Rows whose key hash lies below ``fraction`` (repeatable, partition independent)."""
     if fraction >= 1.0:
         return df
-    return df.where(hash32(key, seed) < F.lit(float(fraction) * TWO_POW_32))
+    return df.where(hash32(key, seed, algorithm) < F.lit(float(fraction) * TWO_POW_32))
 
 
-def split_approx(df: DataFrame, test_fraction: float, key, seed=DEFAULT_SEED) -> tuple[DataFrame, DataFrame]:
+def split_approx(df: DataFrame, test_fraction: float, key, seed=DEFAULT_SEED,
+                 algorithm: str = "md5") -> tuple[DataFrame, DataFrame]:
     """(train, test) with about ``test_fraction`` of the rows in test."""
-    in_test = hash32(key, seed) < F.lit(float(test_fraction) * TWO_POW_32)
+    in_test = hash32(key, seed, algorithm) < F.lit(float(test_fraction) * TWO_POW_32)
     return df.where(~in_test), df.where(in_test)
 
 
@@ -52,7 +53,8 @@ def _keys(key) -> list[str]:
     return [key] if isinstance(key, str) else list(key)
 
 
-def exact_cut(df: DataFrame, test_fraction: float, key, seed=DEFAULT_SEED) -> tuple[int, Column]:
+def exact_cut(df: DataFrame, test_fraction: float, key, seed=DEFAULT_SEED,
+              algorithm: str = "md5") -> tuple[int, Column]:
     """Size of the test side and the predicate that selects it.
 
     The hash range is known, so the first histogram round also counts the
@@ -62,7 +64,7 @@ def exact_cut(df: DataFrame, test_fraction: float, key, seed=DEFAULT_SEED) -> tu
     are expected to be unique and non-NULL, as a split key should be.
     """
     keys = _keys(key)
-    h = hash32(keys, seed)
+    h = hash32(keys, seed, algorithm)
     hashed = df.select(*keys).withColumn("_h", h.cast("double"))
     sizes: dict[str, int] = {}
 
@@ -91,17 +93,18 @@ def exact_cut(df: DataFrame, test_fraction: float, key, seed=DEFAULT_SEED) -> tu
     return k, F.coalesce(cut, F.lit(False))
 
 
-def split_exact(df: DataFrame, test_fraction: float, key, seed=DEFAULT_SEED) -> tuple[DataFrame, DataFrame]:
+def split_exact(df: DataFrame, test_fraction: float, key, seed=DEFAULT_SEED,
+                algorithm: str = "md5") -> tuple[DataFrame, DataFrame]:
     """(train, test) with exactly ``ceil(n * test_fraction)`` rows in test."""
-    _, cut = exact_cut(df, test_fraction, key, seed)
+    _, cut = exact_cut(df, test_fraction, key, seed, algorithm)
     return df.where(~cut), df.where(cut)
 
 
 def split(df: DataFrame, test_fraction: float = 0.2, key: str | Sequence[str] = "id",
-          seed=DEFAULT_SEED, mode: str = "exact") -> tuple[DataFrame, DataFrame]:
+          seed=DEFAULT_SEED, mode: str = "exact", algorithm: str = "md5") -> tuple[DataFrame, DataFrame]:
     """Train/validation split; ``mode`` is ``exact`` or ``approx``."""
     if mode == "exact":
-        return split_exact(df, test_fraction, key, seed)
+        return split_exact(df, test_fraction, key, seed, algorithm)
     if mode == "approx":
-        return split_approx(df, test_fraction, key, seed)
+        return split_approx(df, test_fraction, key, seed, algorithm)
     raise ValueError("mode must be 'exact' or 'approx'")

@@ -37,12 +37,15 @@ def train_job(df: DataFrame, features: Sequence[str], label: str, key: str | Seq
               test_fraction: float = 0.2, split_mode: str = "exact", seed=42,
               C: float = 1.0, max_iter: int = 1000, tol: float = 1e-6,
               name: str = "model", version: str | None = None,
-              run_log: RunLog | None = None, store: ModelStore | None = None) -> TrainResult:
+              run_log: RunLog | None = None, store: ModelStore | None = None,
+              hash_algorithm: str = "md5") -> TrainResult:
+    """``hash_algorithm="xxhash64"`` makes the split several times cheaper per row
+    but Spark-only (md5 splits can be reproduced by other engines)."""
     keys = [key] if isinstance(key, str) else list(key)
     version = version or generate_version()
     cols = list(dict.fromkeys([*keys, *features, label]))
     data = df.select(*cols).where(df[label].isNotNull())
-    train, test = sampling.split(data, test_fraction, keys, seed, split_mode)
+    train, test = sampling.split(data, test_fraction, keys, seed, split_mode, hash_algorithm)
     params = scaling.fit_scaler(train, features)
     fitted = logistic.fit_logistic(scaling.transform(train, params), features, label,
                                    C=C, max_iter=max_iter, tol=tol, name=name, version=version)

@@ -112,3 +112,15 @@ def test_select_ranks_with_infinities(spark):
     srt = sorted(vals)
     got = selection.select_ranks(df, [("x", r) for r in range(1, len(vals) + 1)])
     assert got == srt
+
+
+def test_xxhash_split_exact_and_repeatable(spark):
+    df = spark.range(0, 3000).withColumnRenamed("id", "k")
+    train, test = sampling.split_exact(df, 0.3, "k", 11, algorithm="xxhash64")
+    got = sorted(r.k for r in test.collect())
+    assert len(got) == 900 and train.count() == 2100
+    rows = sorted((r.h, r.k) for r in df.withColumn("h", hash32("k", 11, "xxhash64")).collect())
+    assert got == sorted(k for _, k in rows[:900])
+    again = sorted(r.k for r in sampling.split_exact(df.repartition(5), 0.3, "k", 11, algorithm="xxhash64")[1].collect())
+    assert again == got
+    assert all(0 <= h < 2 ** 32 for h, _ in rows)
