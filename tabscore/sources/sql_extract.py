@@ -47,7 +47,8 @@ def _date_type(cols: dict[str, str], date_column: str) -> str:
 
 
 def _day(d) -> _dt.date:
-    return d if isinstance(d, _dt.date) and not isinstance(d, _dt.datetime) else _dt.date.fromisoformat(str(d))
+    from tabscore.functions.dates import as_day
+    return as_day(d)
 
 
 def render(template: str, **identifier_lists: str) -> str:

@@ -76,3 +76,16 @@ def test_hot_key_third_of_rows(spark, capsys):
     counts = {r.run_id: r["count"] for r in profile.value_counts(df, "run_id").collect()}
     assert counts[0] == n // 3
     assert "partial_count" in plan(profile.value_counts(df, "run_id"), capsys)
+
+
+def test_day_window_pushdown_and_last_day(spark, capsys):
+    import datetime as dt
+    from tabscore.functions.dates import day_window, on_day
+    orders = spark.read.parquet(f"{SF0001}/orders.parquet")
+    w = orders.where(day_window(orders, "o_orderdate", "1997-01-01", dt.datetime(1997, 1, 31, 8)))
+    pushed = re.search(r"PushedFilters: \[([^\]]*)\]", plan(w, capsys)).group(1)
+    assert "GreaterThanOrEqual(o_orderdate" in pushed and "LessThan(o_orderdate" in pushed
+    want = orders.where("CAST(o_orderdate AS DATE) BETWEEN DATE'1997-01-01' AND DATE'1997-01-31'").count()
+    assert w.count() == want
+    d = spark.createDataFrame([(dt.date(2024, 1, 31),), (dt.date(2024, 2, 1),)], "d date")
+    assert d.where(on_day(d, "d", "2024-01-31")).count() == 1
