@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 
 from tabscore.functions.linear import LinearModel
 from tabscore.operators.validate import InputSchema
-from tabscore.session import spark_context
+from tabscore.session import ship_package, spark_context
 
 
 class BasePredictor(ABC):
@@ -97,6 +97,7 @@ def score_with_predictor(df: DataFrame, predictor: BasePredictor, *,
         predictor.input_schema.validate(df)
     if output in df.columns:
         raise ValueError(f"input already has column {output!r}")
+    ship_package(df.sparkSession)
     loaded_state = predictor.load()
     size = len(cloudpickle.dumps(loaded_state))
     sc = spark_context(df.sparkSession)

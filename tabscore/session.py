@@ -52,6 +52,35 @@ def is_local(spark: SparkSession) -> bool:
     return str(master).startswith("local")
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``tabscore`` importable in Python workers (as ``--py-files`` would).
+
+    Python work on executors (``mapInPandas`` scoring) unpickles references
+    to this package; a worker only sees what was installed on it or shipped
+    with the job.  The package is zipped once per process and added to the
+    application once; Spark serves the file to every executor.
+    """
+    sc = spark_context(spark)
+    if sc is None or sc.applicationId in _SHIPPED:
+        return
+    import zipfile
+    import tabscore
+    package = os.path.dirname(os.path.abspath(tabscore.__file__))
+    root = os.path.dirname(package)
+    target = os.path.join(tempfile.mkdtemp(prefix="tabscore-pyfiles-"), "tabscore.zip")
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+        for dirpath, _, names in os.walk(package):
+            for name in names:
+                if name.endswith((".py", ".sql")):
+                    full = os.path.join(dirpath, name)
+                    z.write(full, os.path.relpath(full, root))
+    sc.addPyFile(target)
+    _SHIPPED.add(sc.applicationId)
+
+
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder the cluster names in ``spark.checkpoint.dir``.
 

@@ -209,3 +209,17 @@ def test_line_count_whole_text(spark):
     df = spark.createDataFrame([("a\nb\n",), ("",), (None,), ("x" * 50000 + "\ny",)], "t string")
     got = [(r.n, r.c) for r in df.select(line_count("t").alias("n"), char_count("t").alias("c")).collect()]
     assert got == [(3, 4), (1, 0), (None, None), (2, 50002)]
+
+
+def test_package_shipped_once_to_workers(spark):
+    from tabscore.session import _SHIPPED, ship_package
+    ship_package(spark)
+    ship_package(spark)          # second call is a no-op
+    assert spark.sparkContext.applicationId in _SHIPPED
+
+    def probe(batches):
+        import tabscore  # importable in the worker
+        for b in batches:
+            yield b.assign(v=tabscore.__version__)
+
+    assert {r.v for r in spark.range(3).mapInPandas(probe, "id long, v string").collect()} == {"0.1.0"}
