@@ -2,7 +2,7 @@
 
 tp, fp, fn, tn are four conditional counts: partial per task, one tiny final
 merge.  Positive label is 1; a zero denominator yields 0 (the zero-division
-rule of the reference's metric library).  Rows with a NULL label or NULL
+rule of the common metric libraries).  Rows with a NULL label or NULL
 prediction are not counted.
 """
 

@@ -1,4 +1,4 @@
-"""Train on a CSV, register, score another CSV, write CSV: the reference's example flow."""
+"""Train on a CSV, register, score another CSV, write CSV: the example model's flow."""
 
 import math
 import os
