@@ -94,6 +94,29 @@ class RunLog:
     def current(self) -> DataFrame:
         return current_view(self.table())
 
+    def summary(self, run_id: str | None = None) -> dict:
+        """``{"params": {...}, "metrics": {...}, "artifacts": [{"path", "artifact"}]}`` of one run.
+
+        Built from the last-write-wins view of that run only (bounded by the
+        number of keys one run logged).  Metric values come back as floats.
+        """
+        run = run_id or self.run_id
+        rows = current_view(self.table().where(F.col("run_id") == run)).collect()
+        out: dict = {"params": {}, "metrics": {}, "artifacts": []}
+        for r in sorted(rows, key=lambda r: (r["kind"], r["key"])):
+            if r["kind"] == "param":
+                out["params"][r["key"]] = r["value"]
+            elif r["kind"] == "metric":
+                out["metrics"][r["key"]] = float(r["value"])
+            else:
+                out["artifacts"].append({"path": r["key"], "artifact": r["value"]})
+        return out
+
+    def save_json(self, path: str, run_id: str | None = None) -> None:
+        """Write :meth:`summary` as a JSON file on the driver's filesystem."""
+        with open(path, "w") as fh:
+            json.dump(self.summary(run_id), fh, indent=2, sort_keys=True)
+
 
 def current_view(log: DataFrame) -> DataFrame:
     """Params and metrics: last write wins per key; artifacts: every row."""

@@ -127,3 +127,19 @@ def test_describe_empty_and_all_null(spark):
     empty = spark.createDataFrame([], "a double")
     got = {(r.column_name, r.statistic): r.value for r in profile.describe(empty).collect()}
     assert got[("a", "count")] == 0.0 and got[("a", "max")] is None
+
+
+def test_run_summary_json(spark, tmp_dir):
+    import json
+    log = runlog.RunLog(spark, f"{tmp_dir}/log3", run_id="r9")
+    other = runlog.RunLog(spark, f"{tmp_dir}/log3", run_id="other")
+    log.log_params({"model_type": "LogisticRegression", "max_iter": 1000})
+    log.log_metrics({"accuracy": 0.5})
+    log.log_metric("accuracy", 0.9)
+    log.log_artifact("f/m/v/model", "stored")
+    other.log_metric("accuracy", 0.1)
+    want = {"params": {"max_iter": "1000", "model_type": "LogisticRegression"}, "metrics": {"accuracy": 0.9},
+            "artifacts": [{"path": "f/m/v/model", "artifact": "stored"}]}
+    assert log.summary() == want
+    log.save_json(f"{tmp_dir}/metrics.json")
+    assert json.load(open(f"{tmp_dir}/metrics.json")) == want
