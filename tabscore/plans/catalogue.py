@@ -358,8 +358,8 @@ def q_parquet_roundtrip(spark, sf_dir):
 
 
 def q_json_roundtrip(spark, sf_dir):
-    df = table(spark, sf_dir, "nation")
-    path = scratch_path(spark, "nation") + ".jsonl"
+    df = table(spark, sf_dir, "part")
+    path = scratch_path(spark, "part") + ".jsonl"
     files.write_file(df, path)
     return files.read_file(spark, path, schema=df.schema)
 

@@ -298,7 +298,7 @@ def build() -> dict[str, str]:
             f"event_id, user_id, value, {pred(m)} AS prediction FROM events"),
         "csv_roundtrip": "SELECT * FROM customer",
         "parquet_roundtrip": "SELECT * FROM customer",
-        "json_roundtrip": "SELECT * FROM nation",
+        "json_roundtrip": "SELECT * FROM part",
         "table_roundtrip": "SELECT * FROM customer",
         "train_logistic": _train_logistic(),
         "train_job": _train_job(),
