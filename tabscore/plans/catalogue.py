@@ -125,9 +125,12 @@ def q_exact_split(spark, sf_dir):
 
 def q_split_sizes(spark, sf_dir):
     df = table(spark, sf_dir, "orders").select("o_orderkey")
-    train, test = sampling.split_exact(df, SPLIT_FRACTION, "o_orderkey", SPLIT_SEED)
-    return (train.agg(F.count(F.lit(1)).alias("rows")).select(F.lit("train").alias("side"), "rows")
-            .unionByName(test.agg(F.count(F.lit(1)).alias("rows")).select(F.lit("test").alias("side"), "rows")))
+    _, cut = sampling.exact_cut(df, SPLIT_FRACTION, "o_orderkey", SPLIT_SEED)
+    # both sides counted in one pass over the key column
+    sizes = df.agg(F.count_if(~cut).alias("train"), F.count_if(cut).alias("test"))
+    return sizes.select(F.inline(F.array(
+        F.struct(F.lit("train").alias("side"), F.col("train").alias("rows")),
+        F.struct(F.lit("test").alias("side"), F.col("test").alias("rows")))))
 
 
 def q_approx_split(spark, sf_dir):
