@@ -74,12 +74,15 @@ def _fit_newton(df, features, label, C, max_iter, tol, name, version) -> LinearM
                            (F.greatest(F.col("z"), F.lit(0.0)) + F.log1p(F.exp(-F.abs(F.col("z"))))
                             - F.col("y") * F.col("z")).alias("ll"))
         r, wt = F.col("r"), F.col("wt")
-        aggs = [F.count(F.lit(1)).alias("n"), F.sum("ll").alias("loss")]
+        aggs = [F.count(F.lit(1)).alias("n"), F.sum("ll").alias("loss"),
+                F.count_if(~F.col("y").isin(0.0, 1.0)).alias("bad_labels")]
         aggs += [F.sum(r * xs[j]).alias(f"g{j}") for j in range(p + 1)]
         aggs += [F.sum(wt * xs[j] * xs[k]).alias(f"h{j}_{k}") for j, k in pairs]
         row = rows.agg(*aggs).first()
         if not row["n"]:
             raise ValueError("no labelled rows to fit")
+        if row["bad_labels"]:
+            raise ValueError(f"{row['bad_labels']} labels are neither 0 nor 1 (binary classification only)")
         g = np.array([row[f"g{j}"] for j in range(p + 1)])
         H = np.zeros((p + 1, p + 1))
         for j, k in pairs:

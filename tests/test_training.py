@@ -128,3 +128,9 @@ def test_evaluate_many_equals_single(spark):
     for m in ms:
         one = metrics.evaluate(docs, m, "quality").first().asDict()
         assert {k: many[m.name][k] for k in one} == one
+
+
+def test_newton_rejects_non_binary_labels(spark):
+    df = spark.createDataFrame([(0.1, 0.0), (0.2, 1.0), (0.3, 2.0)], "a double, target double")
+    with pytest.raises(ValueError, match="neither 0 nor 1"):
+        logistic.fit_logistic(df, ["a"], "target", solver="newton")
