@@ -165,6 +165,12 @@ def select_ranks_detail(df: DataFrame, targets: Sequence[tuple[str, Rank]],
             t.lo, t.hi = float(g["lo"].iloc[i]), float(g["hi"].iloc[i])
             if t.lo == t.hi:
                 t.value, t.ties = t.lo, int(counts[i])
+            elif counts[i] == 2:
+                # two distinct values: they are the bin's min and max, no further round needed
+                if t.rank - t.below == 1:
+                    t.value, t.ties = t.lo, 1
+                else:
+                    t.value, t.ties, t.below = t.hi, 1, t.below + 1
     raise RuntimeError("rank selection did not converge")
 
 
