@@ -124,3 +124,14 @@ def test_xxhash_split_exact_and_repeatable(spark):
     again = sorted(r.k for r in sampling.split_exact(df.repartition(5), 0.3, "k", 11, algorithm="xxhash64")[1].collect())
     assert again == got
     assert all(0 <= h < 2 ** 32 for h, _ in rows)
+
+
+def test_two_value_bin_resolves_in_one_round(spark, monkeypatch):
+    calls = []
+    orig = selection._histogram
+    monkeypatch.setattr(selection, "_histogram", lambda *a, **k: calls.append(1) or orig(*a, **k))
+    df = spark.createDataFrame([(v,) for v in (0.0, 1.0, 2.0, 60.0, 99.0, 100.0)], "x double")
+    # 4 bins over [0, 100]: {0,1,2} | {} | {60} | {99,100}
+    got = selection.select_ranks_detail(df, [("x", 4), ("x", 5), ("x", 6)], bins=4)
+    assert [(t.value, t.below, t.ties) for t in got] == [(60.0, 3, 1), (99.0, 4, 1), (100.0, 5, 1)]
+    assert len(calls) == 1
