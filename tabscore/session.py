@@ -14,6 +14,9 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+}
+# only for local[...] runs (tests, bench): a cluster keeps its UI
+LOCAL_CONF = {
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }
@@ -30,6 +33,8 @@ def build_session(master: str | None = None, app: str = "tabscore",
     if master:
         builder = builder.master(master)
     settings = dict(DEFAULT_CONF)
+    if master and master.startswith("local"):
+        settings.update(LOCAL_CONF)
     if shuffle_partitions:
         settings["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     settings.update(conf or {})
