@@ -89,3 +89,11 @@ def test_day_window_pushdown_and_last_day(spark, capsys):
     assert w.count() == want
     d = spark.createDataFrame([(dt.date(2024, 1, 31),), (dt.date(2024, 2, 1),)], "d date")
     assert d.where(on_day(d, "d", "2024-01-31")).count() == 1
+
+
+def test_no_query_plans_pairs_or_single_task_windows(spark, capsys):
+    import __spark_entry__ as entry
+    for name, fn in entry.queries().items():
+        p = plan(fn(spark, SF0001), capsys)
+        for bad in ("CartesianProduct", "BroadcastNestedLoopJoin", "Window ", "WindowGroupLimit"):
+            assert bad not in p, (name, bad)
