@@ -74,6 +74,19 @@ def describe(df: DataFrame, columns: Sequence[str] | None = None, exact: bool =
     return result
 
 
+def describe_wide(df: DataFrame, columns: Sequence[str] | None = None, exact: bool = True,
+                  digits: int | None = 6) -> DataFrame:
+    """pandas layout: one row per statistic (count, mean, …, max), one column per input column.
+
+    A pivot of the long form, which holds 8 rows per column (bounded).
+    """
+    columns = list(columns) if columns is not None else numeric_columns(df)
+    long = describe(df, columns, exact=exact, digits=digits)
+    order = F.array_position(F.array(*[F.lit(s) for s in STATISTICS]), F.col("statistic"))
+    return (long.groupBy("statistic").pivot("column_name", columns).agg(F.first("value"))
+                .withColumn("_order", order).orderBy("_order").drop("_order"))
+
+
 def value_counts(df: DataFrame, column: str, count_col: str = "count") -> DataFrame:
     """Non-NULL values and their counts, most frequent first (ties by value).
 

@@ -143,3 +143,14 @@ def test_run_summary_json(spark, tmp_dir):
     assert log.summary() == want
     log.save_json(f"{tmp_dir}/metrics.json")
     assert json.load(open(f"{tmp_dir}/metrics.json")) == want
+
+
+def test_describe_wide_layout(spark):
+    li = spark.read.parquet(f"{SF0001}/lineitem.parquet")
+    wide = profile.describe_wide(li, ["l_quantity", "l_tax"], digits=None)
+    assert wide.columns == ["statistic", "l_quantity", "l_tax"]
+    rows = wide.collect()
+    assert [r.statistic for r in rows] == list(profile.STATISTICS)
+    pdf = li.select("l_quantity", "l_tax").toPandas().describe()
+    for r in rows:
+        assert r.l_tax == pytest.approx(float(pdf.loc[r.statistic, "l_tax"]), rel=1e-12, abs=1e-12)
