@@ -395,6 +395,15 @@ def q_train_job(spark, sf_dir):
         "n", *[F.round(F.lit(float(m[k])), 6).alias(k) for k in ("accuracy", "precision", "recall", "f1")])
 
 
+def q_train_and_score(spark, sf_dir):
+    # fit on the labelled documents, then score every document with the fitted model
+    res = jobs.train_job(labelled_documents(spark, sf_dir), ["n_chars"], "quality", "doc_id",
+                         max_iter=200, tol=1e-10, name="doc_quality_fit", version="train-and-score")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "n_chars")
+    return scoring.score_proba(docs, res.model, label_col="prediction", probability_col="probability",
+                               digits=6).select("doc_id", "prediction", "probability")
+
+
 QUERIES: dict[str, Query] = {
     "training_extract": q_training_extract,
     "scoring_extract": q_scoring_extract,
@@ -441,4 +450,5 @@ QUERIES: dict[str, Query] = {
     "table_roundtrip": q_table_roundtrip,
     "train_logistic": q_train_logistic,
     "train_job": q_train_job,
+    "train_and_score": q_train_and_score,
 }

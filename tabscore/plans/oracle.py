@@ -189,6 +189,24 @@ FROM it WHERE k = {NEWTON_ROUNDS}"""
 
 
 def _train_job() -> str:
+    return _train_job_ctes() + """
+SELECT (SELECT count(*) FROM src) AS n,
+  round(CASE WHEN n = 0 THEN 0.0 ELSE CAST(tp + tn AS DOUBLE) / n END, 6) AS accuracy,
+  round(CASE WHEN tp + fp = 0 THEN 0.0 ELSE CAST(tp AS DOUBLE) / (tp + fp) END, 6) AS precision,
+  round(CASE WHEN tp + fn = 0 THEN 0.0 ELSE CAST(tp AS DOUBLE) / (tp + fn) END, 6) AS recall,
+  round(CASE WHEN 2 * tp + fp + fn = 0 THEN 0.0 ELSE CAST(2 * tp AS DOUBLE) / (2 * tp + fp + fn) END, 6) AS f1
+FROM c"""
+
+
+def _train_and_score() -> str:
+    margin = "(((CAST(d.n_chars AS DOUBLE) - m) / sd) * w + b)"
+    return _train_job_ctes() + f"""
+SELECT d.doc_id, CAST({margin} > 0 AS INTEGER) AS prediction,
+       round({ONE} / ({ONE} + exp(-{margin})), 6) AS probability
+FROM documents d, st, fin"""
+
+
+def _train_job_ctes() -> str:
     h = sql_hash32(["doc_id"], 42)
     return f"""WITH RECURSIVE src AS (
   SELECT d.doc_id, CAST(d.n_chars AS DOUBLE) AS x, CAST(l.quality AS DOUBLE) AS y
@@ -204,13 +222,7 @@ fin AS (SELECT w, b FROM it WHERE k = {NEWTON_ROUNDS}),
 scored AS (SELECT y, CAST(((x - m) / sd) * w + b > 0 AS DOUBLE) AS p FROM test, st, fin),
 c AS (SELECT count(*) AS n, count(*) FILTER (WHERE y = 1 AND p = 1) AS tp,
              count(*) FILTER (WHERE y <> 1 AND p = 1) AS fp, count(*) FILTER (WHERE y = 1 AND p <> 1) AS fn,
-             count(*) FILTER (WHERE y <> 1 AND p <> 1) AS tn FROM scored)
-SELECT (SELECT count(*) FROM src) AS n,
-  round(CASE WHEN n = 0 THEN 0.0 ELSE CAST(tp + tn AS DOUBLE) / n END, 6) AS accuracy,
-  round(CASE WHEN tp + fp = 0 THEN 0.0 ELSE CAST(tp AS DOUBLE) / (tp + fp) END, 6) AS precision,
-  round(CASE WHEN tp + fn = 0 THEN 0.0 ELSE CAST(tp AS DOUBLE) / (tp + fn) END, 6) AS recall,
-  round(CASE WHEN 2 * tp + fp + fn = 0 THEN 0.0 ELSE CAST(2 * tp AS DOUBLE) / (2 * tp + fp + fn) END, 6) AS f1
-FROM c"""
+             count(*) FILTER (WHERE y <> 1 AND p <> 1) AS tn FROM scored)"""
 
 
 def build() -> dict[str, str]:
@@ -302,6 +314,7 @@ def build() -> dict[str, str]:
         "table_roundtrip": "SELECT * FROM customer",
         "train_logistic": _train_logistic(),
         "train_job": _train_job(),
+        "train_and_score": _train_and_score(),
     }
 
 
