@@ -223,3 +223,19 @@ def test_package_shipped_once_to_workers(spark):
             yield b.assign(v=tabscore.__version__)
 
     assert {r.v for r in spark.range(3).mapInPandas(probe, "id long, v string").collect()} == {"0.1.0"}
+
+
+def test_python_predictor_string_labels(rows):
+    from pyspark.sql import types as T
+
+    class Labeller(BasePredictor):
+        def load(self):
+            return ("low", "high")
+
+        def predict(self, state, batch):
+            return np.where(batch["a"].to_numpy() > 0, state[1], state[0])
+
+    out = score_with_predictor(rows, Labeller(), columns=["id", "a"], prediction_type=T.StringType())
+    assert dict(out.dtypes)["prediction"] == "string"
+    src = {r.id: r.a for r in rows.collect()}
+    assert all(r.prediction == ("high" if src[r.id] > 0 else "low") for r in out.collect())
