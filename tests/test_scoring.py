@@ -239,3 +239,21 @@ def test_python_predictor_string_labels(rows):
     assert dict(out.dtypes)["prediction"] == "string"
     src = {r.id: r.a for r in rows.collect()}
     assert all(r.prediction == ("high" if src[r.id] > 0 else "low") for r in out.collect())
+
+
+def test_proba_and_shape_output_invalid_policies(spark):
+    df = spark.createDataFrame([(1, 1.0, 1.0), (2, None, 1.0), (3, float("nan"), 0.0)], "id int, a double, b double")
+    got = {r.id: (r.predicted_label, r.probability)
+           for r in scoring.score_proba(df, MODEL, on_invalid="null").collect()}
+    assert got[2] == (None, None) and got[3] == (None, None) and got[1][0] in (0, 1)
+    shaped = scoring.shape_output(df, MODEL, id_col="id", on_invalid="skip")
+    assert [r.id for r in shaped.collect()] == [1]
+
+
+def test_score_job_to_table(spark, tmp_dir):
+    from tabscore.plans import jobs
+    src = f"{tmp_dir}/in.parquet"
+    spark.createDataFrame([(1, 1.0, 2.0), (2, 3.0, 0.5)], "id int, a double, b double").write.parquet(src)
+    _, rows = jobs.score_job(spark, MODEL, input_path=src, output_table="tabscore_scored_t")
+    assert rows == 2 and spark.table("tabscore_scored_t").count() == 2
+    assert "prediction" in spark.table("tabscore_scored_t").columns
