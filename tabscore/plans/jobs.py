@@ -1,13 +1,14 @@
-"""The two jobs a user runs: train a model, score a table.
+"""The jobs a user runs: train a model, score a table, score several models.
 
-Training: split (exact or keyed) → scaler fit on the train side (one
-aggregate) → logistic fit (MLlib, distributed) → metrics on the held-out side
-(one aggregate) → run log rows and a registry row.  The driver only ever holds
-the fitted vectors and four counters.
+Training: project and persist the input once → split (exact or keyed) →
+scaler fit on the train side (one aggregate) → logistic fit (Newton passes or
+MLlib, distributed) → metrics on the held-out side (one aggregate) → run log
+rows and a registry row.  The driver only ever holds the fitted vectors and
+four counters.
 
 Scoring: read (path beats table) → schema check on the driver → native score
 expression → write, with the row count observed during the write instead of
-a second pass.
+a second pass.  Several models: one pass, long-form output, per-model status.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 from tabscore.functions.linear import LinearModel
@@ -39,19 +41,30 @@ def train_job(df: DataFrame, features: Sequence[str], label: str, key: str | Seq
               name: str = "model", version: str | None = None,
               run_log: RunLog | None = None, store: ModelStore | None = None,
               hash_algorithm: str = "md5") -> TrainResult:
-    """``hash_algorithm="xxhash64"`` makes the split several times cheaper per row
-    but Spark-only (md5 splits can be reproduced by other engines)."""
+    """Split, scale, fit, evaluate on the held-out rows, log and register.
+
+    The projected input (key, features, label) is persisted for the job: the
+    split's selection rounds, the scaler fit, the fit and the evaluation all
+    read it, and an input that is itself a join would otherwise be
+    recomputed by each of them.  A lost executor's blocks are recomputed from
+    lineage.  ``hash_algorithm="xxhash64"`` makes the split several times
+    cheaper per row but Spark-only (md5 splits can be reproduced by other
+    engines).
+    """
     keys = [key] if isinstance(key, str) else list(key)
     version = version or generate_version()
     cols = list(dict.fromkeys([*keys, *features, label]))
-    data = df.select(*cols).where(df[label].isNotNull())
-    train, test = sampling.split(data, test_fraction, keys, seed, split_mode, hash_algorithm)
-    params = scaling.fit_scaler(train, features)
-    fitted = logistic.fit_logistic(scaling.transform(train, params), features, label,
-                                   C=C, max_iter=max_iter, tol=tol, name=name, version=version)
-    model = LinearModel(tuple(features), fitted.coefficients, fitted.intercept,
-                        params.means, params.scales, name, version, fitted.metadata)
-    scores = metrics.metrics_dict(metrics.evaluate(test, model, label, on_invalid="skip"))
+    data = df.select(*cols).where(df[label].isNotNull()).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        train, test = sampling.split(data, test_fraction, keys, seed, split_mode, hash_algorithm)
+        params = scaling.fit_scaler(train, features)
+        fitted = logistic.fit_logistic(scaling.transform(train, params), features, label,
+                                       C=C, max_iter=max_iter, tol=tol, name=name, version=version)
+        model = LinearModel(tuple(features), fitted.coefficients, fitted.intercept,
+                            params.means, params.scales, name, version, fitted.metadata)
+        scores = metrics.metrics_dict(metrics.evaluate(test, model, label, on_invalid="skip"))
+    finally:
+        data.unpersist()
     if run_log is not None:
         run_log.log_params({"model_type": "LogisticRegression", "max_iter": max_iter, "C": C,
                             "test_size": test_fraction, "split_mode": split_mode})
