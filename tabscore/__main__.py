@@ -39,6 +39,9 @@ def _parser() -> argparse.ArgumentParser:
     t.add_argument("--max-iter", type=int, default=1000)
     t.add_argument("--C", type=float, default=1.0)
     t.add_argument("--version", default=None)
+    t.add_argument("--split-mode", choices=("exact", "approx"), default="exact")
+    t.add_argument("--hash", choices=("md5", "xxhash64"), default="md5",
+                   help="split hash: md5 (reproducible elsewhere) or xxhash64 (cheaper, Spark-only)")
 
     s = sub.add_parser("score", help="score a table with a registered model")
     common(s)
@@ -62,8 +65,9 @@ def main(argv: list[str] | None = None, spark=None) -> dict:
         data = load_input(spark, args.input, args.table)
         res = jobs.train_from_config(
             data, args.features.split(","), args.label, args.key,
-            config={"test_size": args.test_size, "hyperparameters": {"max_iter": args.max_iter, "C": args.C}},
-            name=args.model_name, version=version, run_log=log, store=store)
+            config={"test_size": args.test_size, "split_mode": args.split_mode,
+                    "hyperparameters": {"max_iter": args.max_iter, "C": args.C}},
+            name=args.model_name, version=version, run_log=log, store=store, hash_algorithm=args.hash)
         return {"status": "ok", "model": args.model_name, "version": version, "metrics": res.metrics}
     model = store.load(args.model_name, args.version)
     if not (args.output or args.output_table):

@@ -86,3 +86,11 @@ def test_score_models_job_statuses(spark, tmp_dir):
     assert back.count() == 20 and {r.model_name for r in back.select("model_name").distinct().collect()} == {"m_a", "m_b"}
     pos = back.where("model_name = 'm_b' AND prediction = 1.0").count()
     assert pos == st["m_b"]["positives"]
+
+
+def test_command_line_xxhash_split(spark, tmp_dir):
+    from tabscore.__main__ import main
+    train_path, _ = _fixtures(tmp_dir)
+    out = main(["train", "--input", train_path, "--model-store", os.path.join(tmp_dir, "m2"),
+                "--model-name", "x", "--features", ",".join(FEATURES), "--key", "id", "--hash", "xxhash64"], spark)
+    assert out["status"] == "ok"
