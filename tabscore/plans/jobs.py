@@ -103,15 +103,20 @@ def score_job(spark: SparkSession, model: LinearModel, *, input_path: str | None
               table: str | None = None, output_path: str | None = None,
               output_table: str | None = None, schema: InputSchema | None = None,
               on_invalid: str = "error", threshold: float = 0.5, mode: str = "overwrite",
+              partition_by: list[str] | None = None,
               run_log: RunLog | None = None) -> tuple[DataFrame, int | None]:
-    """Returns the scored DataFrame and, when written, its row count."""
+    """Returns the scored DataFrame and, when written, its row count.
+
+    ``partition_by`` (for example a date column) lays the output out so that
+    readers prune partitions.
+    """
     df = load_input(spark, input_path, table)
     (schema or InputSchema.from_feature_columns(model.features)).validate(df)
     scored = score(df, model, threshold=threshold, on_invalid=on_invalid, validate=False)
     if not (output_path or output_table):
         return scored, None
     counted, obs = profile.observed(scored)
-    write_output(counted, output_path, output_table, mode)
+    write_output(counted, output_path, output_table, mode, partition_by=partition_by)
     rows = obs.get["rows"]
     if run_log is not None:
         run_log.log_metrics({"rows_scored": rows})

@@ -77,12 +77,13 @@ def write_table(df: DataFrame, table: str, mode: str = "overwrite",
 
 
 def write_output(df: DataFrame, path: str | None = None, table: str | None = None,
-                 mode: str = "overwrite", fmt: str | None = None) -> DataFrame:
+                 mode: str = "overwrite", fmt: str | None = None,
+                 partition_by: list[str] | None = None) -> DataFrame:
     """File first, then table, else nothing; returns ``df``."""
     if path:
-        write_file(df, path, mode, fmt)
+        write_file(df, path, mode, fmt, partition_by)
     elif table:
-        write_table(df, table, mode)
+        write_table(df, table, mode, partition_by)
     return df
 
 

@@ -257,3 +257,15 @@ def test_score_job_to_table(spark, tmp_dir):
     _, rows = jobs.score_job(spark, MODEL, input_path=src, output_table="tabscore_scored_t")
     assert rows == 2 and spark.table("tabscore_scored_t").count() == 2
     assert "prediction" in spark.table("tabscore_scored_t").columns
+
+
+def test_score_job_partitioned_output(spark, tmp_dir):
+    from tabscore.plans import jobs
+    src = f"{tmp_dir}/in2.parquet"
+    spark.createDataFrame([(1, 1.0, 2.0, "2024-01-01"), (2, 3.0, 0.5, "2024-01-02")],
+                          "id int, a double, b double, day string").write.parquet(src)
+    _, rows = jobs.score_job(spark, MODEL, input_path=src, output_path=f"{tmp_dir}/out2.parquet",
+                             partition_by=["day"])
+    import os
+    assert rows == 2 and sorted(d for d in os.listdir(f"{tmp_dir}/out2.parquet") if d.startswith("day=")) == \
+        ["day=2024-01-01", "day=2024-01-02"]
