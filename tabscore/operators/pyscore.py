@@ -16,9 +16,10 @@ from collections.abc import Iterator, Sequence
 from typing import Any
 
 import numpy as np
-from pyspark import cloudpickle
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabscore.functions.linear import LinearModel
@@ -123,3 +124,43 @@ def score_with_predictor(df: DataFrame, predictor: BasePredictor, *,
             yield _attach(batch, predictor.predict(loaded, batch), output)
 
     return df.mapInPandas(run, schema=schema)
+
+
+def score_with_udf(df: DataFrame, predictor: BasePredictor, features: Sequence[str], *,
+                   output: str = "prediction", prediction_type: T.DataType = T.DoubleType(),
+                   max_broadcast_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
+    """Input + ``output`` from the predictor, sending only ``features`` to Python.
+
+    An iterator pandas UDF over ``struct(features)``: the other input columns
+    stay in the JVM instead of crossing to Python and back (what
+    ``mapInPandas`` does), and the state is fetched once per partition.
+    """
+    if predictor.input_schema is not None:
+        predictor.input_schema.validate(df)
+    if output in df.columns:
+        raise ValueError(f"input already has column {output!r}")
+    ship_package(df.sparkSession)
+    loaded_state = predictor.load()
+    size = len(cloudpickle.dumps(loaded_state))
+    sc = spark_context(df.sparkSession)
+    if size <= max_broadcast_bytes and sc is not None:
+        shared = sc.broadcast(loaded_state)
+
+        def state():
+            return shared.value
+    elif size <= max_broadcast_bytes:
+        def state():
+            return loaded_state
+    else:
+        del loaded_state
+
+        def state():
+            return predictor.load()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
+        loaded = state()
+        for batch in batches:
+            yield _attach(batch, predictor.predict(loaded, batch), output)[output]
+
+    udf = F.pandas_udf(run, returnType=prediction_type)   # iterator-of-series form, from the type hints
+    return df.withColumn(output, udf(F.struct(*[F.col(c) for c in features])))

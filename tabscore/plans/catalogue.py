@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 
 from tabscore.functions.linear import LinearModel
 from tabscore.operators import metrics, multi, profile, runlog, sampling, scaling, scoring, validate
-from tabscore.operators.pyscore import LinearPredictor, score_with_predictor
+from tabscore.operators.pyscore import LinearPredictor, score_with_predictor, score_with_udf
 from tabscore.plans import jobs
 from tabscore.session import scratch_path
 from tabscore.sources import files, sql_extract
@@ -181,6 +181,12 @@ def q_score_documents(spark, sf_dir):
                                digits=6)
 
 
+def q_score_lineitem_udf(spark, sf_dir):
+    df = table(spark, sf_dir, "lineitem")
+    scored = score_with_udf(df, LinearPredictor(LINEITEM_MODEL), LINEITEM_FEATURES)
+    return scored.select("l_orderkey", "l_linenumber", "prediction")
+
+
 def q_score_threshold(spark, sf_dir):
     df = table(spark, sf_dir, "events")
     return scoring.shape_output(df, EVENTS_MODEL, id_col="event_id", threshold=THRESHOLD,
@@ -417,6 +423,7 @@ QUERIES: dict[str, Query] = {
     "score_linear": q_score_linear,
     "score_lineitem": q_score_lineitem,
     "score_lineitem_python": q_score_lineitem_python,
+    "score_lineitem_udf": q_score_lineitem_udf,
     "score_wide": q_score_wide,
     "score_documents": q_score_documents,
     "score_threshold": q_score_threshold,

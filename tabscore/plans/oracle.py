@@ -267,6 +267,8 @@ def build() -> dict[str, str]:
             f"SELECT doc_id, n_chars, n_lines, {prob(c.DOC_TEXT_MODEL)} AS probability, "
             f"{pred(c.DOC_TEXT_MODEL, typ='INTEGER')} AS prediction "
             "FROM (SELECT doc_id, n_chars, len(string_split(text, chr(10))) AS n_lines FROM documents) d"),
+        "score_lineitem_udf": (
+            f"SELECT l_orderkey, l_linenumber, {pred(c.LINEITEM_MODEL)} AS prediction FROM lineitem"),
         "score_threshold": (
             f"SELECT event_id, {pred(m, c.THRESHOLD, 'INTEGER')} AS is_positive, {prob(m)} AS p_positive, "
             f"TIMESTAMP '{c.RUN_TS.isoformat(sep=' ')}' AS scored_at FROM events"),

@@ -269,3 +269,17 @@ def test_score_job_partitioned_output(spark, tmp_dir):
     import os
     assert rows == 2 and sorted(d for d in os.listdir(f"{tmp_dir}/out2.parquet") if d.startswith("day=")) == \
         ["day=2024-01-01", "day=2024-01-02"]
+
+
+def test_udf_scoring_matches_native_and_sends_only_features(rows, capsys):
+    from tabscore.operators.pyscore import score_with_udf
+    native = {r.id: r.prediction for r in scoring.score(rows, MODEL).collect()}
+    udf = score_with_udf(rows, LinearPredictor(MODEL), ["a", "b"])
+    assert udf.columns == ["id", "a", "b", "prediction"]
+    assert {r.id: r.prediction for r in udf.collect()} == native
+    big = score_with_udf(rows, LinearPredictor(MODEL), ["a", "b"], max_broadcast_bytes=1)
+    assert {r.id: r.prediction for r in big.collect()} == native
+    udf.explain()
+    text = capsys.readouterr().out
+    python_node = [l for l in text.splitlines() if "ArrowEvalPython" in l][0]
+    assert "id#" not in python_node.split("[", 1)[1].split("]")[0]
