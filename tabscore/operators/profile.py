@@ -87,15 +87,17 @@ def describe_wide(df: DataFrame, columns: Sequence[str] | None = None, exact: bo
                 .withColumn("_order", order).orderBy("_order").drop("_order"))
 
 
-def value_counts(df: DataFrame, column: str, count_col: str = "count") -> DataFrame:
+def value_counts(df: DataFrame, column: str, count_col: str = "count", sort: bool = True) -> DataFrame:
     """Non-NULL values and their counts, most frequent first (ties by value).
 
     The group-by aggregates map-side first, so a value held by a third of the
-    rows costs one partial row per task, not a hot reducer.
+    rows costs one partial row per task, not a hot reducer.  ``sort=False``
+    skips the ordering (a range shuffle over the distinct values), for
+    high-cardinality columns whose counts are written, not read in order.
     """
-    return (df.where(F.col(column).isNotNull())
-              .groupBy(column).agg(F.count(F.lit(1)).alias(count_col))
-              .orderBy(F.col(count_col).desc(), F.col(column).asc()))
+    counts = (df.where(F.col(column).isNotNull())
+                .groupBy(column).agg(F.count(F.lit(1)).alias(count_col)))
+    return counts.orderBy(F.col(count_col).desc(), F.col(column).asc()) if sort else counts
 
 
 def head(df: DataFrame, n: int = 5, order_by: Sequence[str] | None = None) -> DataFrame:

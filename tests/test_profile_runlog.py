@@ -154,3 +154,12 @@ def test_describe_wide_layout(spark):
     pdf = li.select("l_quantity", "l_tax").toPandas().describe()
     for r in rows:
         assert r.l_tax == pytest.approx(float(pdf.loc[r.statistic, "l_tax"]), rel=1e-12, abs=1e-12)
+
+
+def test_value_counts_unsorted_same_counts(spark, capsys):
+    df = spark.range(1000).selectExpr("id % 13 AS v")
+    a = {r.v: r["count"] for r in profile.value_counts(df, "v").collect()}
+    b = {r.v: r["count"] for r in profile.value_counts(df, "v", sort=False).collect()}
+    assert a == b
+    profile.value_counts(df, "v", sort=False).explain()
+    assert "rangepartitioning" not in capsys.readouterr().out
