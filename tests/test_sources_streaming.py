@@ -198,3 +198,13 @@ def test_stream_restart_resumes_from_checkpoint(spark, tmp_dir):
     back = spark.read.parquet(out)
     assert first < back.count() == events.count()
     assert back.select("event_id").distinct().count() == events.count()
+
+
+def test_orc_and_json_dispatch_roundtrip(spark, tmp_dir):
+    df = spark.read.parquet(f"{SF0001}/customer.parquet")
+    for ext in ("orc", "json"):
+        path = os.path.join(tmp_dir, f"customer.{ext}")
+        files.write_output(df, path=path)
+        back = files.read_file(spark, path, schema=df.schema)
+        assert files.format_for_path(path) == ext
+        assert sorted(back.collect()) == sorted(df.collect())
