@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 @dataclass(frozen=True)
 class ScalerParams:
+    """Fitted means and population stds per feature; ``scales`` maps a zero std to 1."""
+
     features: tuple[str, ...]
     means: tuple[float, ...]
     stds: tuple[float, ...]

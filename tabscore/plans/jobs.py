@@ -29,6 +29,8 @@ from tabscore.sources.files import load_input, write_output
 
 @dataclass
 class TrainResult:
+    """Fitted model (scaler folded in), held-out metrics, scaler and row counts."""
+
     model: LinearModel
     metrics: dict[str, float]
     scaler: scaling.ScalerParams
