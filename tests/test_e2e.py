@@ -94,3 +94,16 @@ def test_command_line_xxhash_split(spark, tmp_dir):
     out = main(["train", "--input", train_path, "--model-store", os.path.join(tmp_dir, "m2"),
                 "--model-name", "x", "--features", ",".join(FEATURES), "--key", "id", "--hash", "xxhash64"], spark)
     assert out["status"] == "ok"
+
+
+def test_command_line_errors(spark, tmp_dir):
+    import pytest
+    from tabscore.__main__ import main
+    train_path, inf_path = _fixtures(tmp_dir)
+    store = os.path.join(tmp_dir, "m3")
+    main(["train", "--input", train_path, "--model-store", store, "--model-name", "e",
+          "--features", ",".join(FEATURES), "--key", "id", "--version", "v1"], spark)
+    with pytest.raises(SystemExit):
+        main(["score", "--input", inf_path, "--model-store", store, "--model-name", "e"], spark)
+    with pytest.raises(ValueError):   # neither --input nor --table
+        main(["train", "--model-store", store, "--model-name", "e2", "--features", "f0", "--key", "id"], spark)
