@@ -76,6 +76,19 @@ def write_table(df: DataFrame, table: str, mode: str = "overwrite",
     writer.saveAsTable(table)
 
 
+def write_bucketed(df: DataFrame, table: str, key: str | list[str], buckets: int,
+                   mode: str = "overwrite") -> None:
+    """Save as a table bucketed (and sorted) by ``key``.
+
+    Two tables bucketed by the same key into the same number of buckets join
+    without an exchange on either side (e.g. documents and their labels,
+    evaluated again and again): the shuffle is paid once, at write time.
+    """
+    keys = [key] if isinstance(key, str) else list(key)
+    (df.write.mode(mode).bucketBy(buckets, *keys).sortBy(*keys).format("parquet")
+       .saveAsTable(table))
+
+
 def write_output(df: DataFrame, path: str | None = None, table: str | None = None,
                  mode: str = "overwrite", fmt: str | None = None,
                  partition_by: list[str] | None = None) -> DataFrame:

@@ -97,3 +97,21 @@ def test_no_query_plans_pairs_or_single_task_windows(spark, capsys):
         p = plan(fn(spark, SF0001), capsys)
         for bad in ("CartesianProduct", "BroadcastNestedLoopJoin", "Window ", "WindowGroupLimit"):
             assert bad not in p, (name, bad)
+
+
+def test_bucketed_tables_join_without_exchange(spark, capsys):
+    from tabscore.operators import metrics
+    from tabscore.sources.files import write_bucketed
+    write_bucketed(spark.read.parquet(f"{SF0001}/documents.parquet").select("doc_id", "n_chars"),
+                   "tabscore_docs_b", "doc_id", 8)
+    write_bucketed(spark.read.parquet(f"{SF0001}/labels.parquet"), "tabscore_labels_b", "doc_id", 8)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")   # force the shuffle join path
+    try:
+        data = spark.table("tabscore_docs_b").join(spark.table("tabscore_labels_b"), "doc_id")
+        p = plan(data, capsys)
+        assert "SortMergeJoin" in p and "Exchange hashpartitioning" not in p
+        m = metrics.evaluate(data, c.DOC_MODEL, "quality").first()
+        assert m.n == spark.read.parquet(f"{SF0001}/labels.parquet").count()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
