@@ -23,8 +23,8 @@ from tabscore.functions.hashing import TWO_POW_32, hash32
 from tabscore.operators.selection import EmptyInput, select_ranks_detail
 
 DEFAULT_SEED = 42
-# A tie group is the set of rows sharing one 32-bit hash; with a unique key it
-# holds about n / 2^32 rows.  More than this means the key is not a key.
+# Distinct keys sharing one 32-bit hash number about (distinct keys) / 2^32;
+# more than this many means the key column cannot separate rows at all.
 MAX_TIE_GROUP = 1_000_000
 
 
@@ -83,10 +83,22 @@ def exact_cut(df: DataFrame, test_fraction: float, key, seed=DEFAULT_SEED,
     if need == t.ties:
         cut = h <= F.lit(h_star)
     else:
-        if t.ties > MAX_TIE_GROUP:
-            raise ValueError(f"{t.ties} rows share one hash value: the split key {keys} is not unique")
-        ties = hashed.where(F.col("_h") == F.lit(float(h_star)))
-        last = ties.orderBy(*keys).offset(need - 1).limit(1).first()
+        # Rows sharing the cut's hash: count them per distinct key (one aggregate,
+        # combined map-side, so a key holding a third of all rows costs one
+        # partial row per task) and walk the keys in order.  Distinct keys per
+        # 32-bit hash are few (about distinct keys / 2^32).  A key's rows stay
+        # together: with unique keys the test side has exactly k rows; a
+        # repeated key lands whole on one side, never straddling the split.
+        per_key = (hashed.where(F.col("_h") == F.lit(float(h_star)))
+                         .groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")))
+        distinct = per_key.count()
+        if distinct > MAX_TIE_GROUP:
+            raise ValueError(f"{distinct} distinct keys share one 32-bit hash: use a narrower key")
+        running, last = 0, None
+        for row in sorted(per_key.collect(), key=lambda r: tuple(r[c] for c in keys)):
+            running, last = running + row["_n"], row
+            if running >= need:
+                break
         bound = F.struct(*[F.lit(last[c]).alias(c) for c in keys])
         key_struct = F.struct(*[F.col(c) for c in keys])
         cut = (h < F.lit(h_star)) | ((h == F.lit(h_star)) & (key_struct <= bound))

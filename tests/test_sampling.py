@@ -135,3 +135,27 @@ def test_two_value_bin_resolves_in_one_round(spark, monkeypatch):
     got = selection.select_ranks_detail(df, [("x", 4), ("x", 5), ("x", 6)], bins=4)
     assert [(t.value, t.below, t.ties) for t in got] == [(60.0, 3, 1), (99.0, 4, 1), (100.0, 5, 1)]
     assert len(calls) == 1
+
+
+def test_exact_split_hot_key_stays_whole(spark):
+    # one key holds a third of the rows; the others are unique
+    n = 3000
+    df = spark.range(n).select(F.when(F.col("id") % 3 == 0, F.lit(-1)).otherwise(F.col("id")).alias("k"))
+    train, test = sampling.split_exact(df, 0.5, "k", 42)
+    te = [r.k for r in test.collect()]
+    tr = [r.k for r in train.collect()]
+    assert len(te) + len(tr) == n                     # nothing dropped
+    assert not (-1 in te and -1 in tr)                # the hot key is not split
+    k = math.ceil(n * 0.5)
+    hot = n // 3
+    assert k <= len(te) < k + hot                     # at most one key group beyond k
+    # brute force: whole keys in (hash, key) order until k rows are covered
+    order = sorted({(r.h, r.k) for r in df.withColumn("h", hash32("k", 42)).collect()})
+    counts = {key: (hot if key == -1 else 1) for _, key in order}
+    taken, want = 0, set()
+    for _, key in order:
+        if taken >= k:
+            break
+        want.add(key)
+        taken += counts[key]
+    assert set(te) == want
