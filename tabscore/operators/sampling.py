@@ -5,9 +5,11 @@
   ``f``: one narrow pass, the same rows on every run, on every cluster size,
   and in DuckDB.
 * ``split_approx`` is the keyed form used as a split (about ``f`` of the rows).
-* ``split_exact`` puts exactly ``ceil(n * f)`` rows in the test side: the rows
-  smallest by ``(hash, key)``.  The cut is found by rank selection (a few
-  bounded aggregates), and both sides are then plain filters against two
+* ``split_exact`` puts exactly ``ceil(n * f)`` rows in the test side when the
+  key is unique: the rows smallest by ``(hash, key)``.  A repeated key is
+  never split across the sides; if the cut falls inside a repeated key, that
+  key's rows all go to the test side.  The cut is found by rank selection (a
+  few bounded aggregates), and both sides are then plain filters against two
   literals, so there is no global sort and no ``limit`` over a large k.
 """
 
