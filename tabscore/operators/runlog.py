@@ -145,8 +145,34 @@ class ModelStore:
         self.path = path
         self.feature_name = feature_name
 
+    def _existing(self, model_name: str, version: str):
+        import os
+        if not os.path.exists(self.path) and "://" not in self.path:
+            return None
+        try:
+            return (self.table().where((F.col("feature_name") == self.feature_name)
+                                       & (F.col("model_name") == model_name)
+                                       & (F.col("version") == version)).first())
+        except Exception:  # no table yet
+            return None
+
     def save(self, model, metrics: dict[str, float] | None = None,
              registered_at: _dt.datetime | None = None) -> str:
+        """Register a version; saving the same parameters again is a no-op (safe retries).
+
+        A version is immutable: different parameters under an existing
+        version raise instead of silently adding a second row.
+        """
+        found = self._existing(model.name, model.version)
+        if found is not None:
+            same = (tuple(found["features"]) == tuple(model.features)
+                    and tuple(found["coefficients"]) == tuple(model.coefficients)
+                    and found["intercept"] == model.intercept
+                    and tuple(found["means"]) == tuple(model.means)
+                    and tuple(found["scales"]) == tuple(model.scales))
+            if same:
+                return model.version
+            raise ValueError(f"version {model.version!r} of {model.name!r} exists with other parameters")
         ts = registered_at or _dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None)
         row = (self.feature_name, model.name, model.version, ts, list(model.features),
                list(model.coefficients), model.intercept, list(model.means), list(model.scales),

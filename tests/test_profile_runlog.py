@@ -163,3 +163,14 @@ def test_value_counts_unsorted_same_counts(spark, capsys):
     assert a == b
     profile.value_counts(df, "v", sort=False).explain()
     assert "rangepartitioning" not in capsys.readouterr().out
+
+
+def test_registry_save_is_idempotent(spark, tmp_dir):
+    from tabscore.functions.linear import LinearModel
+    store = runlog.ModelStore(spark, f"{tmp_dir}/reg3", "feat")
+    m = LinearModel(("x",), (1.0,), 0.5, name="m", version="v1")
+    store.save(m)
+    store.save(m)                                   # a retried job
+    assert store.versions("m").count() == 1
+    with pytest.raises(ValueError, match="exists with other parameters"):
+        store.save(LinearModel(("x",), (2.0,), 0.5, name="m", version="v1"))
