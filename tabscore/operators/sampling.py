@@ -97,7 +97,8 @@ def exact_cut(df: DataFrame, test_fraction: float, key, seed=DEFAULT_SEED,
         if distinct > MAX_TIE_GROUP:
             raise ValueError(f"{distinct} distinct keys share one 32-bit hash: use a narrower key")
         running, last = 0, None
-        for row in sorted(per_key.collect(), key=lambda r: tuple(r[c] for c in keys)):
+        # NULLs first, as in Spark's struct ordering used by the cut below
+        for row in sorted(per_key.collect(), key=lambda r: tuple((r[c] is not None, r[c]) for c in keys)):
             running, last = running + row["_n"], row
             if running >= need:
                 break

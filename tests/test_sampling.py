@@ -159,3 +159,13 @@ def test_exact_split_hot_key_stays_whole(spark):
         want.add(key)
         taken += counts[key]
     assert set(te) == want
+
+
+def test_exact_split_null_key_in_tie_group(spark):
+    # NULL and '' hash alike with a seed (concat_ws skips NULL): they form one tie group
+    rows = [(None,)] * 3 + [("",)] * 3 + [(f"k{i}",) for i in range(4)]
+    df = spark.createDataFrame(rows, "k string")
+    for f in (0.1, 0.3, 0.5, 0.8):
+        train, test = sampling.split_exact(df, f, "k", 42)
+        te, tr = test.count(), train.count()
+        assert te + tr == len(rows) and te >= math.ceil(len(rows) * f)
