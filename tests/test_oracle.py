@@ -3,11 +3,12 @@
 import pytest
 
 import __spark_entry__ as entry
+from tabscore.plans import catalogue
 from tools.oracle_check import compare, duck
 
 from tests.conftest import SF0001
 
-NAMES = sorted(entry.queries())
+NAMES = sorted(catalogue.QUERIES)
 
 
 @pytest.fixture(scope="module")

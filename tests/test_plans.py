@@ -93,7 +93,7 @@ def test_day_window_pushdown_and_last_day(spark, capsys):
 
 def test_no_query_plans_pairs_or_single_task_windows(spark, capsys):
     import __spark_entry__ as entry
-    for name, fn in entry.queries().items():
+    for name, fn in c.QUERIES.items():
         p = plan(fn(spark, SF0001), capsys)
         for bad in ("CartesianProduct", "BroadcastNestedLoopJoin", "Window ", "WindowGroupLimit"):
             assert bad not in p, (name, bad)
