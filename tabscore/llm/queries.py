@@ -10,8 +10,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabscore.llm import exact_dedup, sharding
-from tabscore.llm.common import F, col, table
+from tabscore.llm import bpe, exact_dedup, quality, sharding, toxicity
+from tabscore.llm.common import F, col, crc_mod, table
+
+
+def op6_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), fold=crc_mod(F.col("doc_id"), 5) != 0)
+    return toxicity.passages(docs, model).select(
+        "doc_id", (crc_mod(F.col("doc_id"), 5) == 0).alias("held_out"), "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("segments").alias("n_passages"))
 
 
 def op7_two_pass_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,6 +32,21 @@ def op7_two_pass_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op8_fourier_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"), fold=crc_mod(F.col("doc_id"), 4) != 2)
+    return quality.classify(docs.select("doc_id", "text"), model).select(
+        "doc_id", (crc_mod(F.col("doc_id"), 4) == 2).alias("held_out"), F.col("quality_score").alias("score"),
+        F.col("accepted").cast("int").alias("predicted"))
+
+
+def op9_backtracking_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    both = bpe.decode(bpe.encode(docs))
+    return both.select("doc_id", "n_tokens", F.sha2("token_ids", 256).alias("ids_sha256"),
+                       F.sha2(F.col("decoded_text").cast("binary"), 256).alias("decoded_sha256"))
+
+
 def op10_streaming_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, found = exact_dedup.dedup(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
@@ -40,7 +63,10 @@ FROM d JOIN g USING (text_sha256)
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op6_toxic_segments": op6_toxic_segments,
     "op7_two_pass_sharding": op7_two_pass_sharding,
+    "op8_fourier_quality": op8_fourier_quality,
+    "op9_backtracking_bpe": op9_backtracking_bpe,
     "op10_streaming_exact_dedup": op10_streaming_exact_dedup,
 }
 
