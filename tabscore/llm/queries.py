@@ -10,10 +10,29 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabscore.llm import bpe, exact_dedup, quality, sharding, toxicity
+from tabscore.llm import bpe, exact_dedup, quality, sharding, toxicity, warc
 from tabscore.llm.common import F, col, crc_mod, table
 
 
+def op2_warc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = warc.archive(table(spark, sf_dir, "pages"))
+    return warc.records(warc.chunk_table(spark, path, with_payload=False)).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP2_SQL = """
+WITH p AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes,
+         sha256(coalesce(html, '')) AS payload_digest
+  FROM pages),
+f AS (SELECT payload_digest, min(page_id) AS first FROM p WHERE payload_bytes >= 100 GROUP BY 1)
+SELECT p.page_id, p.payload_bytes, p.payload_digest,
+       CASE WHEN f.first IS NULL OR f.first = p.page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN f.first <> p.page_id THEN f.first END AS refers_to
+FROM p LEFT JOIN f ON p.payload_digest = f.payload_digest AND p.payload_bytes >= 100
+"""
+
+
 def op6_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"), fold=crc_mod(F.col("doc_id"), 5) != 0)
@@ -63,6 +82,7 @@ FROM d JOIN g USING (text_sha256)
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_warc_chunks": op2_warc_chunks,
     "op6_toxic_segments": op6_toxic_segments,
     "op7_two_pass_sharding": op7_two_pass_sharding,
     "op8_fourier_quality": op8_fourier_quality,
@@ -71,5 +91,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE: dict[str, str] = {
+    "op2_warc_chunks": OP2_SQL,
     "op10_streaming_exact_dedup": OP10_SQL,
 }
