@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabscore.llm import bpe, exact_dedup, quality, sharding, toxicity, warc
+from tabscore.llm import bpe, exact_dedup, quality, sharding, toxicity, url_filter, warc
 from tabscore.llm.common import F, col, crc_mod, table
 
 
@@ -33,6 +33,10 @@ FROM p LEFT JOIN f ON p.payload_digest = f.payload_digest AND p.payload_bytes >=
 """
 
 
+def op4_url_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"))
+
+
 def op6_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"), fold=crc_mod(F.col("doc_id"), 5) != 0)
@@ -83,6 +87,7 @@ FROM d JOIN g USING (text_sha256)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_warc_chunks": op2_warc_chunks,
+    "op4_url_language_model": op4_url_language_model,
     "op6_toxic_segments": op6_toxic_segments,
     "op7_two_pass_sharding": op7_two_pass_sharding,
     "op8_fourier_quality": op8_fourier_quality,
