@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabscore.llm import bpe, exact_dedup, quality, sharding, toxicity, url_filter, warc
+from tabscore.llm import bpe, decontaminate, exact_dedup, quality, sharding, toxicity, url_filter, warc
 from tabscore.llm.common import F, col, crc_mod, table
 
 
@@ -37,6 +37,11 @@ def op4_url_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"))
 
 
+def op5_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select(
+        "doc_id", "item_id", "coverage", "first_word", "same_values")
+
+
 def op6_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"), fold=crc_mod(F.col("doc_id"), 5) != 0)
@@ -88,6 +93,7 @@ FROM d JOIN g USING (text_sha256)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_warc_chunks": op2_warc_chunks,
     "op4_url_language_model": op4_url_language_model,
+    "op5_template_decontamination": op5_template_decontamination,
     "op6_toxic_segments": op6_toxic_segments,
     "op7_two_pass_sharding": op7_two_pass_sharding,
     "op8_fourier_quality": op8_fourier_quality,
