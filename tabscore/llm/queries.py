@@ -10,10 +10,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabscore.llm import bpe, decontaminate, exact_dedup, quality, sharding, toxicity, url_filter, warc
+from tabscore.llm import bpe, decontaminate, exact_dedup, jaccard_join, quality, sharding, toxicity, url_filter, warc
 from tabscore.llm.common import F, col, crc_mod, table
 
 
+def op1_chosen_path_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(table(spark, sf_dir, "documents"))
+
+
 def op2_warc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = warc.archive(table(spark, sf_dir, "pages"))
     return warc.records(warc.chunk_table(spark, path, with_payload=False)).select(
@@ -91,6 +95,7 @@ FROM d JOIN g USING (text_sha256)
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_chosen_path_join": op1_chosen_path_join,
     "op2_warc_chunks": op2_warc_chunks,
     "op4_url_language_model": op4_url_language_model,
     "op5_template_decontamination": op5_template_decontamination,
