@@ -2,8 +2,8 @@
 
 Encoding a piece of text (a run the pre-tokenizer pattern yields):
 
-* one Aho-Corasick pass over its bytes gives the longest vocabulary token
-  starting at every position;
+* an Aho-Corasick automaton over the vocabulary gives the longest token
+  starting at a position, looked up when the position is first reached;
 * the encoder takes the longest token, and accepts it after its left
   neighbour only if the pair is compatible: merging the neighbours' bytes by
   rank would leave the boundary between them alone;
@@ -30,6 +30,8 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import re
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -62,6 +64,12 @@ LATER = ("\u0558\u058b-\u058c\u088f\u0c5c\u0cdc\u208f\u209d-\u209f\ua7ce-\ua7cf\
 PATTERN = (rf"'s|'t|'re|'ve|'m|'ll|'d| ?[\p{{L}}--[{LATER}]]+| ?[\p{{N}}--[{LATER}]]+"
            rf"| ?[[^\p{{White_Space}}\p{{L}}\p{{N}}]||[{LATER}]]+"
            r"|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+")
+# The same pattern for texts of Latin-1 characters alone.
+_L1 = r"A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff"
+_N1 = r"0-9\xb2\xb3\xb9\xbc-\xbe"
+_S1 = r"\t-\r \x85\xa0"
+LATIN_PATTERN = (rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L1}]+| ?[{_N1}]+| ?[^{_S1}{_L1}{_N1}]+"
+                 rf"|[{_S1}]+(?![^{_S1}])|[{_S1}]+")
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -71,6 +79,49 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
+class OffsetTable:
+    """Decoding: the bytes of all tokens in one blob, and where each begins."""
+
+    def __init__(self, tokens: list[bytes]):
+        self.offsets = np.zeros(len(tokens) + 1, dtype=np.int64)
+        self.offsets[1:] = np.cumsum([len(t) for t in tokens])
+        self.blob = np.frombuffer(b"".join(tokens), dtype=np.uint8)
+
+    def decode(self, ids: np.ndarray) -> str:
+        """Bytes gathered through the offset table; bytes that are not UTF-8 become U+FFFD."""
+        ids = np.asarray(ids, dtype=np.int64)
+        starts, ends = self.offsets[ids], self.offsets[ids + 1]
+        sizes = ends - starts
+        before = np.cumsum(sizes) - sizes
+        at = np.arange(int(sizes.sum())) + np.repeat(starts - before, sizes)
+        return self.blob[at].tobytes().decode("utf-8", errors="replace")
+
+
+class Remembered(dict):
+    """Piece of text -> its packed ids, worked out when first asked for; forgets all beyond ``REMEMBERED`` pieces."""
+
+    def __init__(self, encode):
+        super().__init__()
+        self.encode = encode
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.encode(piece.encode())
+        packed = struct.pack(f"<{len(ids)}I", *ids)
+        if len(piece) <= 64:
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self[piece] = packed
+        return packed
+
+
+def token_list(spec: dict) -> list[bytes]:
+    """The bytes of every token by id, special tokens included."""
+    to_byte = byte_alphabet()
+    tokens = {i: bytes(to_byte[c] for c in t) for t, i in spec["model"]["vocab"].items()}
+    tokens |= {t["id"]: t["content"].encode() for t in spec.get("added_tokens", [])}
+    return [tokens.get(i, b"") for i in range(max(tokens) + 1)]
+
+
 class Vocabulary:
     """Tables of one byte-level BPE vocabulary (the JSON text of a tokenizers file).
 
@@ -87,15 +138,12 @@ class Vocabulary:
             raise ValueError("a byte-level BPE vocabulary is needed")
         if spec["pre_tokenizer"].get("add_prefix_space") or spec.get("normalizer") or model.get("ignore_merges"):
             raise ValueError("prefix spaces, normalizers and ignored merges are not supported")
-        to_byte = byte_alphabet()
-        as_bytes = lambda token: bytes(to_byte[c] for c in token)
-        tokens = {i: as_bytes(t) for t, i in model["vocab"].items()}
+        tokens = token_list(spec)
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
-        for content, i in self.special.items():
-            tokens[i] = content.encode()
-        size = max(tokens) + 1
-        self.id_of = {b: i for i, b in tokens.items() if i not in self.special.values()}
-        self.pair_id: dict[tuple[int, int], int] = {}
+        own = set(model["vocab"].values()) - set(self.special.values())
+        size = len(tokens)
+        self.id_of = {tokens[i]: i for i in own}
+        self.pair_id: dict[int, int] = {}
         self.left = list(range(size))
         self.right = list(range(size))
         last = -1
@@ -106,11 +154,11 @@ class Vocabulary:
             if made <= last or made <= max(ia, ib):
                 raise ValueError("ids must follow the order of merges")
             last = made
-            self.pair_id[ia, ib] = made
+            self.pair_id[ia << 32 | ib] = made
             self.left[made], self.right[made] = ia, ib
-        # the longest shorter token that begins a token; -1 when there is none
-        self.length = [len(tokens.get(i, b"")) for i in range(size)]
-        self.shorter = [-1] * size
+        # the longest shorter token that begins a token; -2 when there is none
+        self.length = [len(t) for t in tokens]
+        self.shorter = [-2] * size
         for b, i in self.id_of.items():
             for cut in range(len(b) - 1, 0, -1):
                 if b[:cut] in self.id_of:
@@ -126,15 +174,13 @@ class Vocabulary:
         self.pieces = regex.compile(PATTERN, regex.V1)
         self.specials = regex.compile("|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True))) \
             if self.special else None
-        self.offsets = np.zeros(size + 1, dtype=np.int64)
-        self.offsets[1:] = np.cumsum(self.length)
-        self.blob = np.frombuffer(b"".join(tokens.get(i, b"") for i in range(size)), dtype=np.uint8)
-        self.pair_ok: dict[tuple[int, int], bool] = {}
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.latin = re.compile(LATIN_PATTERN)
+        self.pair_ok: dict[int, bool] = {}
+        self.known = Remembered(self.piece)
 
     def compatible(self, a: int, b: int) -> bool:
         """Would merging by rank keep a boundary between tokens ``a`` and ``b``?"""
-        key = (a, b)
+        key = a << 32 | b
         known = self.pair_ok.get(key)
         if known is None:
             if len(self.pair_ok) >= REMEMBERED:
@@ -148,7 +194,7 @@ class Vocabulary:
         # the merges not yet undone (on a tie the left one goes first).
         bound = float("inf")
         while True:
-            across = self.pair_id.get((a, b))
+            across = self.pair_id.get(a << 32 | b)
             if across is not None and across < bound:
                 return False
             undo_left = a > b
@@ -166,86 +212,77 @@ class Vocabulary:
 
     def piece(self, data: bytes) -> list[int]:
         """Token ids of one piece of bytes."""
-        whole = self.id_of.get(data)
-        if whole is not None and len(data) == 1:
-            return [whole]
-        text = data.decode("latin-1")
-        longest = [-1] * len(data)
-        length = self.length
-        for end, token in self.automaton.iter(text):
-            start = end + 1 - length[token]
-            if longest[start] < 0 or length[longest[start]] < length[token]:
-                longest[start] = token
-        open_at = bytearray(b"\x01") * (len(data) + 1)
+        text, n = data.decode("latin-1"), len(data)
+        matches, compatible, length = self.automaton.iter_long, self.compatible, self.length
+        longest = [-1] * n          # the longest token from a position, looked up when first needed
+        dead = bytearray(n + 1)
         out: list[int] = []
-        pos, token = 0, longest[0]
-        while pos < len(data):
+        pos, token = 0, -1
+        while pos < n:
+            if token == -1:
+                token = longest[pos]
+                if token < 0:
+                    token = longest[pos] = next(matches(text, pos))[1]
             while token >= 0:
                 end = pos + length[token]
-                if open_at[end] and (not out or self.compatible(out[-1], token)):
+                if not dead[end] and (not out or compatible(out[-1], token)):
                     out.append(token)
-                    pos = end
-                    token = longest[pos] if pos < len(data) else -1
+                    pos, token = end, -1
                     break
                 token = self.shorter[token]
             else:
                 # dead end: no token fits here after this prefix
-                open_at[pos] = 0
+                dead[pos] = 1
                 token = out.pop()
                 pos -= length[token]
                 token = self.shorter[token]
         return out
 
-    def plain(self, text: str, out: list[int]) -> None:
-        known = self.known
-        for p in self.pieces.findall(text):
-            ids = known.get(p)
-            if ids is None:
-                ids = tuple(self.piece(p.encode()))
-                if len(p) <= 64:
-                    if len(known) >= REMEMBERED:
-                        known.clear()
-                    known[p] = ids
-            out.extend(ids)
-
-    def encode(self, text: str | None) -> np.ndarray:
-        """Ids of a whole text as little-endian unsigned 32-bit integers."""
-        out: list[int] = []
-        if text:
-            if self.specials is None or not self.specials.search(text):
-                self.plain(text, out)
-            else:
-                at = 0
-                for m in self.specials.finditer(text):
-                    self.plain(text[at:m.start()], out)
-                    out.append(self.special[m.group()])
-                    at = m.end()
-                self.plain(text[at:], out)
-        return np.asarray(out, dtype="<u4")
+    def plain(self, text: str) -> bytes:
+        """Packed ids of a text without special tokens."""
+        try:
+            text.encode("latin-1")
+            pieces = self.latin.findall(text)
+        except UnicodeEncodeError:
+            pieces = self.pieces.findall(text)
+        return b"".join(map(self.known.__getitem__, pieces))
 
-    def decode(self, ids: np.ndarray) -> str:
-        """Bytes gathered through the offset table; bytes that are not UTF-8 become U+FFFD."""
-        ids = np.asarray(ids, dtype=np.int64)
-        starts, ends = self.offsets[ids], self.offsets[ids + 1]
-        sizes = ends - starts
-        total = int(sizes.sum())
-        before = np.cumsum(sizes) - sizes
-        at = np.arange(total) + np.repeat(starts - before, sizes)
-        return self.blob[at].tobytes().decode("utf-8", errors="replace")
+    def encode(self, text: str | None) -> bytes:
+        """Ids of a whole text as little-endian unsigned 32-bit integers."""
+        if not text:
+            return b""
+        if self.specials is None or not self.specials.search(text):
+            return self.plain(text)
+        out, at = [], 0
+        for m in self.specials.finditer(text):
+            out += [self.plain(text[at:m.start()]), np.asarray([self.special[m.group()]], dtype="<u4").tobytes()]
+            at = m.end()
+        return b"".join(out) + self.plain(text[at:])
 
 
-_BUILT: dict[str, Vocabulary] = {}
+_BUILT: dict[tuple, Vocabulary | OffsetTable] = {}
 
 
-def vocabulary(text: str) -> Vocabulary:
+def _built(text: str, make) -> Vocabulary | OffsetTable:
     """The tables of a vocabulary text, built once per Python process."""
-    key = hashlib.sha256(text.encode()).hexdigest()
+    key = (make.__name__, hashlib.sha256(text.encode()).hexdigest())
     if key not in _BUILT:
-        _BUILT.clear()
-        _BUILT[key] = Vocabulary(text)
+        _BUILT[key] = make(text)
     return _BUILT[key]
 
 
+def vocabulary(text: str) -> Vocabulary:
+    return _built(text, Vocabulary)
+
+
+def _offset_table(text: str) -> OffsetTable:
+    return OffsetTable(token_list(json.loads(text)))
+
+
+def offset_table(text: str) -> OffsetTable:
+    return _built(text, _offset_table)
+
+
 def read_vocabulary(path: str) -> str:
     if os.path.getsize(path) > VOCABULARY_BYTES:
         raise ValueError(f"{path} is larger than the {VOCABULARY_BYTES} bytes that may be broadcast")
@@ -267,7 +304,7 @@ def encode_column(spark: SparkSession, path: str, text: Column) -> Column:
     def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         v = vocabulary(shared.value)
         for batch in batches:
-            yield pd.Series([v.encode(t).tobytes() for t in batch], dtype=object)
+            yield pd.Series([v.encode(t) for t in batch], dtype=object)
 
     return ids(text)
 
@@ -279,7 +316,7 @@ def decode_column(spark: SparkSession, path: str, ids: Column) -> Column:
 
     @F.pandas_udf(T.StringType())
     def text(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        v = vocabulary(shared.value)
+        v = offset_table(shared.value)
         for batch in batches:
             yield pd.Series([v.decode(np.frombuffer(b or b"", dtype="<u4")) for b in batch], dtype=object)
 
