@@ -9,7 +9,9 @@ sets share the token at one coordinate with probability equal to their Jaccard
 similarity.  A run sends every set down ``BRANCHES`` chosen coordinates, which
 splits the sets by the tokens they share there; a bucket larger than
 ``BUCKET`` is split again the same way, by coordinates chosen by its own path,
-down to ``DEPTH``.  Buckets are then compared by brute force on the sampled
+down to ``DEPTH``.  A bucket that kept more than half of the one it came from
+is a dense group, which further splits would only copy, and is not split.
+Buckets are then compared by brute force on the sampled
 tokens.  A pair of similarity ``t`` survives a level with probability
 ``1 - (1 - t s) ** BRANCHES``, ``s`` being its chance below; ``runs_for``
 takes the smallest number of runs whose union reaches the target recall at the
@@ -153,24 +155,25 @@ def token_at(k) -> "F.Column":
 
 
 def split(rows: DataFrame, branches: int) -> DataFrame:
-    """(path, rep) of every set sent down the coordinates chosen by its path."""
+    """(path, rep, parent: size of the bucket it comes from) of every set sent down the coordinates chosen by its path."""
     chosen = F.array(*[F.pmod(F.xxhash64(F.lit(SEED + j), F.col("path")), F.lit(TOKENS // branches)).cast("int")
                        * F.lit(branches) + F.lit(j) for j in range(branches)])
-    down = rows.select("path", "rep", "tokens", F.explode(chosen).alias("k"))
-    return down.select(F.xxhash64("path", "k", token_at(F.col("k"))).alias("path"), "rep")
+    down = rows.select("path", "rep", "tokens", F.col("size").alias("parent"), F.explode(chosen).alias("k"))
+    return down.select(F.xxhash64("path", "k", token_at(F.col("k"))).alias("path"), "rep", "parent")
 
 
 def sized(paths: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
-    """(small buckets, large buckets) as (path, rep) and (path, rep, size); buckets of one are dropped."""
+    """(final, to be split) buckets as (path, rep, size); buckets of one have no pairs and are left out."""
     count = paths.groupBy("path").agg(F.count("*").alias("size")).where("size > 1")
     all_ = materialise(paths.join(count, "path"), name)
-    return all_.where(F.col("size") <= BUCKET), all_.where(F.col("size") > BUCKET)
+    final = (F.col("size") <= BUCKET) | F.coalesce(2 * F.col("size") > F.col("parent"), F.lit(False))
+    return all_.where(final).drop("parent"), all_.where(~final).drop("parent")
 
 
 def buckets(reps: DataFrame, runs: int, depth: int, branches: int) -> DataFrame:
     """(path, rep, size) of every final bucket with at least two sets, over all runs at once."""
     root = reps.select(F.explode(F.array(*[F.xxhash64(F.lit(SEED), F.lit(r)) for r in range(runs)])).alias("path"),
-                       "rep", "tokens")
+                       "rep", "tokens", F.lit(None).cast("long").alias("size"))
     done = []
     level = split(root, branches)
     for d in range(1, depth + 1):
@@ -179,7 +182,7 @@ def buckets(reps: DataFrame, runs: int, depth: int, branches: int) -> DataFrame:
         if d == depth or large.isEmpty():
             done.append(large)
             break
-        level = split(large.join(reps.select("rep", "tokens"), "rep").select("path", "rep", "tokens"), branches)
+        level = split(large.join(reps.select("rep", "tokens"), "rep").select("path", "rep", "tokens", "size"), branches)
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
