@@ -41,7 +41,9 @@ class LinearModel:
         object.__setattr__(self, "scales", scales)
         if not (len(self.coefficients) == len(means) == len(scales) == n):
             raise ValueError("features, coefficients, means and scales must have the same length")
-        if any(s == 0.0 or math.isnan(s) for s in scales):
+        if not all(map(math.isfinite, (*self.coefficients, self.intercept, *means, *scales))):
+            raise ValueError("model parameters must be finite numbers")
+        if any(s == 0.0 for s in scales):
             raise ValueError("scales must be non-zero (a zero std is stored as 1)")
 
     def with_scaler(self, means: Sequence[float], scales: Sequence[float]) -> "LinearModel":

@@ -38,23 +38,50 @@ NEWTON_MAX_FEATURES = 8
 def _prepare(df: DataFrame, features: Sequence[str], label: str) -> DataFrame:
     return (df.select(*[F.col(f).cast("double").alias(f"x{i}") for i, f in enumerate(features)],
                       F.col(label).cast("double").alias("y"))
-              .where(F.col("y").isNotNull()))
+              .where(F.col("y").isNotNull() & ~F.isnan("y")))
+
+
+def _bad_row(p: int):
+    """A NULL or NaN in any of the features ``x0`` .. ``x{p-1}``."""
+    bad = F.lit(False)
+    for i in range(p):
+        bad = bad | F.col(f"x{i}").isNull() | F.isnan(F.coalesce(f"x{i}", F.lit(0.0)))
+    return bad
+
+
+def _check_counts(n: int, bad_labels: int, bad_rows: int, on_invalid: str) -> None:
+    """The one contract of both solvers on what may be fitted."""
+    if not n:
+        raise ValueError("no labelled rows to fit")
+    if bad_labels:
+        raise ValueError(f"{bad_labels} labels are neither 0 nor 1 (binary classification only)")
+    if bad_rows and on_invalid == "error":
+        raise ValueError(f"{bad_rows} rows hold a NULL or NaN feature (on_invalid='skip' leaves them out)")
 
 
 def fit_logistic(df: DataFrame, features: Sequence[str], label: str = "target", *,
                  C: float = 1.0, max_iter: int = 1000, tol: float = 1e-6, solver: str = "auto",
-                 name: str = "model", version: str = "v1") -> LinearModel:
-    """Coefficients on the given (already scaled) features; means 0, scales 1."""
+                 name: str = "model", version: str = "v1", on_invalid: str = "error") -> LinearModel:
+    """Coefficients on the given (already scaled) features; means 0, scales 1.
+
+    Both solvers keep one contract: rows without a label are not fitted;
+    labels other than 0 and 1 are an error; a NULL or NaN feature is an error,
+    or with ``on_invalid="skip"`` the row is left out.  ``metadata`` has
+    ``n`` (rows fitted), ``skipped`` and ``converged``.  ``solver="auto"``
+    chooses by the number of features; name one to fix the choice.
+    """
+    if on_invalid not in ("error", "skip"):
+        raise ValueError("on_invalid must be 'error' or 'skip'")
     if solver == "auto":
         solver = "newton" if len(features) <= NEWTON_MAX_FEATURES else "mllib"
     if solver == "newton":
-        return _fit_newton(df, features, label, C, max_iter, tol, name, version)
+        return _fit_newton(df, features, label, C, max_iter, tol, name, version, on_invalid)
     if solver == "mllib":
-        return _fit_mllib(df, features, label, C, max_iter, tol, name, version)
+        return _fit_mllib(df, features, label, C, max_iter, tol, name, version, on_invalid)
     raise ValueError("solver must be 'auto', 'newton' or 'mllib'")
 
 
-def _fit_newton(df, features, label, C, max_iter, tol, name, version) -> LinearModel:
+def _fit_newton(df, features, label, C, max_iter, tol, name, version, on_invalid) -> LinearModel:
     p = len(features)
     data = _prepare(df, features, label).persist(StorageLevel.MEMORY_AND_DISK)
     xs = [F.col(f"x{i}") for i in range(p)] + [F.lit(1.0)]
@@ -63,33 +90,38 @@ def _fit_newton(df, features, label, C, max_iter, tol, name, version) -> LinearM
     reg[p, p] = 0.0
 
     def pass_at(theta: np.ndarray):
-        z = xs[p] * F.lit(float(theta[p]))
+        z = F.lit(float(theta[p]))
         for i in range(p):
             z = z + xs[i] * F.lit(float(theta[i]))
         # the margin and its derived weights once per row, then plain sums over them
-        rows = data.select(*[F.col(f"x{i}") for i in range(p)], "y", z.alias("z"))
+        # (rows with an invalid feature take part in no sum)
+        rows = data.select(*[F.col(f"x{i}") for i in range(p)], "y", F.when(~_bad_row(p), z).alias("z"))
         mu = F.lit(1.0) / (F.lit(1.0) + F.exp(-F.col("z")))
         rows = rows.select("*", (mu - F.col("y")).alias("r"), (mu * (F.lit(1.0) - mu)).alias("wt"),
                            # log(1 + exp(z)) - y*z, written to avoid overflow for large |z|
                            (F.greatest(F.col("z"), F.lit(0.0)) + F.log1p(F.exp(-F.abs(F.col("z"))))
                             - F.col("y") * F.col("z")).alias("ll"))
         r, wt = F.col("r"), F.col("wt")
-        aggs = [F.count(F.lit(1)).alias("n"), F.sum("ll").alias("loss"),
+        aggs = [F.count("z").alias("n"), F.count_if(F.col("z").isNull()).alias("bad_rows"), F.sum("ll").alias("loss"),
                 F.count_if(~F.col("y").isin(0.0, 1.0)).alias("bad_labels")]
         aggs += [F.sum(r * xs[j]).alias(f"g{j}") for j in range(p + 1)]
         aggs += [F.sum(wt * xs[j] * xs[k]).alias(f"h{j}_{k}") for j, k in pairs]
         row = rows.agg(*aggs).first()
-        if not row["n"]:
-            raise ValueError("no labelled rows to fit")
-        if row["bad_labels"]:
-            raise ValueError(f"{row['bad_labels']} labels are neither 0 nor 1 (binary classification only)")
+        _check_counts(row["n"] or (row["bad_rows"] if on_invalid == "error" else 0), row["bad_labels"],
+                      row["bad_rows"], on_invalid)
+        skipped[0] = row["bad_rows"]
         g = np.array([row[f"g{j}"] for j in range(p + 1)])
         H = np.zeros((p + 1, p + 1))
         for j, k in pairs:
             H[j, k] = H[k, j] = row[f"h{j}_{k}"]
         obj = C * row["loss"] + 0.5 * float(theta[:p] @ theta[:p])
+        if not (np.isfinite(obj) and np.isfinite(g).all() and np.isfinite(H).all()):
+            raise ValueError("the fit left the finite numbers; scale the features")
         return row["n"], obj, C * g + reg @ theta, C * H + reg
 
+    skipped = [0]
+    converged = False
+
     try:
         theta = np.zeros(p + 1)
         n, obj, grad, hess = pass_at(theta)
@@ -100,24 +132,36 @@ def _fit_newton(df, features, label, C, max_iter, tol, name, version) -> LinearM
             while True:
                 trial = theta - t * step
                 _, obj_t, grad_t, hess_t = pass_at(trial)
-                if obj_t <= obj + 1e-12 * abs(obj) or t < 1e-8:
+                if obj_t <= obj + 1e-12 * abs(obj):
+                    break
+                if t < 1e-8:
+                    trial = None    # no step along this direction lowers the objective: stay
                     break
                 t *= 0.5
+            if trial is None:
+                converged = bool(np.max(np.abs(grad)) <= 1e-6 * max(1.0, abs(obj)))
+                break
             theta, obj, grad, hess = trial, obj_t, grad_t, hess_t
             if np.max(np.abs(t * step)) <= tol:
+                converged = True
                 break
     finally:
         data.unpersist()
     return LinearModel(tuple(features), tuple(float(v) for v in theta[:p]), float(theta[p]),
                        name=name, version=version,
-                       metadata={"n": n, "iterations": iterations, "solver": "newton"})
+                       metadata={"n": n, "iterations": iterations, "solver": "newton", "skipped": skipped[0],
+                                 "converged": converged})
 
 
-def _fit_mllib(df, features, label, C, max_iter, tol, name, version) -> LinearModel:
+def _fit_mllib(df, features, label, C, max_iter, tol, name, version, on_invalid) -> LinearModel:
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import VectorAssembler
 
     data = _prepare(df, features, label)
+    bad = _bad_row(len(features))
+    n_all, bad_labels, bad_rows = data.agg(F.count("*"), F.count_if(~F.col("y").isin(0.0, 1.0)), F.count_if(bad)).first()
+    _check_counts(n_all, bad_labels, bad_rows, on_invalid)
+    data = data.where(~bad)
     cols = [f"x{i}" for i in range(len(features))]
     assembled = (VectorAssembler(inputCols=cols, outputCol="_features", handleInvalid="error")
                  .transform(data).select("_features", "y")
@@ -134,4 +178,5 @@ def _fit_mllib(df, features, label, C, max_iter, tol, name, version) -> LinearMo
         assembled.unpersist()
     return LinearModel(tuple(features), tuple(float(w) for w in fitted.coefficients.toArray()),
                        float(fitted.intercept), name=name, version=version,
-                       metadata={"n": n, "iterations": fitted.summary.totalIterations, "solver": "mllib"})
+                       metadata={"n": n, "iterations": fitted.summary.totalIterations, "solver": "mllib",
+                                 "skipped": bad_rows, "converged": fitted.summary.totalIterations < max_iter})

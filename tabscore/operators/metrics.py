@@ -23,7 +23,8 @@ def _safe_div(num: Column, den: Column) -> Column:
 def confusion(df: DataFrame, label: str = "target", prediction: str = "prediction") -> DataFrame:
     y = F.col(label).cast("double")
     p = F.col(prediction).cast("double")
-    valid = y.isNotNull() & p.isNotNull()
+    # NaN is no label: it is neither 1 nor "not 1"
+    valid = y.isNotNull() & p.isNotNull() & ~F.isnan(y) & ~F.isnan(p)
     return df.agg(
         F.count_if(valid).alias("n"),
         F.count_if(valid & (y == 1) & (p == 1)).alias("tp"),
@@ -81,7 +82,7 @@ def evaluate_many(df: DataFrame, models, label: str = "target", threshold: float
     aggs = []
     for i, m in enumerate(models):
         p = predicted_label(margin(m), threshold)
-        valid = y.isNotNull() & ~invalid_row(df, m.features)
+        valid = y.isNotNull() & ~F.isnan(y) & ~invalid_row(df, m.features)
         aggs += [F.count_if(valid).alias(f"n{i}"),
                  F.count_if(valid & (y == 1) & p).alias(f"tp{i}"),
                  F.count_if(valid & (y != 1) & p).alias(f"fp{i}"),

@@ -15,9 +15,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabscore.functions.linear import LinearModel, margin, predicted_label, probability
-from tabscore.operators.validate import InputSchema
+from tabscore.operators.validate import InputSchema, invalid_row
 
-MAX_MODELS_PER_PASS = 256
+#: Models scored by one expression; more are scored in groups of this many, one pass each.
+MODELS_PER_PASS = 256
+
+
+def _guarded(bad, value, kind: str, on_invalid: str):
+    """``value`` where the row is valid; else an error or NULL by the policy."""
+    if on_invalid == "error":
+        return F.when(bad, F.raise_error(F.lit("NULL or NaN in the model's features")).cast(kind)).otherwise(value)
+    if on_invalid in ("null", "skip"):
+        return F.when(~bad, value)
+    raise ValueError("on_invalid must be one of ('error', 'skip', 'null')")
 
 
 def _needed(models: Sequence[LinearModel]) -> list[str]:
@@ -30,35 +40,50 @@ def _needed(models: Sequence[LinearModel]) -> list[str]:
 
 
 def score_many(df: DataFrame, models: Sequence[LinearModel], keep: Sequence[str],
-               threshold: float = 0.5, digits: int | None = 6) -> DataFrame:
-    """keep-columns + model_name, model_version, prediction, probability per model."""
+               threshold: float = 0.5, digits: int | None = 6, on_invalid: str = "error") -> DataFrame:
+    """keep-columns + model_name, model_version, prediction, probability per model.
+
+    A row with a NULL or NaN in a model's features is invalid for that model:
+    an error, a NULL prediction and probability, or no row ("skip").
+    """
     if not models:
         raise ValueError("no models given")
-    if len(models) > MAX_MODELS_PER_PASS:
-        raise ValueError(f"at most {MAX_MODELS_PER_PASS} models per pass; score in groups")
+    if len(models) > MODELS_PER_PASS:
+        parts = [score_many(df, models[i:i + MODELS_PER_PASS], keep, threshold, digits, on_invalid)
+                 for i in range(0, len(models), MODELS_PER_PASS)]
+        out = parts[0]
+        for part in parts[1:]:
+            out = out.unionByName(part)
+        return out
     InputSchema.from_feature_columns(_needed(models)).validate(df)
     entries = []
     for m in models:
         mg = margin(m)
         p = probability(mg)
+        bad = invalid_row(df, m.features)
+        label = predicted_label(mg, threshold).cast("double")
         entries.append(F.struct(
             F.lit(m.name).alias("model_name"), F.lit(m.version).alias("model_version"),
-            predicted_label(mg, threshold).cast("double").alias("prediction"),
-            (F.round(p, digits) if digits is not None else p).alias("probability")))
-    return df.select(*keep, F.inline(F.array(*entries)))
+            _guarded(bad, label, "double", on_invalid).alias("prediction"),
+            _guarded(bad, F.round(p, digits) if digits is not None else p, "double", on_invalid).alias("probability")))
+    out = df.select(*keep, F.inline(F.array(*entries)))
+    return out.where(F.col("prediction").isNotNull()) if on_invalid == "skip" else out
 
 
 def score_ensemble(df: DataFrame, models: Sequence[LinearModel], keep: Sequence[str],
-                   threshold: float = 0.5, digits: int | None = 6) -> DataFrame:
-    """keep-columns + mean probability over the models and its label."""
+                   threshold: float = 0.5, digits: int | None = 6, on_invalid: str = "error") -> DataFrame:
+    """keep-columns + mean probability over the models and its label (invalid rows as in ``score_many``)."""
     InputSchema.from_feature_columns(_needed(models)).validate(df)
     total = None
     for m in models:
         p = probability(margin(m))
         total = p if total is None else total + p
     mean = total / F.lit(float(len(models)))
-    return df.select(*keep, (F.round(mean, digits) if digits is not None else mean).alias("probability"),
-                     (mean > F.lit(threshold)).cast("double").alias("prediction"))
+    bad = invalid_row(df, _needed(models))
+    out = df.select(*keep, _guarded(bad, F.round(mean, digits) if digits is not None else mean, "double",
+                                    on_invalid).alias("probability"),
+                    _guarded(bad, (mean > F.lit(threshold)).cast("double"), "double", on_invalid).alias("prediction"))
+    return out.where(F.col("prediction").isNotNull()) if on_invalid == "skip" else out
 
 
 def model_status(df: DataFrame, models: Sequence[LinearModel], requested: Sequence[str],
@@ -66,7 +91,9 @@ def model_status(df: DataFrame, models: Sequence[LinearModel], requested: Sequen
     """model_name, status, rows, positives for every requested model name.
 
     A name with no model gets ``error: unknown model`` and NULL counts; the
-    others are scored.  One unknown model does not stop the rest.
+    others are scored.  One unknown model does not stop the rest.  Rows with
+    a NULL or NaN in a model's features are not counted as positives, and the
+    model's status names their number.
     """
     known = {m.name: m for m in models}
     usable = [known[n] for n in requested if n in known]
@@ -74,7 +101,9 @@ def model_status(df: DataFrame, models: Sequence[LinearModel], requested: Sequen
     ok = [m for m in usable if not missing_cols[m.name]]
     aggs = [F.count(F.lit(1)).alias("n")]
     for i, m in enumerate(ok):
-        aggs.append(F.sum(predicted_label(margin(m), threshold).cast("long")).alias(f"p{i}"))
+        bad = invalid_row(df, m.features)
+        aggs.append(F.count_if(~bad & predicted_label(margin(m), threshold)).alias(f"p{i}"))
+        aggs.append(F.count_if(bad).alias(f"b{i}"))
     counts = df.agg(*aggs)
     rows = []
     for name in requested:
@@ -84,7 +113,11 @@ def model_status(df: DataFrame, models: Sequence[LinearModel], requested: Sequen
             status, n, pos = f"error: missing columns {missing_cols[name]}", F.lit(None), F.lit(None)
         else:
             i = ok.index(known[name])
-            status, n, pos = "ok", F.col("n"), F.coalesce(F.col(f"p{i}"), F.lit(0))
-        rows.append(F.struct(F.lit(name).alias("model_name"), F.lit(status).alias("status"),
+            n, pos = F.col("n"), F.coalesce(F.col(f"p{i}"), F.lit(0))
+            status = F.when(F.col(f"b{i}") == 0, "ok").otherwise(
+                F.concat(F.lit("error: "), F.col(f"b{i}").cast("string"), F.lit(" invalid rows")))
+        if isinstance(status, str):
+            status = F.lit(status)
+        rows.append(F.struct(F.lit(name).alias("model_name"), status.alias("status"),
                              n.cast("bigint").alias("rows"), pos.cast("bigint").alias("positives")))
     return counts.select(F.inline(F.array(*rows)))

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabscore.functions.linear import LinearModel
-from tabscore.operators.validate import InputSchema
+from tabscore.operators.validate import InputSchema, guard_prediction
 from tabscore.session import ship_package, spark_context
 
 
@@ -47,6 +47,7 @@ class LinearPredictor(BasePredictor):
     def __init__(self, model: LinearModel, threshold: float = 0.5):
         self.model = model
         self.threshold = threshold
+        self.features = list(model.features)
         self.input_schema = InputSchema.from_feature_columns(model.features)
 
     def load(self):
@@ -82,40 +83,45 @@ def _attach(batch: pd.DataFrame, result, output: str) -> pd.DataFrame:
 MAX_BROADCAST_BYTES = 256 * 1024 * 1024
 
 
+def _state_of(spark, predictor: "BasePredictor", max_broadcast_bytes: int):
+    """How a task gets the loaded state: broadcast within the bound, else loaded on the executor."""
+    ship_package(spark)
+    loaded = predictor.load()
+    sc = spark_context(spark)
+    if len(cloudpickle.dumps(loaded)) > max_broadcast_bytes:
+        return predictor.load
+    if sc is None:
+        return lambda: loaded    # Spark Connect has no broadcast variables: the (bounded) state rides in the closure
+    shared = sc.broadcast(loaded)
+    return lambda: shared.value
+
+
 def score_with_predictor(df: DataFrame, predictor: BasePredictor, *,
                          columns: Sequence[str] | None = None, output: str = "prediction",
                          prediction_type: T.DataType = T.DoubleType(),
-                         max_broadcast_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
+                         max_broadcast_bytes: int = MAX_BROADCAST_BYTES, on_invalid: str = "error") -> DataFrame:
     """Input (or ``columns``) + ``output`` computed by the predictor per Arrow batch.
 
+    A predictor that names its ``features`` gets those only, and the other
+    columns stay in the JVM unchanged (see :func:`score_with_udf`); its
+    ``on_invalid`` policy is that of native scoring.  Without, whole rows
+    cross to pandas, which turns an integer column with NULLs into floats:
+    name the features, or cast such columns first.
+
     The loaded state is broadcast when its pickled size is within
     ``max_broadcast_bytes``; a larger state is not shipped from the driver:
     each partition calls ``load()`` once on its executor instead.
     """
     if columns is not None:
         df = df.select(*columns)
+    if getattr(predictor, "features", None):
+        return score_with_udf(df, predictor, predictor.features, output=output, prediction_type=prediction_type,
+                              max_broadcast_bytes=max_broadcast_bytes, on_invalid=on_invalid)
     if predictor.input_schema is not None:
         predictor.input_schema.validate(df)
     if output in df.columns:
         raise ValueError(f"input already has column {output!r}")
-    ship_package(df.sparkSession)
-    loaded_state = predictor.load()
-    size = len(cloudpickle.dumps(loaded_state))
-    sc = spark_context(df.sparkSession)
-    if size <= max_broadcast_bytes and sc is not None:
-        shared = sc.broadcast(loaded_state)
-
-        def state():
-            return shared.value
-    elif size <= max_broadcast_bytes:
-        # Spark Connect has no broadcast variables: the (bounded) state rides in the task closure
-        def state():
-            return loaded_state
-    else:
-        del loaded_state
-
-        def state():
-            return predictor.load()
+    state = _state_of(df.sparkSession, predictor, max_broadcast_bytes)
     schema = T.StructType(list(df.schema.fields) + [T.StructField(output, prediction_type, True)])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -128,9 +134,12 @@ def score_with_predictor(df: DataFrame, predictor: BasePredictor, *,
 
 def score_with_udf(df: DataFrame, predictor: BasePredictor, features: Sequence[str], *,
                    output: str = "prediction", prediction_type: T.DataType = T.DoubleType(),
-                   max_broadcast_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
+                   max_broadcast_bytes: int = MAX_BROADCAST_BYTES, on_invalid: str = "error") -> DataFrame:
     """Input + ``output`` from the predictor, sending only ``features`` to Python.
 
+    A row with a NULL or NaN feature raises, goes, or gets NULL by
+    ``on_invalid``, as in native scoring.
+
     An iterator pandas UDF over ``struct(features)``: the other input columns
     stay in the JVM instead of crossing to Python and back (what
     ``mapInPandas`` does), and the state is fetched once per partition.
@@ -139,23 +148,7 @@ def score_with_udf(df: DataFrame, predictor: BasePredictor, features: Sequence[s
         predictor.input_schema.validate(df)
     if output in df.columns:
         raise ValueError(f"input already has column {output!r}")
-    ship_package(df.sparkSession)
-    loaded_state = predictor.load()
-    size = len(cloudpickle.dumps(loaded_state))
-    sc = spark_context(df.sparkSession)
-    if size <= max_broadcast_bytes and sc is not None:
-        shared = sc.broadcast(loaded_state)
-
-        def state():
-            return shared.value
-    elif size <= max_broadcast_bytes:
-        def state():
-            return loaded_state
-    else:
-        del loaded_state
-
-        def state():
-            return predictor.load()
+    state = _state_of(df.sparkSession, predictor, max_broadcast_bytes)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
         loaded = state()
@@ -163,4 +156,5 @@ def score_with_udf(df: DataFrame, predictor: BasePredictor, features: Sequence[s
             yield _attach(batch, predictor.predict(loaded, batch), output)[output]
 
     udf = F.pandas_udf(run, returnType=prediction_type)   # iterator-of-series form, from the type hints
-    return df.withColumn(output, udf(F.struct(*[F.col(c) for c in features])))
+    df, prediction = guard_prediction(df, features, udf(F.struct(*[F.col(c) for c in features])), on_invalid)
+    return df.withColumn(output, prediction)

@@ -146,15 +146,15 @@ class ModelStore:
         self.feature_name = feature_name
 
     def _existing(self, model_name: str, version: str):
-        import os
-        if not os.path.exists(self.path) and "://" not in self.path:
-            return None
+        from pyspark.errors import AnalysisException
         try:
             return (self.table().where((F.col("feature_name") == self.feature_name)
                                        & (F.col("model_name") == model_name)
                                        & (F.col("version") == version)).first())
-        except Exception:  # no table yet
-            return None
+        except AnalysisException as exc:
+            if exc.getCondition() == "PATH_NOT_FOUND":   # no version was saved yet
+                return None
+            raise
 
     def save(self, model, metrics: dict[str, float] | None = None,
              registered_at: _dt.datetime | None = None) -> str:

@@ -18,12 +18,13 @@ from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tabscore.functions.linear import LinearModel
 from tabscore.operators import logistic, metrics, profile, sampling, scaling
 from tabscore.operators.runlog import ModelStore, RunLog, generate_version
 from tabscore.operators.scoring import score
-from tabscore.operators.validate import InputSchema
+from tabscore.operators.validate import InputSchema, invalid_row
 from tabscore.sources.files import load_input, write_output
 
 
@@ -42,9 +43,14 @@ def train_job(df: DataFrame, features: Sequence[str], label: str, key: str | Seq
               C: float = 1.0, max_iter: int = 1000, tol: float = 1e-6,
               name: str = "model", version: str | None = None,
               run_log: RunLog | None = None, store: ModelStore | None = None,
-              hash_algorithm: str = "md5") -> TrainResult:
+              hash_algorithm: str = "md5", on_invalid: str = "error") -> TrainResult:
     """Split, scale, fit, evaluate on the held-out rows, log and register.
 
+    Rows without a label (NULL or NaN) cannot be trained on; rows with a NULL
+    or NaN feature are an error, or with ``on_invalid="skip"`` left out before
+    the split, so neither side loses rows unseen.  ``sizes`` counts all of
+    them: rows_in, rows_unlabelled, rows_invalid, train, test.
+
     The projected input (key, features, label) is persisted for the job: the
     split's selection rounds, the scaler fit, the fit and the evaluation all
     read it, and an input that is itself a join would otherwise be
@@ -56,17 +62,28 @@ def train_job(df: DataFrame, features: Sequence[str], label: str, key: str | Seq
     keys = [key] if isinstance(key, str) else list(key)
     version = version or generate_version()
     cols = list(dict.fromkeys([*keys, *features, label]))
-    data = df.select(*cols).where(df[label].isNotNull()).persist(StorageLevel.MEMORY_AND_DISK)
+    if on_invalid not in ("error", "skip"):
+        raise ValueError("on_invalid must be 'error' or 'skip'")
+    projected = df.select(*cols)
+    unlabelled = F.col(label).isNull() | F.isnan(F.coalesce(F.col(label).cast("double"), F.lit(0.0)))
+    invalid = invalid_row(projected, features)
+    marked = projected.select("*", unlabelled.alias("_unlabelled"), invalid.alias("_invalid")).persist(
+        StorageLevel.MEMORY_AND_DISK)
     try:
+        rows_in, n_unlabelled, n_invalid = marked.agg(
+            F.count("*"), F.count_if("_unlabelled"), F.count_if(~F.col("_unlabelled") & F.col("_invalid"))).first()
+        if n_invalid and on_invalid == "error":
+            raise ValueError(f"{n_invalid} labelled rows hold a NULL or NaN feature (on_invalid='skip' leaves them out)")
+        data = marked.where("NOT _unlabelled AND NOT _invalid").drop("_unlabelled", "_invalid")
         train, test = sampling.split(data, test_fraction, keys, seed, split_mode, hash_algorithm)
         params = scaling.fit_scaler(train, features)
         fitted = logistic.fit_logistic(scaling.transform(train, params), features, label,
                                        C=C, max_iter=max_iter, tol=tol, name=name, version=version)
         model = LinearModel(tuple(features), fitted.coefficients, fitted.intercept,
                             params.means, params.scales, name, version, fitted.metadata)
-        scores = metrics.metrics_dict(metrics.evaluate(test, model, label, on_invalid="skip"))
+        scores = metrics.metrics_dict(metrics.evaluate(test, model, label))
     finally:
-        data.unpersist()
+        marked.unpersist()
     if run_log is not None:
         run_log.log_params({"model_type": "LogisticRegression", "max_iter": max_iter, "C": C,
                             "test_size": test_fraction, "split_mode": split_mode})
@@ -75,7 +92,9 @@ def train_job(df: DataFrame, features: Sequence[str], label: str, key: str | Seq
         store.save(model, scores)
         if run_log is not None:
             run_log.log_artifact(f"{store.feature_name}/{name}/{version}/model", store.path)
-    return TrainResult(model, scores, params, {"train": params.n})
+    return TrainResult(model, scores, params, {
+        "train": params.n, "test": rows_in - n_unlabelled - n_invalid - params.n, "rows_in": rows_in,
+        "rows_unlabelled": n_unlabelled, "rows_invalid": n_invalid})
 
 
 HYPERPARAMETER_DEFAULTS = {"max_iter": 1000, "C": 1.0, "tol": 1e-6}

@@ -76,7 +76,11 @@ def replies_as_json(replies: DataFrame, id_field: str = "request_id") -> DataFra
 
 def reply(requests: DataFrame, model: LinearModel, id_field: str = "request_id",
           threshold: float = 0.5) -> DataFrame:
-    """request_id + predictions: each record with ``prediction`` appended."""
+    """request_id + predictions: each record with ``prediction`` appended.
+
+    A record with a NULL or NaN feature gets a NULL prediction: the stream
+    and the request's other records go on.
+    """
     record_type = requests.schema["records"].dataType.elementType
     names = [f.name for f in record_type.fields]
     missing = [f for f in model.features if f not in names]
@@ -85,7 +89,8 @@ def reply(requests: DataFrame, model: LinearModel, id_field: str = "request_id",
 
     def one(r):
         inputs = {f: r[f] for f in model.features}
-        pred = predicted_label(margin(model, inputs), threshold).cast("double")
+        m = margin(model, inputs)      # NULL or NaN exactly when a feature is
+        pred = F.when(m.isNotNull() & ~F.isnan(m), predicted_label(m, threshold).cast("double"))
         return F.struct(*[r[n].alias(n) for n in names], pred.alias("prediction"))
 
     good = requests.where(F.col("records").isNotNull())
