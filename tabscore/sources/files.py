@@ -22,20 +22,31 @@ FORMATS = {".parquet": "parquet", ".pq": "parquet", ".csv": "csv", ".json": "jso
            ".jsonl": "json", ".orc": "orc"}
 
 
-def format_for_path(path: str, default: str = "csv") -> str:
-    base = path.rstrip("/")
-    ext = os.path.splitext(base)[1].lower()
-    return FORMATS.get(ext, default)
+def format_for_path(path: str) -> str:
+    """By extension: Parquet without one, CSV for one that is not known; the same for reading and writing."""
+    ext = os.path.splitext(path.rstrip("/"))[1].lower()
+    return FORMATS.get(ext, "csv") if ext else "parquet"
 
 
 def read_file(spark: SparkSession, path: str, schema: StructType | str | None = None,
-              fmt: str | None = None, header: bool = True) -> DataFrame:
+              fmt: str | None = None, header: bool = True, multi_line: bool = True,
+              null_value: str = "") -> DataFrame:
+    """Read by extension (Parquet without one, as ``write_file`` writes).
+
+    CSV: quotes inside a field are doubled, and quoted fields may hold line
+    breaks.  That makes a file one task's work; ``multi_line=False`` splits
+    files known to have none, and Parquet is the way to large data.
+    ``null_value`` is the text of a missing cell; with the default an empty
+    string is one too (give the writer and the reader another to tell them
+    apart).
+    """
     fmt = fmt or format_for_path(path)
     reader = spark.read
     if schema is not None:
         reader = reader.schema(schema)
     if fmt == "csv":
-        reader = reader.option("header", header)
+        reader = reader.options(header=header, multiLine=multi_line, quote='"', escape='"', nullValue=null_value,
+                                emptyValue="")
         if schema is None:
             reader = reader.option("inferSchema", True)
         return reader.csv(path)
@@ -58,13 +69,15 @@ def load_input(spark: SparkSession, path: str | None = None, table: str | None =
 
 
 def write_file(df: DataFrame, path: str, mode: str = "overwrite", fmt: str | None = None,
-               partition_by: list[str] | None = None, header: bool = True) -> None:
-    fmt = fmt or format_for_path(path, default="parquet")
+               partition_by: list[str] | None = None, header: bool = True, null_value: str = "") -> None:
+    """Write by extension (Parquet without one); CSV as :func:`read_file` reads it."""
+    fmt = fmt or format_for_path(path)
     writer = df.write.mode(mode)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     if fmt == "csv":
-        writer = writer.option("header", header)
+        writer = writer.options(header=header, quote='"', escape='"', nullValue=null_value, emptyValue='""',
+                                ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
     writer.format(fmt).save(path)
 
 

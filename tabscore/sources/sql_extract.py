@@ -74,13 +74,15 @@ def training_extract(spark: SparkSession, table: str, features: Sequence[str], t
     qkeys = _checked(cols, keys, "sample key")
     parts = [f"CAST({k} AS STRING)" for k in qkeys] + ([":sample_seed"] if sample_seed is not None else [])
     key_text = parts[0] if len(parts) == 1 else "concat_ws('|', " + ", ".join(parts) + ")"
+    if sample_fraction >= 1:
+        key_text = "'all'"     # every row, also one whose key is NULL
     text = render(template or load_template("training_extract.sql"),
                   features=", ".join(feats), date_type=_date_type(cols, date_column),
                   sample_key=key_text)
     start, end = _day(start_date), _day(end_date)
     args = {"table_name": table, "target_column": target_column, "date_column": date_column,
             "window_start": start.isoformat(), "window_end": (end + _dt.timedelta(days=1)).isoformat(),
-            "sample_fraction": float(min(sample_fraction, 2.0))}
+            "sample_fraction": float(sample_fraction)}
     if sample_seed is not None:
         args["sample_seed"] = str(sample_seed)
     return spark.sql(text, args=args)
