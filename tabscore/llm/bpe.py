@@ -38,13 +38,12 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 
-from tabscore.llm.common import F, T, col, free_name
-from tabscore.session import ship_package
+from tabscore.llm.common import python_workers, F, T, col, free_name
 
 #: The broadcast vocabulary must stay below this.
 VOCABULARY_BYTES = 16 * 1024 * 1024
 #: Distinct pieces and pairs a worker remembers before it starts afresh (speed only, results do not depend on it).
-REMEMBERED = 200_000
+REMEMBERED = 100_000
 
 # Letters and numbers of Unicode versions after the one the
 # tokenizers library knows (16); it sees them as neither.
@@ -297,7 +296,7 @@ def default_path() -> str:
 
 def encode_column(spark: SparkSession, path: str, text: Column) -> Column:
     """Ids of each text as one binary value (little-endian unsigned 32-bit integers)."""
-    ship_package(spark)
+    python_workers(spark)
     shared = spark.sparkContext.broadcast(read_vocabulary(path))
 
     @F.pandas_udf(T.BinaryType())
@@ -311,7 +310,7 @@ def encode_column(spark: SparkSession, path: str, text: Column) -> Column:
 
 def decode_column(spark: SparkSession, path: str, ids: Column) -> Column:
     """The text of each binary value of ids."""
-    ship_package(spark)
+    python_workers(spark)
     shared = spark.sparkContext.broadcast(read_vocabulary(path))
 
     @F.pandas_udf(T.StringType())

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window
 
-from tabscore.session import scratch_path
+from tabscore.session import scratch_path, ship_package
 
 #: A side of a join is broadcast only when its measured rows times its row width stay below this.
 BROADCAST_BYTES = 32 * 1024 * 1024
@@ -21,6 +21,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
+#: Rows per Arrow batch: whole texts travel, so a batch is kept small and a Python worker's memory with it.
+BATCH_ROWS = 1000
+
+
+def python_workers(spark: SparkSession) -> None:
+    """Prepare the session for Python on the executors: the package shipped, batches of bounded size."""
+    ship_package(spark)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key, "10000")) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet below the shared checkpoint folder and read it back.
 
@@ -142,4 +154,4 @@ def crc_mod(ident: Column, m: int) -> Column:
 
 
 __all__ = ["BROADCAST_BYTES", "ROW_FILE", "ROW_POS", "table", "materialise", "free_name", "quoted", "col",
-           "located", "small", "drop_rows", "components", "words", "crc_mod", "F", "T", "Window"]
+           "located", "small", "drop_rows", "components", "words", "crc_mod", "python_workers", "F", "T", "Window"]

@@ -37,8 +37,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 
-from tabscore.llm.common import (BROADCAST_BYTES, F, ROW_FILE, ROW_POS, T, col, located, materialise, small)
-from tabscore.session import ship_package
+from tabscore.llm.common import (python_workers, BROADCAST_BYTES, F, ROW_FILE, ROW_POS, T, col, located, materialise, small)
 
 WINDOW = 8
 SHORTEST = 3
@@ -199,7 +198,7 @@ def window_rows(df: DataFrame, lengths: list[int], only: np.ndarray | None = Non
     length is one window, and a capitalised first word is taken both ways.
     ``whole`` is the text's number of words when the window is the whole text.
     """
-    ship_package(df.sparkSession)
+    python_workers(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(only)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -41,8 +41,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from tabscore.llm.common import F, T, col, components, materialise, small, words
-from tabscore.session import ship_package
+from tabscore.llm.common import python_workers, F, T, col, components, materialise, small, words
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -130,7 +129,7 @@ def word_hash_column(text):
 
 def signed(docs: DataFrame, ident: str, text: str) -> DataFrame:
     """(row, doc_id, k1, k2, n, tokens) of every document; ``row`` is fixed by writing the table."""
-    ship_package(docs.sparkSession)
+    python_workers(docs.sparkSession)
     rows = docs.select(col(ident).cast("long").alias("doc_id"), word_hash_column(col(text)).alias("w"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -33,8 +33,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 
-from tabscore.llm.common import F, T, col, crc_mod, free_name, materialise, small
-from tabscore.session import ship_package
+from tabscore.llm.common import python_workers, F, T, col, crc_mod, free_name, materialise, small
 
 #: Bound on the labelled rows used for the fit.
 MAX_LABELLED = 200_000
@@ -141,7 +140,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, fold: Column,
                   bound: int) -> DataFrame:
     """(stats, y, part) of the labelled rows in the training fold, written once."""
     spark = docs.sparkSession
-    ship_package(spark)
+    python_workers(spark)
     known = labels.where(col(label).isNotNull() & col(ident).isNotNull() & fold).groupBy(
         col(ident).alias("_id")).agg(F.avg(col(label).cast("double")).alias("_y"))
     known = materialise(known, "quality-labels")
@@ -222,7 +221,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", fold: Column
 
 def score_column(docs: DataFrame, model: QualityModel, text: Column) -> Column:
     """The score of each whole text; the model travels with the task (a few hundred kB, fixed)."""
-    ship_package(docs.sparkSession)
+    python_workers(docs.sparkSession)
 
     @F.pandas_udf(T.DoubleType())
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

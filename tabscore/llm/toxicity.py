@@ -34,8 +34,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 
-from tabscore.llm.common import F, T, col, crc_mod, materialise, small, words
-from tabscore.session import ship_package
+from tabscore.llm.common import python_workers, F, T, col, crc_mod, materialise, small, words
 
 SLOTS = 1 << 20
 PRIOR_SHARE = 0.05      # prior weight, as a share of all counted words
@@ -177,7 +176,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, fold: Column,
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", fold: Column | None = None,
         ident: str = "doc_id", text: str = "text") -> ToxicModel:
     spark = docs.sparkSession
-    ship_package(spark)
+    python_workers(spark)
     fold = fold if fold is not None else crc_mod(col(ident), 5) != 0
     rows = training_rows(docs, labels, label, fold, ident, text)
     counts = rows.select("toxic", F.explode(F.array_distinct("ids")).alias("slot")).groupBy("slot").agg(
@@ -247,6 +246,6 @@ def segment_column(df: DataFrame, model: ToxicModel, ids: Column) -> Column:
 
 def passages(docs: DataFrame, model: ToxicModel, ident: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, score (0 to 1), evidence and every significant toxic passage (word positions) of each whole text."""
-    ship_package(docs.sparkSession)
+    python_workers(docs.sparkSession)
     found = docs.select(col(ident).alias("doc_id"), segment_column(docs, model, slots(col(text))).alias("r"))
     return found.select("doc_id", "r.score", "r.evidence", "r.segments")

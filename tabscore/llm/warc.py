@@ -35,8 +35,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from tabscore.llm.common import F, ROW_FILE, ROW_POS, T, col, located, materialise, small
-from tabscore.session import scratch_path, ship_package
+from tabscore.llm.common import python_workers, F, ROW_FILE, ROW_POS, T, col, located, materialise, small
+from tabscore.session import scratch_path
 
 # Fixed values of the format.
 VERSION = b"WARC/1.1\r\n"
@@ -160,7 +160,7 @@ def segments(r: dict, size: int = SEGMENT_BYTES) -> Iterator[bytes]:
 
 def write(planned: DataFrame, path: str, size: int = SEGMENT_BYTES) -> None:
     """Write the planned records as WARC files below ``path``."""
-    ship_package(planned.sparkSession)
+    python_workers(planned.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, held = [], 0
@@ -229,7 +229,7 @@ _TYPES = {f.name: _ARROW[f.dataType.simpleString()] for f in CHUNKS.fields}
 
 def chunk_table(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame:
     """The archives below ``path`` as chunk rows with running digests (``with_payload=False``: digests without the bytes)."""
-    ship_package(spark)
+    python_workers(spark)
     lines = spark.read.option("lineSep", END + VERSION.decode()).text(path).select(
         F.col("value").cast("binary").alias("value"), F.instr("value", "WARC-Segment-Number: ").alias("many"))
     names = [f.name for f in CHUNKS.fields]
