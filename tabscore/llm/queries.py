@@ -10,8 +10,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabscore.llm import bpe, decontaminate, exact_dedup, jaccard_join, quality, sharding, toxicity, url_filter, warc
+from tabscore.llm import bpe, decontaminate, exact_dedup, jaccard_join, quality, sharding, token_rollup, toxicity, url_filter, warc
 from tabscore.llm.common import F, col, crc_mod, table
+from tabscore.session import scratch_path
 
 
 def op1_chosen_path_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,6 +38,35 @@ FROM p LEFT JOIN f ON p.payload_digest = f.payload_digest AND p.payload_bytes >=
 """
 
 
+def op3_token_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Insert all documents, revise the labelled ones, delete those of low quality; one batch is replayed."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    path = scratch_path(spark, "token-rollup")
+    token_rollup.commit(token_rollup.signed(docs, "words-v1", 1), path, 0)
+    labelled = docs.join(labels.select("doc_id").distinct(), "doc_id", "left_semi")
+    for _ in range(2):
+        token_rollup.commit(token_rollup.revised(labelled, "words-v1", "words-v2"), path, 1)
+    poor = docs.join(labels.where("quality = 0").select("doc_id").distinct(), "doc_id", "left_semi")
+    token_rollup.commit(token_rollup.signed(poor, "words-v2", -1), path, 2)
+    return token_rollup.totals(spark, path)
+
+
+OP3_SQL = r"""
+WITH d AS (
+  SELECT source, lang, coalesce(text, '') AS t,
+         doc_id IN (SELECT doc_id FROM labels) AS labelled,
+         doc_id IN (SELECT doc_id FROM labels WHERE quality = 0) AS poor
+  FROM documents),
+k AS (
+  SELECT source, lang, CASE WHEN labelled THEN 'words-v2' ELSE 'words-v1' END AS tokenizer,
+         len(list_filter(string_split_regex(t, CASE WHEN labelled THEN '[^A-Za-z0-9]+' ELSE '[ \t\r\n]+' END),
+                         lambda x: x <> '')) AS n
+  FROM d WHERE NOT poor)
+SELECT source, lang, tokenizer, count(*) AS docs, CAST(sum(n) AS BIGINT) AS tokens
+FROM k GROUP BY 1, 2, 3
+"""
+
+
 def op4_url_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"))
 
@@ -97,6 +127,7 @@ FROM d JOIN g USING (text_sha256)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chosen_path_join": op1_chosen_path_join,
     "op2_warc_chunks": op2_warc_chunks,
+    "op3_token_rollups": op3_token_rollups,
     "op4_url_language_model": op4_url_language_model,
     "op5_template_decontamination": op5_template_decontamination,
     "op6_toxic_segments": op6_toxic_segments,
@@ -108,5 +139,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE: dict[str, str] = {
     "op2_warc_chunks": OP2_SQL,
+    "op3_token_rollups": OP3_SQL,
     "op10_streaming_exact_dedup": OP10_SQL,
 }
