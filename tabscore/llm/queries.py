@@ -40,7 +40,7 @@ FROM p LEFT JOIN f ON p.payload_digest = f.payload_digest AND p.payload_bytes >=
 
 def op3_token_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Insert all documents, revise the labelled ones, delete those of low quality; one batch is replayed."""
-    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    docs, labels = token_rollup.counted(table(spark, sf_dir, "documents")), table(spark, sf_dir, "labels")
     path = scratch_path(spark, "token-rollup")
     token_rollup.commit(token_rollup.signed(docs, "words-v1", 1), path, 0)
     labelled = docs.join(labels.select("doc_id").distinct(), "doc_id", "left_semi")

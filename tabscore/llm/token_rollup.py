@@ -20,7 +20,7 @@ import os
 
 from pyspark.sql import Column, DataFrame, SparkSession
 
-from tabscore.llm.common import F, T, col
+from tabscore.llm.common import F, T, col, materialise
 
 KEYS = ["source", "lang", "tokenizer"]
 BATCH = T.StructType([T.StructField(k, T.StringType()) for k in KEYS]
@@ -35,15 +35,22 @@ def n_tokens(text: Column, version: str) -> Column:
     return F.size(F.filter(parts, lambda w: w != "")).cast("long")
 
 
-def signed(docs: DataFrame, version: str, sign: int, text: str = "text", source: str = "source",
-           lang: str = "lang") -> DataFrame:
-    """Change rows of ``docs`` under a tokenizer version: sign 1 inserts, -1 deletes."""
-    return docs.select(col(source).alias("source"), col(lang).alias("lang"), F.lit(version).alias("tokenizer"),
-                       F.lit(sign).cast("long").alias("docs"), (n_tokens(col(text), version) * sign).alias("tokens"))
+def counted(docs: DataFrame, ident: str = "doc_id", text: str = "text", source: str = "source",
+            lang: str = "lang") -> DataFrame:
+    """(doc_id, source, lang, counts by version) of every document, written once: later joins move no text."""
+    counts = [n_tokens(col(text), v).alias(v) for v in VERSIONS]
+    return materialise(docs.select(col(ident).alias("doc_id"), col(source).alias("source"), col(lang).alias("lang"),
+                                   F.struct(*counts).alias("counts")), "token-counts")
 
 
-def revised(docs: DataFrame, old: str, new: str, **names) -> DataFrame:
-    return signed(docs, old, -1, **names).unionByName(signed(docs, new, 1, **names))
+def signed(rows: DataFrame, version: str, sign: int) -> DataFrame:
+    """Change rows of counted documents under a tokenizer version: sign 1 inserts, -1 deletes."""
+    return rows.select("source", "lang", F.lit(version).alias("tokenizer"), F.lit(sign).cast("long").alias("docs"),
+                       (F.col("counts")[version] * sign).alias("tokens"))
+
+
+def revised(rows: DataFrame, old: str, new: str) -> DataFrame:
+    return signed(rows, old, -1).unionByName(signed(rows, new, 1))
 
 
 def commit(changes: DataFrame, path: str, batch: int) -> None:
