@@ -43,7 +43,7 @@ def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    both = bpe.decode(bpe.encode(docs.select("doc_id", "lang", "source", "text")))
+    both = bpe.round_trip(docs.select("doc_id", "lang", "source", "text"))
     return both.select("doc_id", "lang", "source", "n_tokens", "token_ids",
                        (F.col("decoded_text") == F.coalesce("text", F.lit(""))).alias("decoded_ok"))
 

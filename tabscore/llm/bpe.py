@@ -334,3 +334,28 @@ def decode(encoded: DataFrame, path: str | None = None, ids: str = "token_ids")
     """``encoded`` with ``decoded_text`` appended."""
     name = free_name(encoded.columns, "decoded_text")
     return encoded.withColumn(name, decode_column(encoded.sparkSession, path or default_path(), col(ids)))
+
+
+def round_trip(docs: DataFrame, path: str | None = None, text: str = "text") -> DataFrame:
+    """``decode(encode(docs))`` in one Python pass: a task then holds one Python worker, not two at a time."""
+    spark = docs.sparkSession
+    python_workers(spark)
+    shared = spark.sparkContext.broadcast(read_vocabulary(path or default_path()))
+    both = free_name(docs.columns, "token_ids_and_text")
+    returned = T.StructType([T.StructField("ids", T.BinaryType()), T.StructField("text", T.StringType())])
+
+    @F.pandas_udf(returned)
+    def encoded(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        v, table = vocabulary(shared.value), offset_table(shared.value)
+        for batch in batches:
+            ids = [v.encode(t) for t in batch]
+            yield pd.DataFrame({"ids": ids, "text": [table.decode(np.frombuffer(b, dtype="<u4")) for b in ids]},
+                               dtype=object)
+
+    taken = list(docs.columns)
+    names = [free_name(taken, n) for n in ("token_ids", "n_tokens", "decoded_text")]
+    out = docs.withColumn(both, encoded(col(text)))
+    ids = F.col(both)["ids"]
+    return out.select(*[col(c) for c in taken], ids.alias(names[0]),
+                      F.call_function("div", F.octet_length(ids), F.lit(4)).alias(names[1]),
+                      F.col(both)["text"].alias(names[2]))

@@ -104,7 +104,7 @@ def op8_fourier_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_backtracking_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    both = bpe.decode(bpe.encode(docs))
+    both = bpe.round_trip(docs)
     return both.select("doc_id", "n_tokens", F.sha2("token_ids", 256).alias("ids_sha256"),
                        F.sha2(F.col("decoded_text").cast("binary"), 256).alias("decoded_sha256"))
 

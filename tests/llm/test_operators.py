@@ -267,6 +267,10 @@ def test_bpe_equals_the_library(spark, docs, empty):
         assert np.frombuffer(bytes(r.token_ids_), "<u4").tolist() == ids and r.n_tokens == len(ids)
         assert r.decoded_text == (r.text or "") and r.token_ids == 2
     assert bpe.encode(empty).count() == 0
+    once = bpe.round_trip(docs)
+    names = [c for c in once.columns if c in out.columns]
+    assert sorted(map(str, once.select(names).collect())) == sorted(map(str, out.select(names).collect()))
+    assert set(once.columns) == set(out.columns) and bpe.round_trip(empty).count() == 0
 
 
 def word_shingles(t):
