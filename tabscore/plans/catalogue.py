@@ -14,6 +14,7 @@ import datetime as _dt
 import os
 import uuid
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -330,13 +331,13 @@ RECORD = T.StructType([T.StructField("event_id", T.LongType()), T.StructField("u
                        T.StructField("value", T.DoubleType())])
 
 
-def write_requests(spark, sf_dir) -> str:
+def write_requests(spark, sf_dir, events: DataFrame | None = None) -> str:
     """Group events into JSON request lines of REQUEST_SIZE records (Spark job).
 
     ``event_id`` is unique, so each request group holds at most REQUEST_SIZE
     rows by construction: the collect is bounded.
     """
-    ev = table(spark, sf_dir, "events")
+    ev = events if events is not None else table(spark, sf_dir, "events")
     reqs = (ev.select(F.floor(F.col("event_id") / REQUEST_SIZE).cast("bigint").alias("request_id"),
                       F.struct("event_id", "user_id", "value").alias("r"))
               .groupBy("request_id").agg(F.sort_array(F.collect_list("r")).alias("records")))
@@ -410,6 +411,159 @@ def q_train_and_score(spark, sf_dir):
                                digits=6).select("doc_id", "prediction", "probability")
 
 
+# ---------------------------------------------------------------- invalid rows, jobs and stores
+
+EVENTS_MODELS = [EVENTS_MODEL, EVENTS_MODEL_B, EVENTS_MODEL_C]
+SCORED = ["event_id", "user_id", "value"]
+# every tenth document lacks its length, another tenth its label
+HOLED_CHARS = "CASE WHEN doc_id % 10 = 3 THEN NULL ELSE n_chars END"
+HOLED_LABEL = "CASE WHEN doc_id % 10 = 7 THEN CAST('NaN' AS DOUBLE) WHEN doc_id % 10 = 8 THEN NULL " \
+              "ELSE CAST(quality AS DOUBLE) END"
+# a number doubles cannot hold, missing where the event failed
+BIG_ID = "CASE WHEN event_type = 'error' THEN NULL ELSE event_id + 9007199254740993 END"
+HOLED_TEXT = "CASE WHEN doc_id % 5 = 0 THEN NULL WHEN doc_id % 5 = 1 THEN '' ELSE text END"
+METRICS = ("accuracy", "precision", "recall", "f1")
+
+
+def holed_documents(spark, sf_dir) -> DataFrame:
+    return labelled_documents(spark, sf_dir).select(
+        "doc_id", F.expr(HOLED_CHARS).alias("n_chars"), F.expr(HOLED_LABEL).alias("quality"))
+
+
+def q_score_python_invalid(spark, sf_dir):
+    return score_with_predictor(events_with_invalid(spark, sf_dir), LinearPredictor(EVENTS_MODEL),
+                                columns=SCORED, on_invalid="null")
+
+
+def q_score_udf_invalid(spark, sf_dir):
+    return score_with_udf(events_with_invalid(spark, sf_dir).select(SCORED), LinearPredictor(EVENTS_MODEL),
+                          EVENTS_MODEL.features, on_invalid="skip")
+
+
+def q_score_many_invalid(spark, sf_dir):
+    return multi.score_many(events_with_invalid(spark, sf_dir), EVENTS_MODELS, ["event_id"], on_invalid="null")
+
+
+def q_score_ensemble_invalid(spark, sf_dir):
+    return multi.score_ensemble(events_with_invalid(spark, sf_dir), EVENTS_MODELS, ["event_id"], on_invalid="skip")
+
+
+def q_model_status_invalid(spark, sf_dir):
+    return multi.model_status(events_with_invalid(spark, sf_dir), EVENTS_MODELS, STATUS_REQUEST)
+
+
+def q_stream_reply_invalid(spark, sf_dir):
+    src = write_requests(spark, sf_dir, events_with_invalid(spark, sf_dir))
+    replies = streaming.reply(streaming.read_requests(spark, src, RECORD), EVENTS_MODEL)
+    return spark.read.parquet(streaming.run_available_now(streaming.reply_rows(replies), name="stream-invalid"))
+
+
+def q_stream_rejects(spark, sf_dir):
+    """Failed events send broken lines; users divisible by 3 send requests without records."""
+    sent = table(spark, sf_dir, "events").select(F.expr("""
+        CASE WHEN event_type = 'error' THEN concat('broken ', event_id)
+             WHEN user_id % 3 = 0 THEN to_json(named_struct('request_id', event_id))
+             ELSE to_json(named_struct('request_id', event_id,
+                                       'records', array(named_struct('event_id', event_id, 'value', value)))) END
+        """).alias("value"))
+    return streaming.rejects(streaming.parse_requests(sent, RECORD))
+
+
+def q_flagged_rows(spark, sf_dir):
+    return validate.flag_invalid(events_with_invalid(spark, sf_dir), EVENTS_MODEL.features).select(
+        "event_id", "reject_reason", "is_valid")
+
+
+def q_evaluate_invalid(spark, sf_dir):
+    m = metrics.evaluate(holed_documents(spark, sf_dir), DOC_MODEL, label="quality", on_invalid="skip")
+    return m.select("n", "tp", "fp", "fn", "tn", *[F.round(c, 6).alias(c) for c in METRICS])
+
+
+def q_train_job_invalid(spark, sf_dir):
+    data = holed_documents(spark, sf_dir)
+    res = jobs.train_job(data, ["n_chars"], "quality", "doc_id", max_iter=200, tol=1e-10,
+                         name="doc_quality", version="train-invalid", on_invalid="skip")
+    return data.agg(F.count("*").alias("n")).select(
+        "n", *[F.lit(int(v)).cast("bigint").alias(k) for k, v in sorted(res.sizes.items())],
+        *[F.round(F.lit(float(res.metrics[k])), 6).alias(k) for k in METRICS])
+
+
+def q_exact_split_sides(spark, sf_dir):
+    df = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
+    train, test = sampling.split_exact(df, SPLIT_FRACTION, "o_orderkey", SPLIT_SEED)
+    return train.withColumn("side", F.lit("train")).unionByName(test.withColumn("side", F.lit("test")))
+
+
+def q_approx_split_sides(spark, sf_dir):
+    df = table(spark, sf_dir, "events").select("event_id", "value")
+    train, test = sampling.split_approx(df, SPLIT_FRACTION, "event_id", SPLIT_SEED)
+    return train.withColumn("side", F.lit("train")).unionByName(test.withColumn("side", F.lit("test")))
+
+
+def q_csv_text_roundtrip(spark, sf_dir):
+    """Texts with line breaks, quotes, empty and missing values."""
+    df = table(spark, sf_dir, "documents").select("doc_id", F.expr(HOLED_TEXT).alias("text"), "lang")
+    path = scratch_path(spark, "texts") + ".csv"
+    files.write_file(df, path, null_value="\\N")
+    return files.read_file(spark, path, schema=df.schema, null_value="\\N")
+
+
+def q_path_over_table(spark, sf_dir):
+    """With a path and a table name the path is written and read, and no table is made."""
+    df = table(spark, sf_dir, "customer")
+    path, name = scratch_path(spark, "customer") + ".parquet", f"tabscore_unused_{uuid.uuid4().hex[:10]}"
+    files.write_output(df, path=path, table=name)
+    back = files.load_input(spark, path=path, table=name)
+    return back.select("c_custkey", "c_name", F.lit(spark.catalog.tableExists(name)).alias("table_made"))
+
+
+def q_runlog_roundtrip(spark, sf_dir):
+    """Events as the rows of a stored run log: failed ones are artifacts, the others metrics."""
+    path = scratch_path(spark, "runlog")
+    table(spark, sf_dir, "events").select(
+        F.col("user_id").cast("string").alias("run_id"),
+        F.when(F.col("event_type") == "error", "artifact").otherwise("metric").alias("kind"),
+        F.col("event_type").alias("key"), F.col("event_id").cast("string").alias("value"),
+        F.col("event_id").alias("seq"), F.col("ts").cast("timestamp_ntz").alias("ts")).write.parquet(path)
+    return runlog.RunLog(spark, path).current()
+
+
+def model_store(spark, models) -> runlog.ModelStore:
+    store = runlog.ModelStore(spark, scratch_path(spark, "models"), "events")
+    for day, model in enumerate(models, 1):
+        store.save(model, {"accuracy": 0.5}, registered_at=_dt.datetime(2024, 1, day))
+    return store
+
+
+def q_registry_roundtrip(spark, sf_dir):
+    """The later of two saved versions comes back and scores as the model that was saved."""
+    store = model_store(spark, [replace(EVENTS_MODEL_B, name="events_a", version="v0"), EVENTS_MODEL])
+    return scoring.score(table(spark, sf_dir, "events").select(SCORED), store.load("events_a", "latest"))
+
+
+def q_score_models_job(spark, sf_dir):
+    out = scratch_path(spark, "models-job")
+    jobs.score_models_job(spark, model_store(spark, EVENTS_MODELS), STATUS_REQUEST, keep=["event_id"],
+                          input_path=os.path.join(sf_dir, "events.parquet"), output_path=out)
+    return spark.read.parquet(out)
+
+
+def q_observed_rows(spark, sf_dir):
+    out = scratch_path(spark, "observed") + ".parquet"
+    _, rows = jobs.score_job(spark, EVENTS_MODEL, input_path=os.path.join(sf_dir, "events.parquet"), output_path=out)
+    return spark.read.parquet(out).agg(F.count("*").alias("rows_written")).withColumn(
+        "rows_observed", F.lit(rows).cast("bigint"))
+
+
+def q_predictor_score_job(spark, sf_dir):
+    """A user predictor over a stored table: numbers beyond doubles, NULL and NaN come through unchanged."""
+    src, out = (scratch_path(spark, n) + ".parquet" for n in ("predictor-in", "predictor-out"))
+    events_with_invalid(spark, sf_dir).select(*SCORED, F.expr(BIG_ID).alias("big_id")).write.parquet(src)
+    _, rows = jobs.predictor_score_job(spark, LinearPredictor(EVENTS_MODEL), input_path=src, output_path=out,
+                                       on_invalid="null")
+    return spark.read.parquet(out).withColumn("rows_observed", F.lit(rows).cast("bigint"))
+
+
 QUERIES: dict[str, Query] = {
     "training_extract": q_training_extract,
     "scoring_extract": q_scoring_extract,
@@ -458,4 +612,23 @@ QUERIES: dict[str, Query] = {
     "train_logistic": q_train_logistic,
     "train_job": q_train_job,
     "train_and_score": q_train_and_score,
+    "score_python_invalid": q_score_python_invalid,
+    "score_udf_invalid": q_score_udf_invalid,
+    "score_many_invalid": q_score_many_invalid,
+    "score_ensemble_invalid": q_score_ensemble_invalid,
+    "model_status_invalid": q_model_status_invalid,
+    "stream_reply_invalid": q_stream_reply_invalid,
+    "stream_rejects": q_stream_rejects,
+    "flagged_rows": q_flagged_rows,
+    "evaluate_invalid": q_evaluate_invalid,
+    "train_job_invalid": q_train_job_invalid,
+    "exact_split_sides": q_exact_split_sides,
+    "approx_split_sides": q_approx_split_sides,
+    "csv_text_roundtrip": q_csv_text_roundtrip,
+    "path_over_table": q_path_over_table,
+    "runlog_roundtrip": q_runlog_roundtrip,
+    "registry_roundtrip": q_registry_roundtrip,
+    "score_models_job": q_score_models_job,
+    "observed_rows": q_observed_rows,
+    "predictor_score_job": q_predictor_score_job,
 }

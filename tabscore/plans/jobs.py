@@ -134,14 +134,38 @@ def score_job(spark: SparkSession, model: LinearModel, *, input_path: str | None
     df = load_input(spark, input_path, table)
     (schema or InputSchema.from_feature_columns(model.features)).validate(df)
     scored = score(df, model, threshold=threshold, on_invalid=on_invalid, validate=False)
-    if not (output_path or output_table):
-        return scored, None
+    return scored, _write_counted(scored, output_path, output_table, mode, partition_by, run_log)
+
+
+def _write_counted(scored: DataFrame, path: str | None, table: str | None, mode: str,
+                   partition_by: list[str] | None, run_log: RunLog | None) -> int | None:
+    """Write a scored table; its row count, observed during the write (None when there is nowhere to write)."""
+    if not (path or table):
+        return None
     counted, obs = profile.observed(scored)
-    write_output(counted, output_path, output_table, mode, partition_by=partition_by)
+    write_output(counted, path, table, mode, partition_by=partition_by)
     rows = obs.get["rows"]
     if run_log is not None:
         run_log.log_metrics({"rows_scored": rows})
-    return scored, rows
+    return rows
+
+
+def predictor_score_job(spark: SparkSession, predictor, *, input_path: str | None = None,
+                        table: str | None = None, output_path: str | None = None,
+                        output_table: str | None = None, columns: Sequence[str] | None = None,
+                        on_invalid: str = "error", mode: str = "overwrite",
+                        partition_by: list[str] | None = None,
+                        run_log: RunLog | None = None) -> tuple[DataFrame, int | None]:
+    """:func:`score_job` with a user's Python predictor.
+
+    A predictor that names its ``features`` leaves the other columns
+    unchanged and follows ``on_invalid``; one that does not gets whole rows.
+    """
+    from tabscore.operators.pyscore import score_with_predictor
+
+    df = load_input(spark, input_path, table)
+    scored = score_with_predictor(df, predictor, columns=columns, on_invalid=on_invalid)
+    return scored, _write_counted(scored, output_path, output_table, mode, partition_by, run_log)
 
 
 def score_models_job(spark: SparkSession, store: ModelStore, model_names: Sequence[str], *,

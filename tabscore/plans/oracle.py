@@ -28,10 +28,14 @@ def invalid_events() -> str:
     return f"SELECT event_id, ts, user_id, event_type, {c.INVALID_VALUE} AS value, props FROM events"
 
 
-def _metrics(model: LinearModel, label: str) -> str:
+LABELLED = "SELECT d.doc_id, d.n_chars, l.quality, l.toxic FROM documents d JOIN labels l ON d.doc_id = l.doc_id"
+HOLED = f"SELECT doc_id, {c.HOLED_CHARS} AS n_chars, {c.HOLED_LABEL} AS quality FROM ({LABELLED})"
+LABELLED_AND_VALID = f"SELECT * FROM ({HOLED}) WHERE quality IS NOT NULL AND NOT isnan(quality) AND n_chars IS NOT NULL"
+
+
+def _metrics(model: LinearModel, label: str, source: str = LABELLED) -> str:
     return f"""
-WITH d AS (SELECT d.doc_id, d.n_chars, l.{label} AS y
-           FROM documents d JOIN labels l ON d.doc_id = l.doc_id),
+WITH d AS (SELECT doc_id, n_chars, {label} AS y FROM ({source}) t),
 s AS (SELECT y, {pred(model)} AS p FROM d),
 k AS (SELECT count(*) FILTER (WHERE y IS NOT NULL AND p IS NOT NULL) AS n,
              count(*) FILTER (WHERE y = 1 AND p = 1) AS tp,
@@ -117,11 +121,11 @@ def _score_many() -> str:
         f"{pred(m)} AS prediction, {prob(m)} AS probability FROM events" for m in models)
 
 
-def _score_ensemble() -> str:
+def _score_ensemble(source: str = "events") -> str:
     a, b, d = (prob(m, None) for m in (c.EVENTS_MODEL, c.EVENTS_MODEL_B, c.EVENTS_MODEL_C))
     mean = f"((({a} + {b}) + {d}) / CAST(3 AS DOUBLE))"
     return (f"SELECT event_id, round({mean}, 6) AS probability, "
-            f"CAST({mean} > {sql_double(0.5)} AS DOUBLE) AS prediction FROM events")
+            f"CAST({mean} > {sql_double(0.5)} AS DOUBLE) AS prediction FROM {source}")
 
 
 def _model_status() -> str:
@@ -188,9 +192,9 @@ SELECT (SELECT count(*) FROM src) AS n, 'n_chars' AS term, round(w, 6) AS value
 FROM it WHERE k = {NEWTON_ROUNDS}"""
 
 
-def _train_job() -> str:
-    return _train_job_ctes() + """
-SELECT (SELECT count(*) FROM src) AS n,
+def _train_job(source: str = LABELLED, counts: str = "(SELECT count(*) FROM src) AS n") -> str:
+    return _train_job_ctes(source) + f"""
+SELECT {counts},
   round(CASE WHEN n = 0 THEN 0.0 ELSE CAST(tp + tn AS DOUBLE) / n END, 6) AS accuracy,
   round(CASE WHEN tp + fp = 0 THEN 0.0 ELSE CAST(tp AS DOUBLE) / (tp + fp) END, 6) AS precision,
   round(CASE WHEN tp + fn = 0 THEN 0.0 ELSE CAST(tp AS DOUBLE) / (tp + fn) END, 6) AS recall,
@@ -206,11 +210,11 @@ SELECT d.doc_id, CAST({margin} > 0 AS INTEGER) AS prediction,
 FROM documents d, st, fin"""
 
 
-def _train_job_ctes() -> str:
+def _train_job_ctes(source: str = LABELLED) -> str:
     h = sql_hash32(["doc_id"], 42)
     return f"""WITH RECURSIVE src AS (
-  SELECT d.doc_id, CAST(d.n_chars AS DOUBLE) AS x, CAST(l.quality AS DOUBLE) AS y
-  FROM documents d JOIN labels l ON d.doc_id = l.doc_id WHERE l.quality IS NOT NULL),
+  SELECT doc_id, CAST(n_chars AS DOUBLE) AS x, CAST(quality AS DOUBLE) AS y
+  FROM ({source}) t WHERE quality IS NOT NULL),
 ranked AS (SELECT x, y, row_number() OVER (ORDER BY {h}, doc_id) AS rn FROM src),
 cut AS (SELECT ceil(count(*) * 0.2) AS kk FROM src),
 train AS (SELECT x, y FROM ranked, cut WHERE rn > kk),
@@ -225,6 +229,40 @@ c AS (SELECT count(*) AS n, count(*) FILTER (WHERE y = 1 AND p = 1) AS tp,
              count(*) FILTER (WHERE y <> 1 AND p <> 1) AS tn FROM scored)"""
 
 
+VALID = "value IS NOT NULL AND NOT isnan(value)"
+
+
+def _score_many_invalid() -> str:
+    return "\nUNION ALL ".join(
+        f"SELECT event_id, '{m.name}' AS model_name, '{m.version}' AS model_version, "
+        f"CASE WHEN {VALID} THEN {pred(m)} END AS prediction, CASE WHEN {VALID} THEN {prob(m)} END AS probability "
+        f"FROM ({invalid_events()}) e" for m in c.EVENTS_MODELS)
+
+
+def _model_status_invalid() -> str:
+    known = {m.name: m for m in c.EVENTS_MODELS}
+    parts = []
+    for name in c.STATUS_REQUEST:
+        if name in known:
+            parts.append(f"SELECT '{name}' AS model_name, CASE WHEN count(*) FILTER (WHERE NOT ({VALID})) = 0 THEN 'ok' "
+                         f"ELSE 'error: ' || count(*) FILTER (WHERE NOT ({VALID})) || ' invalid rows' END AS status, "
+                         f"count(*) AS \"rows\", count(*) FILTER (WHERE {VALID} AND "
+                         f"{sql_margin(known[name])} > {sql_double(0.0)}) AS positives FROM ({invalid_events()}) e")
+        else:
+            parts.append(f"SELECT '{name}' AS model_name, 'error: unknown model' AS status, "
+                         f"CAST(NULL AS BIGINT) AS \"rows\", CAST(NULL AS BIGINT) AS positives")
+    return "\nUNION ALL ".join(parts)
+
+
+def _train_job_invalid() -> str:
+    holed = f"FROM ({HOLED}) h"
+    unlabelled = "quality IS NULL OR isnan(quality)"
+    return _train_job(LABELLED_AND_VALID, f"""(SELECT count(*) {holed}) AS n, (SELECT count(*) {holed}) AS rows_in,
+  (SELECT count(*) {holed} WHERE {unlabelled}) AS rows_unlabelled,
+  (SELECT count(*) {holed} WHERE NOT ({unlabelled}) AND n_chars IS NULL) AS rows_invalid,
+  (SELECT count(*) FROM train) AS train, (SELECT count(*) FROM test) AS test""")
+
+
 def build() -> dict[str, str]:
     m = c.EVENTS_MODEL
     inv = f"({invalid_events()}) e"
@@ -317,6 +355,48 @@ def build() -> dict[str, str]:
         "train_logistic": _train_logistic(),
         "train_job": _train_job(),
         "train_and_score": _train_and_score(),
+        "score_python_invalid": _score_events("", inv, null_invalid=True),
+        "score_udf_invalid": _score_events(f"WHERE {VALID}", inv),
+        "score_many_invalid": _score_many_invalid(),
+        "score_ensemble_invalid": _score_ensemble(f"({invalid_events()}) e WHERE {VALID}"),
+        "model_status_invalid": _model_status_invalid(),
+        "stream_reply_invalid": (
+            f"SELECT event_id // {c.REQUEST_SIZE} AS request_id, "
+            f"row_number() OVER (PARTITION BY event_id // {c.REQUEST_SIZE} ORDER BY event_id) - 1 AS pos, "
+            f"event_id, user_id, value, CASE WHEN {VALID} THEN {pred(m)} END AS prediction FROM {inv}"),
+        "stream_rejects": (
+            "SELECT CASE WHEN event_type <> 'error' THEN event_id END AS request_id, "
+            "CASE WHEN event_type = 'error' THEN 'not json' ELSE 'no records' END AS reason, "
+            "CASE WHEN event_type = 'error' THEN 'broken ' || event_id END AS _corrupt_record "
+            "FROM events WHERE event_type = 'error' OR user_id % 3 = 0"),
+        "flagged_rows": (
+            f"SELECT event_id, nullif({_quarantine_reason()}, 'ok') AS reject_reason, "
+            f"{_quarantine_reason()} = 'ok' AS is_valid FROM {inv}"),
+        "evaluate_invalid": _metrics(
+            c.DOC_MODEL, "quality", f"SELECT * FROM ({HOLED}) WHERE n_chars IS NOT NULL AND NOT coalesce(isnan(quality), FALSE)"),
+        "train_job_invalid": _train_job_invalid(),
+        "exact_split_sides": (
+            f"WITH r AS (SELECT o_orderkey, o_totalprice, row_number() OVER (ORDER BY {h_split}, o_orderkey) AS rn "
+            "FROM orders) SELECT o_orderkey, o_totalprice, "
+            f"CASE WHEN rn <= (SELECT ceil(count(*) * {frac}) FROM orders) THEN 'test' ELSE 'train' END AS side FROM r"),
+        "approx_split_sides": (
+            f"SELECT event_id, value, CASE WHEN {sql_hash32(['event_id'], c.SPLIT_SEED)} "
+            f"< {c.SPLIT_FRACTION} * 4294967296.0 THEN 'test' ELSE 'train' END AS side FROM events"),
+        "csv_text_roundtrip": f"SELECT doc_id, {c.HOLED_TEXT} AS text, lang FROM documents",
+        "path_over_table": "SELECT c_custkey, c_name, FALSE AS table_made FROM customer",
+        "runlog_roundtrip": (
+            "WITH l AS (SELECT CAST(user_id AS VARCHAR) AS run_id, "
+            "CASE WHEN event_type = 'error' THEN 'artifact' ELSE 'metric' END AS kind, event_type AS key, "
+            "CAST(event_id AS VARCHAR) AS value, row_number() OVER (PARTITION BY user_id, event_type "
+            "ORDER BY ts DESC, event_id DESC) AS rn FROM events) "
+            "SELECT run_id, kind, key, value FROM l WHERE kind = 'artifact' OR rn = 1"),
+        "registry_roundtrip": _score_events(),
+        "score_models_job": _score_many(),
+        "observed_rows": "SELECT count(*) AS rows_written, count(*) AS rows_observed FROM events",
+        "predictor_score_job": (
+            f"SELECT event_id, user_id, value, {c.BIG_ID} AS big_id, CASE WHEN {VALID} THEN {pred(m)} END AS prediction, "
+            "(SELECT count(*) FROM events) AS rows_observed "
+            f"FROM {inv}"),
     }
 
 
