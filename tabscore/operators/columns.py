@@ -13,22 +13,15 @@ def select_features(df: DataFrame, features: Sequence[str]) -> DataFrame:
     return df.select(*features)
 
 
-def features_or_rest(df: DataFrame, features: Sequence[str], label: str = "target") -> list[str]:
-    """Declared features that exist; if none exist, every column except the label."""
-    present = [f for f in features if f in df.columns]
-    return present if present else [c for c in df.columns if c != label]
-
-
 def align_features(df: DataFrame, features: Sequence[str], label: str = "target") -> DataFrame:
     """Frame whose columns carry the model's feature names.
 
     When none of the declared names exist, the non-label columns are taken in
     order as the features (the positional fallback); the counts must agree.
     """
-    present = [f for f in features if f in df.columns]
-    if present:
+    if not set(features).isdisjoint(df.columns):
         return df
-    rest = features_or_rest(df, features, label)
+    rest = df.drop(label).columns
     if len(rest) != len(features):
         raise ValueError(f"{len(rest)} non-label columns for {len(features)} features")
     keep = [label] if label in df.columns else []

@@ -25,9 +25,6 @@ from tabscore.functions.hashing import TWO_POW_32, hash32
 from tabscore.operators.selection import EmptyInput, select_ranks_detail
 
 DEFAULT_SEED = 42
-# Distinct keys sharing one 32-bit hash number about (distinct keys) / 2^32;
-# more than this many means the key column cannot separate rows at all.
-MAX_TIE_GROUP = 1_000_000
 
 
 def random_sample(df: DataFrame, fraction: float, seed: int | None = None) -> DataFrame:
@@ -93,12 +90,9 @@ def exact_cut(df: DataFrame, test_fraction: float, key, seed=DEFAULT_SEED,
         # repeated key lands whole on one side, never straddling the split.
         per_key = (hashed.where(F.col("_h") == F.lit(float(h_star)))
                          .groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")))
-        distinct = per_key.count()
-        if distinct > MAX_TIE_GROUP:
-            raise ValueError(f"{distinct} distinct keys share one 32-bit hash: use a narrower key")
         running, last = 0, None
-        # NULLs first, as in Spark's struct ordering used by the cut below
-        for row in sorted(per_key.collect(), key=lambda r: tuple((r[c] is not None, r[c]) for c in keys)):
+        # NULLs first, as in Spark's struct ordering used by the cut below; one partition at a time
+        for row in per_key.orderBy(*[F.col(c).asc_nulls_first() for c in keys]).toLocalIterator():
             running, last = running + row["_n"], row
             if running >= need:
                 break

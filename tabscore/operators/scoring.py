@@ -126,7 +126,8 @@ def shape_output(df: DataFrame, model: LinearModel, *, id_col: str,
     df, label = guard_prediction(df, model.features, cols["label"].cast("int"), on_invalid)
     out = [F.col(id_col), label.alias(label_col)]
     if probability_col:
-        out.append(cols["probability"].alias(probability_col))
+        prob = cols["probability"] if on_invalid != "null" else F.when(label.isNotNull(), cols["probability"])
+        out.append(prob.alias(probability_col))
     if timestamp_col:
         ts = run_timestamp or _dt.datetime(1970, 1, 1)
         # wall-clock literal, independent of the Python and session time zones

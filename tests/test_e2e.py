@@ -35,11 +35,11 @@ def test_train_then_score_csv(spark, tmp_dir):
     log = RunLog(spark, os.path.join(tmp_dir, "runlog"), run_id="e2e")
     store = ModelStore(spark, os.path.join(tmp_dir, "models"), "example")
     res = jobs.train_from_config(data, FEATURES, "target", "id", config={"test_size": 0.2},
-                                 name="churn_lr", run_log=log, store=store, tol=1e-10)
+                                 name="line_model", run_log=log, store=store, tol=1e-10)
     assert res.scaler.n == 50 - math.ceil(50 * 0.2)
     assert res.metrics["accuracy"] >= 0.8
 
-    model = store.load("churn_lr", "latest")
+    model = store.load("line_model", "latest")
     out_path = os.path.join(tmp_dir, "predictions.csv")
     scored, rows = jobs.score_job(spark, model, input_path=inf_path, output_path=out_path)
     assert rows == 10
