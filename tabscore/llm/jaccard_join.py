@@ -21,9 +21,10 @@ Buckets leave a spanning tree of their candidate pairs, never the pairs.
 Connected candidates are brought together once with their texts and compared
 exactly, so every reported link has true similarity of ``threshold`` or more.
 
-A bucket or group larger than ``BLOCK`` is compared block against block, each
-pair of blocks a task's work of bounded memory; no member is left out, however
-large the group.
+A bucket or group larger than ``BLOCK`` (texts: or with more than
+``BLOCK_SHINGLES`` shingles) is compared block against block, each pair of
+blocks a task's work of bounded memory; no member is left out, however large
+the group.
 
 Defined results: null, empty and wordless texts have no shingles and link to
 nothing; rows repeating an id or a text are separate documents of one class;
@@ -51,6 +52,10 @@ BRANCHES = 2
 BUCKET = 256
 DEPTH = 4
 BLOCK = 1024
+#: Shingles of a block of texts, so that blocks of long texts hold fewer of them.
+BLOCK_SHINGLES = 1 << 20
+#: Sets of a block judged at a time.
+STRIP = 256
 #: Sampled similarity from which a pair is a candidate: four standard errors below the threshold.
 SLACK = 4 * (THRESHOLD * (1 - THRESHOLD) / TOKENS) ** 0.5
 SEED = 11
@@ -204,28 +209,14 @@ def with_blocks(rows: DataFrame, group: str, member: str, size: str = "size") ->
         {"block_a": F.col("_p.a"), "block_b": F.col("_p.b")}).drop("_p", "_g")
 
 
-class Forest:
-    """Union-find over positions 0 .. n - 1."""
-
-    def __init__(self, n: int):
-        self.up = list(range(n))
-
-    def root(self, i: int) -> int:
-        while self.up[i] != i:
-            self.up[i] = self.up[self.up[i]]
-            i = self.up[i]
-        return i
-
-    def join(self, i: int, j: int) -> bool:
-        a, b = self.root(i), self.root(j)
-        if a == b:
-            return False
-        self.up[max(a, b)] = min(a, b)
-        return True
-
-    def join_many(self, i: int, others: np.ndarray) -> None:
-        for j in others.tolist():
-            self.join(i, j)
+def newly_joined(label: np.ndarray, i: int, others: np.ndarray) -> np.ndarray:
+    """Join position ``i`` with ``others``: one position of each part that was apart from it (``label`` names the parts)."""
+    apart = others[label[others] != label[i]]
+    if len(apart):
+        parts, first = np.unique(label[apart], return_index=True)
+        label[np.isin(label, parts)] = label[i]
+        apart = apart[first]
+    return apart
 
 
 def groups_of(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[tuple[list, pa.Table]]:
@@ -261,16 +252,18 @@ def candidate_edges(rows: DataFrame) -> DataFrame:
             own = t.column("own").to_numpy()
             low = np.frombuffer(b"".join(t.column("tokens").to_pylist()), dtype=np.uint8).reshape(len(rep), TOKENS, 4)
             low = np.ascontiguousarray(low[:, :, 0])   # one byte of each token; chance agreement is made up for below
-            forest = Forest(len(rep))
+            at = np.flatnonzero(own == bb)
+            side, label, parts = low[at], np.arange(len(rep)), len(rep)
             a, b = [], []
-            for i in range(len(rep)):
-                same = (low[i + 1:] == low[i]).sum(axis=1)
-                near = np.flatnonzero((same - TOKENS / 256) / (1 - 1 / 256) >= floor) + i + 1
-                if ba != bb:
-                    near = near[own[near] != own[i]]
-                for j in near.tolist():
-                    if forest.join(i, j):
-                        a.append(rep[i]), b.append(rep[j])
+            for n, i in enumerate(np.flatnonzero(own == ba).tolist()):
+                if parts == 1:
+                    break    # one tree spans the unit: further pairs add nothing
+                start = n + 1 if ba == bb else 0
+                same = (side[start:] == low[i]).sum(axis=1)
+                near = at[start:][(same - TOKENS / 256) / (1 - 1 / 256) >= floor]
+                for j in newly_joined(label, i, near).tolist():
+                    a.append(rep[i]), b.append(rep[j])
+                    parts -= 1
             if a:
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
@@ -312,15 +305,22 @@ def link_rows(rows: DataFrame, threshold: float) -> DataFrame:
 
 def compare_sets(rep: np.ndarray, own: np.ndarray, weight: np.ndarray, sets: list[np.ndarray], crossing: bool,
                  threshold: float) -> tuple[list, list, list]:
-    """Links between sets by their exact intersections.
+    """Links between sets by their exact intersections: within a block, or (``crossing``) of one block with the other.
 
     Shingles are numbered; those of one set only cannot meet. Intersections
-    of all sets with a strip of 256 are products of 0/1 matrices, a bounded
-    number of shingles at a time.
+    are products of 0/1 matrices, a bounded number of shingles at a time, and
+    are judged ``STRIP`` sets at a time.
     """
     m = len(sets)
     if m < 2:
         return [], [], []
+    if crossing:
+        order = np.argsort(own, kind="stable")
+        rep, own, weight, sets = rep[order], own[order], weight[order], [sets[i] for i in order]
+    left = int((own == own[0]).sum())
+    start = left if crossing else 0
+    if start == m:
+        return [], [], []
     sizes = np.array([len(s) for s in sets], dtype=np.int64)
     owner = np.repeat(np.arange(m), sizes)
     _, number, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
@@ -330,24 +330,32 @@ def compare_sets(rep: np.ndarray, own: np.ndarray, weight: np.ndarray, sets: lis
     order = np.argsort(number, kind="stable")
     owner, number = owner[order], number[order]
     width = int(number[-1]) + 1 if len(number) else 0
-    inter = np.zeros((m, m), dtype=np.float32)
-    step = max(256, (32 << 20) // (4 * max(m, 1)))
+    inter = np.zeros((left, m - start), dtype=np.float32)
+    step = max(256, (32 << 20) // (4 * m))
     for lo in range(0, width, step):
         i, j = np.searchsorted(number, [lo, lo + step])
         part = np.zeros((m, min(step, width - lo)), dtype=np.float32)
         part[owner[i:j], number[i:j] - lo] = 1.0
-        inter += part @ part.T
-    union = sizes[:, None] + sizes[None, :] - inter
-    near = (inter >= threshold * union - 1e-6) & (union > 0)
-    np.fill_diagonal(near, False)
-    if crossing:
-        near &= own[:, None] != own[None, :]
-    linked = near @ weight
-    forest = Forest(m)
+        inter += part[:left] @ part[start:].T
+    linked = np.zeros(m, dtype=np.int64)
+    label, parts = np.arange(m), m
     a, b = [], []
-    for i, j in zip(*np.nonzero(np.triu(near))):
-        if forest.join(int(i), int(j)):
-            a.append(int(rep[i])), b.append(int(rep[j]))
+    for lo in range(0, left, STRIP):
+        rows = slice(lo, min(lo + STRIP, left))
+        first = start if crossing else lo
+        both = inter[rows, first - start:]
+        union = sizes[rows, None] + sizes[None, first:] - both
+        near = (both >= threshold * union - 1e-6) & (union > 0)
+        if not crossing:
+            near = np.triu(near, 1)
+        linked[rows] += near @ weight[first:]
+        linked[first:] += weight[rows] @ near
+        for i in range(rows.start, rows.stop):
+            if parts == 1:
+                break
+            for j in newly_joined(label, i, np.flatnonzero(near[i - lo]) + first).tolist():
+                a.append(int(rep[i])), b.append(int(rep[j]))
+                parts -= 1
     some = np.flatnonzero(linked)
     return (a + rep[some].tolist(), b + [None] * len(some), [None] * len(a) + linked[some].tolist())
 
@@ -361,7 +369,7 @@ def join(docs: DataFrame, ident: str = "doc_id", text: str = "text", threshold:
         F.min("row").alias("rep"), F.count("*").alias("copies"),
         F.min(F.coalesce("doc_id", F.lit(HIGHEST))).alias("first_id")), "join-classes")
     reps = materialise(some.join(classes.select("rep", "copies"), F.col("row") == F.col("rep")).select(
-        "rep", "doc_id", "k1", "k2", "copies", "tokens"), "join-reps")
+        "rep", "doc_id", "k1", "k2", "n", "copies", "tokens"), "join-reps")
     found = buckets(reps.select("rep", "tokens"), runs_for(target, threshold), DEPTH, BRANCHES)
     units = with_blocks(found, "path", "rep").join(reps.select("rep", "tokens"), "rep")
     edges = materialise(candidate_edges(units).distinct(), "join-candidates")
@@ -391,11 +399,12 @@ def group_texts(docs: DataFrame, group: DataFrame, reps: DataFrame, ident: str,
     Texts are found by id (and told apart by their set where they are
     compared), so only documents with candidates move.
     """
-    sizes = group.groupBy("root").agg(F.count("*").alias("size"))
-    wanted = group.join(sizes, "root").join(reps.select("rep", "doc_id", "k1", "k2", "copies"),
-                                            F.col("node") == F.col("rep"))
-    wanted = materialise(wanted.select("root", "size", "rep", F.col("doc_id").alias("_id"), "k1", "k2", "copies"),
-                         "join-wanted")
+    members = materialise(group.join(reps.select("rep", "doc_id", "k1", "k2", "n", "copies"),
+                                     F.col("node") == F.col("rep")), "join-members")
+    weight = F.ceil(F.sum("n") * F.lit(BLOCK) / F.lit(BLOCK_SHINGLES))
+    sizes = members.groupBy("root").agg(F.greatest(F.count("*"), weight).alias("size"))
+    wanted = materialise(members.join(sizes, "root").select(
+        "root", "size", "rep", F.col("doc_id").alias("_id"), "k1", "k2", "copies"), "join-wanted")
     side, _ = small(wanted, 80)
     texts = docs.select(col(ident).cast("long").alias("_own_id"), col(text).alias("_text"))
     rows = texts.join(side, F.col("_own_id").eqNullSafe(F.col("_id"))).select(
