@@ -46,7 +46,9 @@ STATE_CONF = {
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
-    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "128",
+    # stores of an ended query are closed soon, before later work needs their memory
+    "spark.sql.streaming.stateStore.maintenanceInterval": "15s",
     # many small stores: no disk space set aside in advance for each one's logs
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
