@@ -2,18 +2,24 @@
 
 Texts become sequences of words in which numbers, names and units are typed
 placeholders.  Windows of ``WINDOW`` such words are hash-joined between
-benchmark items and documents.  Windows that line up (same distance between
-their places in document and item) must also fill the placeholders
-consistently: one value of the item always stands for one value in the
-document, and two names never become one.  An item whose windows are covered
-to ``COVERAGE`` marks the document, whether it is copied or asked again with
-other numbers, names and units.
+benchmark items and documents.  Neighbouring number or name words are one
+placeholder, so values may differ in their number of words.  Windows that line
+up (same distance between their places in document and item) must also fill
+the placeholders consistently: one value of the item always stands for one
+value in the document, and two names never become one.  Lines whose distances
+differ by up to ``DRIFT`` words, or a quarter of the item, and that follow each
+other in both texts are added up where their values are consistent together,
+so words put in or left out do not split a copy.  An item whose windows are
+covered to ``COVERAGE`` marks the document, whether it is copied or asked
+again with other numbers, names and units; so does a run of ``RUN`` of its
+words, whatever its share.
 
 Words are found and hashed with array operations over whole texts in slices of
 about ``SLICE_BYTES``; only windows whose hash occurs in the benchmark leave a
 task while the benchmark's hashes, counted first, fit a broadcast; beyond that
 bound all windows meet the benchmark's in a shuffled join.  Either way the
-rest is joins and counts over matching windows.
+rest is joins and counts over matching windows, and one sorted pass that holds
+the lines of one item near one place of a document.
 
 Canonical words: letters, digits and all non-ASCII characters make words, case
 is folded for A-Z and Latin-1 letters; a word that begins with a digit, or is
@@ -37,12 +43,16 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 
-from tabscore.llm.common import (python_workers, BROADCAST_BYTES, F, ROW_FILE, ROW_POS, T, col, located, materialise, small)
+from tabscore.llm.common import (python_workers, BROADCAST_BYTES, F, ROW_FILE, ROW_POS, T, col, is_file_scan, located, materialise, small)
 
 WINDOW = 8
 SHORTEST = 3
 LITERALS = 3
 COVERAGE = 0.5
+#: Words in which the distances of added-up lines may differ (longer items: a quarter of their windows).
+DRIFT = 16
+#: Equal words in a row that mark a document by themselves.
+RUN = 2 * WINDOW
 SLICE_BYTES = 1 << 20
 
 # Number words, unit words, common given names.
@@ -69,6 +79,8 @@ _JOINER = np.zeros(256, dtype=bool)
 _JOINER[[ord("."), ord(",")]] = True
 _STOP = np.zeros(256, dtype=bool)
 _STOP[[ord(c) for c in ".!?\n"]] = True
+_BLANK = np.zeros(256, dtype=bool)
+_BLANK[[ord(c) for c in " \t\r\n"]] = True
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 _LONG_WORD = 48
 
@@ -113,11 +125,12 @@ def among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
     return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
 
 
-def canonical(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(text number, word hash, type, type inside a sentence) of every word of the texts, in order.
+def canonical(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text number, word hash, type, type inside a sentence, next to the word before) of every word, in order.
 
-    The last differs for a capitalised first word, which is a name when the
-    text stands inside another's sentence.
+    The second type differs for a capitalised first word, which is a name when
+    the text stands inside another's sentence.  Words are next to each other
+    with only white space or a hyphen between them.
     """
     data = np.frombuffer(b"\n".join(texts) + b"\n", dtype=np.uint8)
     edges = np.cumsum([len(t) + 1 for t in texts])
@@ -147,9 +160,26 @@ def canonical(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
         kind[number] = NUMBER
         first = np.concatenate([[True], owner[1:] != owner[:-1]])
         quoted = np.where(first & capital & ~number, NAME, kind).astype(np.int8)
+        solid = np.concatenate([[0], np.cumsum(~_BLANK[data])])
+        gap = solid[starts[1:]] - solid[ends[:-1]]
+        hyphen = (gap == 1) & (starts[1:] - ends[:-1] == 1) & (data[ends[:-1]] == ord("-"))
+        beside = ~first & np.concatenate([[False], (gap == 0) | hyphen])
     else:
-        owner, quoted = np.zeros(0, dtype=np.int64), kind
-    return owner, h, kind, quoted
+        owner, quoted, beside = np.zeros(0, dtype=np.int64), kind, np.zeros(0, dtype=bool)
+    return owner, h, kind, quoted, beside
+
+
+def collapsed(h: np.ndarray, kind: np.ndarray, beside: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(first word, end, hash, type) of every canonical word: neighbouring numbers or names are one, with all their words."""
+    n = len(h)
+    if not n:
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), h, kind
+    same = np.concatenate([[False], kind[1:] == kind[:-1]]) & beside & ((kind == NUMBER) | (kind == NAME))
+    first = np.flatnonzero(~same)
+    end = np.append(first[1:], n)
+    place = (np.arange(n) - np.repeat(first, end - first)).astype(np.uint64)
+    value = np.add.reduceat(mixed(h + place * _MUL), first)
+    return first, end, np.where(end - first == 1, h[first], value), kind[first]
 
 
 def window_hashes(owner: np.ndarray, h: np.ndarray, kind: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -168,9 +198,8 @@ def window_hashes(owner: np.ndarray, h: np.ndarray, kind: np.ndarray, length: in
 
 WINDOWS = T.StructType([
     T.StructField("id", T.LongType()), T.StructField("file", T.LongType()), T.StructField("pos", T.LongType()),
-    T.StructField("at", T.LongType()), T.StructField("hash", T.LongType()),
-    T.StructField("words", T.ArrayType(T.LongType())), T.StructField("kinds", T.ArrayType(T.ByteType())),
-    T.StructField("whole", T.IntegerType())])
+    T.StructField("at", T.LongType()), T.StructField("size", T.LongType()), T.StructField("hash", T.LongType()),
+    T.StructField("words", T.ArrayType(T.LongType())), T.StructField("kinds", T.ArrayType(T.ByteType()))])
 
 
 def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[bytes]]]:
@@ -196,7 +225,7 @@ def window_rows(df: DataFrame, lengths: list[int], only: np.ndarray | None = Non
     ``only``: sorted hashes a window must be among to be listed.
     ``item_texts``: the texts are benchmark items. One shorter than the smallest
     length is one window, and a capitalised first word is taken both ways.
-    ``whole`` is the text's number of words when the window is the whole text.
+    ``at`` and ``size`` are counted in words of the text, as written.
     """
     python_workers(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(only)
@@ -208,35 +237,38 @@ def window_rows(df: DataFrame, lengths: list[int], only: np.ndarray | None = Non
             seen = np.zeros(1 << 20, dtype=bool)
             seen[(keep & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
         for rows, texts in slices(batches):
-            owner, h, kind, quoted = canonical(texts)
+            owner, h, kind, quoted, beside = canonical(texts)
             n_words = np.bincount(owner, minlength=len(texts))
             base = np.cumsum(n_words) - n_words
-            jobs = [(length, None, kind) for length in lengths]
-            if item_texts:
-                jobs += [(length, None, quoted) for length in lengths]
-                jobs += [(length, n_words == length, k) for length in range(SHORTEST, min(lengths))
-                         for k in (kind, quoted)]
-            for length, which, kinds in jobs:
-                first, hashes = window_hashes(owner, h, kinds, length)
-                if which is not None:
-                    ok = which[owner[first]]
-                    first, hashes = first[ok], hashes[ok]
-                if keep is not None:
-                    maybe = np.flatnonzero(seen[(hashes & np.uint64((1 << 20) - 1)).astype(np.int64)])
-                    maybe = maybe[among(hashes[maybe], keep)]
-                    first, hashes = first[maybe], hashes[maybe]
-                if not len(first):
-                    continue
-                span = first[:, None] + np.arange(length)
-                own = owner[first]
-                offsets = pa.array(np.arange(len(first) + 1) * length, pa.int32())
-                yield pa.RecordBatch.from_arrays([
-                    pa.array([rows[k][0] for k in own], pa.int64()), pa.array([rows[k][1] for k in own], pa.int64()),
-                    pa.array([rows[k][2] for k in own], pa.int64()), pa.array(first - base[own], pa.int64()),
-                    pa.array(hashes.view(np.int64)),
-                    pa.ListArray.from_arrays(offsets, pa.array(h[span].ravel().view(np.int64))),
-                    pa.ListArray.from_arrays(offsets, pa.array(kinds[span].ravel(), pa.int8())),
-                    pa.array(n_words[own], pa.int32())], [f.name for f in WINDOWS.fields])
+            for types in ([kind, quoted] if item_texts else [kind]):
+                begin, end, value, kinds = collapsed(h, types, beside)
+                holder = owner[begin]
+                count = np.bincount(holder, minlength=len(texts))
+                jobs = [(length, None) for length in lengths]
+                if item_texts:
+                    jobs += [(length, count == length) for length in range(SHORTEST, min(lengths))]
+                for length, which in jobs:
+                    first, hashes = window_hashes(holder, value, kinds, length)
+                    if which is not None:
+                        ok = which[holder[first]]
+                        first, hashes = first[ok], hashes[ok]
+                    if keep is not None:
+                        maybe = np.flatnonzero(seen[(hashes & np.uint64((1 << 20) - 1)).astype(np.int64)])
+                        maybe = maybe[among(hashes[maybe], keep)]
+                        first, hashes = first[maybe], hashes[maybe]
+                    if not len(first):
+                        continue
+                    span = first[:, None] + np.arange(length)
+                    own = holder[first]
+                    offsets = pa.array(np.arange(len(first) + 1) * length, pa.int32())
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array([rows[k][0] for k in own], pa.int64()), pa.array([rows[k][1] for k in own], pa.int64()),
+                        pa.array([rows[k][2] for k in own], pa.int64()), pa.array(begin[first] - base[own], pa.int64()),
+                        pa.array(end[first + length - 1] - begin[first], pa.int64()),
+                        pa.array(hashes.view(np.int64)),
+                        pa.ListArray.from_arrays(offsets, pa.array(value[span].ravel().view(np.int64))),
+                        pa.ListArray.from_arrays(offsets, pa.array(kinds[span].ravel(), pa.int8()))],
+                        [f.name for f in WINDOWS.fields])
 
     return df.mapInArrow(run, WINDOWS)
 
@@ -246,6 +278,112 @@ def rows_with_text(df: DataFrame, ident: str, text: str, name: str) -> DataFrame
                                     F.col(ROW_POS).alias("pos"), col(text).cast("string").alias("text"))
 
 
+CHAINS = T.StructType([
+    T.StructField("file", T.LongType()), T.StructField("pos", T.LongType()), T.StructField("id", T.LongType()),
+    T.StructField("item_id", T.LongType()), T.StructField("coverage", T.DoubleType()),
+    T.StructField("same_values", T.BooleanType()), T.StructField("first_word", T.LongType())])
+
+
+def consistent(slots: frozenset) -> bool:
+    """One value of the item stands for one value in the document, and two names never become one."""
+    names = [ours for kind, _, ours in slots if kind == NAME]
+    return len({s[:2] for s in slots}) == len(slots) and len(set(names)) == len(names)
+
+
+def stretches(hits: list[tuple[int, int]], shift: int, slots: frozenset) -> list[tuple]:
+    """(first, last, shift, slots) of every unbroken stretch of the item's windows on a line."""
+    out: list[list[int]] = []
+    for first, last in sorted(hits):
+        if out and first <= out[-1][1] + 1:
+            out[-1][1] = max(out[-1][1], last)
+        else:
+            out.append([first, last])
+    return [(a, b, shift, slots) for a, b in out]
+
+
+def best_chain(parts: list[tuple], total: int) -> tuple[float, bool, int] | None:
+    """(coverage, same values, -first word) of the best chain of stretches in order in both texts, if it reaches ``COVERAGE``."""
+    need = COVERAGE * total
+    if sum(b - a + 1 for a, b, _, _ in parts) < need:
+        return None
+    parts = sorted(parts, key=lambda p: p[:3])
+    chains: list[tuple[int, int, frozenset]] = []
+    for k, (a, b, shift, slots) in enumerate(parts):
+        now = (b - a + 1, a + shift, slots)
+        for (c, d, other, _), (n, first, held) in zip(parts[:k], chains):
+            more = n + b - max(d, a - 1)
+            if c < a and d < b and c + other < a + shift and d + other < b + shift and more > now[0]:
+                union = held | slots
+                if len(union) == len(held) or consistent(union):
+                    now = (more, first, union)
+        chains.append(now)
+    found = [(min(n / total, 1.0), all(t == o for _, t, o in slots), -first) for n, first, slots in chains if n >= need]
+    return max(found, default=None)
+
+
+def judged(band: list[dict]) -> tuple[float, bool, int] | None:
+    """The best chain over a band of lines: of equal words alone, or of all windows of lines without a clash."""
+    total = band[0]["windows"]
+    found = []
+    equal = [p for line in band for p in line["equal"]]
+    alike = best_chain(equal, total)
+    if alike is not None:
+        found.append(alike)
+    for a, b, shift, _ in equal:
+        if b - a + WINDOW >= RUN:
+            found.append((min((b - a + 1) / total, 1.0), True, -(a + shift)))
+    changed = best_chain([p for line in band for p in line["parts"]], total)
+    if changed is not None:
+        found.append(changed)
+    return max(found, default=None)
+
+
+def best_chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The best chain of every (file, pos, id, item_id) of lines sorted by them and by shift."""
+    key, band, best, out = None, [], None, []
+
+    def advance(upto: int | None) -> None:
+        # bands that begin at a line and cannot grow any more
+        nonlocal best
+        while band and (upto is None or upto - band[0]["shift"] > max(DRIFT, band[0]["windows"] // 4)):
+            if best is None or best[:2] < (1.0, True):
+                now = judged(band)
+                if now is not None and (best is None or now > best):
+                    best = now
+            band.pop(0)
+
+    def finish() -> None:
+        nonlocal best
+        advance(None)
+        if best is not None:
+            out.append((*key, best[0], best[1], -best[2]))
+        best = None
+
+    def rows() -> pa.RecordBatch:
+        columns = list(zip(*out)) or [()] * len(CHAINS.fields)
+        kinds = [pa.int64()] * 4 + [pa.float64(), pa.bool_(), pa.int64()]
+        batch = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], CHAINS.names)
+        out.clear()
+        return batch
+
+    for b in batches:
+        for r in b.to_pylist():
+            now = (r["file"], r["pos"], r["id"], r["item_id"])
+            if now != key:
+                finish()
+                key = now
+            advance(r["shift"])
+            slots = frozenset((s["kind"], s["theirs"], s["ours"]) for s in r["slots"])
+            hits = [(h["first"], h["last"]) for h in r["hits"]]
+            equal = [(h["first"], h["last"]) for h in r["hits"] if h["equal"]]
+            band.append({"shift": r["shift"], "windows": r["windows"],
+                         "equal": stretches(equal, r["shift"], frozenset()),
+                         "parts": stretches(hits, r["shift"], slots) if consistent(slots) else []})
+        yield rows()
+    finish()
+    yield rows()
+
+
 def matches(docs: DataFrame, benchmark: DataFrame, ident: str = "doc_id", text: str = "text",
             item: str = "item_id", item_text: str = "text", limit: int = BROADCAST_BYTES) -> DataFrame:
     """Contaminated documents: doc_id, item_id, coverage, first_word, same_values, file, pos.
@@ -253,11 +391,13 @@ def matches(docs: DataFrame, benchmark: DataFrame, ident: str = "doc_id", text:
     One row per document row and item.  ``same_values`` tells a copy (every
     placeholder holds the item's own value) from a re-parameterised question.
     """
+    python_workers(docs.sparkSession)
     literal = F.size(F.filter("kinds", lambda k: k == LITERAL))
     items = window_rows(rows_with_text(benchmark, item, item_text, "benchmark"), [WINDOW], item_texts=True)
     items = materialise(items.where(literal >= LITERALS).groupBy("id", "at", "hash").agg(
-        F.min_by("words", F.struct("file", "pos")).alias("words"), F.min_by("kinds", F.struct("file", "pos")).alias("kinds")
-        ).select(F.col("id").alias("item_id"), F.col("at").alias("item_at"), "hash",
+        F.min_by("words", F.struct("file", "pos")).alias("words"), F.min_by("kinds", F.struct("file", "pos")).alias("kinds"),
+        F.min_by("size", F.struct("file", "pos")).alias("size")
+        ).select(F.col("id").alias("item_id"), F.col("at").alias("item_at"), F.col("size").alias("item_size"), "hash",
                  F.col("words").alias("item_words"), F.col("kinds").alias("item_kinds")), "benchmark-windows")
     lengths = [r[0] for r in items.select(F.size("item_kinds")).distinct().collect()] or [WINDOW]   # at most WINDOW values
     hashes = items.select("hash").distinct()
@@ -272,32 +412,31 @@ def matches(docs: DataFrame, benchmark: DataFrame, ident: str = "doc_id", text:
         (F.get("kinds", i) == F.get("item_kinds", i))
         & ((F.get("kinds", i) != LITERAL) | (F.get("words", i) == F.get("item_words", i)))))
     found = found.where((F.size("kinds") == F.size("item_kinds")) & same)
-    line = ["file", "pos", "id", "item_id", "shift"]
-    found = found.withColumn("shift", F.col("at") - F.col("item_at"))
-    slot = F.explode(F.arrays_zip("kinds", "item_words", "words")).alias("s")
-    slots = found.select(*line, slot).select(*line, F.col("s.kinds").alias("kind"), F.col("s.item_words").alias("theirs"),
-                                             F.col("s.words").alias("ours")).where(F.col("kind") != LITERAL).distinct()
-    forward = slots.groupBy(*line, "kind", "theirs").agg(F.count("*").alias("n"))
-    backward = slots.where(F.col("kind") == NAME).groupBy(*line, "kind", "ours").agg(F.count("*").alias("n"))
-    clash = forward.unionByName(backward.withColumnRenamed("ours", "theirs")).where("n > 1").select(*line).distinct()
-    other = slots.where("theirs <> ours").select(*line).distinct().withColumn("changed", F.lit(True))
-    size = items.groupBy("item_id").agg(F.count_distinct("item_at").alias("windows"))
-    runs = found.groupBy(*line).agg(F.count_distinct("item_at").alias("n"), F.min("at").alias("first_word"))
-    key = lambda other: [runs[c].eqNullSafe(other[c]) for c in line]
-    runs = runs.join(clash, key(clash), "left_anti")
-    runs = runs.join(size, runs["item_id"].eqNullSafe(size["item_id"])).select(
-        *[runs[c] for c in line], (F.col("n") / F.col("windows")).alias("coverage"), "first_word")
-    runs = runs.where(F.col("coverage") >= COVERAGE)
-    runs = runs.join(other, key(other), "left").select(
-        *[runs[c] for c in line], "coverage", "first_word", F.coalesce("changed", F.lit(False)).alias("changed"))
-    best = runs.groupBy("file", "pos", "id", "item_id").agg(
-        F.max(F.struct("coverage", ~F.col("changed"), -F.col("first_word"))).alias("best"))
+    pair = ["file", "pos", "id", "item_id"]
+    last = F.col("item_at") + F.greatest(F.col("item_size") - WINDOW, F.lit(0))
+    total = items.select("item_id", F.explode(F.sequence("item_at", last)).alias("start")).groupBy("item_id").agg(
+        F.count_distinct("start").alias("windows"))
+    slots = F.filter(F.arrays_zip(F.col("kinds").alias("kind"), F.col("item_words").alias("theirs"), F.col("words").alias("ours")),
+                     lambda s: s["kind"] != LITERAL)
+    equal = F.forall(F.arrays_zip(F.col("words").alias("ours"), F.col("item_words").alias("theirs")),
+                     lambda s: s["ours"] == s["theirs"])
+    lines = found.groupBy(*pair, (F.col("at") - F.col("item_at")).alias("shift")).agg(
+        F.collect_set(F.struct(F.col("item_at").alias("first"), last.alias("last"), equal.alias("equal"))).alias("hits"),
+        F.array_distinct(F.flatten(F.collect_list(slots))).alias("slots"))
+    lines = lines.join(total, lines["item_id"].eqNullSafe(total["item_id"])).select(
+        *[lines[c] for c in pair], "shift", "hits", "slots", "windows")
+    # the lines of a pair are met in order of their shift, those of a band held at a time
+    best = lines.repartition(*pair).sortWithinPartitions(*pair, "shift").mapInArrow(best_chains, CHAINS)
+    best = best.groupBy(*pair).agg(F.max(F.struct("coverage", "same_values", -F.col("first_word"))).alias("best"))
     return best.select(F.col("id").alias("doc_id"), "item_id", F.col("best.coverage").alias("coverage"),
-                       (-F.col("best.col3")).alias("first_word"), F.col("best.col2").alias("same_values"), "file", "pos")
+                       (-F.col("best.col3")).alias("first_word"), F.col("best.same_values").alias("same_values"),
+                       "file", "pos")
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` without the rows that hold a benchmark item."""
+    if not is_file_scan(docs):
+        docs = materialise(docs, "decontaminate-docs")    # once, so that both sides see the same files
     marked = materialise(matches(docs, benchmark, ident, text).select(
         F.col("file").alias("_m_file"), F.col("pos").alias("_m_pos")).distinct(), "contaminated")
     side, _ = small(marked, 24)

@@ -207,6 +207,22 @@ def test_decontaminate(spark):
     assert decontaminate.matches(df.where("doc_id < 0"), bench).count() == 0
 
 
+def test_decontaminate_words_put_in_and_values_of_other_lengths(spark):
+    """A word put in or left out, values of another number of words, and a long passage of a longer item."""
+    words = [f"{a}{b}" for a in ("stone", "river", "cloud", "paper", "house") for b in "abcdefgh"]
+    slots = "when John went to New York he bought 25 red apples and gave them to the old farmer there"
+    long = [f"{a}{b}" for a in WORDS for b in "abcdefgh"]
+    texts = {1: " ".join(words[:20] + ["extra"] + words[20:]), 2: " ".join(words[:20] + words[21:]),
+             3: "so " + slots.replace("John", "John Smith").replace("25", "twenty five").replace("New York", "Paris"),
+             4: "so " + " ".join(long[30:46]) + " end", 5: "so " + " ".join(long[30:42]) + " end",
+             6: " ".join(words[26:39] + words[13:26] + words[:13])}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    bench = spark.createDataFrame([(1, " ".join(words)), (2, slots), (3, " ".join(long))], "item_id long, text string")
+    found = {(r.doc_id, r.item_id): r for r in decontaminate.matches(df, bench).collect()}
+    assert sorted(found) == [(1, 1), (2, 1), (3, 2), (4, 3)]
+    assert found[1, 1].coverage == pytest.approx(26 / 33) and found[1, 1].same_values and not found[3, 2].same_values
+
+
 def test_maximal_segments():
     def brute(x, lo, hi):
         sums = [(sum(x[i:j + 1]), -i, -j) for i in range(lo, hi) for j in range(i, hi)]
