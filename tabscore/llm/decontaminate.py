@@ -21,10 +21,14 @@ bound all windows meet the benchmark's in a shuffled join.  Either way the
 rest is joins and counts over matching windows, and one sorted pass that holds
 the lines of one item near one place of a document.
 
-Canonical words: letters, digits and all non-ASCII characters make words, case
-is folded for A-Z and Latin-1 letters; a word that begins with a digit, or is
-a number word, is a number; a unit word after a number is a unit; a
-capitalised word inside a sentence, or a common given name, is a name.
+Canonical words: letters, digits and non-ASCII characters other than spaces
+and punctuation make words; case is folded for A-Z and the letters of two
+bytes (Latin, Greek, Cyrillic, Armenian); a word that begins with a digit, or
+is a number word, is a number; a unit word after a number is a unit; a
+capitalised word inside a sentence, or a common given name, is a name.  A line
+break is white space and ends no sentence.  With ``any_case`` windows match by
+either of two hashes, of the canonical words or of the plain folded words, so
+the case of a copy does not matter; the queries use both.
 
 Defined results: null and empty texts have no windows; an item shorter than a
 window is matched as a whole if it has ``SHORTEST`` words; windows with fewer
@@ -69,6 +73,18 @@ GIVEN_NAMES = ("james john robert michael william david richard joseph thomas ch
 
 LITERAL, NUMBER, NAME, UNIT = 0, 1, 2, 3
 
+def _folded() -> np.ndarray:
+    """The lower-case code point of every code point below U+0800 whose lower case also takes two bytes or one."""
+    low = np.arange(0x800)
+    for c in range(0x80, 0x800):
+        folded = chr(c).lower()
+        if len(folded) == 1 and 0x80 <= ord(folded) < 0x800:
+            low[c] = ord(folded)
+    low[0x3C2] = 0x3C3    # final sigma
+    return low
+
+
+_FOLDED = _folded()
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _WORD = np.zeros(256, dtype=bool)
@@ -78,7 +94,7 @@ _DIGIT[48:58] = True
 _JOINER = np.zeros(256, dtype=bool)
 _JOINER[[ord("."), ord(",")]] = True
 _STOP = np.zeros(256, dtype=bool)
-_STOP[[ord(c) for c in ".!?\n"]] = True
+_STOP[[ord(c) for c in ".!?"]] = True
 _BLANK = np.zeros(256, dtype=bool)
 _BLANK[[ord(c) for c in " \t\r\n"]] = True
 _MUL = np.uint64(0x9E3779B97F4A7C15)
@@ -125,6 +141,33 @@ def among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
     return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
 
 
+def separators(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes of non-ASCII punctuation and spaces, of those that are spaces, of those that end a sentence)."""
+    apart, blank, stop = (np.zeros(len(data), dtype=bool) for _ in range(3))
+
+    def mark(at: np.ndarray, size: int, which: np.ndarray) -> None:
+        for k in range(size):
+            which[at + k] = True
+
+    two = np.flatnonzero(data[:-1] == 0xC2)
+    second = data[two + 1]
+    mark(two[~np.isin(second, [0xAA, 0xB2, 0xB3, 0xB5, 0xB9, 0xBA, 0xBC, 0xBD, 0xBE])], 2, apart)   # not letters, digits
+    mark(two[second == 0xA0], 2, blank)
+    two = np.flatnonzero(data[:-1] == 0xC3)
+    mark(two[np.isin(data[two + 1], [0x97, 0xB7])], 2, apart)
+    three = np.flatnonzero((data[:-2] == 0xE2) | (data[:-2] == 0xE3) | (data[:-2] == 0xEF))
+    if len(three):
+        code = ((data[three] & 0x0F).astype(np.int64) << 12) | ((data[three + 1] & 0x3F).astype(np.int64) << 6) | (
+            data[three + 2] & 0x3F)
+        between = lambda lo, hi: (code >= lo) & (code <= hi)
+        mark(three[between(0x2000, 0x206F) | (code == 0x2212) | between(0x3000, 0x3004) | between(0x3008, 0x3020)
+                   | between(0xFF01, 0xFF0F) | between(0xFF1A, 0xFF20) | between(0xFF3B, 0xFF40)
+                   | between(0xFF5B, 0xFF65) | (code == 0xFEFF)], 3, apart)
+        mark(three[between(0x2000, 0x200B) | np.isin(code, [0x2028, 0x2029, 0x202F, 0x205F, 0x3000])], 3, blank)
+        mark(three[np.isin(code, [0x2026, 0x3002, 0xFF01, 0xFF0E, 0xFF1F])], 3, stop)
+    return apart, blank, stop
+
+
 def canonical(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(text number, word hash, type, type inside a sentence, next to the word before) of every word, in order.
 
@@ -135,9 +178,11 @@ def canonical(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
     data = np.frombuffer(b"\n".join(texts) + b"\n", dtype=np.uint8)
     edges = np.cumsum([len(t) + 1 for t in texts])
     low = _LOWER[data]
-    latin = np.flatnonzero((data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97)) + 1
-    low[latin] += 32
-    word = _WORD[data]
+    pair = np.flatnonzero((data[:-1] >= 0xC2) & (data[:-1] <= 0xDF))
+    code = _FOLDED[((data[pair] & 0x1F).astype(np.int64) << 6) | (data[pair + 1] & 0x3F)]
+    low[pair], low[pair + 1] = 0xC0 | (code >> 6), 0x80 | (code & 0x3F)
+    apart, blank, stop = separators(data)
+    word = _WORD[data] & ~apart
     inner = np.flatnonzero(_JOINER[data[1:-1]] & _DIGIT[data[:-2]] & _DIGIT[data[2:]]) + 1
     word[inner] = True
     change = np.flatnonzero(np.diff(np.concatenate([[False], word, [False]]).astype(np.int8)))
@@ -149,18 +194,20 @@ def canonical(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
         number = _DIGIT[data[starts]] | among(h, _NUMBERS)
         follows = np.concatenate([[False], number[:-1] & (owner[1:] == owner[:-1])])
         capital = low[starts] != data[starts]
-        capital |= (data[starts] == 0xC3) & (low[np.minimum(starts + 1, len(low) - 1)]
-                                             != data[np.minimum(starts + 1, len(low) - 1)])
+        after = np.minimum(starts + 1, len(data) - 1)
+        capital |= (data[starts] >= 0xC2) & (low[after] != data[after])
         second = np.minimum(starts + np.where(data[starts] >= 0xC0, 2, 1), len(data) - 1)
+        after = np.minimum(second + 1, len(data) - 1)
         capital &= (second < ends) & (low[second] == data[second]) & ~_DIGIT[data[second]]
-        stops = np.concatenate([[0], np.cumsum(_STOP[data])])
-        inside = np.concatenate([[False], stops[starts[1:]] == stops[ends[:-1]]])
+        capital &= (data[second] < 0xC2) | (low[after] == data[after])
+        stops = np.concatenate([[0], np.cumsum(_STOP[data] | stop)])
+        inside = np.concatenate([[False], (stops[starts[1:]] == stops[ends[:-1]]) & (owner[1:] == owner[:-1])])
         kind[capital & (inside | among(h, _NAMES))] = NAME
         kind[follows & among(h, _UNITS)] = UNIT
         kind[number] = NUMBER
         first = np.concatenate([[True], owner[1:] != owner[:-1]])
         quoted = np.where(first & capital & ~number, NAME, kind).astype(np.int8)
-        solid = np.concatenate([[0], np.cumsum(~_BLANK[data])])
+        solid = np.concatenate([[0], np.cumsum(~(_BLANK[data] | blank))])
         gap = solid[starts[1:]] - solid[ends[:-1]]
         hyphen = (gap == 1) & (starts[1:] - ends[:-1] == 1) & (data[ends[:-1]] == ord("-"))
         beside = ~first & np.concatenate([[False], (gap == 0) | hyphen])
@@ -199,7 +246,7 @@ def window_hashes(owner: np.ndarray, h: np.ndarray, kind: np.ndarray, length: in
 WINDOWS = T.StructType([
     T.StructField("id", T.LongType()), T.StructField("file", T.LongType()), T.StructField("pos", T.LongType()),
     T.StructField("at", T.LongType()), T.StructField("size", T.LongType()), T.StructField("hash", T.LongType()),
-    T.StructField("words", T.ArrayType(T.LongType())), T.StructField("kinds", T.ArrayType(T.ByteType()))])
+    T.StructField("plain", T.BooleanType()), T.StructField("words", T.ArrayType(T.LongType())), T.StructField("kinds", T.ArrayType(T.ByteType()))])
 
 
 def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[bytes]]]:
@@ -219,12 +266,15 @@ def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[bytes
         yield rows, texts
 
 
-def window_rows(df: DataFrame, lengths: list[int], only: np.ndarray | None = None, item_texts: bool = False) -> DataFrame:
+def window_rows(df: DataFrame, lengths: list[int], only: np.ndarray | None = None, item_texts: bool = False,
+                any_case: bool = False) -> DataFrame:
     """Window rows of (id, file, pos, text) rows.
 
     ``only``: sorted hashes a window must be among to be listed.
     ``item_texts``: the texts are benchmark items. One shorter than the smallest
     length is one window, and a capitalised first word is taken both ways.
+    ``any_case``: ``plain`` windows are listed too, all their words literal
+    whatever their case and kind.
     ``at`` and ``size`` are counted in words of the text, as written.
     """
     python_workers(df.sparkSession)
@@ -240,7 +290,8 @@ def window_rows(df: DataFrame, lengths: list[int], only: np.ndarray | None = Non
             owner, h, kind, quoted, beside = canonical(texts)
             n_words = np.bincount(owner, minlength=len(texts))
             base = np.cumsum(n_words) - n_words
-            for types in ([kind, quoted] if item_texts else [kind]):
+            plain = np.zeros(len(h), dtype=np.int8)
+            for types in ([kind, quoted] if item_texts else [kind]) + ([plain] if any_case else []):
                 begin, end, value, kinds = collapsed(h, types, beside)
                 holder = owner[begin]
                 count = np.bincount(holder, minlength=len(texts))
@@ -265,7 +316,7 @@ def window_rows(df: DataFrame, lengths: list[int], only: np.ndarray | None = Non
                         pa.array([rows[k][0] for k in own], pa.int64()), pa.array([rows[k][1] for k in own], pa.int64()),
                         pa.array([rows[k][2] for k in own], pa.int64()), pa.array(begin[first] - base[own], pa.int64()),
                         pa.array(end[first + length - 1] - begin[first], pa.int64()),
-                        pa.array(hashes.view(np.int64)),
+                        pa.array(hashes.view(np.int64)), pa.array(np.full(len(first), types is plain)),
                         pa.ListArray.from_arrays(offsets, pa.array(value[span].ravel().view(np.int64))),
                         pa.ListArray.from_arrays(offsets, pa.array(kinds[span].ravel(), pa.int8()))],
                         [f.name for f in WINDOWS.fields])
@@ -322,7 +373,7 @@ def best_chain(parts: list[tuple], total: int) -> tuple[float, bool, int] | None
 
 
 def judged(band: list[dict]) -> tuple[float, bool, int] | None:
-    """The best chain over a band of lines: of equal words alone, or of all windows of lines without a clash."""
+    """The best chain over a band of lines: of equal words alone, or of all or of typed windows of lines without a clash."""
     total = band[0]["windows"]
     found = []
     equal = [p for line in band for p in line["equal"]]
@@ -332,9 +383,10 @@ def judged(band: list[dict]) -> tuple[float, bool, int] | None:
     for a, b, shift, _ in equal:
         if b - a + WINDOW >= RUN:
             found.append((min((b - a + 1) / total, 1.0), True, -(a + shift)))
-    changed = best_chain([p for line in band for p in line["parts"]], total)
-    if changed is not None:
-        found.append(changed)
+    for parts, windows in (("parts", total), ("typed_parts", band[0]["typed"])):
+        changed = best_chain([p for line in band for p in line[parts]], windows) if windows else None
+        if changed is not None:
+            found.append(changed)
     return max(found, default=None)
 
 
@@ -376,36 +428,47 @@ def best_chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             slots = frozenset((s["kind"], s["theirs"], s["ours"]) for s in r["slots"])
             hits = [(h["first"], h["last"]) for h in r["hits"]]
             equal = [(h["first"], h["last"]) for h in r["hits"] if h["equal"]]
-            band.append({"shift": r["shift"], "windows": r["windows"],
+            typed = [(h["first"], h["last"]) for h in r["hits"] if h["typed"]]
+            fits = consistent(slots)
+            band.append({"shift": r["shift"], "windows": r["windows"], "typed": r["typed"],
                          "equal": stretches(equal, r["shift"], frozenset()),
-                         "parts": stretches(hits, r["shift"], slots) if consistent(slots) else []})
+                         "parts": stretches(hits, r["shift"], slots) if fits else [],
+                         "typed_parts": stretches(typed, r["shift"], slots) if fits else []})
         yield rows()
     finish()
     yield rows()
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, ident: str = "doc_id", text: str = "text",
-            item: str = "item_id", item_text: str = "text", limit: int = BROADCAST_BYTES) -> DataFrame:
+            item: str = "item_id", item_text: str = "text", limit: int = BROADCAST_BYTES,
+            any_case: bool = False) -> DataFrame:
     """Contaminated documents: doc_id, item_id, coverage, first_word, same_values, file, pos.
 
+    ``any_case``: windows also match by their plain words, so that a copy in
+    capitals or without them is found; else a name only matches a name.
+
     One row per document row and item.  ``same_values`` tells a copy (every
     placeholder holds the item's own value) from a re-parameterised question.
     """
     python_workers(docs.sparkSession)
     literal = F.size(F.filter("kinds", lambda k: k == LITERAL))
-    items = window_rows(rows_with_text(benchmark, item, item_text, "benchmark"), [WINDOW], item_texts=True)
-    items = materialise(items.where(literal >= LITERALS).groupBy("id", "at", "hash").agg(
+    items = window_rows(rows_with_text(benchmark, item, item_text, "benchmark"), [WINDOW], item_texts=True,
+                        any_case=any_case)
+    items = materialise(items.where(F.col("plain") | (literal >= LITERALS)).groupBy("id", "at", "hash", "plain").agg(
         F.min_by("words", F.struct("file", "pos")).alias("words"), F.min_by("kinds", F.struct("file", "pos")).alias("kinds"),
         F.min_by("size", F.struct("file", "pos")).alias("size")
         ).select(F.col("id").alias("item_id"), F.col("at").alias("item_at"), F.col("size").alias("item_size"), "hash",
+                 F.col("plain").alias("item_plain"),
                  F.col("words").alias("item_words"), F.col("kinds").alias("item_kinds")), "benchmark-windows")
     lengths = [r[0] for r in items.select(F.size("item_kinds")).distinct().collect()] or [WINDOW]   # at most WINDOW values
     hashes = items.select("hash").distinct()
     only = None
     if hashes.count() * 8 <= limit:
         only = np.sort(hashes.toPandas()["hash"].to_numpy(dtype=np.int64).view(np.uint64))
-    found = window_rows(rows_with_text(docs, ident, text, "decontaminate-docs"), sorted(lengths), only)
-    found = materialise(found.join(F.broadcast(items) if only is not None else items, "hash"), "benchmark-hits")
+    found = window_rows(rows_with_text(docs, ident, text, "decontaminate-docs"), sorted(lengths), only,
+                        any_case=any_case)
+    found = materialise(found.join(F.broadcast(items) if only is not None else items, "hash").where("plain = item_plain"),
+                        "benchmark-hits")
 
     # the same canonical words, by word (the joined hash is no proof)
     same = F.forall(F.sequence(F.lit(0), F.size("kinds") - 1), lambda i: (
@@ -414,17 +477,19 @@ def matches(docs: DataFrame, benchmark: DataFrame, ident: str = "doc_id", text:
     found = found.where((F.size("kinds") == F.size("item_kinds")) & same)
     pair = ["file", "pos", "id", "item_id"]
     last = F.col("item_at") + F.greatest(F.col("item_size") - WINDOW, F.lit(0))
-    total = items.select("item_id", F.explode(F.sequence("item_at", last)).alias("start")).groupBy("item_id").agg(
-        F.count_distinct("start").alias("windows"))
+    total = items.select("item_id", "item_plain", F.explode(F.sequence("item_at", last)).alias("start")).groupBy("item_id").agg(
+        F.count_distinct("start").alias("windows"),
+        F.count_distinct(F.when(~F.col("item_plain"), F.col("start"))).alias("typed"))
     slots = F.filter(F.arrays_zip(F.col("kinds").alias("kind"), F.col("item_words").alias("theirs"), F.col("words").alias("ours")),
                      lambda s: s["kind"] != LITERAL)
     equal = F.forall(F.arrays_zip(F.col("words").alias("ours"), F.col("item_words").alias("theirs")),
                      lambda s: s["ours"] == s["theirs"])
     lines = found.groupBy(*pair, (F.col("at") - F.col("item_at")).alias("shift")).agg(
-        F.collect_set(F.struct(F.col("item_at").alias("first"), last.alias("last"), equal.alias("equal"))).alias("hits"),
+        F.collect_set(F.struct(F.col("item_at").alias("first"), last.alias("last"), equal.alias("equal"),
+                                (~F.col("item_plain")).alias("typed"))).alias("hits"),
         F.array_distinct(F.flatten(F.collect_list(slots))).alias("slots"))
     lines = lines.join(total, lines["item_id"].eqNullSafe(total["item_id"])).select(
-        *[lines[c] for c in pair], "shift", "hits", "slots", "windows")
+        *[lines[c] for c in pair], "shift", "hits", "slots", "windows", "typed")
     # the lines of a pair are met in order of their shift, those of a band held at a time
     best = lines.repartition(*pair).sortWithinPartitions(*pair, "shift").mapInArrow(best_chains, CHAINS)
     best = best.groupBy(*pair).agg(F.max(F.struct("coverage", "same_values", -F.col("first_word"))).alias("best"))
@@ -433,11 +498,12 @@ def matches(docs: DataFrame, benchmark: DataFrame, ident: str = "doc_id", text:
                        "file", "pos")
 
 
-def keep_clean(docs: DataFrame, benchmark: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` without the rows that hold a benchmark item."""
+def keep_clean(docs: DataFrame, benchmark: DataFrame, ident: str = "doc_id", text: str = "text",
+               any_case: bool = False) -> DataFrame:
+    """``docs`` without the rows that hold a benchmark item (``any_case``: see ``matches``)."""
     if not is_file_scan(docs):
         docs = materialise(docs, "decontaminate-docs")    # once, so that both sides see the same files
-    marked = materialise(matches(docs, benchmark, ident, text).select(
+    marked = materialise(matches(docs, benchmark, ident, text, any_case=any_case).select(
         F.col("file").alias("_m_file"), F.col("pos").alias("_m_pos")).distinct(), "contaminated")
     side, _ = small(marked, 24)
     rows = located(docs, "decontaminate-docs")

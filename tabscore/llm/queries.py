@@ -72,7 +72,8 @@ def op4_url_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select(
+    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"),
+                                 any_case=True).select(
         "doc_id", "item_id", "coverage", "first_word", "same_values")
 
 

@@ -223,6 +223,24 @@ def test_decontaminate_words_put_in_and_values_of_other_lengths(spark):
     assert found[1, 1].coverage == pytest.approx(26 / 33) and found[1, 1].same_values and not found[3, 2].same_values
 
 
+def test_decontaminate_case_line_breaks_and_typography(spark):
+    """A copy is found in any case, wrapped anew and with typographic quotes, dashes and spaces."""
+    item = "Well the old farmer John gave Mary \"3 apples\" - and then Peter's son bought 12 km of rope for the old house."
+    wrapped = item.replace(" gave", "\ngave").replace(" Mary", "\nMary").replace(" Peter", "\nPeter")
+    typed = item.replace(' "', " \u201c").replace('" ', "\u201d ").replace("-", "\u2014").replace("'", "\u2019").replace(" of ", "\u00a0of ")
+    german = "Der Bäcker gibt dem Jungen das Brot und der Äpfel wegen auch der Frau den Korb"
+    greek = "το παλιό σπίτι του γέρου αγρότη στέκεται δίπλα στο ποτάμι"
+    texts = {1: item.upper(), 2: item.lower(), 3: wrapped, 4: typed, 5: german.upper(), 6: "nothing of it stands here at all",
+             7: "ΤΟ ΠΑΛΙΌ ΣΠΊΤΙ ΤΟΥ ΓΈΡΟΥ ΑΓΡΌΤΗ ΣΤΈΚΕΤΑΙ ΔΊΠΛΑ ΣΤΟ ΠΟΤΆΜΙ"}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    bench = spark.createDataFrame([(1, item), (2, german), (3, greek)], "item_id long, text string")
+    found = {(r.doc_id, r.item_id): r.coverage for r in decontaminate.matches(df, bench, any_case=True).collect()}
+    assert found == {(1, 1): 1.0, (2, 1): 1.0, (3, 1): 1.0, (4, 1): 1.0, (5, 2): 1.0, (7, 3): 1.0}
+    assert [r.doc_id for r in decontaminate.keep_clean(df, bench, any_case=True).collect()] == [6]
+    plain = {r.doc_id: r.coverage for r in decontaminate.matches(df, bench).collect()}
+    assert plain[3] == plain[4] == 1.0
+
+
 def test_maximal_segments():
     def brute(x, lo, hi):
         sums = [(sum(x[i:j + 1]), -i, -j) for i in range(lo, hi) for j in range(i, hi)]
