@@ -32,9 +32,10 @@ the case of a copy does not matter; the queries use both.
 
 Defined results: null and empty texts have no windows; an item shorter than a
 window is matched as a whole if it has ``SHORTEST`` words; windows with fewer
-than ``LITERALS`` plain words say nothing and are not used; rows repeating an
-id are judged one by one; repeated items are counted once per item id and
-position; an empty benchmark marks nothing.  Other columns, whatever their
+than ``LITERALS`` plain words match by all their words as they are, and count
+only where that raises an item's share; rows repeating an id are judged one by
+one; items are the benchmark's rows, each with its own number of windows, and
+equal texts of one id count once; an empty benchmark marks nothing.  Other columns, whatever their
 names, are not read.
 """
 
@@ -246,7 +247,7 @@ def window_hashes(owner: np.ndarray, h: np.ndarray, kind: np.ndarray, length: in
 WINDOWS = T.StructType([
     T.StructField("id", T.LongType()), T.StructField("file", T.LongType()), T.StructField("pos", T.LongType()),
     T.StructField("at", T.LongType()), T.StructField("size", T.LongType()), T.StructField("hash", T.LongType()),
-    T.StructField("plain", T.BooleanType()), T.StructField("words", T.ArrayType(T.LongType())), T.StructField("kinds", T.ArrayType(T.ByteType()))])
+    T.StructField("plain", T.BooleanType()), T.StructField("literals", T.IntegerType()), T.StructField("words", T.ArrayType(T.LongType())), T.StructField("kinds", T.ArrayType(T.ByteType()))])
 
 
 def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[bytes]]]:
@@ -266,16 +267,14 @@ def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[bytes
         yield rows, texts
 
 
-def window_rows(df: DataFrame, lengths: list[int], only: np.ndarray | None = None, item_texts: bool = False,
-                any_case: bool = False) -> DataFrame:
+def window_rows(df: DataFrame, lengths: list[int], only: np.ndarray | None = None, item_texts: bool = False) -> DataFrame:
     """Window rows of (id, file, pos, text) rows.
 
     ``only``: sorted hashes a window must be among to be listed.
     ``item_texts``: the texts are benchmark items. One shorter than the smallest
     length is one window, and a capitalised first word is taken both ways.
-    ``any_case``: ``plain`` windows are listed too, all their words literal
-    whatever their case and kind.
-    ``at`` and ``size`` are counted in words of the text, as written.
+    ``plain`` windows take all their words as literal whatever their case and
+    kind; ``literals`` is the number of those that are.  ``at`` and ``size`` are counted in words of the text, as written.
     """
     python_workers(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(only)
@@ -291,7 +290,8 @@ def window_rows(df: DataFrame, lengths: list[int], only: np.ndarray | None = Non
             n_words = np.bincount(owner, minlength=len(texts))
             base = np.cumsum(n_words) - n_words
             plain = np.zeros(len(h), dtype=np.int8)
-            for types in ([kind, quoted] if item_texts else [kind]) + ([plain] if any_case else []):
+            literals = np.concatenate([[0], np.cumsum(kind == LITERAL)])
+            for types in ([kind, quoted] if item_texts else [kind]) + [plain]:
                 begin, end, value, kinds = collapsed(h, types, beside)
                 holder = owner[begin]
                 count = np.bincount(holder, minlength=len(texts))
@@ -317,6 +317,7 @@ def window_rows(df: DataFrame, lengths: list[int], only: np.ndarray | None = Non
                         pa.array([rows[k][2] for k in own], pa.int64()), pa.array(begin[first] - base[own], pa.int64()),
                         pa.array(end[first + length - 1] - begin[first], pa.int64()),
                         pa.array(hashes.view(np.int64)), pa.array(np.full(len(first), types is plain)),
+                        pa.array(literals[end[first + length - 1]] - literals[begin[first]], pa.int32()),
                         pa.ListArray.from_arrays(offsets, pa.array(value[span].ravel().view(np.int64))),
                         pa.ListArray.from_arrays(offsets, pa.array(kinds[span].ravel(), pa.int8()))],
                         [f.name for f in WINDOWS.fields])
@@ -391,7 +392,7 @@ def judged(band: list[dict]) -> tuple[float, bool, int] | None:
 
 
 def best_chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The best chain of every (file, pos, id, item_id) of lines sorted by them and by shift."""
+    """The best chain of every document row and item row of lines sorted by them and by shift."""
     key, band, best, out = None, [], None, []
 
     def advance(upto: int | None) -> None:
@@ -408,7 +409,7 @@ def best_chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nonlocal best
         advance(None)
         if best is not None:
-            out.append((*key, best[0], best[1], -best[2]))
+            out.append((*key[:4], best[0], best[1], -best[2]))
         best = None
 
     def rows() -> pa.RecordBatch:
@@ -420,7 +421,7 @@ def best_chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for b in batches:
         for r in b.to_pylist():
-            now = (r["file"], r["pos"], r["id"], r["item_id"])
+            now = (r["file"], r["pos"], r["id"], r["item_id"], r["item_file"], r["item_pos"])
             if now != key:
                 finish()
                 key = now
@@ -447,26 +448,25 @@ def matches(docs: DataFrame, benchmark: DataFrame, ident: str = "doc_id", text:
     ``any_case``: windows also match by their plain words, so that a copy in
     capitals or without them is found; else a name only matches a name.
 
-    One row per document row and item.  ``same_values`` tells a copy (every
+    One row per document row and item id, of the best covered item with that id.  ``same_values`` tells a copy (every
     placeholder holds the item's own value) from a re-parameterised question.
     """
     python_workers(docs.sparkSession)
     literal = F.size(F.filter("kinds", lambda k: k == LITERAL))
-    items = window_rows(rows_with_text(benchmark, item, item_text, "benchmark"), [WINDOW], item_texts=True,
-                        any_case=any_case)
-    items = materialise(items.where(F.col("plain") | (literal >= LITERALS)).groupBy("id", "at", "hash", "plain").agg(
-        F.min_by("words", F.struct("file", "pos")).alias("words"), F.min_by("kinds", F.struct("file", "pos")).alias("kinds"),
-        F.min_by("size", F.struct("file", "pos")).alias("size")
-        ).select(F.col("id").alias("item_id"), F.col("at").alias("item_at"), F.col("size").alias("item_size"), "hash",
-                 F.col("plain").alias("item_plain"),
-                 F.col("words").alias("item_words"), F.col("kinds").alias("item_kinds")), "benchmark-windows")
+    rows = rows_with_text(benchmark, item, item_text, "benchmark").where("text IS NOT NULL").groupBy("id", "text").agg(
+        F.min(F.struct("file", "pos")).alias("row")).select("id", "row.file", "row.pos", "text")
+    items = window_rows(rows, [WINDOW], item_texts=True)
+    used = F.when(F.col("plain"), F.lit(any_case) | (F.col("literals") < LITERALS)).otherwise(literal >= LITERALS)
+    items = materialise(items.where(used).dropDuplicates(["file", "pos", "at", "hash", "plain"]).select(
+        F.col("id").alias("item_id"), F.col("file").alias("item_file"), F.col("pos").alias("item_pos"),
+        F.col("at").alias("item_at"), F.col("size").alias("item_size"), "hash", F.col("plain").alias("item_plain"),
+        F.col("words").alias("item_words"), F.col("kinds").alias("item_kinds")), "benchmark-windows")
     lengths = [r[0] for r in items.select(F.size("item_kinds")).distinct().collect()] or [WINDOW]   # at most WINDOW values
     hashes = items.select("hash").distinct()
     only = None
     if hashes.count() * 8 <= limit:
         only = np.sort(hashes.toPandas()["hash"].to_numpy(dtype=np.int64).view(np.uint64))
-    found = window_rows(rows_with_text(docs, ident, text, "decontaminate-docs"), sorted(lengths), only,
-                        any_case=any_case)
+    found = window_rows(rows_with_text(docs, ident, text, "decontaminate-docs"), sorted(lengths), only)
     found = materialise(found.join(F.broadcast(items) if only is not None else items, "hash").where("plain = item_plain"),
                         "benchmark-hits")
 
@@ -475,9 +475,10 @@ def matches(docs: DataFrame, benchmark: DataFrame, ident: str = "doc_id", text:
         (F.get("kinds", i) == F.get("item_kinds", i))
         & ((F.get("kinds", i) != LITERAL) | (F.get("words", i) == F.get("item_words", i)))))
     found = found.where((F.size("kinds") == F.size("item_kinds")) & same)
-    pair = ["file", "pos", "id", "item_id"]
+    own = ["item_file", "item_pos"]
+    pair = ["file", "pos", "id", *own, "item_id"]
     last = F.col("item_at") + F.greatest(F.col("item_size") - WINDOW, F.lit(0))
-    total = items.select("item_id", "item_plain", F.explode(F.sequence("item_at", last)).alias("start")).groupBy("item_id").agg(
+    total = items.select(*own, "item_plain", F.explode(F.sequence("item_at", last)).alias("start")).groupBy(*own).agg(
         F.count_distinct("start").alias("windows"),
         F.count_distinct(F.when(~F.col("item_plain"), F.col("start"))).alias("typed"))
     slots = F.filter(F.arrays_zip(F.col("kinds").alias("kind"), F.col("item_words").alias("theirs"), F.col("words").alias("ours")),
@@ -488,11 +489,10 @@ def matches(docs: DataFrame, benchmark: DataFrame, ident: str = "doc_id", text:
         F.collect_set(F.struct(F.col("item_at").alias("first"), last.alias("last"), equal.alias("equal"),
                                 (~F.col("item_plain")).alias("typed"))).alias("hits"),
         F.array_distinct(F.flatten(F.collect_list(slots))).alias("slots"))
-    lines = lines.join(total, lines["item_id"].eqNullSafe(total["item_id"])).select(
-        *[lines[c] for c in pair], "shift", "hits", "slots", "windows", "typed")
+    lines = lines.join(total, own).select(*pair, "shift", "hits", "slots", "windows", "typed")
     # the lines of a pair are met in order of their shift, those of a band held at a time
     best = lines.repartition(*pair).sortWithinPartitions(*pair, "shift").mapInArrow(best_chains, CHAINS)
-    best = best.groupBy(*pair).agg(F.max(F.struct("coverage", "same_values", -F.col("first_word"))).alias("best"))
+    best = best.groupBy("file", "pos", "id", "item_id").agg(F.max(F.struct("coverage", "same_values", -F.col("first_word"))).alias("best"))
     return best.select(F.col("id").alias("doc_id"), "item_id", F.col("best.coverage").alias("coverage"),
                        (-F.col("best.col3")).alias("first_word"), F.col("best.same_values").alias("same_values"),
                        "file", "pos")

@@ -241,6 +241,21 @@ def test_decontaminate_case_line_breaks_and_typography(spark):
     assert plain[3] == plain[4] == 1.0
 
 
+@pytest.mark.parametrize("any_case", [False, True])
+def test_decontaminate_items_by_row_and_without_plain_words(spark, any_case):
+    """Items of one id, or without any, have their own number of windows; arithmetic and names match word for word."""
+    words = [f"{a}{b}" for a in WORDS for b in "abcdefgh"]
+    short, long = " ".join(words[:14]), " ".join(words[20:80])
+    sums, titles = "12 + 7 * 3", "King John and Queen Mary"
+    df = spark.createDataFrame([(1, f"so {short} end"), (2, f"so {sums} = 33"), (3, "so 13 + 7 * 3 = 34"),
+                                (4, f"then came {titles} again"), (5, "then came King Peter and Queen Anna again")],
+                               "doc_id long, text string")
+    bench = spark.createDataFrame([(None, short), (None, long), (7, short), (7, long), (7, long), (8, sums), (9, titles)],
+                                  "item_id long, text string")
+    found = {(r.doc_id, r.item_id): r.coverage for r in decontaminate.matches(df, bench, any_case=any_case).collect()}
+    assert found == {(1, None): 1.0, (1, 7): 1.0, (2, 8): 1.0, (4, 9): 1.0}
+
+
 def test_maximal_segments():
     def brute(x, lo, hi):
         sums = [(sum(x[i:j + 1]), -i, -j) for i in range(lo, hi) for j in range(i, hi)]
