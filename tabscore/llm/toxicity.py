@@ -1,10 +1,10 @@
 """Toxicity: maximum-scoring segments over token log-odds, calibrated by extreme values.
 
-1. Every word falls into one of ``SLOTS`` hashed slots.  For each slot the
-   labelled training documents give its log-odds of toxic against clean use
-   under a Dirichlet prior proportional to its overall use, and the z-score of
-   those odds.  Each distinct text counts once, and a word once per text, so a
-   text held by a third of the rows weighs as one.
+1. For each word (its 64-bit hash) the labelled training documents give its
+   log-odds of toxic against clean use under a Dirichlet prior proportional to
+   its overall use, and the z-score of those odds.  Each distinct text counts
+   once, and a word once per text, so a text held by a third of the rows weighs
+   as one.
 2. A word scores its log-odds when they are significant, less a fixed cost per
    word, so ordinary text drifts downwards.  One linear pass over a whole text
    finds every maximal scoring segment.
@@ -14,9 +14,10 @@
    their evidence adds up to the document's, and a logistic curve fitted on
    the training fold maps it to a probability.
 
-The slot table is a fixed 4 MB whatever the vocabulary, so broadcasting it has
-a proven bound.  Counting combines per slot in every task; scoring is one
-narrow pass.
+Words are counted in Spark, and only those with significant odds make the
+model's table.  It is broadcast while its measured size is small; beyond that
+the words of the texts meet it in a shuffled join.  Every other word scores the
+cost alone, so no word has another's score.
 
 Defined results: null and empty texts have no words, no segments and the
 evidence of an empty text; several labels of one document are averaged (ties
@@ -28,15 +29,15 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 
-from tabscore.llm.common import python_workers, F, T, col, crc_mod, materialise, small, words
+from tabscore.llm.common import BROADCAST_BYTES, python_workers, F, T, col, crc_mod, materialise, small, words
 
-SLOTS = 1 << 20
+WORD_BYTES = 16         # a word of the model's table: hash and score
 PRIOR_SHARE = 0.05      # prior weight, as a share of all counted words
 Z_MIN = 2.5             # log-odds below this many standard errors count as none
 WORD_COST = 0.2         # what every word costs a segment
@@ -51,9 +52,9 @@ RESULT = T.StructType([
     T.StructField("segments", T.ArrayType(SEGMENT))])
 
 
-def slots(text: Column) -> Column:
-    """The slot of every word, in order."""
-    return F.transform(words(text), lambda w: F.pmod(F.xxhash64(w), F.lit(SLOTS)).cast("int"))
+def word_ids(text: Column) -> Column:
+    """The 64-bit hash of every word, in order."""
+    return F.transform(words(text), lambda w: F.xxhash64(w))
 
 
 def maximal_segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
@@ -83,20 +84,34 @@ def maximal_segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
 
 @dataclass
 class ToxicModel:
-    scores: np.ndarray = field(default_factory=lambda: np.full(SLOTS, -WORD_COST, dtype=np.float32))
+    #: Words with significant odds, sorted, and their scores; or, where they are too many, a table (word, score).
+    keys: np.ndarray = field(default_factory=lambda: np.zeros(0, dtype=np.int64))
+    values: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    table: DataFrame | None = None
     decay: float = 1.0
     log_k: float = 0.0
     slope: float = 0.0
     intercept: float = 0.0
     rows: int = 0
 
-    def segments(self, ids: np.ndarray) -> list[tuple[int, int, float, float]]:
+    def scores(self, ids, at=None, marks=None) -> np.ndarray:
+        """The score of every word; ``at`` and ``marks`` are places and scores already looked up in the table."""
+        ids = np.asarray(ids if ids is not None else [], dtype=np.int64)
+        out = np.full(len(ids), -WORD_COST)
+        if at is not None:
+            out[np.asarray(at, dtype=np.int64)] = np.asarray(marks, dtype=np.float64)
+        elif len(self.keys):
+            k = np.minimum(np.searchsorted(self.keys, ids), len(self.keys) - 1)
+            hit = self.keys[k] == ids
+            out[hit] = self.values[k[hit]]
+        return out
+
+    def segments(self, scores: np.ndarray) -> list[tuple[int, int, float, float]]:
         """Maximal segments with the logarithm of the number expected by chance in a text of this length."""
-        if not len(ids):
+        if not len(scores):
             return []
-        log_n = math.log(len(ids))
-        return [(a, b, s, self.log_k + log_n - self.decay * s)
-                for a, b, s in maximal_segments(self.scores[ids].astype(np.float64))]
+        log_n = math.log(len(scores))
+        return [(a, b, s, self.log_k + log_n - self.decay * s) for a, b, s in maximal_segments(scores)]
 
     def evidence(self, found: list[tuple[int, int, float, float]]) -> float:
         """Evidence of all significant segments together; of the best one if none is."""
@@ -111,19 +126,12 @@ class ToxicModel:
         return 1.0 / (1.0 + math.exp(-(self.intercept + self.slope * evidence)))
 
 
-def log_odds(toxic: np.ndarray, clean: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Log-odds of toxic against clean use per slot, and their z-scores, under the proportional prior."""
-    nt, nc = toxic.sum(), clean.sum()
-    both = toxic + clean
-    prior = PRIOR_SHARE * both
-    p0 = prior.sum()
-    used = both > 0
-    a, c, pr = toxic[used], clean[used], prior[used]
-    odds = np.log((a + pr) / (nt + p0 - a - pr)) - np.log((c + pr) / (nc + p0 - c - pr))
-    z = odds / np.sqrt(1.0 / (a + pr) + 1.0 / (c + pr))
-    all_odds, all_z = np.zeros(len(toxic)), np.zeros(len(toxic))
-    all_odds[used], all_z[used] = odds, z
-    return all_odds, all_z
+def log_odds(t: Column, c: Column, nt: float, nc: float) -> tuple[Column, Column]:
+    """Log-odds of toxic against clean use of a word, and their z-score, under the proportional prior."""
+    prior, p0 = (t + c) * PRIOR_SHARE, PRIOR_SHARE * (nt + nc)
+    a, b = t + prior, c + prior
+    odds = F.log(F.try_divide(a, F.lit(nt + p0) - a)) - F.log(F.try_divide(b, F.lit(nc + p0) - b))
+    return odds, odds / F.sqrt(F.lit(1.0) / a + F.lit(1.0) / b)
 
 
 def decay_of(values: np.ndarray, weight: np.ndarray) -> float:
@@ -158,11 +166,11 @@ def logistic_1d(x: np.ndarray, pos: np.ndarray, neg: np.ndarray) -> tuple[float,
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, fold: Column, ident: str, text: str) -> DataFrame:
-    """(ids, toxic): the slots of every distinct labelled text of the training fold, written once."""
+    """(ids, toxic): the words of every distinct labelled text of the training fold, written once."""
     known = labels.where(col(label).isNotNull() & col(ident).isNotNull() & fold).groupBy(
         col(ident).alias("_id")).agg(F.avg(col(label).cast("double")).alias("_y"))
     side, _ = small(materialise(known, "toxic-labels"), 32)
-    rows = docs.select(col(ident).alias("_id"), slots(col(text)).alias("ids"),
+    rows = docs.select(col(ident).alias("_id"), word_ids(col(text)).alias("ids"),
                        F.xxhash64(F.lower(col(text))).alias("h1"), F.crc32(F.lower(col(text)).cast("binary")).alias("h2")
                        ).join(side, "_id")
     # copies of one text: one row, toxic when most of its labels are
@@ -174,23 +182,31 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, fold: Column,
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", fold: Column | None = None,
-        ident: str = "doc_id", text: str = "text") -> ToxicModel:
+        ident: str = "doc_id", text: str = "text", limit: int = BROADCAST_BYTES) -> ToxicModel:
     spark = docs.sparkSession
     python_workers(spark)
     fold = fold if fold is not None else crc_mod(col(ident), 5) != 0
     rows = training_rows(docs, labels, label, fold, ident, text)
-    counts = rows.select("toxic", F.explode(F.array_distinct("ids")).alias("slot")).groupBy("slot").agg(
-        F.count_if("toxic").alias("t"), F.count_if(~F.col("toxic")).alias("c")).toPandas()
+    counts = materialise(rows.select("toxic", F.explode(F.array_distinct("ids")).alias("word")).groupBy("word").agg(
+        F.count_if("toxic").cast("double").alias("t"), F.count_if(~F.col("toxic")).cast("double").alias("c")), "toxic-counts")
     model = ToxicModel()
-    if counts.empty:
+    nt, nc = counts.agg(F.sum("t"), F.sum("c")).first()
+    if nt is None:
         return model
-    toxic, clean = np.zeros(SLOTS), np.zeros(SLOTS)
-    toxic[counts["slot"]], clean[counts["slot"]] = counts["t"], counts["c"]
-    odds, z = log_odds(toxic, clean)
     model.rows = 1
-    model.scores = (np.where(z >= Z_MIN, odds, np.where(z <= -Z_MIN, odds, 0.0)) - WORD_COST).astype(np.float32)
-    weight = clean + PRIOR_SHARE * (toxic + clean) * (model.scores > 0)   # a toxic word is never impossible in clean text
-    model.decay = decay_of(model.scores.astype(np.float64), weight)
+    odds, z = log_odds(F.col("t"), F.col("c"), nt, nc)
+    kept = materialise(counts.where(F.abs(z) >= Z_MIN).select("word", "t", "c", (odds - WORD_COST).alias("score")), "toxic-words")
+    if kept.count() * WORD_BYTES <= limit:
+        known = kept.orderBy("word").select("word", "score").toPandas()
+        model.keys, model.values = known["word"].to_numpy(np.int64), known["score"].to_numpy(np.float64)
+    else:
+        model.table = kept.select("word", "score")
+    # equal counts have equal scores; words without significant odds are one value
+    like = kept.groupBy("t", "c").agg(F.min("score").alias("score"), F.count("*").alias("n")).toPandas()
+    t, c, score, n = (like[k].to_numpy(np.float64) for k in ("t", "c", "score", "n"))
+    weight = n * (c + PRIOR_SHARE * (t + c) * (score > 0))   # a toxic word is never impossible in clean text
+    model.decay = decay_of(np.append(score, -WORD_COST), np.append(weight, max(nc - (n * c).sum(), 0.0)))
+    rows = marked(rows, model, "toxic-rows-marked")
     model.log_k = log_k(rows, model)
     hist = binned(rows, model)
     x = X_LOW + (np.arange(X_BINS) + 0.5) * (X_HIGH - X_LOW) / X_BINS
@@ -199,25 +215,36 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", fold: Column |
     return model
 
 
+def marked(rows: DataFrame, model: ToxicModel, name: str) -> DataFrame:
+    """``rows`` with (at, marks): places and scores of the words in the model's table, null where it is broadcast."""
+    if model.table is None:
+        return rows.withColumns({"at": F.lit(None).cast("array<int>"), "marks": F.lit(None).cast("array<double>")})
+    rows = materialise(rows.withColumn("_row", F.monotonically_increasing_id()), name)
+    found = rows.select("_row", F.posexplode("ids").alias("_at", "word")).join(model.table, "word").groupBy("_row").agg(
+        F.collect_list(F.struct("_at", "score")).alias("_m"))
+    found = found.select("_row", F.col("_m._at").alias("at"), F.col("_m.score").alias("marks"))
+    return rows.join(found, "_row", "left").drop("_row")
+
+
 def log_k(rows: DataFrame, model: ToxicModel) -> float:
     """ln K from the best segments of clean training texts (mean of the extreme-value law); 0.1 when they are few."""
-    shared = rows.sparkSession.sparkContext.broadcast(model)
+    shared = rows.sparkSession.sparkContext.broadcast(replace(model, table=None))
 
     @F.pandas_udf(T.DoubleType())
-    def excess(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def excess(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         m = shared.value
-        for batch in batches:
-            best = [max((s for *_, s, _ in m.segments(np.asarray(i))), default=None) for i in batch]
-            yield pd.Series([None if s is None else m.decay * s - math.log(len(i)) for s, i in zip(best, batch)],
+        for ids, at, marks in batches:
+            best = [max((s for *_, s, _ in m.segments(m.scores(*r))), default=None) for r in zip(ids, at, marks)]
+            yield pd.Series([None if s is None else m.decay * s - math.log(len(i)) for s, i in zip(best, ids)],
                             dtype="float64")
 
-    n, mean = rows.where("NOT toxic").select(excess("ids").alias("v")).agg(F.count("v"), F.avg("v")).first()
+    n, mean = rows.where("NOT toxic").select(excess("ids", "at", "marks").alias("v")).agg(F.count("v"), F.avg("v")).first()
     return float(mean) - 0.5772156649 if n >= 30 else math.log(0.1)
 
 
 def binned(rows: DataFrame, model: ToxicModel) -> np.ndarray:
     """Counts of clean and toxic training texts by bin of their evidence: a fixed table."""
-    scored = rows.select("toxic", segment_column(rows, model, F.col("ids"))["evidence"].alias("x"))
+    scored = rows.select("toxic", segment_column(rows, model)["evidence"].alias("x"))
     at = F.least(F.greatest(F.floor((F.col("x") - X_LOW) / ((X_HIGH - X_LOW) / X_BINS)), F.lit(0)), F.lit(X_BINS - 1))
     out = np.zeros((X_BINS, 2))
     for r in scored.groupBy(at.cast("int").alias("b"), "toxic").count().collect():
@@ -225,27 +252,28 @@ def binned(rows: DataFrame, model: ToxicModel) -> np.ndarray:
     return out
 
 
-def segment_column(df: DataFrame, model: ToxicModel, ids: Column) -> Column:
-    """score, evidence and significant segments of each array of slots; the model (4 MB, fixed) is broadcast."""
-    shared = df.sparkSession.sparkContext.broadcast(model)
+def segment_column(df: DataFrame, model: ToxicModel) -> Column:
+    """score, evidence and significant segments of each row's words (ids, at, marks)."""
+    shared = df.sparkSession.sparkContext.broadcast(replace(model, table=None))
 
     @F.pandas_udf(RESULT)
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         m = shared.value
-        for batch in batches:
+        for ids, at, marks in batches:
             out = []
-            for ids in batch:
-                found = m.segments(np.asarray(ids if ids is not None else [], dtype=np.int64))
+            for r in zip(ids, at, marks):
+                found = m.segments(m.scores(*r))
                 x = m.evidence(found)
                 out.append((m.probability(x), x, [(a, b, s, math.exp(max(e, -700.0))) for a, b, s, e in found
                                                   if e <= math.log(SIGNIFICANT)]))
             yield pd.DataFrame(out, columns=["score", "evidence", "segments"])
 
-    return run(ids)
+    return run("ids", "at", "marks")
 
 
 def passages(docs: DataFrame, model: ToxicModel, ident: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, score (0 to 1), evidence and every significant toxic passage (word positions) of each whole text."""
     python_workers(docs.sparkSession)
-    found = docs.select(col(ident).alias("doc_id"), segment_column(docs, model, slots(col(text))).alias("r"))
+    rows = marked(docs.select(col(ident).alias("doc_id"), word_ids(col(text)).alias("ids")), model, "toxic-docs-marked")
+    found = rows.select("doc_id", segment_column(rows, model).alias("r"))
     return found.select("doc_id", "r.score", "r.evidence", "r.segments")

@@ -294,6 +294,27 @@ def test_scores_of_edge_rows(docs, empty):
     assert {r.score for r in toxicity.passages(docs, toxicity.fit(docs, labels.where("doc_id < 0"))).collect()} == {0.0}
 
 
+def test_toxic_words_have_their_own_scores(spark):
+    """A word whose hash agrees with a toxic one's in 20 bits is an unknown word; a large table is joined, with equal results."""
+    rnd = random.Random(4)
+    slot = F.pmod(F.xxhash64("w"), F.lit(1 << 20))
+    bad = spark.createDataFrame([("venom",)], "w string").select(slot.alias("s")).first().s
+    twin = spark.range(1 << 24).select(F.concat(F.lit("word"), "id").alias("w")).where(slot == bad).first().w
+    texts = [prose(rnd, 30) + (" venom" * 5 if k % 2 else "") + f" tail{k}" for k in range(80)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = df.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("toxic"))
+    tests = spark.createDataFrame([(1, "venom " * 9), (2, f"{twin} " * 9), (3, "unknown " * 9), (4, None), (5, "")],
+                                  "doc_id long, text string")
+    model = toxicity.fit(df, labels, fold=F.lit(True))
+    got = {r.doc_id: r for r in toxicity.passages(tests, model).collect()}
+    assert got[1].segments and not got[2].segments and got[2].score == got[3].score < got[1].score
+    joined = toxicity.fit(df, labels, fold=F.lit(True), limit=0)
+    assert joined.table is not None and not len(joined.keys)
+    both = df.unionByName(tests)
+    key = lambda m: sorted((r.doc_id, round(r.score, 9), len(r.segments)) for r in toxicity.passages(both, m).collect())
+    assert key(joined) == key(model)
+
+
 def test_isotonic_is_monotone_and_pools():
     good, total = np.array([1, 0, 3, 2, 5.0]), np.array([2, 4, 4, 4, 5.0])
     level = quality.pooled(good, total)
