@@ -42,7 +42,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from tabscore.llm.common import python_workers, F, T, col, components, materialise, small, words
+from tabscore.llm.common import (python_workers, F, ROW_FILE, ROW_POS, T, col, components, is_file_scan, located,
+                                 materialise, small, words)
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -124,7 +125,8 @@ def set_key(s: np.ndarray) -> tuple[int, int]:
 
 
 SIGNED = T.StructType([
-    T.StructField("doc_id", T.LongType()), T.StructField("k1", T.LongType()), T.StructField("k2", T.LongType()),
+    T.StructField("doc_id", T.LongType()), T.StructField("file", T.LongType()), T.StructField("pos", T.LongType()),
+    T.StructField("k1", T.LongType()), T.StructField("k2", T.LongType()),
     T.StructField("n", T.IntegerType()), T.StructField("tokens", T.BinaryType())])
 
 
@@ -133,20 +135,21 @@ def word_hash_column(text):
 
 
 def signed(docs: DataFrame, ident: str, text: str) -> DataFrame:
-    """(row, doc_id, k1, k2, n, tokens) of every document; ``row`` is fixed by writing the table."""
+    """(row, doc_id, file, pos, k1, k2, n, tokens) of every document; ``row`` is fixed by writing the table."""
     python_workers(docs.sparkSession)
-    rows = docs.select(col(ident).cast("long").alias("doc_id"), word_hash_column(col(text)).alias("w"))
+    rows = located(docs, "join-docs").select(col(ident).cast("long").alias("doc_id"), F.col(ROW_FILE).alias("file"),
+                                             F.col(ROW_POS).alias("pos"), word_hash_column(col(text)).alias("w"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            w, offsets = b.column(1).values.to_numpy(zero_copy_only=False), b.column(1).offsets.to_numpy()
+            w, offsets = b.column(3).values.to_numpy(zero_copy_only=False), b.column(3).offsets.to_numpy()
             k1, k2, n, tokens = [], [], [], []
             for i in range(b.num_rows):
                 s = shingles(w[offsets[i]:offsets[i + 1]])
                 a, c = set_key(s)
                 k1.append(a), k2.append(c), n.append(len(s))
                 tokens.append(sampled_tokens(s).tobytes() if len(s) else None)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()),
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(k1, pa.int64()), pa.array(k2, pa.int64()),
                                               pa.array(n, pa.int32()), pa.array(tokens, pa.binary())], SIGNED.names)
 
     # the id of a row is only used from the written table, where it can no longer change
@@ -292,7 +295,7 @@ def link_rows(rows: DataFrame, threshold: float) -> DataFrame:
             for chunk in t.column("w").chunks:
                 v, o = chunk.values.to_numpy(zero_copy_only=False), chunk.offsets.to_numpy()
                 sets += [shingles(v[o[i]:o[i + 1]]) for i in range(len(chunk))]
-            # an id may have brought several texts: one whose set is the wanted one
+            # a set is compared only as the one it was signed as
             found = {int(rep[i]): i for i in range(len(sets)) if set_key(sets[i]) == (k1[i], k2[i])}
             at = np.array(sorted(found.values()), dtype=np.int64)
             a, b, links = compare_sets(rep[at], own[at], weight[at], [sets[i] for i in at], ba != bb, threshold)
@@ -363,62 +366,75 @@ def compare_sets(rep: np.ndarray, own: np.ndarray, weight: np.ndarray, sets: lis
 def join(docs: DataFrame, ident: str = "doc_id", text: str = "text", threshold: float = THRESHOLD,
          target: float = TARGET) -> DataFrame:
     """One row per document: doc_id, class_id, links, copies (documents with the same set, itself included)."""
+    return located_classes(docs, ident, text, threshold, target).select("doc_id", "class_id", "links", "copies")
+
+
+def located_classes(docs: DataFrame, ident: str, text: str, threshold: float = THRESHOLD,
+                    target: float = TARGET) -> DataFrame:
+    """``join`` with each row's place (file, pos) and whether it is the one row that names its class (``first``)."""
+    if not is_file_scan(docs):
+        docs = materialise(docs, "join-docs")    # once: texts are found again by their place
     rows = signed(docs, ident, text)
     some = rows.where("n > 0")
     classes = materialise(some.groupBy("k1", "k2").agg(
         F.min("row").alias("rep"), F.count("*").alias("copies"),
-        F.min(F.coalesce("doc_id", F.lit(HIGHEST))).alias("first_id")), "join-classes")
+        F.min(F.struct(F.coalesce("doc_id", F.lit(HIGHEST)).alias("id"), "row")).alias("first_row")), "join-classes")
     reps = materialise(some.join(classes.select("rep", "copies"), F.col("row") == F.col("rep")).select(
-        "rep", "doc_id", "k1", "k2", "n", "copies", "tokens"), "join-reps")
+        "rep", "file", "pos", "k1", "k2", "n", "copies", "tokens"), "join-reps")
     found = buckets(reps.select("rep", "tokens"), runs_for(target, threshold), DEPTH, BRANCHES)
     units = with_blocks(found, "path", "rep").join(reps.select("rep", "tokens"), "rep")
     edges = materialise(candidate_edges(units).distinct(), "join-candidates")
     group = materialise(components(edges), "join-groups")
-    links = materialise(link_rows(group_texts(docs, group, reps, ident, text), threshold), "join-links")
+    links = materialise(link_rows(group_texts(docs, group, reps, text), threshold), "join-links")
 
     linked = links.where("b IS NULL").groupBy("a").agg(F.sum("links").alias("links"))
     roots = components(links.where("b IS NOT NULL").select("a", "b"))
     root_of = classes.join(roots, classes["rep"] == roots["node"], "left").select(
-        "k1", "k2", "rep", "copies", "first_id", F.coalesce("root", "rep").alias("root"))
-    # the class is named by its smallest document id
-    named = root_of.groupBy("root").agg(F.min("first_id").alias("class_id"))
+        "k1", "k2", "rep", "copies", "first_row", F.coalesce("root", "rep").alias("root"))
+    # the class is named by its smallest document id, of equal ids by the first row
+    named = root_of.groupBy("root").agg(F.min("first_row").alias("named"))
     final = root_of.join(named, "root").join(linked, root_of["rep"] == linked["a"], "left").select(
-        "k1", "k2", "copies", F.nullif(F.col("class_id"), F.lit(HIGHEST)).alias("class_id"),
+        "k1", "k2", "copies", F.nullif(F.col("named.id"), F.lit(HIGHEST)).alias("class_id"),
+        F.col("named.row").alias("named_row"),
         F.coalesce("links", F.lit(0)).alias("near"))
     final = materialise(final, "join-final")
-    out = some.select("doc_id", "k1", "k2").join(final, ["k1", "k2"]).select(
-        "doc_id", "class_id", (F.col("near") + F.col("copies") - 1).alias("links"), "copies")
-    alone = rows.where("n = 0").select("doc_id", F.col("doc_id").alias("class_id"),
+    out = some.select("doc_id", "file", "pos", "row", "k1", "k2").join(final, ["k1", "k2"]).select(
+        "doc_id", "file", "pos", (F.col("row") == F.col("named_row")).alias("first"), "class_id", (F.col("near") + F.col("copies") - 1).alias("links"), "copies")
+    alone = rows.where("n = 0").select("doc_id", "file", "pos", F.lit(True).alias("first"), F.col("doc_id").alias("class_id"),
                                        F.lit(0).cast("long").alias("links"), F.lit(1).cast("long").alias("copies"))
     return out.unionByName(alone)
 
 
-def group_texts(docs: DataFrame, group: DataFrame, reps: DataFrame, ident: str, text: str) -> DataFrame:
+def group_texts(docs: DataFrame, group: DataFrame, reps: DataFrame, text: str) -> DataFrame:
     """(root, rep, copies, w, own, block_a, block_b) of every set that has a candidate.
 
-    Texts are found by id (and told apart by their set where they are
-    compared), so only documents with candidates move.
+    Texts are found by their place, so only documents with candidates move.
     """
-    members = materialise(group.join(reps.select("rep", "doc_id", "k1", "k2", "n", "copies"),
+    members = materialise(group.join(reps.select("rep", "file", "pos", "k1", "k2", "n", "copies"),
                                      F.col("node") == F.col("rep")), "join-members")
     weight = F.ceil(F.sum("n") * F.lit(BLOCK) / F.lit(BLOCK_SHINGLES))
     sizes = members.groupBy("root").agg(F.greatest(F.count("*"), weight).alias("size"))
     wanted = materialise(members.join(sizes, "root").select(
-        "root", "size", "rep", F.col("doc_id").alias("_id"), "k1", "k2", "copies"), "join-wanted")
-    side, _ = small(wanted, 80)
-    texts = docs.select(col(ident).cast("long").alias("_own_id"), col(text).alias("_text"))
-    rows = texts.join(side, F.col("_own_id").eqNullSafe(F.col("_id"))).select(
+        "root", "size", "rep", "file", "pos", "k1", "k2", "copies"), "join-wanted")
+    side, _ = small(wanted, 88)
+    texts = located(docs, "join-docs").select(F.col(ROW_FILE).alias("file"), F.col(ROW_POS).alias("pos"), col(text).alias("_text"))
+    rows = texts.join(side, ["file", "pos"]).select(
         "root", "size", "rep", "k1", "k2", "copies", word_hash_column(F.col("_text")).alias("w"))
     return with_blocks(rows, "root", "rep")
 
 
 def keep_one(docs: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with one document of each class of near copies (the one whose id names it).
+    """``docs`` with one row of each class of near copies: that with the smallest id, of equal ids the first.
 
-    Rows repeating an id share its fate; a class without any id keeps all its rows.
+    Rows are judged one by one, whatever their ids; null ids count as the
+    largest, and rows without words are kept.
     """
-    found = join(docs, ident, text)
-    dropped = materialise(found.where("doc_id <> class_id").select(F.col("doc_id").alias("_near_id")).distinct(),
+    if not is_file_scan(docs):
+        docs = materialise(docs, "join-docs")    # once, so that both sides see the same files
+    found = located_classes(docs, ident, text)
+    dropped = materialise(found.where("NOT first").select(F.col("file").alias("_n_file"), F.col("pos").alias("_n_pos")),
                           "join-dropped")
-    side, _ = small(dropped, 16)
-    return docs.join(side, col(ident) == F.col("_near_id"), "left_anti").select([col(c) for c in docs.columns])
+    side, _ = small(dropped, 24)
+    rows = located(docs, "join-docs")
+    return rows.join(side, (F.col(ROW_FILE) == F.col("_n_file")) & (F.col(ROW_POS) == F.col("_n_pos")),
+                     "left_anti").select([col(c) for c in docs.columns])

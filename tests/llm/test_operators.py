@@ -389,6 +389,22 @@ def test_jaccard_join_against_brute_force(spark, docs, empty, monkeypatch):
     assert jaccard_join.join(empty).count() == 0
 
 
+def test_near_copies_go_by_row(spark):
+    """Rows of one id or without any are judged one by one: unrelated texts stay, one row of each group of copies."""
+    rnd = random.Random(12)
+    base, other, more, third = (prose(rnd, 80) for _ in range(4))
+    rows = [(1, base), (5, base + " tail"), (5, other), (5, more), (1, base + " end"), (None, base + " last"),
+            (None, third), (None, third + " tail"), (None, None), (7, ""), (7, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = sorted((str(r.doc_id), str(r.text)) for r in jaccard_join.keep_one(df).collect())
+    thirds = [t for _, t in kept if t.startswith(third)]
+    assert len(thirds) == 1
+    firsts = [t for d, t in kept if t.startswith(base)]
+    assert len(firsts) == 1 and ("1", firsts[0]) in kept
+    assert sorted(t for _, t in kept if t not in thirds + firsts) == sorted([other, more, "None", "", ""])
+    assert len(kept) == 7 and jaccard_join.join(df).count() == len(rows)
+
+
 def test_runs_reach_the_target():
     assert 1 - (1 - jaccard_join.survival()) ** jaccard_join.runs_for(0.999) >= 0.999
     assert 1 - (1 - jaccard_join.survival()) ** (jaccard_join.runs_for(0.999) - 1) < 0.999
