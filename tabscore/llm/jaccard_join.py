@@ -57,13 +57,16 @@ BLOCK = 1024
 BLOCK_SHINGLES = 1 << 20
 #: Sets of a block judged at a time.
 STRIP = 256
-#: Sampled similarity from which a pair is a candidate: four standard errors below the threshold.
-SLACK = 4 * (THRESHOLD * (1 - THRESHOLD) / TOKENS) ** 0.5
 SEED = 11
 HIGHEST = 2**63 - 1
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 
 
+def candidate_floor(threshold: float) -> float:
+    """Sampled tokens from which a pair is a candidate: four standard errors below the threshold."""
+    return (threshold - 4 * (threshold * (1 - threshold) / TOKENS) ** 0.5) * TOKENS
+
+
 def survival(threshold: float = THRESHOLD, branches: int = BRANCHES, depth: int = DEPTH) -> float:
     """Chance that a pair at the threshold shares a bucket of one run, split down to ``depth``."""
     s = 1.0
@@ -245,9 +248,9 @@ def groups_of(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[tuple[
         yield key, pa.Table.from_batches(held)
 
 
-def candidate_edges(rows: DataFrame) -> DataFrame:
+def candidate_edges(rows: DataFrame, threshold: float) -> DataFrame:
     """A spanning tree (a, b) of the candidate pairs inside every unit of (path, block_a, block_b)."""
-    floor = (THRESHOLD - SLACK) * TOKENS
+    floor = candidate_floor(threshold)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (_, ba, bb), t in groups_of(batches, 3):
@@ -383,7 +386,7 @@ def located_classes(docs: DataFrame, ident: str, text: str, threshold: float = T
         "rep", "file", "pos", "k1", "k2", "n", "copies", "tokens"), "join-reps")
     found = buckets(reps.select("rep", "tokens"), runs_for(target, threshold), DEPTH, BRANCHES)
     units = with_blocks(found, "path", "rep").join(reps.select("rep", "tokens"), "rep")
-    edges = materialise(candidate_edges(units).distinct(), "join-candidates")
+    edges = materialise(candidate_edges(units, threshold).distinct(), "join-candidates")
     group = materialise(components(edges), "join-groups")
     links = materialise(link_rows(group_texts(docs, group, reps, text), threshold), "join-links")
 

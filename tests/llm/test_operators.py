@@ -405,6 +405,17 @@ def test_near_copies_go_by_row(spark):
     assert len(kept) == 7 and jaccard_join.join(df).count() == len(rows)
 
 
+def test_jaccard_join_below_the_usual_threshold(spark):
+    """Pairs of similarity 0.55 or so are linked at a threshold of 0.5: the candidates' floor follows it."""
+    rnd = random.Random(21)
+    rows = []
+    for g in range(20):
+        w = [f"w{g}x{k}" for k in range(104)]
+        rows += [(2 * g, " ".join(w)), (2 * g + 1, " ".join(w[:74] + [f"v{g}x{rnd.randint(0, 9)}y{k}" for k in range(30)]))]
+    found = jaccard_join.join(spark.createDataFrame(rows, "doc_id long, text string"), threshold=0.5).collect()
+    assert all(r.links == 1 and r.class_id == r.doc_id // 2 * 2 for r in found) and len(found) == 40
+
+
 def test_runs_reach_the_target():
     assert 1 - (1 - jaccard_join.survival()) ** jaccard_join.runs_for(0.999) >= 0.999
     assert 1 - (1 - jaccard_join.survival()) ** (jaccard_join.runs_for(0.999) - 1) < 0.999
