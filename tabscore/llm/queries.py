@@ -10,7 +10,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabscore.llm import bpe, decontaminate, exact_dedup, jaccard_join, quality, sharding, token_rollup, toxicity, url_filter, warc
+from tabscore.llm import (bpe, decontaminate, exact_dedup, filter_audit, jaccard_join, quality, sharding, token_rollup,
+                          toxicity, url_filter, warc)
 from tabscore.llm.common import F, col, crc_mod, table
 from tabscore.session import scratch_path
 
@@ -125,6 +126,48 @@ SELECT d.doc_id, g.keep_id, g.group_size, d.doc_id = g.keep_id AS kept, d.text_s
 FROM d JOIN g USING (text_sha256)
 """
 
+
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    failed = filter_audit.failed_filters(table(spark, sf_dir, "documents"))
+    return filter_audit.audit(filter_audit.mask_counts(failed, table(spark, sf_dir, "labels")))
+
+
+OP11_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t,
+         list_filter(string_split_regex(coalesce(text, ''), '[ \t\n\x0B\f\r]+'), lambda x: x <> '') AS w
+  FROM documents),
+l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY 1),
+f AS (
+  SELECT d.part, coalesce(l.good, FALSE) AS good, coalesce(l.toxic, FALSE) AS toxic,
+         len(w) < 200 AS a, 100 * len(list_distinct(w)) < 50 * len(w) AS b,
+         100 * length(regexp_replace(t, '[^A-Z]+', '', 'g')) > 2 * length(t) AS c,
+         regexp_matches(t, '[#$%&*|]') AS e4, d.doc_id > min(d.doc_id) OVER (PARTITION BY t) AS e5
+  FROM d LEFT JOIN l ON d.doc_id = l.doc_id),
+m AS (
+  SELECT part, a::INT + 2 * b::INT + 4 * c::INT + 8 * e4::INT + 16 * coalesce(e5, FALSE)::INT AS mask, count(*) AS n,
+         count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic
+  FROM f GROUP BY 1, 2),
+x AS (SELECT * FROM (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)) v(letter, bit)),
+o AS (
+  SELECT [p.letter, q.letter, r.letter, s.letter, t.letter] AS ls, [p.bit, q.bit, r.bit, s.bit, t.bit] AS bs
+  FROM x p, x q, x r, x s, x t WHERE p.bit + q.bit + r.bit + s.bit + t.bit = 31
+    AND len(list_distinct([p.bit, q.bit, r.bit, s.bit, t.bit])) = 5),
+k AS (
+  SELECT array_to_string(ls, '') AS filter_order, CAST(g.i AS INTEGER) AS step, bs[g.i] AS own,
+         coalesce(list_sum(bs[1:g.i - 1]), 0)::INT AS before
+  FROM o, generate_series(1, 5) g(i))
+SELECT m.part, k.filter_order, k.step,
+       CAST(coalesce(sum(n) FILTER (mask & (before + own) = 0), 0) AS BIGINT) AS kept,
+       CAST(coalesce(sum(n) FILTER (mask & own <> 0 AND mask & before = 0), 0) AS BIGINT) AS removed,
+       CAST(coalesce(sum(n) FILTER (mask & own <> 0 AND mask & before <> 0), 0) AS BIGINT) AS redundant,
+       CAST(coalesce(sum(n) FILTER (mask = own), 0) AS BIGINT) AS unique_fails,
+       CAST(coalesce(sum(good) FILTER (mask & own <> 0 AND mask & before = 0), 0) AS BIGINT) AS good_lost,
+       CAST(coalesce(sum(toxic) FILTER (mask & own <> 0 AND mask & before = 0), 0) AS BIGINT) AS toxic_lost,
+       CAST(coalesce(sum(n * 120 // greatest(bit_count(mask), 1)) FILTER (mask & own <> 0), 0) AS BIGINT) AS shapley
+FROM m, k GROUP BY 1, 2, 3
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chosen_path_join": op1_chosen_path_join,
     "op2_warc_chunks": op2_warc_chunks,
@@ -136,10 +179,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_fourier_quality": op8_fourier_quality,
     "op9_backtracking_bpe": op9_backtracking_bpe,
     "op10_streaming_exact_dedup": op10_streaming_exact_dedup,
+    "op11_filter_audit": op11_filter_audit,
 }
 
 ORACLE: dict[str, str] = {
     "op2_warc_chunks": OP2_SQL,
     "op3_token_rollups": OP3_SQL,
     "op10_streaming_exact_dedup": OP10_SQL,
+    "op11_filter_audit": OP11_SQL,
 }
