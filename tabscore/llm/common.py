@@ -14,8 +14,6 @@ from tabscore.session import scratch_path, ship_package
 #: A side of a join is broadcast only when its measured rows times its row width stay below this.
 BROADCAST_BYTES = 32 * 1024 * 1024
 
-ROW_FILE, ROW_POS = "_row_file", "_row_pos"
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
@@ -70,19 +68,21 @@ def is_file_scan(df: DataFrame) -> bool:
     return node.getClass().getSimpleName() == "LogicalRelation"
 
 
-def located(df: DataFrame, name: str = "located") -> DataFrame:
-    """``df`` with a stable locator of each row: file (64-bit hash of its path) and position in it.
+def located(df: DataFrame, columns: list[Column], name: str = "located", file: str = "file",
+            pos: str = "pos") -> DataFrame:
+    """``columns`` of ``df`` and a stable locator of each row: file (64-bit hash of its path) and position in it.
 
     The locator depends on the stored files alone, not on partitioning or
     retries, and tells apart rows that are equal in every column.  A frame
     that is not a plain Parquet scan is written once to the shared folder.
+    ``file`` and ``pos`` name the locator's columns; no other column of
+    ``df`` is added or looked at, so none can clash with them.
     """
     for attempt in range(2):
         if is_file_scan(df):
             try:
                 meta = df.metadataColumn("_metadata")
-                out = df.select("*", F.xxhash64(meta["file_path"]).alias(ROW_FILE),
-                                meta["row_index"].alias(ROW_POS))
+                out = df.select(*columns, F.xxhash64(meta["file_path"]).alias(file), meta["row_index"].alias(pos))
                 out.schema
                 return out
             except Exception:
@@ -92,6 +92,19 @@ def located(df: DataFrame, name: str = "located") -> DataFrame:
     raise RuntimeError("a written Parquet copy must be a plain scan")
 
 
+def without_rows(df: DataFrame, dropped: DataFrame, name: str = "located") -> DataFrame:
+    """``df`` without the rows at the places in ``dropped`` (file, pos), its columns as they were."""
+    taken = list(df.columns)
+    names = []
+    for wanted in ("_row_file", "_row_pos", "_drop_file", "_drop_pos"):
+        names.append(free_name(taken, wanted))
+        taken.append(names[-1])
+    side, _ = small(dropped.select(F.col("file").alias(names[2]), F.col("pos").alias(names[3])), 24)
+    rows = located(df, [col(c) for c in df.columns], name, names[0], names[1])
+    at = (col(names[0]) == col(names[2])) & (col(names[1]) == col(names[3]))
+    return rows.join(side, at, "left_anti").select([col(c) for c in df.columns])
+
+
 def small(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> tuple[DataFrame, bool]:
     """``df`` hinted for broadcast when its measured size is below ``limit``; else as it is.
 
@@ -153,5 +166,5 @@ def crc_mod(ident: Column, m: int) -> Column:
     return F.crc32(F.coalesce(ident.cast("string"), F.lit("")).cast("binary")) % F.lit(m)
 
 
-__all__ = ["BROADCAST_BYTES", "ROW_FILE", "ROW_POS", "table", "materialise", "free_name", "quoted", "col",
-           "located", "small", "drop_rows", "components", "words", "crc_mod", "python_workers", "F", "T", "Window"]
+__all__ = ["BROADCAST_BYTES", "table", "materialise", "free_name", "quoted", "col", "located", "without_rows",
+           "small", "drop_rows", "components", "words", "crc_mod", "python_workers", "F", "T", "Window"]

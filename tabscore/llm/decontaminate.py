@@ -48,7 +48,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 
-from tabscore.llm.common import (python_workers, BROADCAST_BYTES, F, ROW_FILE, ROW_POS, T, col, is_file_scan, located, materialise, small)
+from tabscore.llm.common import (python_workers, BROADCAST_BYTES, F, T, col, is_file_scan, located, materialise, small,
+                                 without_rows)
 
 WINDOW = 8
 SHORTEST = 3
@@ -326,8 +327,8 @@ def window_rows(df: DataFrame, lengths: list[int], only: np.ndarray | None = Non
 
 
 def rows_with_text(df: DataFrame, ident: str, text: str, name: str) -> DataFrame:
-    return located(df, name).select(col(ident).cast("long").alias("id"), F.col(ROW_FILE).alias("file"),
-                                    F.col(ROW_POS).alias("pos"), col(text).cast("string").alias("text"))
+    return located(df, [col(ident).cast("long").alias("id"), col(text).cast("string").alias("text")], name).select(
+        "id", "file", "pos", "text")
 
 
 CHAINS = T.StructType([
@@ -504,8 +505,5 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, ident: str = "doc_id", tex
     if not is_file_scan(docs):
         docs = materialise(docs, "decontaminate-docs")    # once, so that both sides see the same files
     marked = materialise(matches(docs, benchmark, ident, text, any_case=any_case).select(
-        F.col("file").alias("_m_file"), F.col("pos").alias("_m_pos")).distinct(), "contaminated")
-    side, _ = small(marked, 24)
-    rows = located(docs, "decontaminate-docs")
-    return rows.join(side, (F.col(ROW_FILE) == F.col("_m_file")) & (F.col(ROW_POS) == F.col("_m_pos")),
-                     "left_anti").select([col(c) for c in docs.columns])
+        "file", "pos").distinct(), "contaminated")
+    return without_rows(docs, marked, "decontaminate-docs")

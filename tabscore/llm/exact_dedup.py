@@ -14,8 +14,10 @@ per task.
 Defined results: null text counts as empty; texts are equal when identical
 after lower-casing A-Z; the largest id stays, a null id ranks lowest, and of
 rows repeating one id the one stored last (by locator) stays, so exactly one
-row of each group is kept.  An empty table gives an empty result.  Columns
-beyond id and text are not read, whatever their names.
+row of each group is kept.  An empty table gives an empty result.  Ids are
+integers (or cast to them).  Columns beyond id and text are not read by
+``dedup`` and are returned as they came by ``keep_first_class``, whatever their
+names; texts of any length are taken whole.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 
-from tabscore.llm.common import (BROADCAST_BYTES, F, ROW_FILE, ROW_POS, T, col, located, materialise, small)
+from tabscore.llm.common import (BROADCAST_BYTES, F, T, col, is_file_scan, located, materialise, small, without_rows)
 from tabscore.session import scratch_path
 
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -83,12 +85,11 @@ def settings(spark: SparkSession, values: dict[str, str]):
 
 def ingest(docs: DataFrame, feed: str, ident: str = "doc_id", text: str = "text",
            digest: Callable[[Column], Column] = sha256) -> DataFrame:
-    """Append one feed row per document; returns ``docs`` with locators (for later reads of full texts)."""
-    rows = located(docs, "dedup-docs")
+    """Append one feed row per document; returns the normalised texts with locators (for later reads of full texts)."""
     body = normalised(col(text))
-    rows.select(col(ident).cast("long").alias("doc_id"), digest(body).alias("digest"),
-                F.octet_length(body).cast("long").alias("n_bytes"),
-                F.col(ROW_FILE).alias("file"), F.col(ROW_POS).alias("pos")).write.mode("append").parquet(feed)
+    rows = located(docs, [col(ident).cast("long").alias("doc_id"), body.alias("body")], "dedup-docs")
+    rows.select("doc_id", digest(F.col("body")).alias("digest"), F.octet_length("body").cast("long").alias("n_bytes"),
+                "file", "pos").write.mode("append").parquet(feed)
     return rows
 
 
@@ -130,22 +131,20 @@ def current_state(spark: SparkSession, work: str) -> DataFrame:
     return last.select("digest", F.col("s.best").alias("best"), F.col("s.n").alias("n"))
 
 
-def bodies(rows: DataFrame, text: str, digests: DataFrame, digest: Callable[[Column], Column],
+def bodies(rows: DataFrame, digests: DataFrame, digest: Callable[[Column], Column],
            limit: int = BROADCAST_BYTES) -> DataFrame:
     """Every row whose digest is in ``digests``, with its whole normalised text."""
     side, _ = small(digests, 64, limit)
-    body = normalised(col(text))
-    return rows.select(digest(body).alias("digest"), body.alias("body"), F.col(ROW_FILE).alias("file"),
-                       F.col(ROW_POS).alias("pos")).join(side, "digest", "left_semi")
+    return rows.select(digest(F.col("body")).alias("digest"), "body", "file", "pos").join(side, "digest", "left_semi")
 
 
-def collisions(rows: DataFrame, text: str, hits: DataFrame, digest: Callable[[Column], Column]) -> DataFrame:
+def collisions(rows: DataFrame, hits: DataFrame, digest: Callable[[Column], Column]) -> DataFrame:
     """Digests of ``hits`` shared by different texts.
 
     The group-by key holds the full text: rows fall together only when every
     byte agrees.  Copies meet within each task before the shuffle.
     """
-    full = bodies(rows, text, hits.select("digest"), digest).groupBy("digest", "body").agg(F.count("*").alias("c"))
+    full = bodies(rows, hits.select("digest"), digest).groupBy("digest", "body").agg(F.count("*").alias("c"))
     return full.groupBy("digest").agg(F.count("*").alias("texts")).where("texts > 1").select("digest")
 
 
@@ -154,7 +153,7 @@ def dedup(docs: DataFrame, ident: str = "doc_id", text: str = "text",
           ) -> tuple[DataFrame, DataFrame]:
     """Deduplicate ``docs``: (rows, verdicts).
 
-    ``rows`` is ``docs`` with locators; ``verdicts`` has one row per document:
+    ``rows`` has the normalised texts with locators; ``verdicts`` has one row per document:
     doc_id, keep_id, group_size, kept, digest, file, pos.
     """
     spark = docs.sparkSession
@@ -162,17 +161,17 @@ def dedup(docs: DataFrame, ident: str = "doc_id", text: str = "text",
     feed = os.path.join(work, "feed")
     rows = ingest(docs, feed, ident, text, digest)
     run_state(spark, feed, work, max_files)
-    return rows, verdicts(spark, rows, feed, work, text, digest)
+    return rows, verdicts(spark, rows, feed, work, digest)
 
 
-def verdicts(spark: SparkSession, rows: DataFrame, feed: str, work: str, text: str = "text",
+def verdicts(spark: SparkSession, rows: DataFrame, feed: str, work: str,
              digest: Callable[[Column], Column] = sha256) -> DataFrame:
     fed = spark.read.schema(FEED).parquet(feed)
     if fed.isEmpty():
         hits = spark.createDataFrame([], CHANGES).select("digest", "best", "n")
     else:
         hits = materialise(current_state(spark, work).where("n > 1"), "dedup-hits")
-    clash = materialise(collisions(rows, text, hits, digest), "dedup-collisions")
+    clash = materialise(collisions(rows, hits, digest), "dedup-collisions")
     collided = not clash.isEmpty()
     whole = hits.join(clash, "digest", "left_anti") if collided else hits
     plain = fed.join(clash, "digest", "left_anti") if collided else fed
@@ -180,7 +179,7 @@ def verdicts(spark: SparkSession, rows: DataFrame, feed: str, work: str, text: s
         "doc_id", F.col("best"), F.coalesce("n", F.lit(1).cast("long")).alias("group_size"), "digest", "file", "pos")
     if collided:
         # the digest alone does not tell these texts apart: group them by their bytes
-        full = bodies(rows, text, clash, digest).join(fed.select("file", "pos", "doc_id"), ["file", "pos"])
+        full = bodies(rows, clash, digest).join(fed.select("file", "pos", "doc_id"), ["file", "pos"])
         best = F.struct(F.coalesce("doc_id", F.lit(LOWEST)).alias("rank"), F.col("file"), F.col("pos"))
         groups = full.groupBy("digest", "body").agg(F.max(best).alias("best"), F.count("*").alias("group_size"))
         out = out.unionByName(full.join(groups, ["digest", "body"]).select(
@@ -193,9 +192,7 @@ def verdicts(spark: SparkSession, rows: DataFrame, feed: str, work: str, text: s
 
 def keep_first_class(docs: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with one row of each group of equal texts (the pipeline's stage)."""
-    rows, found = dedup(docs, ident, text)
-    dropped = materialise(found.where(~F.col("kept")).select(F.col("file").alias("_drop_file"),
-                                                             F.col("pos").alias("_drop_pos")), "dedup-dropped")
-    side, _ = small(dropped, 24)
-    return rows.join(side, (F.col(ROW_FILE) == F.col("_drop_file")) & (F.col(ROW_POS) == F.col("_drop_pos")),
-                     "left_anti").select([col(c) for c in docs.columns])
+    if not is_file_scan(docs):
+        docs = materialise(docs, "dedup-docs")    # once, so that both sides see the same files
+    _, found = dedup(docs, ident, text)
+    return without_rows(docs, materialise(found.where(~F.col("kept")).select("file", "pos"), "dedup-dropped"), "dedup-docs")

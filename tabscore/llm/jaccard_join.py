@@ -42,8 +42,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from tabscore.llm.common import (python_workers, F, ROW_FILE, ROW_POS, T, col, components, is_file_scan, located,
-                                 materialise, small, words)
+from tabscore.llm.common import (python_workers, F, T, col, components, is_file_scan, located, materialise, small,
+                                 without_rows, words)
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -140,8 +140,8 @@ def word_hash_column(text):
 def signed(docs: DataFrame, ident: str, text: str) -> DataFrame:
     """(row, doc_id, file, pos, k1, k2, n, tokens) of every document; ``row`` is fixed by writing the table."""
     python_workers(docs.sparkSession)
-    rows = located(docs, "join-docs").select(col(ident).cast("long").alias("doc_id"), F.col(ROW_FILE).alias("file"),
-                                             F.col(ROW_POS).alias("pos"), word_hash_column(col(text)).alias("w"))
+    rows = located(docs, [col(ident).cast("long").alias("doc_id"), word_hash_column(col(text)).alias("w")],
+                   "join-docs").select("doc_id", "file", "pos", "w")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -420,7 +420,7 @@ def group_texts(docs: DataFrame, group: DataFrame, reps: DataFrame, text: str) -
     wanted = materialise(members.join(sizes, "root").select(
         "root", "size", "rep", "file", "pos", "k1", "k2", "copies"), "join-wanted")
     side, _ = small(wanted, 88)
-    texts = located(docs, "join-docs").select(F.col(ROW_FILE).alias("file"), F.col(ROW_POS).alias("pos"), col(text).alias("_text"))
+    texts = located(docs, [col(text).alias("_text")], "join-docs")
     rows = texts.join(side, ["file", "pos"]).select(
         "root", "size", "rep", "k1", "k2", "copies", word_hash_column(F.col("_text")).alias("w"))
     return with_blocks(rows, "root", "rep")
@@ -435,9 +435,4 @@ def keep_one(docs: DataFrame, ident: str = "doc_id", text: str = "text") -> Data
     if not is_file_scan(docs):
         docs = materialise(docs, "join-docs")    # once, so that both sides see the same files
     found = located_classes(docs, ident, text)
-    dropped = materialise(found.where("NOT first").select(F.col("file").alias("_n_file"), F.col("pos").alias("_n_pos")),
-                          "join-dropped")
-    side, _ = small(dropped, 24)
-    rows = located(docs, "join-docs")
-    return rows.join(side, (F.col(ROW_FILE) == F.col("_n_file")) & (F.col(ROW_POS) == F.col("_n_pos")),
-                     "left_anti").select([col(c) for c in docs.columns])
+    return without_rows(docs, materialise(found.where("NOT first").select("file", "pos"), "join-dropped"), "join-docs")

@@ -10,8 +10,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabscore.llm import (bpe, decontaminate, exact_dedup, filter_audit, jaccard_join, quality, sharding, token_rollup,
-                          toxicity, url_filter, warc)
+from tabscore.llm import (bpe, decontaminate, exact_dedup, filter_audit, hard_negatives, jaccard_join, line_rules,
+                          quality, sharding, token_rollup, toxicity, url_filter, warc)
 from tabscore.llm.common import F, col, crc_mod, table
 from tabscore.session import scratch_path
 
@@ -168,6 +168,76 @@ SELECT m.part, k.filter_order, k.step,
 FROM m, k GROUP BY 1, 2, 3
 """
 
+def op12_line_frequency_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_rules.judged(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
+        "words_left", F.size("removed").cast("long").alias("lines_removed"))
+
+
+OP12_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, source AS host, coalesce(text, '') AS t,
+         list_filter(string_split_regex(coalesce(text, ''), '[ \t\n\x0B\f\r]+'), lambda x: x <> '') AS w
+  FROM documents),
+g AS (SELECT r, i, array_to_string(w[i:i + 7], ' ') AS g FROM d, unnest(range(1, len(w) - 6)) u(i) WHERE len(w) > 8),
+h AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS c FROM g) WHERE c > 1),
+rep AS (SELECT r, count(DISTINCT i + k) AS n FROM h, range(0, 8) x(k) GROUP BY 1),
+x AS (
+  SELECT r, host, t, line, list_filter(string_split_regex(line, '[ \t\x0B\f\r]+'), lambda x: x <> '') AS lw
+  FROM (SELECT r, host, t, unnest(string_split(t, chr(10))) AS line FROM d)),
+l AS (
+  SELECT r, host, t, line, len(lw) AS n,
+         regexp_replace(translate(array_to_string(lw, ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                        '[0-9]+', '0', 'g') AS norm
+  FROM x WHERE len(lw) > 0),
+dup AS (SELECT r, count(*) - count(DISTINCT line) AS n FROM l GROUP BY 1),
+lim AS (SELECT host, greatest(10, floor(count(DISTINCT t) * 0.001)) AS most FROM d GROUP BY 1),
+often AS (SELECT host, norm, count(DISTINCT t) AS c FROM l GROUP BY 1, 2),
+lost AS (
+  SELECT l.r, sum(l.n) AS words, count(*) AS lines
+  FROM l JOIN often o ON l.norm = o.norm AND l.host IS NOT DISTINCT FROM o.host
+    JOIN lim m ON l.host IS NOT DISTINCT FROM m.host WHERE o.c > m.most GROUP BY 1),
+b AS (
+  SELECT d.doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars,
+         length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS n_symbols, coalesce(dup.n, 0) AS n_dup_lines,
+         coalesce(rep.n, 0) AS n_repeat_words, len(w) - coalesce(lost.words, 0) AS words_left,
+         coalesce(lost.lines, 0) AS lines_removed
+  FROM d LEFT JOIN rep USING (r) LEFT JOIN dup USING (r) LEFT JOIN lost USING (r))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+       n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+       NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND words_left >= 20 AND words_left >= 0.5 * n_words AS kept,
+       CAST(words_left AS BIGINT) AS words_left, lines_removed
+FROM b
+"""
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = hard_negatives.index(table(spark, sf_dir, "embeddings"), relabel=moved)
+    return hard_negatives.mine(rows, F.col("vec_id") % 100 == 0)
+
+
+OP13_SQL = """
+WITH e AS (
+  SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS l,
+         list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.r AS ar, a.vec_id AS anchor_id, a.l = e.l AS same, e.r, e.vec_id,
+         CAST(list_dot_product(a.v, e.v) AS BIGINT) AS score
+  FROM e a JOIN e ON a.r <> e.r WHERE a.vec_id % 100 = 0),
+p AS (
+  SELECT *, row_number() OVER (PARTITION BY ar ORDER BY score DESC, vec_id, r) AS k FROM s WHERE same QUALIFY k <= 5),
+n AS (
+  SELECT p.anchor_id, p.vec_id AS positive_id, s.vec_id AS negative_id, p.score AS positive_score,
+         s.score AS negative_score,
+         row_number() OVER (PARTITION BY p.ar, p.k ORDER BY s.score DESC, s.vec_id, s.r) AS rank
+  FROM p JOIN s ON p.ar = s.ar AND NOT s.same AND 80 * p.score <= 100 * s.score AND 100 * s.score <= 100 * p.score
+  QUALIFY rank <= 5)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chosen_path_join": op1_chosen_path_join,
     "op2_warc_chunks": op2_warc_chunks,
@@ -180,6 +250,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_backtracking_bpe": op9_backtracking_bpe,
     "op10_streaming_exact_dedup": op10_streaming_exact_dedup,
     "op11_filter_audit": op11_filter_audit,
+    "op12_line_frequency_rules": op12_line_frequency_rules,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 ORACLE: dict[str, str] = {
@@ -187,4 +259,6 @@ ORACLE: dict[str, str] = {
     "op3_token_rollups": OP3_SQL,
     "op10_streaming_exact_dedup": OP10_SQL,
     "op11_filter_audit": OP11_SQL,
+    "op12_line_frequency_rules": OP12_SQL,
+    "op13_hard_negatives": OP13_SQL,
 }

@@ -13,8 +13,9 @@ a row.  The permutations are written before use, so a retried task places the
 records exactly as the lost one did.
 
 Defined results: a null text counts 0 bytes; equal rows and repeated ids are
-separate records; an empty table gives an empty result; every input column is
-written, and a new column whose name is taken gets underscores appended.
+separate records; an empty table gives an empty result; texts of any length
+are written whole; every input column is written as it came, whatever its
+name, and a new column whose name is taken gets underscores appended.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import math
 
 from pyspark.sql import DataFrame
 
-from tabscore.llm.common import F, ROW_FILE, ROW_POS, Window, col, free_name, located, materialise
+from tabscore.llm.common import F, Window, col, free_name, located, materialise
 from tabscore.session import scratch_path
 
 RECORD_BYTES = 16
@@ -35,18 +36,27 @@ def buckets_for(n_bytes: int, shards: int, bucket_bytes: int) -> int:
     return max(shards, math.ceil(n_bytes / bucket_bytes))
 
 
+#: Buckets whose sizes are summed together on the way to the running total.
+GROUP = 1024
+
+
 def permutations(rows: DataFrame, buckets: int, seed: int) -> DataFrame:
     """(bucket, start, perm): where the bucket begins in the shuffled order, and its shuffled slots.
 
-    One narrow count per bucket (no text is read); the running total runs
-    over the buckets, not the rows.
+    One narrow count per bucket (no text is read).  The running total has two
+    levels: over groups of ``GROUP`` buckets, then within each group.
     """
-    sizes = rows.groupBy("_bucket").agg(F.count("*").alias("_n"))
-    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("_bucket", "_n", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    spread = starts.repartition(max(1, math.ceil(buckets / 4)), "_bucket")
-    slots = F.sequence(F.lit(0), F.col("_n").cast("int") - 1)
-    return materialise(spread.select("_bucket", "_start", F.shuffle(slots, F.lit(seed)).alias("_perm")), "shard-perms")
+    sizes = rows.groupBy("bucket").agg(F.count("*").alias("n"))
+    sizes = materialise(sizes.withColumn("grp", F.call_function("div", F.col("bucket"), F.lit(GROUP))), "shard-sizes")
+    before = Window.orderBy("grp").rowsBetween(Window.unboundedPreceding, -1)
+    groups = sizes.groupBy("grp").agg(F.sum("n").alias("n")).select(
+        "grp", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    inside = Window.partitionBy("grp").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("grp", "bucket", "n", F.coalesce(F.sum("n").over(inside), F.lit(0)).alias("start"))
+    starts = starts.join(groups, "grp").select("bucket", "n", (F.col("base") + F.col("start")).alias("start"))
+    spread = starts.repartition(max(1, math.ceil(buckets / 4)), "bucket")
+    slots = F.sequence(F.lit(0), F.col("n").cast("int") - 1)
+    return materialise(spread.select("bucket", "start", F.shuffle(slots, F.lit(seed)).alias("perm")), "shard-perms")
 
 
 def shuffle_into_shards(docs: DataFrame, shards: int = 40, text: str = "text", seed: int = 17,
@@ -61,23 +71,27 @@ def shuffle_into_shards(docs: DataFrame, shards: int = 40, text: str = "text", s
     spark = docs.sparkSession
     shard, slot = free_name(docs.columns, "shard"), free_name(docs.columns, "slot")
     path = path or scratch_path(spark, "shards")
-    rows = located(docs, "shard-docs")
     size = F.octet_length(F.coalesce(col(text), F.lit(""))).cast("long") + RECORD_BYTES
-    n, n_bytes = rows.agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
+    # a record travels as one value, so that no column of it can meet one of the shuffle's own
+    rows = located(docs, [F.struct(*[col(c).alias(c) for c in docs.columns]).alias("record"), size.alias("size")],
+                   "shard-docs")
+    n, n_bytes = rows.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
     buckets = buckets_for(n_bytes, shards, bucket_bytes)
-    bucket = F.pmod(F.xxhash64(F.lit(seed), F.col(ROW_FILE), F.col(ROW_POS)), F.lit(buckets)).cast("int")
-    rows = rows.withColumn("_bucket", bucket)
+    bucket = F.pmod(F.xxhash64(F.lit(seed), F.col("file"), F.col("pos")), F.lit(buckets)).cast("int")
+    rows = rows.withColumn("bucket", bucket)
     perms = permutations(rows, buckets, seed)
 
-    place = Window.partitionBy("_bucket").orderBy(ROW_FILE, ROW_POS)
-    numbered = rows.withColumn("_rn", F.row_number().over(place))
-    position = F.col("_start") + F.get("_perm", F.col("_rn") - 1)
+    # as many partitions as buckets: a task sorts a few buckets of bounded size, however large the table
+    scattered = rows.select("record", "file", "pos", "bucket").repartition(buckets, "bucket")
+    place = Window.partitionBy("bucket").orderBy("file", "pos")
+    numbered = scattered.select("record", "bucket", F.row_number().over(place).alias("rn"))
+    placed = numbered.join(perms, "bucket").select(
+        "record", (F.col("start") + F.get("perm", F.col("rn") - 1)).alias("position"))
     total = F.lit(max(n, 1))
-    shard_no = F.call_function("div", position * F.lit(shards), total)
-    first = F.call_function("div", F.col("_shard") * total + F.lit(shards - 1), F.lit(shards))
-    placed = numbered.join(perms, "_bucket").withColumn("_pos", position).withColumn("_shard", shard_no)
-    out = placed.select(*[col(c) for c in docs.columns], F.col("_shard").cast("int").alias(shard),
-                        (F.col("_pos") - first).alias(slot))
+    placed = placed.withColumn("shard", F.call_function("div", F.col("position") * F.lit(shards), total))
+    first = F.call_function("div", F.col("shard") * total + F.lit(shards - 1), F.lit(shards))
+    out = placed.select(*[F.col("record").getField(c).alias(c) for c in docs.columns],
+                        F.col("shard").cast("int").alias(shard), (F.col("position") - first).alias(slot))
     out.sortWithinPartitions(shard, slot).write.partitionBy(shard).parquet(path)
     schema = out.schema
     return spark.read.schema(schema).parquet(path), shard, slot

@@ -32,7 +32,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 
-from tabscore.llm.common import F, ROW_FILE, ROW_POS, col, located, materialise, small
+from tabscore.llm.common import F, col, materialise, small
 
 #: (host, path, verdict) in the order they are listed.
 RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"),
@@ -156,9 +156,8 @@ def judge(pages: DataFrame, ident: str = "page_id", url: str = "url",
           rules: Sequence[tuple[str, str, str]] = RULES) -> DataFrame:
     """page_id, host, path, rule, verdict and score (null where a rule decided) of every row."""
     u = col(url).cast("string")
-    rows = located(pages, "url-pages").select(
-        col(ident).alias("page_id"), F.coalesce(u, F.lit("")).alias("url"), host_of(u).alias("host"),
-        path_of(u).alias("path"), F.col(ROW_FILE).alias("file"), F.col(ROW_POS).alias("pos"))
+    rows = pages.select(col(ident).alias("page_id"), F.coalesce(u, F.lit("")).alias("url"), host_of(u).alias("host"),
+                        path_of(u).alias("path"))
     rows = rows.withColumn("r", rule_of(F.col("host"), F.col("path"), rules))
     ruled = rows.where(F.col("r").isNotNull()).groupBy("url").agg(
         F.count("*").alias("n"), F.max(F.col("r.verdict") == "allow").alias("accepted"))

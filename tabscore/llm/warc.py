@@ -35,7 +35,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from tabscore.llm.common import python_workers, F, ROW_FILE, ROW_POS, T, col, located, materialise, small
+from tabscore.llm.common import python_workers, F, T, col, located, materialise, small
 from tabscore.session import scratch_path
 
 # Fixed values of the format.
@@ -66,10 +66,9 @@ def plan(pages: DataFrame, ident: str = "page_id", url: str = "url", payload: st
     each task; only digests held more than once are joined back.
     """
     body = F.coalesce(col(payload).cast("binary"), F.lit(b""))
-    rows = located(pages, "warc-pages").select(
+    rows = located(pages, [
         col(ident).cast("long").alias("page_id"), col(url).cast("string").alias("url"), body.alias("payload"),
-        F.sha2(body, 256).alias("digest"), F.octet_length(body).cast("long").alias("size"),
-        F.col(ROW_FILE).alias("file"), F.col(ROW_POS).alias("pos"))
+        F.sha2(body, 256).alias("digest"), F.octet_length(body).cast("long").alias("size")], "warc-pages")
     first = F.struct(F.coalesce("page_id", F.lit(HIGHEST)).alias("rank"), "file", "pos")
     repeated = rows.where(F.col("size") >= REVISIT_BYTES).groupBy("digest").agg(
         F.min(first).alias("first"), F.count("*").alias("n")).where("n > 1")
@@ -91,11 +90,15 @@ def record_id(file: str, pos: str):
 
 
 def cuts(payload: memoryview, size: int) -> Iterator[memoryview]:
-    """Pieces of at most ``size`` bytes, cut at UTF-8 boundaries and inside every record start (an empty payload: one)."""
+    """Pieces of at most ``size`` bytes, cut at UTF-8 boundaries and inside every record start (an empty payload: one).
+
+    A start without its line end counts too: at the end of a piece the
+    separator that follows would complete it.
+    """
     start, n = 0, len(payload)
     marks, at = [], -1
     data = payload.obj
-    while (at := data.find(VERSION, at + 1)) >= 0:
+    while (at := data.find(VERSION.rstrip(), at + 1)) >= 0:
         marks.append(at + 4)
     marks.append(n)
     for mark in marks:
