@@ -393,6 +393,28 @@ def q_train_logistic(spark, sf_dir):
     return data.agg(F.count(F.lit(1)).alias("n")).select("n", F.inline(terms))
 
 
+def _wide_terms(spark, sf_dir, solver: str, digits: int) -> DataFrame:
+    """A fit on all 64 elements of the embedding: is the label in the upper half?"""
+    from tabscore.operators.logistic import fit_logistic
+    data = table(spark, sf_dir, "embeddings").select("embedding", (F.col("label") >= 5).cast("int").alias("target"))
+    model = fit_logistic(data, EMBED_MODEL.features, "target", vector="embedding", max_iter=500, tol=1e-10, solver=solver)
+    rows = [("intercept", model.intercept)] + list(zip(model.features, model.coefficients))
+    terms = F.array(*[F.struct(F.lit(k).alias("term"), F.round(F.lit(float(v)), digits).alias("value")) for k, v in rows])
+    return data.agg(F.count(F.lit(1)).alias("n")).select("n", F.inline(terms))
+
+
+def q_train_wide(spark, sf_dir):
+    return _wide_terms(spark, sf_dir, "newton", 5)
+
+
+def q_train_wide_lbfgs(spark, sf_dir):
+    return _wide_terms(spark, sf_dir, "lbfgs", 5)
+
+
+def q_train_wide_mllib(spark, sf_dir):
+    return _wide_terms(spark, sf_dir, "mllib", 3)
+
+
 def q_train_job(spark, sf_dir):
     data = labelled_documents(spark, sf_dir)
     res = jobs.train_job(data, ["n_chars"], "quality", "doc_id", max_iter=200, tol=1e-10,
@@ -610,6 +632,9 @@ QUERIES: dict[str, Query] = {
     "json_roundtrip": q_json_roundtrip,
     "table_roundtrip": q_table_roundtrip,
     "train_logistic": q_train_logistic,
+    "train_wide": q_train_wide,
+    "train_wide_lbfgs": q_train_wide_lbfgs,
+    "train_wide_mllib": q_train_wide_mllib,
     "train_job": q_train_job,
     "train_and_score": q_train_and_score,
     "score_python_invalid": q_score_python_invalid,

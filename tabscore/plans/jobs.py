@@ -43,7 +43,7 @@ def train_job(df: DataFrame, features: Sequence[str], label: str, key: str | Seq
               C: float = 1.0, max_iter: int = 1000, tol: float = 1e-6,
               name: str = "model", version: str | None = None,
               run_log: RunLog | None = None, store: ModelStore | None = None,
-              hash_algorithm: str = "md5", on_invalid: str = "error") -> TrainResult:
+              hash_algorithm: str = "md5", on_invalid: str = "error", solver: str = "newton") -> TrainResult:
     """Split, scale, fit, evaluate on the held-out rows, log and register.
 
     Rows without a label (NULL or NaN) cannot be trained on; rows with a NULL
@@ -78,7 +78,8 @@ def train_job(df: DataFrame, features: Sequence[str], label: str, key: str | Seq
         train, test = sampling.split(data, test_fraction, keys, seed, split_mode, hash_algorithm)
         params = scaling.fit_scaler(train, features)
         fitted = logistic.fit_logistic(scaling.transform(train, params), features, label,
-                                       C=C, max_iter=max_iter, tol=tol, name=name, version=version)
+                                       C=C, max_iter=max_iter, tol=tol, solver=solver, name=name, version=version,
+                                       persist=False)
         model = LinearModel(tuple(features), fitted.coefficients, fitted.intercept,
                             params.means, params.scales, name, version, fitted.metadata)
         scores = metrics.metrics_dict(metrics.evaluate(test, model, label))

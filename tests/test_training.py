@@ -1,5 +1,7 @@
 """Scaler (population std, zero std → 1), logistic fit against Newton, train job."""
 
+import re
+
 import numpy as np
 import pytest
 
@@ -47,7 +49,7 @@ def test_all_null_feature_scaler(spark):
     assert p.means == (None,) and p.scales == (1.0,)
 
 
-@pytest.mark.parametrize("solver,atol", [("newton", 1e-9), ("mllib", 1e-5)])
+@pytest.mark.parametrize("solver,atol", [("newton", 1e-9), ("lbfgs", 1e-7), ("mllib", 1e-5)])
 def test_logistic_matches_newton(spark, solver, atol):
     rng = np.random.default_rng(42)
     X = rng.normal(size=(600, 3))
@@ -133,3 +135,51 @@ def test_newton_rejects_non_binary_labels(spark):
     df = spark.createDataFrame([(0.1, 0.0), (0.2, 1.0), (0.3, 2.0)], "a double, target double")
     with pytest.raises(ValueError, match="neither 0 nor 1"):
         logistic.fit_logistic(df, ["a"], "target", solver="newton")
+
+
+def wide_frame(spark, n=400, p=40, seed=3):
+    rng = np.random.default_rng(seed)
+    X = rng.normal(size=(n, p))
+    y = (X @ rng.normal(size=p) + rng.logistic(size=n) > 0).astype(float)
+    df = spark.createDataFrame([(r.tolist(), float(t)) for r, t in zip(X, y)], "v array<double>, target double")
+    return X, y, df
+
+
+@pytest.mark.parametrize("solver,atol", [("newton", 1e-9), ("lbfgs", 1e-6)])
+def test_wide_fit_matches_newton_whatever_the_partitions_and_blocks(spark, solver, atol, monkeypatch):
+    """Sums in blocks of a few numbers, in lanes, over many partitions and from few rows a batch."""
+    X, y, df = wide_frame(spark)
+    w, b = newton_logistic(X, y)
+    monkeypatch.setattr(logistic, "BLOCK_DOUBLES", 100)
+    monkeypatch.setattr(logistic, "LANE_CORES", 0)
+    m = logistic.fit_logistic(df.repartition(7), None, "target", vector="v", tol=1e-10, solver=solver)
+    assert m.features[:2] == ("v_0", "v_1") and len(m.features) == 40 and m.metadata["converged"]
+    assert np.allclose(m.coefficients, w, atol=atol) and m.intercept == pytest.approx(b, abs=atol)
+
+
+@pytest.mark.parametrize("solver", ["newton", "lbfgs", "mllib"])
+def test_wide_fit_leaves_out_or_refuses_invalid_vectors(spark, solver):
+    X, y, df = wide_frame(spark, 200, 4)
+    bad = spark.createDataFrame([(None, 1.0), ([1.0, None, 2.0, 3.0], 0.0), ([1.0, float("nan"), 2.0, 3.0], 1.0), ([1.0], 1.0),
+                                 ([], 0.0)], "v array<double>, target double")
+    unlabelled = spark.createDataFrame([([1.0, 2.0, 3.0, 4.0], None), ([1.0, 2.0, 3.0, 4.0], float("nan"))], df.schema)
+    both = df.unionByName(bad).unionByName(unlabelled)
+    with pytest.raises(ValueError, match="5 rows"):
+        logistic.fit_logistic(both, None, "target", vector="v", solver=solver)
+    m = logistic.fit_logistic(both, None, "target", vector="v", solver=solver, on_invalid="skip", tol=1e-10)
+    one = logistic.fit_logistic(df, None, "target", vector="v", solver=solver, tol=1e-10)
+    assert m.metadata["n"] == 200 and m.metadata["skipped"] == 5 and np.allclose(m.coefficients, one.coefficients, atol=1e-6)
+    for empty in (df.where("target > 5"), bad):
+        with pytest.raises(ValueError):
+            logistic.fit_logistic(empty, ["a", "b", "c", "d"], "target", vector="v", solver=solver, on_invalid="skip")
+
+
+def test_every_pass_of_a_fit_has_the_same_plan(spark):
+    """Coefficients are data: nothing in the plan, so nothing in generated code, changes between passes."""
+    _, _, df = wide_frame(spark, 50, 3)
+    data = logistic._prepare(df, df["v"], "target")
+    plans = set()
+    for theta in (np.zeros(4), np.ones(4)):
+        sums = data.mapInArrow(logistic.partial_sums(lambda t=theta: t, True), logistic.PARTIAL)
+        plans.add(re.sub(r"#\d+L?|run\([^)]*\)", "", sums._jdf.queryExecution().executedPlan().toString()))
+    assert len(plans) == 1
