@@ -1,7 +1,9 @@
 """Repeatable per-row hashing for sampling and splitting.
 
 The value is the first 32 bits of the md5 of the key columns rendered as
-strings and joined with ``|`` together with a seed.  It depends only on the
+strings, together with a seed.  Each part carries its length and NULL has a
+mark of its own, so that different keys never make one text (``a|b, c`` and
+``a, b|c``; NULL and the empty text).  It depends only on the
 row's key, never on partitioning or row order, and DuckDB computes the same
 number with ``('0x' || substr(md5(...), 1, 8))::BIGINT``.
 """
@@ -14,6 +16,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 TWO_POW_32 = 4294967296.0
+#: What a NULL key part is in the hashed text; no other part looks like it (those start with their length).
+NULL_PART = "~"
 
 
 def _as_cols(keys: str | Column | Sequence[str | Column]) -> list[Column]:
@@ -42,9 +46,8 @@ def hash32(keys, seed: str | int | None = None, algorithm: str = "md5") -> Colum
     if algorithm != "md5":
         raise ValueError(f"algorithm must be one of {ALGORITHMS}")
     parts = [c.cast("string") for c in _as_cols(keys)]
-    if seed is not None:
-        parts.append(F.lit(str(seed)))
-    text = parts[0] if len(parts) == 1 else F.concat_ws("|", *parts)
+    parts = [F.coalesce(F.concat(F.length(p).cast("string"), F.lit(":"), p), F.lit(NULL_PART)) for p in parts]
+    text = F.concat(*parts, F.lit("" if seed is None else f"|{seed}"))
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint")
 
 
@@ -55,8 +58,17 @@ def unit_hash(keys, seed: str | int | None = None, algorithm: str = "md5") -> Co
 
 def sql_hash32(keys: Sequence[str], seed: str | int | None = None) -> str:
     """DuckDB text of :func:`hash32` (used by the oracle queries and tests)."""
-    parts = [f"CAST({k} AS VARCHAR)" for k in keys]
+    return f"CAST(('0x' || substr(md5({sql_key_text(keys, seed, 'VARCHAR')}), 1, 8)) AS BIGINT)"
+
+
+def sql_key_text(keys: Sequence[str], seed: str | int | None = None, string_type: str = "STRING",
+                 seed_text: str | None = None) -> str:
+    """SQL of the text that is hashed (``seed_text``: an expression in place of the literal seed)."""
+    parts = []
+    for k in keys:
+        text = f"CAST({k} AS {string_type})"
+        # || gives NULL for a NULL, in Spark and DuckDB alike (concat does not in DuckDB)
+        parts.append(f"coalesce(CAST(length({text}) AS {string_type}) || ':' || {text}, '{NULL_PART}')")
     if seed is not None:
-        parts.append(f"'{seed}'")
-    text = parts[0] if len(parts) == 1 else "concat_ws('|', " + ", ".join(parts) + ")"
-    return f"CAST(('0x' || substr(md5({text}), 1, 8)) AS BIGINT)"
+        parts += ["'|'", seed_text or f"'{seed}'"]
+    return f"({' || '.join(parts)})"

@@ -67,30 +67,40 @@ def metrics_dict(metrics_df: DataFrame) -> dict[str, float]:
     return {k: float(row[k]) for k in ("accuracy", "precision", "recall", "f1")}
 
 
-def evaluate_many(df: DataFrame, models, label: str = "target", threshold: float = 0.5) -> DataFrame:
+def evaluate_many(df: DataFrame, models, label: str = "target", threshold: float = 0.5,
+                  on_invalid: str = "error") -> DataFrame:
     """Metrics of several models on one labelled table in one aggregate.
 
     Every model's prediction is an expression on the same row, so the K
     confusion matrices are 4K conditional counts of a single pass; the
     result has one row per model (model_name, model_version, n, tp, fp, fn,
-    tn, accuracy, precision, recall, f1).  Rows with a NULL label or an
-    invalid feature for a model are not counted for that model.
+    tn, accuracy, precision, recall, f1, invalid).  Rows without a label are
+    not counted.  A labelled row with a NULL or NaN feature of a model raises,
+    or with ``on_invalid="skip"`` is left out for that model and counted in
+    its ``invalid``.
     """
+    if on_invalid not in ("error", "skip"):
+        raise ValueError("on_invalid must be 'error' or 'skip'")
     from tabscore.functions.linear import margin, predicted_label
-    from tabscore.operators.validate import invalid_row
+    from tabscore.operators.validate import invalid_reason, invalid_row
     y = F.col(label).cast("double")
     aggs = []
     for i, m in enumerate(models):
         p = predicted_label(margin(m), threshold)
-        valid = y.isNotNull() & ~F.isnan(y) & ~invalid_row(df, m.features)
+        labelled, bad = y.isNotNull() & ~F.isnan(y), invalid_row(df, m.features)
+        invalid = labelled & bad
+        if on_invalid == "error":
+            message = F.concat(F.lit(f"invalid feature value ({m.name}: "), invalid_reason(df, m.features), F.lit(")"))
+            invalid = F.when(invalid, F.raise_error(message)).otherwise(F.lit(False))
+        valid = labelled & ~bad
         aggs += [F.count_if(valid).alias(f"n{i}"),
                  F.count_if(valid & (y == 1) & p).alias(f"tp{i}"),
                  F.count_if(valid & (y != 1) & p).alias(f"fp{i}"),
                  F.count_if(valid & (y == 1) & ~p).alias(f"fn{i}"),
-                 F.count_if(valid & (y != 1) & ~p).alias(f"tn{i}")]
+                 F.count_if(valid & (y != 1) & ~p).alias(f"tn{i}"), F.count_if(invalid).alias(f"invalid{i}")]
     wide = df.agg(*aggs)
     rows = [F.struct(F.lit(m.name).alias("model_name"), F.lit(m.version).alias("model_version"),
-                     *[F.col(f"{c}{i}").alias(c) for c in ("n", "tp", "fp", "fn", "tn")])
+                     *[F.col(f"{c}{i}").alias(c) for c in ("n", "tp", "fp", "fn", "tn", "invalid")])
             for i, m in enumerate(models)]
     return metrics_from_confusion(wide.select(F.inline(F.array(*rows)))).select(
-        "model_name", "model_version", "n", "tp", "fp", "fn", "tn", "accuracy", "precision", "recall", "f1")
+        "model_name", "model_version", "n", "tp", "fp", "fn", "tn", "accuracy", "precision", "recall", "f1", "invalid")

@@ -1,9 +1,14 @@
-"""Scoring with a user Python predictor through ``mapInPandas``.
+"""Scoring with a user Python predictor on Arrow batches.
 
 The predictor's ``load()`` runs once, on the driver, and its result is
 broadcast; workers never open model storage.  Each Arrow batch is handed to
 ``predict``, which may return a frame (with the output column) or an
 array-like; an array is attached to the input batch after a length check.
+A predictor that does not name its features sees whole rows as pandas frames,
+but only the output column comes back from it: the input columns of a batch
+are passed on as the Arrow arrays they came in, so a NULL stays a NULL, a NaN
+a NaN and a bigint a bigint whatever pandas made of them.  Which rows are
+valid is decided in the JVM, by the same expressions as in native scoring.
 This is the slow path: only the columns the predictor needs should be sent
 (pass ``columns``), and filters belong before it, since Catalyst cannot push
 them through the Python node.
@@ -17,12 +22,15 @@ from typing import Any
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from tabscore.functions.linear import LinearModel
+from tabscore.functions.naming import free_name
 from tabscore.operators.validate import InputSchema, guard_prediction
 from tabscore.session import ship_package, spark_context
 
@@ -67,17 +75,27 @@ class LinearPredictor(BasePredictor):
         return (total > cut).astype(np.float64)
 
 
-def _attach(batch: pd.DataFrame, result, output: str) -> pd.DataFrame:
+def _output(result, output: str, rows: int) -> pd.Series:
+    """The predictions of a batch of ``rows`` rows, from a frame that has them or an array-like."""
     if isinstance(result, pd.DataFrame):
         if output not in result.columns:
             raise ValueError(f"predictor returned a frame without column {output!r}")
-        if len(result) != len(batch):
+        if len(result) != rows:
             raise ValueError("predictor returned a different number of rows")
-        return batch.assign(**{output: result[output].to_numpy()})
+        return result[output].reset_index(drop=True)
     values = np.asarray(result)
-    if values.ndim != 1 or len(values) != len(batch):
-        raise ValueError(f"predictor returned shape {values.shape} for {len(batch)} rows")
-    return batch.assign(**{output: values})
+    if values.ndim != 1 or len(values) != rows:
+        raise ValueError(f"predictor returned shape {values.shape} for {rows} rows")
+    return pd.Series(values)
+
+
+def _frame(batch: pa.RecordBatch, time_zone: str) -> pd.DataFrame:
+    """What the predictor sees; instants as wall-clock times of the session."""
+    out = batch.to_pandas()
+    for field in batch.schema:
+        if pa.types.is_timestamp(field.type) and field.type.tz:
+            out[field.name] = out[field.name].dt.tz_convert(time_zone).dt.tz_localize(None)
+    return out
 
 
 MAX_BROADCAST_BYTES = 256 * 1024 * 1024
@@ -99,14 +117,18 @@ def _state_of(spark, predictor: "BasePredictor", max_broadcast_bytes: int):
 def score_with_predictor(df: DataFrame, predictor: BasePredictor, *,
                          columns: Sequence[str] | None = None, output: str = "prediction",
                          prediction_type: T.DataType = T.DoubleType(),
-                         max_broadcast_bytes: int = MAX_BROADCAST_BYTES, on_invalid: str = "error") -> DataFrame:
+                         max_broadcast_bytes: int = MAX_BROADCAST_BYTES, on_invalid: str = "error",
+                         required: Sequence[str] | None = None) -> DataFrame:
     """Input (or ``columns``) + ``output`` computed by the predictor per Arrow batch.
 
     A predictor that names its ``features`` gets those only, and the other
-    columns stay in the JVM unchanged (see :func:`score_with_udf`); its
-    ``on_invalid`` policy is that of native scoring.  Without, whole rows
-    cross to pandas, which turns an integer column with NULLs into floats:
-    name the features, or cast such columns first.
+    columns stay in the JVM unchanged (see :func:`score_with_udf`).  One that
+    does not gets whole rows; their columns come back unchanged as well.
+
+    ``on_invalid`` is that of native scoring: a row with a NULL or NaN in its
+    features raises, goes, or gets a NULL prediction, and the predictor never
+    sees it.  For whole rows the features are ``required``: unless given, the
+    columns of the predictor's input schema, and without one all columns.
 
     The loaded state is broadcast when its pickled size is within
     ``max_broadcast_bytes``; a larger state is not shipped from the driver:
@@ -121,15 +143,40 @@ def score_with_predictor(df: DataFrame, predictor: BasePredictor, *,
         predictor.input_schema.validate(df)
     if output in df.columns:
         raise ValueError(f"input already has column {output!r}")
+    if required is None:
+        schema = predictor.input_schema
+        required = [c.name for c in schema.columns if c.name in df.columns] if schema is not None else df.columns
+    valid = free_name(df.columns, "_valid")
+    kept, flag = guard_prediction(df, required, F.lit(True), on_invalid)
+    flagged = kept.withColumn(valid, flag)
     state = _state_of(df.sparkSession, predictor, max_broadcast_bytes)
-    schema = T.StructType(list(df.schema.fields) + [T.StructField(output, prediction_type, True)])
+    fields = list(df.schema.fields) + [T.StructField(output, prediction_type, True)]
+    time_zone = df.sparkSession.conf.get("spark.sql.session.timeZone")
+    empty = T.StructType([T.StructField(output, prediction_type, True)])
+    arrow_type = to_arrow_schema(empty).field(0).type
+    names = [f.name for f in fields]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         loaded = state()
         for batch in batches:
-            yield _attach(batch, predictor.predict(loaded, batch), output)
-
-    return df.mapInPandas(run, schema=schema)
+            columns = [batch.column(i) for i in range(batch.num_columns - 1)]
+            rows = pa.RecordBatch.from_arrays(columns, names[:-1])
+            fine = batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False)
+            where = np.flatnonzero(fine == True)  # noqa: E712  NULL marks an invalid row
+            out = pa.nulls(len(fine), arrow_type)
+            if len(where):
+                some = rows if len(where) == len(fine) else rows.take(pa.array(where))
+                found = _output(predictor.predict(loaded, _frame(some, time_zone)), output, len(where))
+                values = pa.array(found.to_numpy(), from_pandas=found.dtype == object).cast(arrow_type)
+                if len(where) == len(fine):
+                    out = values
+                else:
+                    at = np.full(len(fine), -1)
+                    at[where] = np.arange(len(where))
+                    out = values.take(pa.array(at, mask=at < 0))
+            yield pa.RecordBatch.from_arrays([*columns, out], names)
+
+    return flagged.mapInArrow(run, schema=T.StructType(fields))
 
 
 def score_with_udf(df: DataFrame, predictor: BasePredictor, features: Sequence[str], *,
@@ -153,7 +200,7 @@ def score_with_udf(df: DataFrame, predictor: BasePredictor, features: Sequence[s
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
         loaded = state()
         for batch in batches:
-            yield _attach(batch, predictor.predict(loaded, batch), output)[output]
+            yield _output(predictor.predict(loaded, batch), output, len(batch))
 
     udf = F.pandas_udf(run, returnType=prediction_type)   # iterator-of-series form, from the type hints
     df, prediction = guard_prediction(df, features, udf(F.struct(*[F.col(c) for c in features])), on_invalid)

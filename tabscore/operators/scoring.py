@@ -12,6 +12,7 @@ import datetime as _dt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tabscore.functions.naming import free_name
 from tabscore.functions.linear import LinearModel, margin, predicted_label, probability, vector_inputs
 from tabscore.operators.validate import InputSchema, guard_prediction
 
@@ -63,9 +64,10 @@ def score_vector(df: DataFrame, model: LinearModel, vector_col: str, *, threshol
     # NULL element makes it NULL and a NaN element makes it NaN, so validity
     # needs no scan of the array (and no per-row lambda).
     short = v.isNull() | (F.size(v) < k)
-    df = df.withColumn("_margin", F.when(short, F.lit(None).cast("double"))
+    name = free_name(df.columns, "_margin")
+    df = df.withColumn(name, F.when(short, F.lit(None).cast("double"))
                        .otherwise(margin(model, vector_inputs(vector_col, model.features))))
-    m = F.col("_margin")
+    m = F.col(name)
     bad = m.isNull() | F.isnan(m)
     pred = predicted_label(m, threshold).cast("double")
     prob = probability(m)
@@ -76,13 +78,15 @@ def score_vector(df: DataFrame, model: LinearModel, vector_col: str, *, threshol
     elif on_invalid == "null":
         pred, prob = (F.when(bad, F.lit(None)).otherwise(pred), F.when(bad, F.lit(None)).otherwise(prob))
     elif on_invalid == "error":
-        pred = F.when(bad, F.raise_error(F.lit(f"invalid feature vector in {vector_col}"))).otherwise(pred)
+        # both guarded: either may be read without the other
+        pred, prob = (F.when(bad, F.raise_error(F.lit(f"invalid feature vector in {vector_col}"))).otherwise(v)
+                      for v in (pred, prob))
     else:
         raise ValueError("on_invalid must be one of ('error', 'skip', 'null')")
     cols = {output: pred}
     if probability_col:
         cols[probability_col] = prob
-    return df.withColumns(cols).drop("_margin")
+    return df.withColumns(cols).drop(name)
 
 
 def score_columns(model: LinearModel, threshold: float = 0.5,
@@ -103,9 +107,9 @@ def score_proba(df: DataFrame, model: LinearModel, *, threshold: float = 0.5,
     _check_output_free(df, label_col, probability_col)
     cols = score_columns(model, threshold, digits)
     label = cols["label"].cast("int")
+    # both guarded: either may be read without the other
+    _, prob = guard_prediction(df, model.features, cols["probability"], on_invalid)
     df, label = guard_prediction(df, model.features, label, on_invalid)
-    prob = cols["probability"] if on_invalid != "null" else \
-        F.when(label.isNull(), F.lit(None)).otherwise(cols["probability"])
     return df.withColumns({probability_col: prob, label_col: label})
 
 

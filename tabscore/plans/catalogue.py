@@ -231,7 +231,7 @@ def q_evaluate_binary(spark, sf_dir):
 
 
 def q_evaluate_many(spark, sf_dir):
-    m = metrics.evaluate_many(labelled_documents(spark, sf_dir), [DOC_MODEL, DOC_NEVER, DOC_MODEL_B], "quality")
+    m = metrics.evaluate_many(labelled_documents(spark, sf_dir), [DOC_MODEL, DOC_NEVER, DOC_MODEL_B], "quality").drop("invalid")
     return m.select("model_name", "model_version", "n", "tp", "fp", "fn", "tn",
                     *[F.round(c, 6).alias(c) for c in ("accuracy", "precision", "recall", "f1")])
 
@@ -442,6 +442,8 @@ HOLED_CHARS = "CASE WHEN doc_id % 10 = 3 THEN NULL ELSE n_chars END"
 HOLED_LABEL = "CASE WHEN doc_id % 10 = 7 THEN CAST('NaN' AS DOUBLE) WHEN doc_id % 10 = 8 THEN NULL " \
               "ELSE CAST(quality AS DOUBLE) END"
 # a number doubles cannot hold, missing where the event failed
+# returned items carry a NaN, open ones no risk at all
+HOLED_RISK = "CASE WHEN l_returnflag = 'R' THEN CAST('NaN' AS DOUBLE) WHEN l_returnflag = 'N' THEN NULL ELSE l_discount END"
 BIG_ID = "CASE WHEN event_type = 'error' THEN NULL ELSE event_id + 9007199254740993 END"
 HOLED_TEXT = "CASE WHEN doc_id % 5 = 0 THEN NULL WHEN doc_id % 5 = 1 THEN '' ELSE text END"
 METRICS = ("accuracy", "precision", "recall", "f1")
@@ -457,6 +459,55 @@ def q_score_python_invalid(spark, sf_dir):
                                 columns=SCORED, on_invalid="null")
 
 
+class WholeRowPredictor(LinearPredictor):
+    """The same model as a predictor that does not say which columns it reads; its schema says which must be there."""
+
+    def __init__(self, model: LinearModel):
+        super().__init__(model)
+        del self.features
+
+
+def q_predictor_whole_row_invalid(spark, sf_dir):
+    """Whole rows through a predictor by policy; numbers beyond doubles, NULL and NaN come back unchanged."""
+    rows = events_with_invalid(spark, sf_dir).select(*SCORED, F.expr(BIG_ID).alias("big_id"))
+    null, skip = (score_with_predictor(rows, WholeRowPredictor(EVENTS_MODEL), on_invalid=p).withColumn("policy", F.lit(p))
+                  for p in ("null", "skip"))
+    return null.unionByName(skip)
+
+
+def q_training_extract_nan_label(spark, sf_dir):
+    """A floating label that is NULL for some rows and NaN for others: only labelled rows are extracted."""
+    rows = table(spark, sf_dir, "lineitem").withColumn("risk", F.expr(HOLED_RISK))
+    rows.createOrReplaceTempView("tabscore_lineitem_risk")
+    return sql_extract.training_extract(spark, "tabscore_lineitem_risk", LINEITEM_FEATURES, "risk", "l_shipdate", *TRAIN_WINDOW)
+
+
+def q_evaluate_many_invalid(spark, sf_dir):
+    return metrics.evaluate_many(holed_documents(spark, sf_dir), [DOC_MODEL, DOC_MODEL_B], "quality",
+                                 on_invalid="skip").select(
+        "model_name", "model_version", "n", "tp", "fp", "fn", "tn", "invalid", *[F.round(c, 6).alias(c) for c in METRICS])
+
+
+USER_MODEL = LinearModel(("user_id",), (0.7,), -0.1, (75.0,), (43.0,), "events_user", "v1")
+
+
+def q_score_models_job_invalid(spark, sf_dir):
+    """Statuses of a model that meets invalid rows, one that does not and an unknown one, under each policy."""
+    src = scratch_path(spark, "models-in") + ".parquet"
+    events_with_invalid(spark, sf_dir).select(*SCORED).write.parquet(src)
+    store = model_store(spark, [EVENTS_MODEL, USER_MODEL])
+    rows = []
+    for policy in ("error", "skip", "null"):
+        out = scratch_path(spark, "models-out")
+        found = jobs.score_models_job(spark, store, ["events_a", "events_user", "ghost"], keep=["event_id"], input_path=src,
+                                      output_path=out, on_invalid=policy)
+        written = {r[0]: r[1] for r in spark.read.parquet(out).groupBy("model_name").count().collect()}
+        rows += [(policy, name, s["status"], s.get("rows"), s.get("positives"), s.get("invalid"), written.get(name, 0))
+                 for name, s in found.items()]
+    return spark.createDataFrame(rows, "policy string, model_name string, status string, rows bigint, positives bigint, "
+                                       "invalid bigint, written bigint")
+
+
 def q_score_udf_invalid(spark, sf_dir):
     return score_with_udf(events_with_invalid(spark, sf_dir).select(SCORED), LinearPredictor(EVENTS_MODEL),
                           EVENTS_MODEL.features, on_invalid="skip")
@@ -647,6 +698,10 @@ QUERIES: dict[str, Query] = {
     "flagged_rows": q_flagged_rows,
     "evaluate_invalid": q_evaluate_invalid,
     "train_job_invalid": q_train_job_invalid,
+    "predictor_whole_row_invalid": q_predictor_whole_row_invalid,
+    "training_extract_nan_label": q_training_extract_nan_label,
+    "evaluate_many_invalid": q_evaluate_many_invalid,
+    "score_models_job_invalid": q_score_models_job_invalid,
     "exact_split_sides": q_exact_split_sides,
     "approx_split_sides": q_approx_split_sides,
     "csv_text_roundtrip": q_csv_text_roundtrip,

@@ -1,8 +1,8 @@
 """The jobs a user runs: train a model, score a table, score several models.
 
 Training: project and persist the input once → split (exact or keyed) →
-scaler fit on the train side (one aggregate) → logistic fit (Newton passes or
-MLlib, distributed) → metrics on the held-out side (one aggregate) → run log
+scaler fit on the train side (one aggregate) → logistic fit (distributed
+Newton passes over the rows that are held already) → metrics on the held-out side (one aggregate) → run log
 rows and a registry row.  The driver only ever holds the fitted vectors and
 four counters.
 
@@ -20,11 +20,13 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tabscore.functions.hashing import hash32
 from tabscore.functions.linear import LinearModel
+from tabscore.functions.naming import free_name
 from tabscore.operators import logistic, metrics, profile, sampling, scaling
 from tabscore.operators.runlog import ModelStore, RunLog, generate_version
 from tabscore.operators.scoring import score
-from tabscore.operators.validate import InputSchema, invalid_row
+from tabscore.operators.validate import ON_INVALID, InputSchema, invalid_row
 from tabscore.sources.files import load_input, write_output
 
 
@@ -67,15 +69,17 @@ def train_job(df: DataFrame, features: Sequence[str], label: str, key: str | Seq
     projected = df.select(*cols)
     unlabelled = F.col(label).isNull() | F.isnan(F.coalesce(F.col(label).cast("double"), F.lit(0.0)))
     invalid = invalid_row(projected, features)
-    marked = projected.select("*", unlabelled.alias("_unlabelled"), invalid.alias("_invalid")).persist(
-        StorageLevel.MEMORY_AND_DISK)
+    # the keys' hash is part of what is held: the split's rounds and both sides read it
+    hashed = free_name(cols, "_hash")
+    marked = projected.select("*", unlabelled.alias("_unlabelled"), invalid.alias("_invalid"),
+                              hash32(keys, seed, hash_algorithm).alias(hashed)).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         rows_in, n_unlabelled, n_invalid = marked.agg(
             F.count("*"), F.count_if("_unlabelled"), F.count_if(~F.col("_unlabelled") & F.col("_invalid"))).first()
         if n_invalid and on_invalid == "error":
             raise ValueError(f"{n_invalid} labelled rows hold a NULL or NaN feature (on_invalid='skip' leaves them out)")
         data = marked.where("NOT _unlabelled AND NOT _invalid").drop("_unlabelled", "_invalid")
-        train, test = sampling.split(data, test_fraction, keys, seed, split_mode, hash_algorithm)
+        train, test = sampling.split(data, test_fraction, keys, seed, split_mode, hash_algorithm, hashed)
         params = scaling.fit_scaler(train, features)
         fitted = logistic.fit_logistic(scaling.transform(train, params), features, label,
                                        C=C, max_iter=max_iter, tol=tol, solver=solver, name=name, version=version,
@@ -159,8 +163,8 @@ def predictor_score_job(spark: SparkSession, predictor, *, input_path: str | Non
                         run_log: RunLog | None = None) -> tuple[DataFrame, int | None]:
     """:func:`score_job` with a user's Python predictor.
 
-    A predictor that names its ``features`` leaves the other columns
-    unchanged and follows ``on_invalid``; one that does not gets whole rows.
+    Input columns come through unchanged and ``on_invalid`` holds whether the
+    predictor names its ``features`` or gets whole rows.
     """
     from tabscore.operators.pyscore import score_with_predictor
 
@@ -172,7 +176,7 @@ def predictor_score_job(spark: SparkSession, predictor, *, input_path: str | Non
 def score_models_job(spark: SparkSession, store: ModelStore, model_names: Sequence[str], *,
                      keep: Sequence[str], input_path: str | None = None, table: str | None = None,
                      output_path: str | None = None, output_table: str | None = None,
-                     threshold: float = 0.5, mode: str = "overwrite") -> dict[str, dict]:
+                     threshold: float = 0.5, mode: str = "overwrite", on_invalid: str = "error") -> dict[str, dict]:
     """Score several registered models in one pass; one status per requested name.
 
     Latest versions are resolved with one aggregate; the long-form output
@@ -180,8 +184,14 @@ def score_models_job(spark: SparkSession, store: ModelStore, model_names: Sequen
     is written partitioned by model; rows and positives per model are
     observed during that write.  A name without a model, or a model whose
     features are missing from the input, gets ``error: …`` and does not stop
-    the others.
+    the others; nor does, with ``on_invalid="error"``, a model that meets a
+    NULL or NaN in its features (found by one aggregate before the write, so
+    that nothing of that model is written).  With ``skip`` or ``null`` such
+    rows are left out or written with a NULL prediction; ``invalid`` is their
+    number.
     """
+    if on_invalid not in ON_INVALID:
+        raise ValueError(f"on_invalid must be one of {ON_INVALID}")
     from pyspark.sql import functions as F
     from tabscore.operators import multi
 
@@ -197,17 +207,26 @@ def score_models_job(spark: SparkSession, store: ModelStore, model_names: Sequen
             status[name] = {"status": f"error: missing columns {[f for f in m.features if f not in df.columns]}"}
         else:
             usable.append(m)
+    if on_invalid == "error" and usable:
+        bad = df.agg(*[F.count_if(invalid_row(df, m.features)).alias(f"b{i}") for i, m in enumerate(usable)]).first()
+        for m, n in zip(usable, bad):
+            if n:
+                status[m.name] = {"status": f"error: {n} invalid rows", "version": m.version, "invalid": n}
+        usable = [m for m, n in zip(usable, bad) if not n]
     if not usable:
         return status
-    long = multi.score_many(df, usable, keep, threshold)
+    long = multi.score_many(df, usable, keep, threshold, on_invalid="null")
     counters = []
     for i, m in enumerate(usable):
         this = F.col("model_name") == F.lit(m.name)
         counters += [F.count_if(this).alias(f"rows{i}"),
-                     F.count_if(this & (F.col("prediction") == 1.0)).alias(f"pos{i}")]
+                     F.count_if(this & (F.col("prediction") == 1.0)).alias(f"pos{i}"),
+                     F.count_if(this & F.col("prediction").isNull()).alias(f"bad{i}")]
     from pyspark.sql import Observation
     obs = Observation("models")
     counted = long.observe(obs, *counters)
+    if on_invalid == "skip":
+        counted = counted.where(F.col("prediction").isNotNull())
     if output_path:
         counted.write.mode(mode).partitionBy("model_name").parquet(output_path)
     elif output_table:
@@ -216,6 +235,7 @@ def score_models_job(spark: SparkSession, store: ModelStore, model_names: Sequen
         counted.write.format("noop").mode("overwrite").save()
     got = obs.get
     for i, m in enumerate(usable):
-        status[m.name] = {"status": "ok", "version": m.version, "rows": got[f"rows{i}"],
-                          "positives": got[f"pos{i}"]}
+        gone = got[f"bad{i}"] if on_invalid == "skip" else 0
+        status[m.name] = {"status": "ok", "version": m.version, "rows": got[f"rows{i}"] - gone,
+                          "positives": got[f"pos{i}"], "invalid": got[f"bad{i}"]}
     return status

@@ -59,6 +59,46 @@ def _evaluate_many() -> str:
     return "\nUNION ALL ".join(parts)
 
 
+def _evaluate_many_invalid() -> str:
+    labelled = f"FROM ({HOLED}) h WHERE quality IS NOT NULL AND NOT isnan(quality)"
+    return "\nUNION ALL ".join(
+        f"SELECT '{m.name}' AS model_name, '{m.version}' AS model_version, *, "
+        f"(SELECT count(*) {labelled} AND n_chars IS NULL) AS invalid FROM ({_metrics(m, 'quality', LABELLED_AND_VALID)}) t"
+        for m in (c.DOC_MODEL, c.DOC_MODEL_B))
+
+
+def _whole_row_invalid() -> str:
+    p = pred(c.EVENTS_MODEL)
+    source = f"(SELECT event_id, user_id, value, {c.BIG_ID} AS big_id FROM ({invalid_events()}))"
+    return (f"SELECT event_id, user_id, value, big_id, CASE WHEN {VALID} THEN {p} END AS prediction, 'null' AS policy FROM {source} "
+            f"UNION ALL SELECT event_id, user_id, value, big_id, {p} AS prediction, 'skip' AS policy FROM {source} WHERE {VALID}")
+
+
+def _score_models_job_invalid() -> str:
+    a, u = c.EVENTS_MODEL, c.USER_MODEL
+    k = (f"(SELECT count(*) AS n, count(*) FILTER (WHERE NOT ({VALID})) AS bad, "
+         f"count(*) FILTER (WHERE {VALID} AND {sql_margin(a)} > 0) AS pa, count(*) FILTER (WHERE {sql_margin(u)} > 0) AS pu "
+         f"FROM ({invalid_events()}) e) k")
+    none = "CAST(NULL AS BIGINT)"
+    rows = []
+    for policy in ("error", "skip", "null"):
+        stopped = policy == "error"
+        left = {"error": none, "skip": "n - bad", "null": "n"}[policy]
+        rows += [f"SELECT '{policy}' AS policy, 'events_a' AS model_name, "
+                 + ("'error: ' || bad || ' invalid rows'" if stopped else "'ok'")
+                 + f" AS status, {left} AS \"rows\", {none if stopped else 'pa'} AS positives, bad AS invalid, "
+                 + f"{'0' if stopped else left} AS written FROM {k}",
+                 f"SELECT '{policy}', 'events_user', 'ok', n, pu, 0, n FROM {k}",
+                 f"SELECT '{policy}', 'ghost', 'error: unknown model', {none}, {none}, {none}, 0"]
+    return "\nUNION ALL ".join(rows)
+
+
+def _training_extract_nan_label() -> str:
+    return (f"SELECT l_quantity, l_extendedprice, l_discount, l_tax, risk AS target "
+            f"FROM (SELECT *, {c.HOLED_RISK} AS risk FROM lineitem) WHERE CAST(l_shipdate AS DATE) BETWEEN "
+            f"DATE '{c.TRAIN_WINDOW[0]}' AND DATE '{c.TRAIN_WINDOW[1]}' AND risk IS NOT NULL AND NOT isnan(risk)")
+
+
 def _describe() -> str:
     aggs, parts = [], []
     for i, col in enumerate(c.LINEITEM_FEATURES):
@@ -406,6 +446,10 @@ def build() -> dict[str, str]:
         "evaluate_invalid": _metrics(
             c.DOC_MODEL, "quality", f"SELECT * FROM ({HOLED}) WHERE n_chars IS NOT NULL AND NOT coalesce(isnan(quality), FALSE)"),
         "train_job_invalid": _train_job_invalid(),
+        "predictor_whole_row_invalid": _whole_row_invalid(),
+        "training_extract_nan_label": _training_extract_nan_label(),
+        "evaluate_many_invalid": _evaluate_many_invalid(),
+        "score_models_job_invalid": _score_models_job_invalid(),
         "exact_split_sides": (
             f"WITH r AS (SELECT o_orderkey, o_totalprice, row_number() OVER (ORDER BY {h_split}, o_orderkey) AS rn "
             "FROM orders) SELECT o_orderkey, o_totalprice, "

@@ -15,6 +15,8 @@ from importlib import resources
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tabscore.functions.hashing import sql_key_text
+
 DATE_TYPES = ("date", "timestamp", "timestamp_ntz")
 
 
@@ -64,26 +66,32 @@ def training_extract(spark: SparkSession, table: str, features: Sequence[str], t
                      template: str | None = None) -> DataFrame:
     """Features + ``target`` for rows with start_date <= day(date_column) <= end_date.
 
-    The sample keeps rows whose key hash (md5 of the key columns, and of the
-    seed when one is given, joined by ``|``) falls below the fraction.
+    Labels that are NULL or, in a floating column, NaN are left out.  The
+    sample keeps rows whose key hash (``functions.hashing``) falls below the
+    fraction; a fraction below 1 needs a ``sample_key``, since equal feature
+    rows would otherwise all be kept or all be dropped.
     """
     cols = _columns(spark, table)
     feats = _checked(cols, features, "features")
     _checked(cols, [target_column], "target column")
-    keys = [sample_key] if isinstance(sample_key, str) else list(sample_key or features)
-    qkeys = _checked(cols, keys, "sample key")
-    parts = [f"CAST({k} AS STRING)" for k in qkeys] + ([":sample_seed"] if sample_seed is not None else [])
-    key_text = parts[0] if len(parts) == 1 else "concat_ws('|', " + ", ".join(parts) + ")"
+    present = "IDENTIFIER(:target_column) IS NOT NULL"
+    if cols[target_column] in ("float", "double"):
+        present += " AND NOT isnan(IDENTIFIER(:target_column))"
     if sample_fraction >= 1:
-        key_text = "'all'"     # every row, also one whose key is NULL
+        key_text = "'all'"     # every row
+    elif not sample_key:
+        raise ValueError("a sample fraction below 1 needs a sample_key")
+    else:
+        qkeys = _checked(cols, [sample_key] if isinstance(sample_key, str) else list(sample_key), "sample key")
+        key_text = sql_key_text(qkeys, sample_seed, seed_text=":sample_seed")
     text = render(template or load_template("training_extract.sql"),
                   features=", ".join(feats), date_type=_date_type(cols, date_column),
-                  sample_key=key_text)
+                  sample_key=key_text, label_present=present)
     start, end = _day(start_date), _day(end_date)
     args = {"table_name": table, "target_column": target_column, "date_column": date_column,
             "window_start": start.isoformat(), "window_end": (end + _dt.timedelta(days=1)).isoformat(),
             "sample_fraction": float(sample_fraction)}
-    if sample_seed is not None:
+    if sample_seed is not None and sample_fraction < 1:
         args["sample_seed"] = str(sample_seed)
     return spark.sql(text, args=args)
 

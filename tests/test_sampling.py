@@ -88,7 +88,7 @@ def test_exact_split_empty_and_null_keys(spark):
     empty = spark.createDataFrame([], "k bigint")
     train, test = sampling.split_exact(empty, 0.2, "k")
     assert train.count() == 0 and test.count() == 0
-    # a NULL key hashes like an empty key (concat_ws skips NULL, as DuckDB does)
+    # a NULL key has a hash of its own
     df = spark.createDataFrame([(None,)] + [(i,) for i in range(12)], "k bigint")
     train, test = sampling.split_exact(df, 0.2, "k")
     assert test.count() == 3 and train.count() == 10
@@ -162,10 +162,52 @@ def test_exact_split_hot_key_stays_whole(spark):
 
 
 def test_exact_split_null_key_in_tie_group(spark):
-    # NULL and '' hash alike with a seed (concat_ws skips NULL): they form one tie group
+    # NULL and '' are different keys, each a tie group of three rows
     rows = [(None,)] * 3 + [("",)] * 3 + [(f"k{i}",) for i in range(4)]
     df = spark.createDataFrame(rows, "k string")
     for f in (0.1, 0.3, 0.5, 0.8):
         train, test = sampling.split_exact(df, f, "k", 42)
         te, tr = test.count(), train.count()
         assert te + tr == len(rows) and te >= math.ceil(len(rows) * f)
+
+
+def test_different_keys_never_make_one_text(spark):
+    rows = [("a|b", "c"), ("a", "b|c"), (None, "x"), ("x", None), ("", "x"), ("~", "x"), ("1:a", "b"), ("1", "a1:b")]
+    df = spark.createDataFrame(rows, "a string, b string")
+    assert len({r[0] for r in df.select(hash32(["a", "b"], 1)).collect()}) == len(rows)
+    import duckdb
+    from tabscore.functions.hashing import sql_hash32
+    con = duckdb.connect()
+    values = ", ".join("(" + ", ".join("NULL" if v is None else f"'{v}'" for v in r) + ")" for r in rows)
+    for seed in (None, 5):
+        got = sorted(r[0] for r in df.select(hash32(["a", "b"], seed)).collect())
+        assert got == sorted(r[0] for r in con.execute(f"SELECT {sql_hash32(['a', 'b'], seed)} FROM (VALUES {values}) t(a, b)").fetchall())
+
+
+@pytest.mark.parametrize("few", [0, 4096])
+def test_hash_rank_against_a_sort(spark, monkeypatch, few):
+    """Every rank, with ties and hashes at both ends, whether the last round comes early or not."""
+    monkeypatch.setattr(sampling, "FEW_ROWS", few)
+    rng = np.random.default_rng(1)
+    values = [0, 0, 2**32 - 1, 2**21, 2**21 - 1, 2**10] + [int(v) for v in rng.integers(0, 2**32, 40)] + [77] * 9
+    df = spark.createDataFrame([(v,) for v in values], "h bigint").coalesce(2)
+    order = sorted(values)
+    for rank in (1, 2, 3, 12, 30, len(values)):
+        v = order[rank - 1]
+        assert sampling.hash_rank(df, "h", lambda n: rank) == (v, order.index(v), values.count(v), len(values))
+    assert sampling.hash_rank(df.where("h < 0"), "h", lambda n: 1) is None
+
+
+def test_split_with_the_hash_carried_reads_no_key_again(spark, capsys):
+    df = spark.range(1000).withColumn("hash", hash32("id", 42))
+    plain, carried = sampling.split_exact(df, 0.3, "id"), sampling.split_exact(df, 0.3, "id", hash_column="hash")
+    assert [p.count() for p in plain] == [c.count() for c in carried] == [700, 300]
+    assert plain[1].exceptAll(carried[1]).count() == 0
+
+
+def test_a_round_of_the_split_has_few_partial_rows(spark):
+    """At most 2,048 groups a task, however many rows: the plan counts bins, not hashes."""
+    df = spark.range(60_000).withColumn("h", hash32("id", 42))
+    bins = df.groupBy(F.shiftright("h", sampling.ROUND_BITS[0]).alias("b")).count()
+    assert bins.count() <= 2048 and [32 - sampling.ROUND_BITS[0], sampling.ROUND_BITS[0] - sampling.ROUND_BITS[1],
+                                     sampling.ROUND_BITS[1]] == [11, 11, 10]

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tabscore.functions.linear import LinearModel
 from tabscore.operators import multi, scoring
 from tabscore.operators.pyscore import BasePredictor, LinearPredictor, score_with_predictor
+from tabscore.operators.validate import InputSchema
 
 MODEL = LinearModel(("a", "b"), (2.0, -1.0), 0.5, (1.0, 0.0), (2.0, 1.0))
 
@@ -283,3 +284,57 @@ def test_udf_scoring_matches_native_and_sends_only_features(rows, capsys):
     text = capsys.readouterr().out
     python_node = [l for l in text.splitlines() if "ArrowEvalPython" in l][0]
     assert "id#" not in python_node.split("[", 1)[1].split("]")[0]
+
+
+class SeesRows(BasePredictor):
+    """A predictor that does not name its features."""
+
+    def __init__(self, answer="array", schema=None):
+        self.answer, self.input_schema = answer, schema
+
+    def load(self):
+        return 2.0
+
+    def predict(self, state, batch):
+        out = batch["x"].to_numpy(dtype=float) * state
+        if self.answer == "frame":
+            return batch.assign(prediction=out, big=-1)
+        return out if self.answer == "array" else list(out)
+
+
+def invalid_rows(spark):
+    big = 2**53 + 1
+    rows = [(big, 1.0, None, "a"), (None, None, 1.5, "b"), (big + 2, float("nan"), float("nan"), None), (4, -2.0, float("nan"), "d")]
+    return spark.createDataFrame(rows, "big bigint, x double, y double, t string").repartition(2)
+
+
+@pytest.mark.parametrize("answer", ["array", "frame", "list"])
+def test_whole_row_predictor_follows_the_invalid_policy(spark, answer):
+    df = invalid_rows(spark)
+    p = SeesRows(answer, InputSchema.from_feature_columns(["x"]))
+    show = lambda d: sorted((str(tuple(r)) for r in d.collect()))
+    null = score_with_predictor(df, p, on_invalid="null")
+    assert show(null.drop("prediction")) == show(df)                       # bigint, NULL and NaN come back unchanged
+    assert {r.x if r.x == r.x else "nan": r.prediction for r in null.collect()} == {1.0: 2.0, None: None, "nan": None, -2.0: -4.0}
+    assert sorted(r.prediction for r in score_with_predictor(df, p, on_invalid="skip").collect()) == [-4.0, 2.0]
+    with pytest.raises(Exception, match="invalid feature value"):
+        score_with_predictor(df, p, on_invalid="error").collect()
+    with pytest.raises(ValueError):
+        score_with_predictor(df, p, on_invalid="other")
+
+
+def test_whole_row_predictor_without_a_schema_needs_every_column(spark):
+    df = invalid_rows(spark)
+    assert score_with_predictor(df, SeesRows(), on_invalid="skip").count() == 0
+    assert score_with_predictor(df, SeesRows(), on_invalid="skip", required=["x", "t"]).count() == 2
+    assert score_with_predictor(df.where("x is null"), SeesRows(), on_invalid="null", required=["x"]).first().prediction is None
+
+
+def test_score_vector_keeps_a_column_named_like_its_own(spark):
+    from tabscore.functions.linear import LinearModel
+    df = spark.createDataFrame([([1.0, 2.0], 7, 8), (None, 9, 10)], "v array<double>, _margin int, _MARGIN_ int")
+    m = LinearModel(("a", "b"), (1.0, 1.0), 0.0)
+    out = scoring.score_vector(df, m, "v", on_invalid="null")
+    assert out.columns[:3] == df.columns and {r._margin for r in out.collect()} == {7, 9}
+    with pytest.raises(Exception, match="invalid feature vector"):
+        scoring.score_vector(df, m, "v").select("probability").collect()    # the probability alone is guarded too
