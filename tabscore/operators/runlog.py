@@ -1,29 +1,41 @@
-"""Run log and model registry kept as append-only tables.
+"""Run log kept as a table of commits, with a compacted snapshot.
 
 A run log row is ``(run_id, kind, key, value, seq, ts)``; ``kind`` is
-``param``, ``metric`` or ``artifact``.  Writing appends; reading the current
-state takes, per (run, kind, key), the value with the greatest (ts, seq):
-one ``max_by`` aggregate that combines map-side, so no window sort and no
-hot reducer even if one run wrote a third of all rows.  Artifacts keep every
-row.
+``param``, ``metric`` or ``artifact``.  A commit is one folder of rows that
+were written together; a commit with a key of its own replaces what it wrote
+before, so a job or a stream's batch that runs again leaves one copy.  The
+current state takes, per (run, kind, key), the value with the greatest
+(ts, seq); artifacts keep every row.
+
+``compact`` writes the current state as a snapshot and notes which files it
+covers; reading then merges the snapshot with the files that came later, so
+the cost follows what was logged since, not the whole log.
 """
 
 from __future__ import annotations
 
+import contextlib
 import datetime as _dt
 import json
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator
+from dataclasses import asdict, dataclass
 from typing import Any
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tabscore.operators.latest import latest_per_key
+from tabscore.operators.registry import (ArtifactStore, ModelKey, ModelStore, latest_versions)  # noqa: F401  part of this API
+from tabscore.sources.publish import path_part
+
 # The version id format (UTC time, then 8 hex digits).
 VERSION_TIME_FORMAT = "%Y%m%d_%H%M%S"
 VERSION_SUFFIX_HEX = 8
 
 RUNLOG_SCHEMA = "run_id string, kind string, key string, value string, seq bigint, ts timestamp_ntz"
+SNAPSHOT_SCHEMA = "snapshot string, created_at timestamp_ntz, files array<string>"
 
 
 def generate_version(now: _dt.datetime | None = None) -> str:
@@ -38,32 +50,66 @@ def _render(value: Any) -> str:
     return json.dumps(value, sort_keys=True, default=str)
 
 
-def latest_per_key(df: DataFrame, keys: Sequence[str], values: Sequence[str],
-                   order: Sequence[str]) -> DataFrame:
-    """keys + the ``values`` of the row with the greatest ``order`` per key."""
-    pick = F.max_by(F.struct(*[F.col(v) for v in values]), F.struct(*[F.col(o) for o in order]))
-    return (df.groupBy(*keys).agg(pick.alias("_last"))
-              .select(*keys, *[F.col(f"_last.{v}").alias(v) for v in values]))
+@dataclass(frozen=True)
+class RunRecord:
+    """What a run is: logged as its framework params, each named after its field."""
+
+    profile: str
+    version: str
+    pipeline_type: str
+    commit_hash: str | None = None
+
+    def params(self) -> dict[str, str]:
+        return {f"tabscore.{name}": value for name, value in asdict(self).items() if value}
 
 
 class RunLog:
-    """Append-only run log stored as Parquet at ``path``."""
+    """Run log stored as Parquet at ``path``, a folder a commit."""
 
     def __init__(self, spark: SparkSession, path: str, run_id: str | None = None):
         self.spark = spark
         self.path = path
         self.run_id = run_id or generate_version()
         self._seq = 0
+        self._held: list[tuple] | None = None
 
-    def _append(self, kind: str, items: dict[str, Any], ts: _dt.datetime | None = None) -> None:
-        if not items:
-            return
+    # ------------------------------------------------------------ writing
+
+    def _write(self, rows: list[tuple], commit: str) -> None:
+        (self.spark.createDataFrame(rows, RUNLOG_SCHEMA).coalesce(1)
+             .write.mode("overwrite").parquet(f"{self.path}/commit={path_part(commit)}"))
+
+    def _rows(self, kind: str, items: dict[str, Any], ts: _dt.datetime | None) -> list[tuple]:
         ts = ts or _dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None)
         rows = []
         for key, value in items.items():
             self._seq += 1
             rows.append((self.run_id, kind, str(key), _render(value), self._seq, ts))
-        self.spark.createDataFrame(rows, RUNLOG_SCHEMA).write.mode("append").parquet(self.path)
+        return rows
+
+    def _append(self, kind: str, items: dict[str, Any], ts: _dt.datetime | None = None) -> None:
+        rows = self._rows(kind, items, ts)
+        if self._held is not None:
+            self._held += rows
+        elif rows:
+            self._write(rows, f"{self.run_id}-{uuid.uuid4().hex[:12]}")
+
+    @contextlib.contextmanager
+    def together(self, commit: str | None = None) -> Iterator["RunLog"]:
+        """Everything logged inside is one commit, written at the end (not at all if the block raises).
+
+        With a ``commit`` key the same block run again replaces its rows.
+        """
+        if self._held is not None:
+            raise RuntimeError("together() is already open")
+        self._held = []
+        try:
+            yield self
+            rows = self._held
+        finally:
+            self._held = None
+        if rows:
+            self._write(rows, commit or f"{self.run_id}-{uuid.uuid4().hex[:12]}")
 
     def log_params(self, params: dict[str, Any], ts=None) -> None:
         self._append("param", params, ts)
@@ -80,19 +126,57 @@ class RunLog:
     def log_artifact(self, path: str, artifact: Any, ts=None) -> None:
         self._append("artifact", {path: str(artifact)}, ts)
 
-    def log_framework_params(self, profile: str, version: str, pipeline_type: str,
-                             commit_hash: str | None = None) -> None:
-        params = {"tabscore.profile": profile, "tabscore.version": version,
-                  "tabscore.pipeline_type": pipeline_type}
-        if commit_hash:
-            params["tabscore.commit_hash"] = commit_hash
-        self.log_params(params)
+    def log_run(self, record: RunRecord) -> None:
+        self.log_params(record.params())
+
+    def log_framework_params(self, profile: str, version: str, pipeline_type: str, commit_hash: str | None = None) -> None:
+        self.log_run(RunRecord(profile, version, pipeline_type, commit_hash))
+
+    # ------------------------------------------------------------ reading
 
     def table(self) -> DataFrame:
-        return self.spark.read.schema(RUNLOG_SCHEMA).parquet(self.path)
+        """Every row of every commit."""
+        return self.spark.read.schema(RUNLOG_SCHEMA).option("recursiveFileLookup", True).parquet(self.path)
+
+    def _snapshot(self):
+        """The newest snapshot's (name, covered files), or None."""
+        try:
+            index = self.spark.read.schema(SNAPSHOT_SCHEMA).parquet(f"{self.path}/_snapshots/index")
+            return index.orderBy(F.desc("created_at"), F.desc("snapshot")).first()
+        except AnalysisException as exc:
+            if exc.getCondition() == "PATH_NOT_FOUND":
+                return None
+            raise
+
+    def rows(self) -> DataFrame:
+        """The rows the current state follows from: the snapshot and what was committed after it."""
+        log, snapshot = self.table(), self._snapshot()
+        if snapshot is None:
+            return log
+        later = log.where(~F.col("_metadata.file_path").isin(list(snapshot["files"])))
+        kept = self.spark.read.schema(RUNLOG_SCHEMA).parquet(f"{self.path}/_snapshots/data-{snapshot['snapshot']}")
+        return kept.unionByName(later)
+
+    def compact(self) -> str:
+        """Write a snapshot of the current state; returns its name.
+
+        The files it covers are those listed now: a commit that lands
+        meanwhile is read as a later one.  The index row comes last, so a
+        compaction that dies leaves the log as it was.  A keyed commit that
+        is replaced afterwards has new files and is read again.
+        """
+        covered = [r[0] for r in self.table().select("_metadata.file_path").distinct().collect()]
+        rows = self.rows()
+        state = latest_rows(rows.where(F.col("kind") != "artifact")).unionByName(rows.where(F.col("kind") == "artifact"))
+        name = generate_version()
+        state.write.parquet(f"{self.path}/_snapshots/data-{name}")
+        now = _dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None)
+        (self.spark.createDataFrame([(name, now, covered)], SNAPSHOT_SCHEMA).coalesce(1)
+             .write.mode("append").parquet(f"{self.path}/_snapshots/index"))
+        return name
 
     def current(self) -> DataFrame:
-        return current_view(self.table())
+        return current_view(self.rows())
 
     def summary(self, run_id: str | None = None) -> dict:
         """``{"params": {...}, "metrics": {...}, "artifacts": [{"path", "artifact"}]}`` of one run.
@@ -101,15 +185,12 @@ class RunLog:
         number of keys one run logged).  Metric values come back as floats.
         """
         run = run_id or self.run_id
-        rows = current_view(self.table().where(F.col("run_id") == run)).collect()
         out: dict = {"params": {}, "metrics": {}, "artifacts": []}
-        for r in sorted(rows, key=lambda r: (r["kind"], r["key"])):
-            if r["kind"] == "param":
-                out["params"][r["key"]] = r["value"]
-            elif r["kind"] == "metric":
-                out["metrics"][r["key"]] = float(r["value"])
-            else:
+        for r in current_view(self.rows().where(F.col("run_id") == run)).orderBy("kind", "key").toLocalIterator():
+            if r["kind"] == "artifact":
                 out["artifacts"].append({"path": r["key"], "artifact": r["value"]})
+            else:
+                out[f"{r['kind']}s"][r["key"]] = float(r["value"]) if r["kind"] == "metric" else r["value"]
         return out
 
     def save_json(self, path: str, run_id: str | None = None) -> None:
@@ -118,160 +199,12 @@ class RunLog:
             json.dump(self.summary(run_id), fh, indent=2, sort_keys=True)
 
 
-def current_view(log: DataFrame) -> DataFrame:
-    """Params and metrics: last write wins per key; artifacts: every row."""
-    kv = latest_per_key(log.where(F.col("kind") != "artifact"), ["run_id", "kind", "key"],
-                        ["value"], ["ts", "seq"])
-    arts = log.where(F.col("kind") == "artifact").select("run_id", "kind", "key", "value")
-    return kv.unionByName(arts)
-
-
-# ---------------------------------------------------------------- registry
-
-REGISTRY_SCHEMA = ("feature_name string, model_name string, version string, registered_at timestamp_ntz, "
-                   "features array<string>, coefficients array<double>, intercept double, "
-                   "means array<double>, scales array<double>, metrics map<string,double>")
-
+def latest_rows(log: DataFrame) -> DataFrame:
+    """The whole rows that hold each key's last value."""
+    return latest_per_key(log, ["run_id", "kind", "key"], ["value", "seq", "ts"], ["ts", "seq"])
 
-class ModelStore:
-    """Fitted linear models as rows of a Parquet table partitioned by feature and model.
 
-    Saving a version is registering it; ``latest`` resolves the version with
-    the newest ``registered_at`` (ties by version id) with one ``max_by``.
-    """
-
-    def __init__(self, spark: SparkSession, path: str, feature_name: str = "default"):
-        self.spark = spark
-        self.path = path
-        self.feature_name = feature_name
-
-    def _existing(self, model_name: str, version: str):
-        from pyspark.errors import AnalysisException
-        try:
-            return (self.table().where((F.col("feature_name") == self.feature_name)
-                                       & (F.col("model_name") == model_name)
-                                       & (F.col("version") == version)).first())
-        except AnalysisException as exc:
-            if exc.getCondition() == "PATH_NOT_FOUND":   # no version was saved yet
-                return None
-            raise
-
-    def save(self, model, metrics: dict[str, float] | None = None,
-             registered_at: _dt.datetime | None = None) -> str:
-        """Register a version; saving the same parameters again is a no-op (safe retries).
-
-        A version is immutable: different parameters under an existing
-        version raise instead of silently adding a second row.
-        """
-        found = self._existing(model.name, model.version)
-        if found is not None:
-            same = (tuple(found["features"]) == tuple(model.features)
-                    and tuple(found["coefficients"]) == tuple(model.coefficients)
-                    and found["intercept"] == model.intercept
-                    and tuple(found["means"]) == tuple(model.means)
-                    and tuple(found["scales"]) == tuple(model.scales))
-            if same:
-                return model.version
-            raise ValueError(f"version {model.version!r} of {model.name!r} exists with other parameters")
-        ts = registered_at or _dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None)
-        row = (self.feature_name, model.name, model.version, ts, list(model.features),
-               list(model.coefficients), model.intercept, list(model.means), list(model.scales),
-               {k: float(v) for k, v in (metrics or {}).items()})
-        (self.spark.createDataFrame([row], REGISTRY_SCHEMA)
-             .write.mode("append").partitionBy("feature_name", "model_name").parquet(self.path))
-        return model.version
-
-    def table(self) -> DataFrame:
-        return self.spark.read.schema(REGISTRY_SCHEMA).parquet(self.path)
-
-    def versions(self, model_name: str | None = None) -> DataFrame:
-        t = self.table().where(F.col("feature_name") == self.feature_name)
-        if model_name:
-            t = t.where(F.col("model_name") == model_name)
-        return t.select("feature_name", "model_name", "version", "registered_at",
-                        F.col("metrics")["accuracy"].alias("accuracy"))
-
-    def load_latest(self, model_names: list[str]) -> dict:
-        """Latest version of each named model, resolved in one aggregate; absent names are left out."""
-        from tabscore.functions.linear import LinearModel
-        t = self.table().where((F.col("feature_name") == self.feature_name)
-                               & F.col("model_name").isin(list(model_names)))
-        rows = latest_per_key(t, ["model_name"],
-                              ["version", "features", "coefficients", "intercept", "means", "scales"],
-                              ["registered_at", "version"]).collect()  # one row per requested model
-        return {r["model_name"]: LinearModel(tuple(r["features"]), tuple(r["coefficients"]), r["intercept"],
-                                             tuple(r["means"]), tuple(r["scales"]), r["model_name"], r["version"])
-                for r in rows}
-
-    def load(self, model_name: str, version: str = "latest"):
-        from tabscore.functions.linear import LinearModel
-        t = self.table().where((F.col("feature_name") == self.feature_name)
-                               & (F.col("model_name") == model_name))
-        if version == "latest":
-            t = latest_per_key(t, ["feature_name", "model_name"],
-                               ["version", "features", "coefficients", "intercept", "means", "scales"],
-                               ["registered_at", "version"])
-        else:
-            t = t.where(F.col("version") == version)
-        row = t.first()
-        if row is None:
-            raise KeyError(f"no model {self.feature_name}/{model_name}/{version}")
-        return LinearModel(tuple(row["features"]), tuple(row["coefficients"]), row["intercept"],
-                           tuple(row["means"]), tuple(row["scales"]), model_name, row["version"])
-
-
-def latest_versions(registry: DataFrame, group: Sequence[str], version: str,
-                    registered_at: str, extra: Sequence[str] = ()) -> DataFrame:
-    """Per group, the version with the newest ``registered_at`` (ties by version)."""
-    return latest_per_key(registry, group, [version, registered_at, *extra], [registered_at, version])
-
-
-def artifact_key(feature: str, model: str, version: str, name: str) -> str:
-    """``{feature}/{model}/{version}/{name}`` storage key."""
-    return f"{feature}/{model}/{version}/{name}"
-
-
-
-# ---------------------------------------------------------------- artifacts
-
-ARTIFACT_SCHEMA = ("feature_name string, model_name string, version string, name string, "
-                   "saved_at timestamp_ntz, payload binary")
-
-
-class ArtifactStore:
-    """Any picklable object under ``{feature}/{model}/{version}/{name}``, as table rows.
-
-    ``load`` may name another model and version (ensembles read their
-    members' artifacts); a key saved twice returns the later save.  Payloads
-    are meant for fitted objects of modest size, not data.
-    """
-
-    def __init__(self, spark: SparkSession, path: str, feature_name: str, model_name: str,
-                 version: str):
-        self.spark = spark
-        self.path = path
-        self.feature_name = feature_name
-        self.model_name = model_name
-        self.version = version
-
-    def resolve(self, name: str, model_name: str | None = None, version: str | None = None) -> str:
-        return artifact_key(self.feature_name, model_name or self.model_name, version or self.version, name)
-
-    def save(self, name: str, obj: Any, saved_at: _dt.datetime | None = None) -> str:
-        from pyspark import cloudpickle
-        ts = saved_at or _dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None)
-        row = (self.feature_name, self.model_name, self.version, name, ts, bytearray(cloudpickle.dumps(obj)))
-        (self.spark.createDataFrame([row], ARTIFACT_SCHEMA)
-             .write.mode("append").partitionBy("feature_name", "model_name").parquet(self.path))
-        return self.resolve(name)
-
-    def load(self, name: str, *, model_name: str | None = None, version: str | None = None) -> Any:
-        import pickle
-        t = (self.spark.read.schema(ARTIFACT_SCHEMA).parquet(self.path)
-             .where((F.col("feature_name") == self.feature_name)
-                    & (F.col("model_name") == (model_name or self.model_name))
-                    & (F.col("version") == (version or self.version)) & (F.col("name") == name)))
-        row = latest_per_key(t, ["name"], ["payload"], ["saved_at"]).first()
-        if row is None:
-            raise KeyError(self.resolve(name, model_name, version))
-        return pickle.loads(bytes(row["payload"]))
+def current_view(log: DataFrame) -> DataFrame:
+    """Params and metrics: last write wins per key; artifacts: every row."""
+    state = latest_rows(log.where(F.col("kind") != "artifact")).select("run_id", "kind", "key", "value")
+    return state.unionByName(log.where(F.col("kind") == "artifact").select("run_id", "kind", "key", "value"))

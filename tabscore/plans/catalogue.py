@@ -614,6 +614,41 @@ def q_registry_roundtrip(spark, sf_dir):
     return scoring.score(table(spark, sf_dir, "events").select(SCORED), store.load("events_a", "latest"))
 
 
+def q_registry_conflict(spark, sf_dir):
+    """For each event type two writers save version v1 at the same moment, with its mean and with its largest value."""
+    from concurrent.futures import ThreadPoolExecutor
+    store = runlog.ModelStore(spark, scratch_path(spark, "race"), "events")
+    kinds = table(spark, sf_dir, "events").groupBy("event_type").agg(F.avg("value"), F.max("value")).collect()
+
+    def save(kind, weight) -> int:
+        try:
+            store.save(LinearModel(("value",), (weight,), name=kind, version="v1"))
+            return 0
+        except ValueError:
+            return 1
+
+    with ThreadPoolExecutor(2) as pool:
+        conflicts = [(kind, sum(pool.map(save, [kind] * 2, weights))) for kind, *weights in kinds]
+    found = spark.createDataFrame(conflicts, "model_name string, conflicts bigint")
+    return store.versions().groupBy("model_name").agg(F.count("*").alias("rows")).join(found, "model_name")
+
+
+def q_runlog_compacted(spark, sf_dir):
+    """The state of a log that was compacted halfway, and once more after later commits."""
+    path = scratch_path(spark, "runlog-compacted")
+    log = runlog.RunLog(spark, path)
+    rows = table(spark, sf_dir, "events").select(
+        F.col("user_id").cast("string").alias("run_id"),
+        F.when(F.col("event_type") == "error", "artifact").otherwise("metric").alias("kind"),
+        F.col("event_type").alias("key"), F.col("event_id").cast("string").alias("value"),
+        F.col("event_id").alias("seq"), F.col("ts").cast("timestamp_ntz").alias("ts"))
+    for part in range(3):
+        rows.where(F.col("seq") % 3 == part).write.parquet(f"{path}/commit=part-{part}")
+        if part < 2:
+            log.compact()
+    return log.current()
+
+
 def q_score_models_job(spark, sf_dir):
     out = scratch_path(spark, "models-job")
     jobs.score_models_job(spark, model_store(spark, EVENTS_MODELS), STATUS_REQUEST, keep=["event_id"],
@@ -707,6 +742,8 @@ QUERIES: dict[str, Query] = {
     "csv_text_roundtrip": q_csv_text_roundtrip,
     "path_over_table": q_path_over_table,
     "runlog_roundtrip": q_runlog_roundtrip,
+    "runlog_compacted": q_runlog_compacted,
+    "registry_conflict": q_registry_conflict,
     "registry_roundtrip": q_registry_roundtrip,
     "score_models_job": q_score_models_job,
     "observed_rows": q_observed_rows,

@@ -89,14 +89,15 @@ def train_job(df: DataFrame, features: Sequence[str], label: str, key: str | Seq
         scores = metrics.metrics_dict(metrics.evaluate(test, model, label))
     finally:
         marked.unpersist()
-    if run_log is not None:
-        run_log.log_params({"model_type": "LogisticRegression", "max_iter": max_iter, "C": C,
-                            "test_size": test_fraction, "split_mode": split_mode})
-        run_log.log_metrics(scores)
     if store is not None:
         store.save(model, scores)
-        if run_log is not None:
-            run_log.log_artifact(f"{store.feature_name}/{name}/{version}/model", store.path)
+    if run_log is not None:
+        with run_log.together():    # one commit a run
+            run_log.log_params({"model_type": "LogisticRegression", "max_iter": max_iter, "C": C,
+                                "test_size": test_fraction, "split_mode": split_mode, "solver": solver})
+            run_log.log_metrics(scores)
+            if store is not None:
+                run_log.log_artifact(f"{store.feature_name}/{name}/{version}/model", store.path)
     return TrainResult(model, scores, params, {
         "train": params.n, "test": rows_in - n_unlabelled - n_invalid - params.n, "rows_in": rows_in,
         "rows_unlabelled": n_unlabelled, "rows_invalid": n_invalid})

@@ -465,6 +465,13 @@ def build() -> dict[str, str]:
             "CAST(event_id AS VARCHAR) AS value, row_number() OVER (PARTITION BY user_id, event_type "
             "ORDER BY ts DESC, event_id DESC) AS rn FROM events) "
             "SELECT run_id, kind, key, value FROM l WHERE kind = 'artifact' OR rn = 1"),
+        "runlog_compacted": (
+            "WITH l AS (SELECT CAST(user_id AS VARCHAR) AS run_id, "
+            "CASE WHEN event_type = 'error' THEN 'artifact' ELSE 'metric' END AS kind, event_type AS key, "
+            "CAST(event_id AS VARCHAR) AS value, row_number() OVER (PARTITION BY user_id, event_type "
+            "ORDER BY ts DESC, event_id DESC) AS rn FROM events) "
+            "SELECT run_id, kind, key, value FROM l WHERE kind = 'artifact' OR rn = 1"),
+        "registry_conflict": "SELECT event_type AS model_name, 1 AS \"rows\", 1 AS conflicts FROM events GROUP BY 1",
         "registry_roundtrip": _score_events(),
         "score_models_job": _score_many(),
         "observed_rows": "SELECT count(*) AS rows_written, count(*) AS rows_observed FROM events",

@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 
 from tabscore.functions.linear import LinearModel, margin, predicted_label
 from tabscore.operators.scoring import score
-from tabscore.session import scratch_path
+from tabscore.session import scratch_path, spark_context
 
 
 def score_stream(stream: DataFrame, model: LinearModel, **kwargs) -> DataFrame:
@@ -130,14 +130,22 @@ def run_available_now(df: DataFrame, path: str | None = None, fmt: str = "parque
     return path
 
 
+def _query_id(batch: DataFrame) -> str | None:
+    """The id of the stream that is running this batch (the same after a restart from its checkpoint)."""
+    sc = spark_context(batch.sparkSession)
+    return sc.getLocalProperty("sql.streaming.queryId") if sc is not None else None
+
+
 def idempotent_batch_sink(output_path: str, run_log=None, fmt: str = "parquet",
                           query_name: str = "stream") -> Callable[[DataFrame, int], None]:
     """A ``foreachBatch`` function writing batch N to ``output_path/batch_id=N``.
 
     A replayed batch (after a driver restart the last uncommitted batch runs
     again) overwrites its own folder instead of appending twice.  The row
-    count is observed during the write and, if a run log is given, logged as
-    ``rows:<query_name>:<batch_id>`` (last write wins there too).
+    count is observed during the write and, if a run log is given, committed
+    to it as ``rows:<query_name>:<batch_id>`` under the batch's own key
+    (query id and batch id), so that a replay replaces it as well: outputs
+    and log rows stay one to one however often the stream was killed.
     """
     from tabscore.operators.profile import observed
 
@@ -145,7 +153,8 @@ def idempotent_batch_sink(output_path: str, run_log=None, fmt: str = "parquet",
         counted, obs = observed(batch)
         counted.write.mode("overwrite").format(fmt).save(f"{output_path}/batch_id={batch_id}")
         if run_log is not None:
-            run_log.log_metrics({f"rows:{query_name}:{batch_id}": obs.get["rows"]})
+            with run_log.together(commit=f"{_query_id(batch) or query_name}-{batch_id}"):
+                run_log.log_metrics({f"rows:{query_name}:{batch_id}": obs.get["rows"]})
 
     return sink
 

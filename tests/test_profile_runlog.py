@@ -88,17 +88,17 @@ def test_registry_latest(spark, tmp_dir):
 
 
 def test_artifact_key():
-    assert runlog.artifact_key("f", "m", "v", "model.pkl") == "f/m/v/model.pkl"
+    assert runlog.ModelKey("f", "m", "v").artifact("model.pkl") == "f/m/v/model.pkl"
 
 
 def test_artifact_store_cross_model(spark, tmp_dir):
-    a = runlog.ArtifactStore(spark, f"{tmp_dir}/art", "feat", "m1", "v1")
-    b = runlog.ArtifactStore(spark, f"{tmp_dir}/art", "feat", "m2", "v7")
+    a = runlog.ArtifactStore(spark, f"{tmp_dir}/art", runlog.ModelKey("feat", "m1", "v1"))
+    b = runlog.ArtifactStore(spark, f"{tmp_dir}/art", runlog.ModelKey("feat", "m2", "v7"))
     assert a.save("scaler", {"mean": [1.0, 2.0]}, dt.datetime(2024, 1, 1)) == "feat/m1/v1/scaler"
     a.save("scaler", {"mean": [3.0]}, dt.datetime(2024, 1, 2))
     b.save("model", [1, 2, 3])
     assert a.load("scaler") == {"mean": [3.0]}
-    assert a.load("model", model_name="m2", version="v7") == [1, 2, 3]
+    assert a.load("model", model="m2", version="v7") == [1, 2, 3]
     with pytest.raises(KeyError, match="feat/m1/v1/missing"):
         a.load("missing")
 
@@ -174,3 +174,98 @@ def test_registry_save_is_idempotent(spark, tmp_dir):
     assert store.versions("m").count() == 1
     with pytest.raises(ValueError, match="exists with other parameters"):
         store.save(LinearModel(("x",), (2.0,), 0.5, name="m", version="v1"))
+
+
+def test_racing_writers_register_a_version_once(spark, tmp_dir):
+    """Every round two writers save one version with other parameters at the same time: one row, one error."""
+    import threading
+    from tabscore.functions.linear import LinearModel
+    store = runlog.ModelStore(spark, f"{tmp_dir}/race", "feat")
+    for n in range(4):
+        start, errors = threading.Barrier(3), []
+
+        def save(weight, version=f"v {n}/é"):
+            model = LinearModel(("x",), (weight,), 0.5, name="m", version=version)
+            start.wait()
+            try:
+                store.save(model)
+            except ValueError as exc:
+                errors.append(str(exc))
+
+        writers = [threading.Thread(target=save, args=(float(w),)) for w in range(3)]
+        [w.start() for w in writers], [w.join() for w in writers]
+        assert len(errors) == 2 and all("exists with other parameters" in e for e in errors)
+        assert store.load("m", f"v {n}/é").version == f"v {n}/é"
+    assert store.versions("m").count() == 4
+
+
+def test_publish_folder_once_and_never_into_another(spark, tmp_dir):
+    from tabscore.sources.publish import path_part, publish_folder
+    for i in range(3):
+        spark.range(i + 1).write.parquet(f"{tmp_dir}/_claim-{i}")
+    assert publish_folder(spark, f"{tmp_dir}/_claim-0", f"{tmp_dir}/out/v=1")
+    assert not publish_folder(spark, f"{tmp_dir}/_claim-1", f"{tmp_dir}/out/v=1")
+    # the rename itself finds the folder there (as in a race lost after the look)
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(tmp_dir).getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.rename(path(f"{tmp_dir}/_claim-2"), path(f"{tmp_dir}/out/v=1"))
+    assert spark.read.parquet(f"{tmp_dir}/out").count() == 1
+    with pytest.raises(ValueError):
+        path_part("")
+
+
+def test_compacted_log_reads_the_same(spark, tmp_dir):
+    log = runlog.RunLog(spark, f"{tmp_dir}/log with space", run_id="r%1")
+    other = runlog.RunLog(spark, f"{tmp_dir}/log with space", run_id="r2")
+    show = lambda: sorted(map(tuple, log.current().collect()))
+    log.log_params({"a": 1, "b": 2})
+    log.log_artifact("p", "x")
+    other.log_metrics({"m": 0.5})
+    before = show()
+    log.compact()
+    assert show() == before and log.rows().count() == 4
+    log.log_param("a", 3)
+    log.log_artifact("p", "x")
+    other.log_metrics({"m": 0.25, "n": 1.0})
+    after = show()
+    assert after != before and ("r%1", "param", "a", "3") in after and after.count(("r%1", "artifact", "p", "x")) == 2
+    log.compact()
+    assert show() == after and log.rows().count() == 6
+    # only what was committed after the newest snapshot is read again
+    log.log_param("c", 1)
+    assert sum("commit=" in f for f in log.rows().inputFiles()) <= len(log.table().inputFiles())
+    assert log.rows().where("key = 'm'").count() == 1
+
+
+def test_rows_logged_together_are_one_commit_and_a_key_replaces_them(spark, tmp_dir):
+    log = runlog.RunLog(spark, f"{tmp_dir}/log", run_id="r")
+    for value in (1, 2):
+        with log.together(commit="job-7"):
+            log.log_params({"a": value})
+            log.log_artifact("p", "x")
+    assert len(log.table().inputFiles()) == 1 and log.table().count() == 2
+    assert log.summary() == {"params": {"a": "2"}, "metrics": {}, "artifacts": [{"path": "p", "artifact": "x"}]}
+    with pytest.raises(KeyError):
+        with log.together():
+            log.log_params({"never": 1})
+            raise KeyError
+    assert log.table().count() == 2
+    with log.together():
+        with pytest.raises(RuntimeError):
+            log.together().__enter__()
+
+
+def test_latest_per_key_ranks_nulls_lowest_and_needs_no_sort_of_the_log(spark, capsys):
+    rows = [("a", None, 1, "x"), ("a", 5, None, "y"), ("a", 5, 2, "z"), (None, 1, 1, "n"), (None, None, 9, "m"), ("b", None, None, None)]
+    df = spark.createDataFrame(rows, "k string, t bigint, s bigint, v string")
+    got = {r.k: r.v for r in runlog.latest_per_key(df, ["k"], ["v"], ["t", "s"]).collect()}
+    assert got == {"a": "z", None: "n", "b": None}
+    spark.read.parquet(f"{SF0001}/events.parquet").groupBy("event_type").agg({"ts": "max"}).explain()
+    assert "SortAggregate" not in capsys.readouterr().out
+
+
+def test_framework_params_are_the_record_of_the_run(spark, tmp_dir):
+    log = runlog.RunLog(spark, f"{tmp_dir}/log", run_id="r")
+    log.log_run(runlog.RunRecord("local", "1.0", "training", commit_hash="abc"))
+    assert log.summary()["params"] == {"tabscore.profile": "local", "tabscore.version": "1.0",
+                                       "tabscore.pipeline_type": "training", "tabscore.commit_hash": "abc"}

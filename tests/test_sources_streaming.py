@@ -208,3 +208,34 @@ def test_orc_and_json_dispatch_roundtrip(spark, tmp_dir):
         back = files.read_file(spark, path, schema=df.schema)
         assert files.format_for_path(path) == ext
         assert sorted(back.collect()) == sorted(df.collect())
+
+
+def test_a_killed_and_replayed_stream_leaves_one_output_and_log_row_a_batch(spark, tmp_dir):
+    """The stream dies after a batch's output and log are written, before Spark notes the batch as done."""
+    from tabscore.operators.runlog import RunLog
+    from tabscore.streaming import scoring as streaming
+    for i in range(4):
+        spark.range(i * 10, i * 10 + 5 + i).coalesce(1).write.parquet(f"{tmp_dir}/in/part={i}")
+    log = RunLog(spark, f"{tmp_dir}/log", run_id="s")
+    sink = streaming.idempotent_batch_sink(f"{tmp_dir}/out", log)
+    died = []
+
+    def fragile(batch, batch_id):
+        sink(batch, batch_id)
+        if batch_id in (1, 3) and batch_id not in died:
+            died.append(batch_id)
+            raise RuntimeError("killed")
+
+    source = f"{tmp_dir}/in/part=*"
+    for attempt in range(3):
+        stream = spark.readStream.schema("id bigint").option("maxFilesPerTrigger", 1).parquet(source)
+        try:
+            streaming.run_available_now(stream, foreach_batch=fragile, checkpoint=f"{tmp_dir}/ckpt")
+        except Exception:
+            assert attempt < 2
+    assert died == [1, 3]
+    out = spark.read.parquet(f"{tmp_dir}/out")
+    counts = {r.batch_id: r["count"] for r in out.groupBy("batch_id").count().collect()}
+    rows = log.table().collect()
+    assert {int(r.key.rsplit(":", 1)[1]): int(r.value) for r in rows} == counts and len(rows) == len(counts)
+    assert out.count() == out.distinct().count() == 5 + 6 + 7 + 8
