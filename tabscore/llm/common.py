@@ -105,16 +105,48 @@ def without_rows(df: DataFrame, dropped: DataFrame, name: str = "located") -> Da
     return rows.join(side, at, "left_anti").select([col(c) for c in df.columns])
 
 
+def measured_bytes(df: DataFrame, row_bytes: int) -> tuple[int, int]:
+    """(rows, bytes) of ``df``: ``row_bytes`` a row for what every row takes, and its strings and arrays as they are."""
+    wide = F.lit(0).cast("long")
+    for f in df.schema.fields:
+        c = col(f.name)
+        if isinstance(f.dataType, (T.StringType, T.BinaryType)):
+            wide = wide + F.coalesce(F.octet_length(c).cast("long"), F.lit(0))
+        elif isinstance(f.dataType, T.ArrayType):
+            wide = wide + F.when(c.isNull(), 0).otherwise(F.size(c).cast("long") * 8)
+    n, n_bytes = df.agg(F.count("*"), F.coalesce(F.sum(wide), F.lit(0))).first()
+    return n, n_bytes + n * row_bytes
+
+
 def small(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> tuple[DataFrame, bool]:
     """``df`` hinted for broadcast when its measured size is below ``limit``; else as it is.
 
-    ``df`` should be a written table: it is counted here and read again by
+    ``df`` should be a written table: it is measured here and read again by
     the join.  Above the limit the join is Spark's shuffled one.
     """
-    fits = df.count() * row_bytes <= limit
+    fits = measured_bytes(df, row_bytes)[1] <= limit
     return (F.broadcast(df) if fits else df), fits
 
 
+#: Rows of one key from which it is joined apart from the others.
+HOT_ROWS = 4096
+
+
+def join_counted(rows: DataFrame, groups: DataFrame, key: str, size: str, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """``rows`` joined with ``groups`` (written; one row a key, ``size`` counting its rows), no key in one task.
+
+    Keys with more than ``hot_rows`` rows are few, at most one for so many
+    rows; they are joined where their rows are, by broadcast while they
+    measure below the bound.  The others are joined by shuffle.
+    """
+    hot = groups.where(F.col(size) > hot_rows)
+    n, n_bytes = measured_bytes(hot, 64)
+    if n == 0 or n_bytes > BROADCAST_BYTES:
+        return rows.join(groups, key)
+    cold = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(groups.where(F.col(size) <= hot_rows), key)
+    return rows.join(F.broadcast(hot), key).unionByName(cold)
+
+
 def drop_rows(docs: DataFrame, dropped: DataFrame, key: str, row_bytes: int = 16) -> DataFrame:
     """``docs`` without the rows whose ``key`` is in ``dropped`` (one column, named ``key``); null keys match null keys."""
     side, _ = small(dropped, row_bytes)
@@ -127,8 +159,9 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of ``edges`` (a, b: longs) as (node, root), root the smallest node.
 
     Alternating large-star and small-star steps: each is one minimum per node
-    and one join, both spread over the cluster, and each round is written to
-    the shared folder.  Only a count and a checksum reach the driver.
+    and one join, both spread over the cluster (the centre of a star is joined
+    where its edges are, not in one task), and each round is written to the
+    shared folder.  Only counts and a checksum reach the driver.
     """
     e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
     e = materialise(e, "cc-edges")
@@ -136,12 +169,13 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     for _ in range(max_rounds):
         # large star: every larger neighbour points to the smallest of the neighbourhood
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        big = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        big = big.where("u <> v").distinct()
+        low = materialise(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select(
+            "u", F.least("u", "m").alias("m"), "n"), "cc-low")
+        big = join_counted(both, low, "u", "n").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        big = materialise(big.where("u <> v").distinct(), "cc-big")
         # small star: a node and its smaller neighbours point to the smallest of them
-        low = big.groupBy("u").agg(F.min("v").alias("m"))
-        e2 = big.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(
+        low = materialise(big.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "cc-low")
+        e2 = join_counted(big, low, "u", "n").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(
             low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         e2 = materialise(e2, "cc-edges")
         now = e2.agg(F.count("*"), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(2**31)))).first()
@@ -166,5 +200,5 @@ def crc_mod(ident: Column, m: int) -> Column:
     return F.crc32(F.coalesce(ident.cast("string"), F.lit("")).cast("binary")) % F.lit(m)
 
 
-__all__ = ["BROADCAST_BYTES", "table", "materialise", "free_name", "quoted", "col", "located", "without_rows",
+__all__ = ["BROADCAST_BYTES", "table", "materialise", "free_name", "quoted", "col", "located", "without_rows", "join_counted",
            "small", "drop_rows", "components", "words", "crc_mod", "python_workers", "F", "T", "Window"]

@@ -22,7 +22,8 @@ rest is joins and counts over matching windows, and one sorted pass that holds
 the lines of one item near one place of a document.
 
 Canonical words: letters, digits and non-ASCII characters other than spaces
-and punctuation make words; case is folded for A-Z and the letters of two
+and punctuation make words; a character of a script that is written without
+spaces (Chinese, Japanese, Thai, Lao, Khmer, Burmese) is a word; case is folded for A-Z and the letters of two
 bytes (Latin, Greek, Cyrillic, Armenian); a word that begins with a digit, or
 is a number word, is a number; a unit word after a number is a unit; a
 capitalised word inside a sentence, or a common given name, is a name.  A line
@@ -31,12 +32,15 @@ either of two hashes, of the canonical words or of the plain folded words, so
 the case of a copy does not matter; the queries use both.
 
 Defined results: null and empty texts have no windows; an item shorter than a
-window is matched as a whole if it has ``SHORTEST`` words; windows with fewer
+window is matched as a whole, and one of fewer than ``SHORTEST`` words only by
+a document that has no other words; windows with fewer
 than ``LITERALS`` plain words match by all their words as they are, and count
 only where that raises an item's share; rows repeating an id are judged one by
 one; items are the benchmark's rows, each with its own number of windows, and
-equal texts of one id count once; an empty benchmark marks nothing.  Other columns, whatever their
-names, are not read.
+equal texts of one id count once; texts of any length are read whole; an empty
+benchmark marks nothing, and empty documents give an empty result.  Other
+columns, whatever their names, are not read by ``matches`` and are returned as
+they came by ``keep_clean``.
 """
 
 from __future__ import annotations
@@ -73,6 +77,10 @@ GIVEN_NAMES = ("james john robert michael william david richard joseph thomas ch
                "elizabeth barbara susan jessica sarah karen anna maria peter paul mark alice bob tom tim sam ben "
                "emma olivia sophia lucas maya jose juan carlos marie pierre hans").split()
 
+# Thai and Lao, Burmese, Khmer, kana, CJK ideographs (those of three bytes).
+SPACELESS = ((0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3040, 0x30FF), (0x31F0, 0x31FF), (0x3400, 0x4DBF),
+             (0x4E00, 0x9FFF), (0xF900, 0xFAFF))
+
 LITERAL, NUMBER, NAME, UNIT = 0, 1, 2, 3
 
 def _folded() -> np.ndarray:
@@ -170,6 +178,20 @@ def separators(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return apart, blank, stop
 
 
+def spaceless(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first byte, bytes) of every character of a script that has no spaces between words."""
+    three = np.flatnonzero((data[:-2] >= 0xE0) & (data[:-2] <= 0xEF)) if len(data) > 2 else np.zeros(0, dtype=np.int64)
+    code = ((data[three] & 0x0F).astype(np.int64) << 12) | ((data[three + 1] & 0x3F).astype(np.int64) << 6) | (
+        data[three + 2] & 0x3F)
+    which = np.zeros(len(three), dtype=bool)
+    for lo, hi in SPACELESS:
+        which |= (code >= lo) & (code <= hi)
+    three = three[which]
+    four = np.flatnonzero((data == 0xF0) & (np.append(data[1:], 0) >= 0xA0) & (np.append(data[1:], 0) <= 0xB3))    # U+20000 to U+33FFF
+    at = np.concatenate([three, four])
+    return at, np.concatenate([np.full(len(three), 3), np.full(len(four), 4)])
+
+
 def canonical(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(text number, word hash, type, type inside a sentence, next to the word before) of every word, in order.
 
@@ -187,8 +209,12 @@ def canonical(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
     word = _WORD[data] & ~apart
     inner = np.flatnonzero(_JOINER[data[1:-1]] & _DIGIT[data[:-2]] & _DIGIT[data[2:]]) + 1
     word[inner] = True
-    change = np.flatnonzero(np.diff(np.concatenate([[False], word, [False]]).astype(np.int8)))
-    starts, ends = change[::2], change[1::2]
+    cut = np.zeros(len(data) + 1, dtype=bool)     # a word ends here and another may start
+    alone, size = spaceless(data)
+    cut[alone] = cut[alone + size] = True
+    padded = np.concatenate([[False], word, [False]])
+    starts = np.flatnonzero(word & (~padded[:-2] | cut[:-1]))
+    ends = np.flatnonzero(word & (~padded[2:] | cut[1:])) + 1
     h = word_hashes(low, starts, ends)
     kind = np.zeros(len(h), dtype=np.int8)
     if len(h):
@@ -296,9 +322,10 @@ def window_rows(df: DataFrame, lengths: list[int], only: np.ndarray | None = Non
                 begin, end, value, kinds = collapsed(h, types, beside)
                 holder = owner[begin]
                 count = np.bincount(holder, minlength=len(texts))
-                jobs = [(length, None) for length in lengths]
+                # a text of an item's few words is that item; found inside a text they are nothing
+                jobs = [(length, None if length >= SHORTEST else count == length) for length in lengths]
                 if item_texts:
-                    jobs += [(length, count == length) for length in range(SHORTEST, min(lengths))]
+                    jobs += [(length, count == length) for length in range(1, min(lengths))]
                 for length, which in jobs:
                     first, hashes = window_hashes(holder, value, kinds, length)
                     if which is not None:
@@ -468,8 +495,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, ident: str = "doc_id", text:
     if hashes.count() * 8 <= limit:
         only = np.sort(hashes.toPandas()["hash"].to_numpy(dtype=np.int64).view(np.uint64))
     found = window_rows(rows_with_text(docs, ident, text, "decontaminate-docs"), sorted(lengths), only)
-    found = materialise(found.join(F.broadcast(items) if only is not None else items, "hash").where("plain = item_plain"),
-                        "benchmark-hits")
+    side, _ = small(items, 128, limit)
+    found = materialise(found.join(side, "hash").where("plain = item_plain"), "benchmark-hits")
 
     # the same canonical words, by word (the joined hash is no proof)
     same = F.forall(F.sequence(F.lit(0), F.size("kinds") - 1), lambda i: (

@@ -42,8 +42,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from tabscore.llm.common import (python_workers, F, T, col, components, is_file_scan, located, materialise, small,
-                                 without_rows, words)
+from tabscore.llm.common import (python_workers, F, T, col, components, is_file_scan, join_counted, located,
+                                 materialise, small, without_rows, words)
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -174,8 +174,8 @@ def split(rows: DataFrame, branches: int) -> DataFrame:
 
 def sized(paths: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
     """(final, to be split) buckets as (path, rep, size); buckets of one have no pairs and are left out."""
-    count = paths.groupBy("path").agg(F.count("*").alias("size")).where("size > 1")
-    all_ = materialise(paths.join(count, "path"), name)
+    count = materialise(paths.groupBy("path").agg(F.count("*").alias("size")).where("size > 1"), f"{name}-sizes")
+    all_ = materialise(join_counted(paths, count, "path", "size"), name)
     final = (F.col("size") <= BUCKET) | F.coalesce(2 * F.col("size") > F.col("parent"), F.lit(False))
     return all_.where(final).drop("parent"), all_.where(~final).drop("parent")
 

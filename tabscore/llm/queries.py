@@ -60,7 +60,7 @@ WITH d AS (
   FROM documents),
 k AS (
   SELECT source, lang, CASE WHEN labelled THEN 'words-v2' ELSE 'words-v1' END AS tokenizer,
-         len(list_filter(string_split_regex(t, CASE WHEN labelled THEN '[^A-Za-z0-9]+' ELSE '[ \t\r\n]+' END),
+         len(list_filter(string_split_regex(t, CASE WHEN labelled THEN '[^\p{L}\p{N}]+' ELSE '[ \t\r\n]+' END),
                          lambda x: x <> '')) AS n
   FROM d WHERE NOT poor)
 SELECT source, lang, tokenizer, count(*) AS docs, CAST(sum(n) AS BIGINT) AS tokens

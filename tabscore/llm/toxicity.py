@@ -134,6 +134,10 @@ def log_odds(t: Column, c: Column, nt: float, nc: float) -> tuple[Column, Column
     return odds, odds / F.sqrt(F.lit(1.0) / a + F.lit(1.0) / b)
 
 
+#: Bins of one unit of score in the clean words' distribution.
+SCORE_BINS = 256
+
+
 def decay_of(values: np.ndarray, weight: np.ndarray) -> float:
     """The positive root of E[exp(x * score)] = 1 under the clean words' score distribution."""
     p = weight / weight.sum()
@@ -201,11 +205,14 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", fold: Column |
         model.keys, model.values = known["word"].to_numpy(np.int64), known["score"].to_numpy(np.float64)
     else:
         model.table = kept.select("word", "score")
-    # equal counts have equal scores; words without significant odds are one value
-    like = kept.groupBy("t", "c").agg(F.min("score").alias("score"), F.count("*").alias("n")).toPandas()
-    t, c, score, n = (like[k].to_numpy(np.float64) for k in ("t", "c", "score", "n"))
-    weight = n * (c + PRIOR_SHARE * (t + c) * (score > 0))   # a toxic word is never impossible in clean text
-    model.decay = decay_of(np.append(score, -WORD_COST), np.append(weight, max(nc - (n * c).sum(), 0.0)))
+    # clean words by score, in bins of a fixed width; words without significant odds are one value
+    seen = F.col("c") + F.when(F.col("score") > 0, PRIOR_SHARE * (F.col("t") + F.col("c"))).otherwise(0.0)
+    like = kept.groupBy(F.floor(F.col("score") * SCORE_BINS).alias("b")).agg(
+        F.sum(seen * F.col("score")).alias("s"), F.sum(seen).alias("w"), F.sum("c").alias("c")).collect()
+    score = np.array([r["s"] / r["w"] for r in like if r["w"] > 0] + [-WORD_COST])
+    # a toxic word is never impossible in clean text
+    weight = np.array([r["w"] for r in like if r["w"] > 0] + [max(nc - sum(r["c"] for r in like), 0.0)])
+    model.decay = decay_of(score, weight)
     rows = marked(rows, model, "toxic-rows-marked")
     model.log_k = log_k(rows, model)
     hist = binned(rows, model)
