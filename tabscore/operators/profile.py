@@ -1,10 +1,12 @@
 """Column profiles: describe, value counts, head, observed row counts.
 
 ``describe`` gives pandas' statistics (count, mean, sample std, min,
-25/50/75% with linear interpolation, max) in long form.  With ``exact=True``
-the quantiles come from rank selection (bounded aggregates, no sort, no
-per-value maps in one task); ``exact=False`` uses one ``percentile_approx``
-aggregate, a fixed-size sketch per task.
+25/50/75% with linear interpolation, max) in long form.  One aggregate gives
+the moments and a KLL sketch of each column, of fixed size whatever the
+number of rows, merged like a sum.  With ``exact=False`` the quantiles are
+the sketch's.  With ``exact=True`` the sketch only says where they are: a
+second pass counts the values before, in and after these brackets and so has
+the exact ranks (no sort, no per-value maps in one task).
 """
 
 from __future__ import annotations
@@ -35,17 +37,31 @@ def _moments(df: DataFrame, columns: Sequence[str]):
     return aggs
 
 
+#: Size of the sketches, and the rank error (as a share of the rows) that is allowed for: the published bound of
+#: this size is below 0.0015, so a quantile outside its bracket is rare, and then only costs a further pass.
+SKETCH_K, RANK_ERROR = 4096, 0.004
+
+
+def _sketched(df: DataFrame, columns: Sequence[str], ranks: Sequence[float]) -> DataFrame:
+    """The moments of each column, and ``q<i>``: its values near the given ranks (shares of the rows)."""
+    aggs = _moments(df, columns)
+    for i, c in enumerate(columns):
+        v = F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double"))
+        aggs.append(F.kll_sketch_agg_double(v, F.lit(SKETCH_K)).alias(f"k{i}"))
+    wide = df.agg(*aggs)
+    at = F.array(*[F.lit(float(r)) for r in ranks])
+    for i in range(len(columns)):
+        wide = wide.withColumn(f"q{i}", F.when(F.col(f"n{i}") > 0, F.kll_sketch_get_quantile_double(F.col(f"k{i}"), at)))
+    return wide.drop(*[f"k{i}" for i in range(len(columns))])
+
+
 def describe(df: DataFrame, columns: Sequence[str] | None = None, exact: bool = True,
-             digits: int | None = 6, accuracy: int = 10000) -> DataFrame:
+             digits: int | None = 6) -> DataFrame:
     """Long form: column_name, statistic, value (double)."""
     columns = list(columns) if columns is not None else numeric_columns(df)
     spark = df.sparkSession
     if not exact:
-        aggs = _moments(df, columns)
-        for i, c in enumerate(columns):
-            v = F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double"))
-            aggs.append(F.percentile_approx(v, list(QUANTILES), accuracy).alias(f"q{i}"))
-        wide = df.agg(*aggs)
+        wide = _sketched(df, columns, QUANTILES)
         rows = []
         for i, c in enumerate(columns):
             vals = [F.col(f"n{i}").cast("double"), F.col(f"m{i}"), F.col(f"s{i}"), F.col(f"lo{i}"),
@@ -56,9 +72,12 @@ def describe(df: DataFrame, columns: Sequence[str] | None = None, exact: bool =
                                      v.alias("value")))
         return wide.select(F.inline(F.array(*rows)))
 
-    row = df.agg(*_moments(df, columns)).first()
+    near = [min(max(q + e, 0.0), 1.0) for q in QUANTILES for e in (-RANK_ERROR, RANK_ERROR)]
+    row = _sketched(df, columns, near).first()
     stats = {c: (row[f"n{i}"], row[f"lo{i}"], row[f"hi{i}"]) for i, c in enumerate(columns)}
-    qv = exact_quantiles(df, columns, QUANTILES, stats)
+    brackets = {(c, q): (row[f"q{i}"][2 * j], row[f"q{i}"][2 * j + 1])
+                for i, c in enumerate(columns) if row[f"n{i}"] for j, q in enumerate(QUANTILES)}
+    qv = exact_quantiles(df, columns, QUANTILES, stats, brackets)
     out = []
     for i, c in enumerate(columns):
         vals = [float(row[f"n{i}"]), row[f"m{i}"], row[f"s{i}"], row[f"lo{i}"],

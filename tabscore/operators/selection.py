@@ -124,6 +124,12 @@ def select_ranks_detail(df: DataFrame, targets: Sequence[tuple[str, Rank]],
     stats = stats or column_stats(df, columns)
     bins = bins or default_bins(max((s[0] or 0) for s in stats.values()) or None)
     state = [_Target(column, rank, stats[column][1], stats[column][2]) for column, rank in targets]
+    return _narrowed(df, state, columns, stats, bins)
+
+
+def _narrowed(df: DataFrame, state: list[_Target], columns: Sequence[str],
+              stats: dict[str, tuple[int | None, float, float]], bins: int) -> list[_Target]:
+    """Rounds of histograms over the open ranges until every target has its value."""
     full = frozenset((c, stats[c][1], stats[c][2]) for c in columns)
 
     def resolve(t: _Target, n: int) -> None:
@@ -174,6 +180,53 @@ def select_ranks_detail(df: DataFrame, targets: Sequence[tuple[str, Rank]],
     raise RuntimeError("rank selection did not converge")
 
 
+def select_in_brackets(df: DataFrame, wanted: dict[str, list[tuple[int, float, float]]],
+                       stats: dict[str, tuple[int, float, float]], bins: int = MIN_BINS) -> dict[tuple[str, int], float]:
+    """Values at ranks that are expected within given brackets ``(rank, lo, hi)`` of a column, by one pass.
+
+    The pass counts, per column, the values before, between and after the
+    brackets and in ``bins`` bins of each, so that a rank is known exactly:
+    the bin that holds it gives its value, or (where one bin holds several
+    values) the open range of a further round.  A rank outside its bracket is
+    searched over the whole range.
+    """
+    triples, spans = [], {}
+    for pid, (column, items) in enumerate(sorted(wanted.items())):
+        merged: list[list[float]] = []
+        for lo, hi in sorted({(lo, hi) for _, lo, hi in items}):
+            if merged and lo <= merged[-1][1]:
+                merged[-1][1] = max(merged[-1][1], hi)
+            else:
+                merged.append([lo, hi])
+        spans[pid] = column
+        v = F.col(column).cast("double")
+        code = F    # F.when first, then the column's own
+        for k, (lo, hi) in enumerate(merged):
+            raw = F.floor((v - F.lit(lo)) / F.lit(hi - lo) * F.lit(float(bins))) if 0 < hi - lo < math.inf else F.lit(0)
+            place = (2 * k + 1) * bins + F.least(raw, F.lit(bins - 1)).cast("int")
+            code = code.when(v < F.lit(lo), F.lit(2 * k * bins)).when(v <= F.lit(hi), place)
+        triples += [F.when(_valid(F.col(column)), F.lit(pid)), code.otherwise(F.lit(2 * len(merged) * bins)), v]
+    found = (df.select(F.stack(F.lit(len(spans)), *triples).alias("p", "b", "v")).where(F.col("p").isNotNull())
+             .groupBy("p", "b").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+             .toPandas().sort_values(["p", "b"]))
+    out, open_ = {}, []
+    for pid, column in spans.items():
+        rows = found[found["p"] == pid]
+        counts = rows["n"].to_numpy(dtype=np.int64)
+        cum = np.cumsum(counts)
+        for rank, _, _ in wanted[column]:
+            i = int(np.searchsorted(cum, rank, side="left"))
+            lo, hi, n, below = float(rows["lo"].iloc[i]), float(rows["hi"].iloc[i]), int(counts[i]), int(cum[i] - counts[i])
+            if lo == hi or n == 2:
+                out[column, rank] = lo if lo == hi or rank - below == 1 else hi
+            else:
+                open_.append(_Target(column, rank, lo, hi, below))
+    columns = sorted({t.column for t in open_})
+    for t in _narrowed(df, open_, columns, {c: stats[c] for c in columns}, bins):
+        out[t.column, t.rank] = t.value
+    return out
+
+
 def select_ranks_with_counts(df, targets, stats=None, bins=None) -> list[tuple[float, int]]:
     """(value, number of values strictly below it) per target."""
     return [(t.value, t.below) for t in select_ranks_detail(df, targets, stats, bins)]
@@ -192,8 +245,14 @@ def quantile_ranks(n: int, q: float) -> tuple[int, int, float]:
 
 
 def exact_quantiles(df: DataFrame, columns: Sequence[str], qs: Sequence[float],
-                    stats: dict[str, tuple[int, float, float]] | None = None) -> dict[tuple[str, float], float | None]:
-    """Linearly interpolated quantiles (the rule of pandas and ``quantile_cont``)."""
+                    stats: dict[str, tuple[int, float, float]] | None = None,
+                    brackets: dict[tuple[str, float], tuple[float, float]] | None = None
+                    ) -> dict[tuple[str, float], float | None]:
+    """Linearly interpolated quantiles (the rule of pandas and ``quantile_cont``).
+
+    ``brackets`` (by column and quantile, from a sketch) say where to look
+    first; they change the number of passes, never a value.
+    """
     stats = stats or column_stats(df, columns)
     wanted: list[tuple[str, int]] = []
     plan = {}
@@ -207,6 +266,14 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], qs: Sequence[float],
             plan[(c, q)] = (r_lo, r_hi, w)
             wanted += [(c, r_lo), (c, r_hi)]
     uniq = sorted(set(wanted))
+    if brackets is not None and uniq:
+        near: dict[str, list[tuple[int, float, float]]] = {}
+        for (c, q), p in plan.items():
+            if p is not None:
+                near.setdefault(c, []).extend((r, *brackets[c, q]) for r in dict.fromkeys(p[:2]))
+        values = select_in_brackets(df, near, stats)
+        return {key: None if p is None else values[key[0], p[0]] + (values[key[0], p[1]] - values[key[0], p[0]]) * p[2]
+                for key, p in plan.items()}
     values = dict(zip(uniq, select_ranks(df, uniq, {c: stats[c] for c in columns if stats[c][0]}))) if uniq else {}
     out = {}
     for (c, q), p in plan.items():

@@ -445,7 +445,7 @@ HOLED_LABEL = "CASE WHEN doc_id % 10 = 7 THEN CAST('NaN' AS DOUBLE) WHEN doc_id
 # returned items carry a NaN, open ones no risk at all
 HOLED_RISK = "CASE WHEN l_returnflag = 'R' THEN CAST('NaN' AS DOUBLE) WHEN l_returnflag = 'N' THEN NULL ELSE l_discount END"
 BIG_ID = "CASE WHEN event_type = 'error' THEN NULL ELSE event_id + 9007199254740993 END"
-HOLED_TEXT = "CASE WHEN doc_id % 5 = 0 THEN NULL WHEN doc_id % 5 = 1 THEN '' ELSE text END"
+HOLED_NOTE = "CASE WHEN doc_id % 5 = 0 THEN NULL WHEN doc_id % 5 = 1 THEN '' ELSE text END"
 METRICS = ("accuracy", "precision", "recall", "f1")
 
 
@@ -574,8 +574,8 @@ def q_approx_split_sides(spark, sf_dir):
 
 
 def q_csv_text_roundtrip(spark, sf_dir):
-    """Texts with line breaks, quotes, empty and missing values."""
-    df = table(spark, sf_dir, "documents").select("doc_id", F.expr(HOLED_TEXT).alias("text"), "lang")
+    """Every whole text with its line breaks and quotes, and a second column with empty and missing ones."""
+    df = table(spark, sf_dir, "documents").select("doc_id", "text", F.expr(HOLED_NOTE).alias("note"), "lang")
     path = scratch_path(spark, "texts") + ".csv"
     files.write_file(df, path, null_value="\\N")
     return files.read_file(spark, path, schema=df.schema, null_value="\\N")
@@ -614,6 +614,47 @@ def q_registry_roundtrip(spark, sf_dir):
     return scoring.score(table(spark, sf_dir, "events").select(SCORED), store.load("events_a", "latest"))
 
 
+def q_describe_sketch(spark, sf_dir):
+    """The sketch's profile: its moments, and whether each quantile's rank is within the error that is allowed."""
+    df = table(spark, sf_dir, "lineitem").select(*LINEITEM_FEATURES)
+    rows = profile.describe(df, exact=False, digits=None).collect()
+    share = {"25%": 0.25, "50%": 0.5, "75%": 0.75}
+    asked = [(r.column_name, r.statistic, r.value) for r in rows if r.statistic in share]
+    ranks = df.agg(*[F.array(F.count_if(F.col(c) < v), F.count_if(F.col(c) <= v), F.count(c)) for c, _, v in asked]).first()
+    near = {}
+    for (c, s, _), (below, upto, n) in zip(asked, ranks):
+        near[c, s] = below / n <= share[s] + profile.RANK_ERROR and upto / n >= share[s] - profile.RANK_ERROR
+    out = [(r.column_name, r.statistic, None if r.statistic in share else r.value, near.get((r.column_name, r.statistic)))
+           for r in rows]
+    return spark.createDataFrame(out, "column_name string, statistic string, value double, within boolean").withColumn(
+        "value", F.round("value", 6))
+
+
+def q_random_sample_law(spark, sf_dir):
+    """What holds for every Bernoulli sample: rows of the table, none twice, about the share asked for, all at 1."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey")
+    sample = sampling.random_sample(orders, SAMPLE_FRACTION, SAMPLE_SEED)
+    counted = sample.groupBy("o_orderkey").agg(F.count("*").alias("times"))
+    both = orders.withColumn("rows", F.lit(1)).join(counted, "o_orderkey", "full_outer")
+    law = both.agg(F.count("rows").alias("n"), F.coalesce(F.sum("times"), F.lit(0)).alias("drawn"),
+                   F.count_if(F.col("rows").isNull()).alias("strangers"), F.count_if(F.col("times") > 1).alias("repeats"))
+    spread = 6 * F.sqrt(F.col("n") * SAMPLE_FRACTION * (1 - SAMPLE_FRACTION))
+    whole = sampling.random_sample(orders, 1.0, SAMPLE_SEED).count()
+    return law.select("n", "strangers", "repeats", (F.abs(F.col("drawn") - F.col("n") * SAMPLE_FRACTION) <= spread).alias("near_share"),
+                      F.lit(whole).cast("bigint").alias("drawn_of_all"))
+
+
+def q_daily_score_replay(spark, sf_dir):
+    """A table scored day by day, then one day scored anew, twice, with another model: the other days stay."""
+    src, out = (scratch_path(spark, n) + ".parquet" for n in ("daily-in", "daily-out"))
+    table(spark, sf_dir, "events").select(*SCORED, F.to_date("ts").alias("day")).write.partitionBy("day").parquet(src)
+    jobs.score_job(spark, EVENTS_MODEL, input_path=src, output_path=out, partition_by=["day"])
+    first = spark.read.parquet(src).agg(F.min("day")).first()[0]
+    for _ in range(2):
+        jobs.score_day_job(spark, EVENTS_MODEL_B, date_column="day", day=first, input_path=src, output_path=out)
+    return spark.read.parquet(out).select(*SCORED, F.col("day").cast("string").alias("day"), "prediction")
+
+
 def q_registry_conflict(spark, sf_dir):
     """For each event type two writers save version v1 at the same moment, with its mean and with its largest value."""
     from concurrent.futures import ThreadPoolExecutor
@@ -743,6 +784,9 @@ QUERIES: dict[str, Query] = {
     "path_over_table": q_path_over_table,
     "runlog_roundtrip": q_runlog_roundtrip,
     "runlog_compacted": q_runlog_compacted,
+    "describe_sketch": q_describe_sketch,
+    "random_sample_law": q_random_sample_law,
+    "daily_score_replay": q_daily_score_replay,
     "registry_conflict": q_registry_conflict,
     "registry_roundtrip": q_registry_roundtrip,
     "score_models_job": q_score_models_job,

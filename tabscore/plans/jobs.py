@@ -20,6 +20,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tabscore.functions.dates import on_day
 from tabscore.functions.hashing import hash32
 from tabscore.functions.linear import LinearModel
 from tabscore.functions.naming import free_name
@@ -143,6 +144,23 @@ def score_job(spark: SparkSession, model: LinearModel, *, input_path: str | None
     return scored, _write_counted(scored, output_path, output_table, mode, partition_by, run_log)
 
 
+def score_day_job(spark: SparkSession, model: LinearModel, *, date_column: str, day, input_path: str | None = None,
+                  table: str | None = None, output_path: str | None = None, output_table: str | None = None,
+                  on_invalid: str = "error", threshold: float = 0.5,
+                  run_log: RunLog | None = None) -> tuple[DataFrame, int | None]:
+    """Score one day of a table and replace that day in the output; running it again leaves the same rows.
+
+    The day is a typed predicate on ``date_column``, so of an input that is
+    partitioned by it only that partition is read.  The output is partitioned
+    by the same column and only the partitions written are replaced.
+    """
+    df = load_input(spark, input_path, table)
+    df = df.where(on_day(df, date_column, day))
+    InputSchema.from_feature_columns(model.features).validate(df)
+    scored = score(df, model, threshold=threshold, on_invalid=on_invalid, validate=False)
+    return scored, _write_counted(scored, output_path, output_table, "replace_partitions", [date_column], run_log)
+
+
 def _write_counted(scored: DataFrame, path: str | None, table: str | None, mode: str,
                    partition_by: list[str] | None, run_log: RunLog | None) -> int | None:
     """Write a scored table; its row count, observed during the write (None when there is nowhere to write)."""

@@ -457,7 +457,7 @@ def build() -> dict[str, str]:
         "approx_split_sides": (
             f"SELECT event_id, value, CASE WHEN {sql_hash32(['event_id'], c.SPLIT_SEED)} "
             f"< {c.SPLIT_FRACTION} * 4294967296.0 THEN 'test' ELSE 'train' END AS side FROM events"),
-        "csv_text_roundtrip": f"SELECT doc_id, {c.HOLED_TEXT} AS text, lang FROM documents",
+        "csv_text_roundtrip": f"SELECT doc_id, text, {c.HOLED_NOTE} AS note, lang FROM documents",
         "path_over_table": "SELECT c_custkey, c_name, FALSE AS table_made FROM customer",
         "runlog_roundtrip": (
             "WITH l AS (SELECT CAST(user_id AS VARCHAR) AS run_id, "
@@ -471,6 +471,16 @@ def build() -> dict[str, str]:
             "CAST(event_id AS VARCHAR) AS value, row_number() OVER (PARTITION BY user_id, event_type "
             "ORDER BY ts DESC, event_id DESC) AS rn FROM events) "
             "SELECT run_id, kind, key, value FROM l WHERE kind = 'artifact' OR rn = 1"),
+        "random_sample_law": ("SELECT count(*) AS n, 0 AS strangers, 0 AS repeats, TRUE AS near_share, "
+                              "count(*) AS drawn_of_all FROM orders"),
+        "daily_score_replay": (
+            f"SELECT event_id, user_id, value, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, "
+            f"CASE WHEN CAST(ts AS DATE) = (SELECT min(CAST(ts AS DATE)) FROM events) THEN {pred(c.EVENTS_MODEL_B)} "
+            f"ELSE {pred(m)} END AS prediction FROM events"),
+        "describe_sketch": ("SELECT column_name, statistic, CASE WHEN statistic NOT IN "
+                            "('25%', '50%', '75%') THEN value END AS value, "
+                            "CASE WHEN statistic IN ('25%', '50%', '75%') THEN TRUE END AS within "
+                            f"FROM ({_describe()}) t"),
         "registry_conflict": "SELECT event_type AS model_name, 1 AS \"rows\", 1 AS conflicts FROM events GROUP BY 1",
         "registry_roundtrip": _score_events(),
         "score_models_job": _score_many(),

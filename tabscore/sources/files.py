@@ -7,7 +7,8 @@ inference costs an extra pass over the files.  A path beats a table name; with
 neither the call fails.
 
 Writing mirrors reading and honours the extension on every path.  The mode
-is explicit (default overwrite).  With no destination the DataFrame is
+is explicit (default overwrite; ``replace_partitions`` replaces only the
+partitions that are written, so that a day's job can run again).  With no destination the DataFrame is
 returned untouched: no hidden ``show()``.
 """
 
@@ -15,9 +16,11 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, DataFrameWriter, SparkSession
 from pyspark.sql.types import StructType
 
+from tabscore.sources.csv_blocks import read_csv_blocks
+
 FORMATS = {".parquet": "parquet", ".pq": "parquet", ".csv": "csv", ".json": "json",
            ".jsonl": "json", ".orc": "orc"}
 
@@ -34,8 +37,10 @@ def read_file(spark: SparkSession, path: str, schema: StructType | str | None =
     """Read by extension (Parquet without one, as ``write_file`` writes).
 
     CSV: quotes inside a field are doubled, and quoted fields may hold line
-    breaks.  That makes a file one task's work; ``multi_line=False`` splits
-    files known to have none, and Parquet is the way to large data.
+    breaks; with a schema such files are read by many tasks
+    (:mod:`tabscore.sources.csv_blocks`).  ``multi_line=False`` reads files
+    known to have no such breaks line by line.  Without a schema types are
+    inferred, which takes a file as one task's work: give large files one.
     ``null_value`` is the text of a missing cell; with the default an empty
     string is one too (give the writer and the reader another to tell them
     apart).
@@ -45,8 +50,10 @@ def read_file(spark: SparkSession, path: str, schema: StructType | str | None =
     if schema is not None:
         reader = reader.schema(schema)
     if fmt == "csv":
-        reader = reader.options(header=header, multiLine=multi_line, quote='"', escape='"', nullValue=null_value,
-                                emptyValue="")
+        options = {"quote": '"', "escape": '"', "nullValue": null_value, "emptyValue": ""}
+        if schema is not None and multi_line:
+            return read_csv_blocks(spark, path, schema, header, options)
+        reader = reader.options(header=header, multiLine=multi_line, **options)
         if schema is None:
             reader = reader.option("inferSchema", True)
         return reader.csv(path)
@@ -68,13 +75,21 @@ def load_input(spark: SparkSession, path: str | None = None, table: str | None =
     raise ValueError("an input path or a table name is required")
 
 
+def _writer(df: DataFrame, mode: str, partition_by: list[str] | None) -> DataFrameWriter:
+    """``replace_partitions`` overwrites the partitions that ``df`` has rows of and leaves the others."""
+    if mode == "replace_partitions":
+        if not partition_by:
+            raise ValueError("replace_partitions needs partition_by")
+        return df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partition_by)
+    writer = df.write.mode(mode)
+    return writer.partitionBy(*partition_by) if partition_by else writer
+
+
 def write_file(df: DataFrame, path: str, mode: str = "overwrite", fmt: str | None = None,
                partition_by: list[str] | None = None, header: bool = True, null_value: str = "") -> None:
     """Write by extension (Parquet without one); CSV as :func:`read_file` reads it."""
     fmt = fmt or format_for_path(path)
-    writer = df.write.mode(mode)
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
+    writer = _writer(df, mode, partition_by)
     if fmt == "csv":
         writer = writer.options(header=header, quote='"', escape='"', nullValue=null_value, emptyValue='""',
                                 ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
@@ -83,10 +98,12 @@ def write_file(df: DataFrame, path: str, mode: str = "overwrite", fmt: str | Non
 
 def write_table(df: DataFrame, table: str, mode: str = "overwrite",
                 partition_by: list[str] | None = None) -> None:
-    writer = df.write.mode(mode)
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.saveAsTable(table)
+    if mode == "replace_partitions" and df.sparkSession.catalog.tableExists(table):
+        # into the table as it is, by its own partition columns and column order
+        columns = df.sparkSession.table(table).columns
+        df.select(*columns).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").insertInto(table)
+        return
+    _writer(df, mode, partition_by).saveAsTable(table)
 
 
 def write_bucketed(df: DataFrame, table: str, key: str | list[str], buckets: int,

@@ -269,3 +269,39 @@ def test_framework_params_are_the_record_of_the_run(spark, tmp_dir):
     log.log_run(runlog.RunRecord("local", "1.0", "training", commit_hash="abc"))
     assert log.summary()["params"] == {"tabscore.profile": "local", "tabscore.version": "1.0",
                                        "tabscore.pipeline_type": "training", "tabscore.commit_hash": "abc"}
+
+
+def test_describe_is_exact_whatever_the_brackets(spark, monkeypatch):
+    """Ties, infinities, few rows, brackets that miss: the sketch only says where to look."""
+    import numpy as np
+    rng = np.random.default_rng(4)
+    columns = {"a": rng.normal(size=3000), "b": np.where(rng.random(3000) < 0.4, 7.0, rng.integers(0, 9, 3000)),
+               "c": np.repeat(5.0, 3000), "d": np.exp(rng.normal(size=3000) * 30)}
+    df = spark.createDataFrame([tuple(map(float, r)) for r in zip(*columns.values())], ", ".join(f"{c} double" for c in columns)).repartition(5)
+
+    def quantiles(**kw):
+        return {(r.column_name, r.statistic): r.value for r in profile.describe(df, digits=None, **kw).collect()}
+
+    want = {(c, s): np.quantile(v, q) for c, v in columns.items() for s, q in (("25%", 0.25), ("50%", 0.5), ("75%", 0.75))}
+    for error in (profile.RANK_ERROR, 0.0, 0.3, 1.0):
+        monkeypatch.setattr(profile, "RANK_ERROR", error)
+        got = quantiles()
+        assert all(got[k] == pytest.approx(v, rel=1e-12) for k, v in want.items())
+    # brackets that hold none of the ranks
+    wrong = {(c, q): (1e300, 2e300) for c in columns for q in (0.25, 0.5, 0.75)}
+    from tabscore.operators.selection import exact_quantiles
+    got = exact_quantiles(df, list(columns), [0.25, 0.5, 0.75], None, wrong)
+    assert all(got[c, {"25%": 0.25, "50%": 0.5, "75%": 0.75}[s]] == pytest.approx(v, rel=1e-12) for (c, s), v in want.items())
+    small = spark.createDataFrame([(float("inf"),), (float("-inf"),), (1.0,), (None,), (float("nan"),)], "x double")
+    got = {r.statistic: r.value for r in profile.describe(small, digits=None).collect()}
+    assert got["50%"] == 1.0 and got["count"] == 3.0
+
+
+def test_exact_describe_takes_two_passes(spark, monkeypatch):
+    from tabscore.operators import selection
+    calls = []
+    real = selection._histogram
+    monkeypatch.setattr(selection, "_histogram", lambda *a, **k: calls.append(1) or real(*a, **k))
+    li = spark.read.parquet(f"{SF0001}/lineitem.parquet")
+    profile.describe(li, ["l_extendedprice", "l_quantity", "l_tax"]).collect()
+    assert not calls    # the sketch pass and the pass over its brackets were enough

@@ -239,3 +239,100 @@ def test_a_killed_and_replayed_stream_leaves_one_output_and_log_row_a_batch(spar
     rows = log.table().collect()
     assert {int(r.key.rsplit(":", 1)[1]): int(r.value) for r in rows} == counts and len(rows) == len(counts)
     assert out.count() == out.distinct().count() == 5 + 6 + 7 + 8
+
+
+CSV_OPTIONS = {"header": True, "quote": '"', "escape": '"', "nullValue": "\\N", "emptyValue": ""}
+
+
+@pytest.fixture()
+def small_blocks(spark):
+    """Files are cut into blocks of a few bytes."""
+    keys = {"spark.sql.files.maxPartitionBytes": "37", "spark.sql.files.openCostInBytes": "0", "spark.sql.files.minPartitionNum": "1"}
+    old = {k: spark.conf.get(k, None) for k in keys}
+    for k, v in keys.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in old.items():
+        spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def texts_with_everything(n=120):
+    import random
+    rnd = random.Random(12)
+    part = ["a", "word", " ", "\n", "\n\n", '"', '""', ",", "é文", "\\", "\\N", "'", "x" * 50, "\t"]
+    return [None if i % 17 == 0 else "".join(rnd.choice(part) for _ in range(rnd.choice([0, 1, 3, 8, 30]))) for i in range(n)]
+
+
+def test_csv_blocks_read_what_the_whole_file_reader_reads(spark, tmp_dir, small_blocks):
+    """Random texts; records over many blocks; blocks that begin inside a field, that hold no record start at all."""
+    from tabscore.sources.csv_blocks import read_csv_blocks
+    rows = [(i, t, float(i) / 3) for i, t in enumerate(texts_with_everything())]
+    df = spark.createDataFrame(rows, "id int, text string, x double").coalesce(2)
+    path = f"{tmp_dir}/t.csv"
+    files.write_file(df, path, null_value="\\N")
+    assert spark.read.option("lineSep", "\n").text(path).rdd.getNumPartitions() > 40
+    got = read_csv_blocks(spark, path, df.schema, True, {k: v for k, v in CSV_OPTIONS.items() if k != "header"})
+    want = spark.read.options(multiLine=True, **CSV_OPTIONS).schema(df.schema).csv(path)
+    assert got.columns == want.columns
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) == sorted(map(str, df.collect()))
+
+
+@pytest.mark.parametrize("content,rows", [
+    ("", []), ("a,b\n", []), ("a,b\n1,x", [("1", "x")]), ("a,b\r\n1,x\r\n2,y\r\n", [("1", "x"), ("2", "y")]),
+    ('a,b\n1,"p\r\nq"\r\n\n2,z\n', [("1", "p\r\nq"), ("2", "z")]), ('"a\nb","c"\n1,x\n', [("1", "x")]),
+    ('a,b\n1,"' + "long line\n" * 40 + '"\n2,y\n', [("1", "long line\n" * 40), ("2", "y")]),
+    ('a,b\n"1\n","2""\n"\n"3"",\n","4"\n', [("1\n", '2"\n'), ('3",\n', "4")])])
+def test_csv_blocks_edges(spark, tmp_dir, small_blocks, content, rows):
+    from tabscore.sources.csv_blocks import read_csv_blocks
+    with open(f"{tmp_dir}/e.csv", "w", newline="") as f:
+        f.write(content)
+    got = read_csv_blocks(spark, f"{tmp_dir}/e.csv", "a string, b string", True, {"quote": '"', "escape": '"'})
+    assert sorted(map(tuple, got.collect())) == sorted(rows)
+    headless = read_csv_blocks(spark, f"{tmp_dir}/e.csv", "a string, b string", False, {"quote": '"', "escape": '"'})
+    assert headless.count() == len(rows) + bool(content)
+
+
+def test_one_large_csv_file_is_read_by_many_tasks(spark, tmp_dir):
+    df = spark.range(60_000).select("id", F.concat(F.lit("line one\nline \"two\" of "), F.col("id").cast("string"), F.lit("\n" + "pad " * 20)).alias("t"))
+    path = f"{tmp_dir}/large.csv"
+    files.write_file(df.coalesce(1), path)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(512 * 1024))
+    try:
+        back = files.read_file(spark, path, schema=df.schema)
+        assert spark.read.text(path).rdd.getNumPartitions() >= 8
+        assert back.exceptAll(df).count() == 0 and back.count() == 60_000
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_one_day_is_replaced_and_one_partition_read(spark, tmp_dir, capsys):
+    from tabscore.plans import jobs
+    rows = [(i, float(i), float(i % 3), f"2024-01-0{i % 3 + 1}") for i in range(30)]
+    df = spark.createDataFrame(rows, "id int, value double, user_id double, d string").withColumn("d", F.to_date("d"))
+    files.write_file(df, f"{tmp_dir}/in.parquet", partition_by=["d"])
+    jobs.score_job(spark, MODEL, input_path=f"{tmp_dir}/in.parquet", output_path=f"{tmp_dir}/out.parquet", partition_by=["d"])
+    before = {r.id: r.prediction for r in spark.read.parquet(f"{tmp_dir}/out.parquet").collect()}
+    flipped = LinearModel(MODEL.features, tuple(-c for c in MODEL.coefficients), -MODEL.intercept, MODEL.means, MODEL.scales)
+    for _ in range(2):
+        scored, n = jobs.score_day_job(spark, flipped, date_column="d", day="2024-01-02", input_path=f"{tmp_dir}/in.parquet",
+                                       output_path=f"{tmp_dir}/out.parquet")
+        assert n == 10
+    capsys.readouterr()
+    scored.explain()
+    plan = capsys.readouterr().out
+    filters = plan.split("PartitionFilters: [", 1)[1].split("PushedFilters", 1)[0]
+    assert "2024-01-02" in filters
+    after = {r.id: r.prediction for r in spark.read.parquet(f"{tmp_dir}/out.parquet").collect()}
+    assert len(after) == 30 and all(after[i] == (1.0 - before[i] if i % 3 == 1 else before[i]) for i in after)
+    with pytest.raises(ValueError):
+        files.write_file(df, f"{tmp_dir}/x.parquet", mode="replace_partitions")
+
+
+def test_a_table_replaces_the_partitions_that_are_written(spark):
+    import uuid
+    name = f"tabscore_daily_{uuid.uuid4().hex[:8]}"
+    df = spark.createDataFrame([(1, "a", "x"), (2, "b", "x"), (3, "c", "y")], "n int, v string, day string")
+    files.write_table(df, name, mode="replace_partitions", partition_by=["day"])
+    files.write_table(df.where("n = 1").select("day", "v", (F.col("n") + 10).alias("n")), name, mode="replace_partitions", partition_by=["day"])
+    assert sorted(map(tuple, spark.table(name).select("n", "v", "day").collect())) == [(3, "c", "y"), (11, "a", "x")]
