@@ -155,6 +155,11 @@ def drop_rows(docs: DataFrame, dropped: DataFrame, key: str, row_bytes: int = 16
     return docs.join(side, col(key).eqNullSafe(F.col(mark)), "left_anti")
 
 
+def _with_low(rows: DataFrame, low: DataFrame, large: bool) -> DataFrame:
+    """``rows`` with the smallest neighbour ``m`` of their ``u``; with ``large`` stars, their centres apart."""
+    return join_counted(rows, low, "u", "n", HOT_ROWS) if large else rows.join(low, "u")
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of ``edges`` (a, b: longs) as (node, root), root the smallest node.
 
@@ -169,13 +174,19 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     for _ in range(max_rounds):
         # large star: every larger neighbour points to the smallest of the neighbourhood
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = materialise(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select(
-            "u", F.least("u", "m").alias("m"), "n"), "cc-low")
-        big = join_counted(both, low, "u", "n").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        big = materialise(big.where("u <> v").distinct(), "cc-big")
+        low = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        large = (low.agg(F.max("n")).first()[0] or 0) > HOT_ROWS
+        if large:
+            low = materialise(low, "cc-low")
+        big = _with_low(both, low, large).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
+        big = big.where("u <> v").distinct()
+        if large:
+            big = materialise(big, "cc-big")
         # small star: a node and its smaller neighbours point to the smallest of them
-        low = materialise(big.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "cc-low")
-        e2 = join_counted(big, low, "u", "n").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(
+        low = big.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        if large:
+            low = materialise(low, "cc-low")
+        e2 = _with_low(big, low, large).select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(
             low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         e2 = materialise(e2, "cc-edges")
         now = e2.agg(F.count("*"), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(2**31)))).first()

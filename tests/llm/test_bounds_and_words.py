@@ -20,8 +20,9 @@ def test_join_counted_equals_a_join(spark, monkeypatch):
     assert sorted(map(tuple, join_counted(rows, groups, "k", "n", 0).collect())) == want
 
 
-def test_components_of_large_stars(spark, monkeypatch):
-    monkeypatch.setattr(join_counted, "__defaults__", (5,))
+@pytest.mark.parametrize("hot", [5, 4096])
+def test_components_of_large_stars(spark, monkeypatch, hot):
+    monkeypatch.setattr(common, "HOT_ROWS", hot)
     edges = [(1, i) for i in range(2, 60)] + [(i, i + 1) for i in range(100, 150)] + [(59, 200), (300, 301)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 1 for i in [*range(1, 60), 200]}, **{i: 100 for i in range(100, 151)}, 300: 300, 301: 300}
