@@ -13,19 +13,20 @@ from tabscore.functions.linear import LinearModel
 from tabscore.operators.metrics import binary_metrics, evaluate, evaluate_many
 from tabscore.operators.multi import model_status, score_ensemble, score_many
 from tabscore.operators.profile import describe, describe_wide, head, value_counts
-from tabscore.operators.pyscore import BasePredictor, score_with_predictor, score_with_udf
+from tabscore.operators.pyscore import ArtifactPredictor, BasePredictor, score_with_predictor, score_with_udf
 from tabscore.operators.runlog import ArtifactStore, ModelKey, ModelStore, RunLog, RunRecord, generate_version
 from tabscore.operators.sampling import keyed_sample, random_sample, split
 from tabscore.operators.scaling import fit_scaler, transform
-from tabscore.operators.scoring import score, score_proba, score_vector, shape_output
+from tabscore.operators.scoring import OutputLayout, score, score_proba, score_vector, shape_output
 from tabscore.operators.validate import InputSchema, SchemaValidationError, quarantine
-from tabscore.plans.jobs import score_job, score_models_job, train_from_config, train_job
+from tabscore.plans.jobs import (score_day_job, score_job, score_models_job, train_from_config,
+                                 train_from_extract, train_job)
 from tabscore.session import build_session, cluster_conf
 from tabscore.sources.files import load_input, read_file, write_output
 
 __all__ = [
     "LinearModel", "binary_metrics", "evaluate", "evaluate_many", "model_status", "score_ensemble",
-    "score_many", "describe", "describe_wide", "head", "value_counts", "BasePredictor",
+    "score_many", "describe", "describe_wide", "head", "value_counts", "ArtifactPredictor", "BasePredictor", "OutputLayout",
     "score_with_predictor", "score_with_udf", "ArtifactStore", "ModelKey", "ModelStore", "RunLog", "RunRecord", "generate_version",
     "keyed_sample", "random_sample", "split", "fit_scaler", "transform", "score", "score_proba",
     "score_vector", "shape_output", "InputSchema", "SchemaValidationError", "quarantine", "score_job",

@@ -49,6 +49,28 @@ class BasePredictor(ABC):
         """Return predictions for ``batch`` (frame with the output column, or array)."""
 
 
+class ArtifactPredictor(BasePredictor):
+    """A predictor whose state is saved artifacts, its own or other models': ``state[alias]`` in ``predict``.
+
+    ``wanted`` gives, by alias, an artifact's name or (name, other key parts
+    such as ``{"model": "base", "version": "v3"}``).  The driver reads them
+    once and broadcasts them; workers open no store.
+    """
+
+    def __init__(self, store, **wanted):
+        self.store, self.wanted = store, wanted
+
+    def load(self) -> dict[str, Any]:
+        out = {}
+        for alias, artifact in self.wanted.items():
+            name, other = (artifact, {}) if isinstance(artifact, str) else artifact
+            out[alias] = self.store.load(name, **other)
+        return out
+
+    def __getstate__(self):
+        return {**self.__dict__, "store": None}    # what workers get has no session
+
+
 class LinearPredictor(BasePredictor):
     """NumPy twin of the native expression (same operations, same order)."""
 
@@ -107,6 +129,8 @@ def _state_of(spark, predictor: "BasePredictor", max_broadcast_bytes: int):
     loaded = predictor.load()
     sc = spark_context(spark)
     if len(cloudpickle.dumps(loaded)) > max_broadcast_bytes:
+        if isinstance(predictor, ArtifactPredictor):
+            raise ValueError("the artifacts are larger than max_broadcast_bytes, and only the driver can read them")
         return predictor.load
     if sc is None:
         return lambda: loaded    # Spark Connect has no broadcast variables: the (bounded) state rides in the closure

@@ -8,6 +8,7 @@ accepts a streaming DataFrame unchanged.
 from __future__ import annotations
 
 import datetime as _dt
+from dataclasses import asdict, dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -139,3 +140,19 @@ def shape_output(df: DataFrame, model: LinearModel, *, id_col: str,
     if model_col:
         out.append(F.lit(f"{model.name}:{model.version}").alias(model_col))
     return df.select(*out)
+
+
+@dataclass(frozen=True)
+class OutputLayout:
+    """The columns of a scored output, as a job or the command line names them (see :func:`shape_output`)."""
+
+    id_col: str
+    label_col: str = "predicted_label"
+    probability_col: str | None = "probability"
+    timestamp_col: str | None = "scored_at"
+    run_timestamp: _dt.datetime | None = None
+    model_col: str | None = None
+    digits: int | None = 6
+
+    def of(self, df: DataFrame, model: LinearModel, threshold: float = 0.5, on_invalid: str = "error") -> DataFrame:
+        return shape_output(df, model, threshold=threshold, on_invalid=on_invalid, **asdict(self))

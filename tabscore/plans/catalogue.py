@@ -55,6 +55,7 @@ SPLIT_SEED = 42
 SAMPLE_FRACTION = 0.25
 SAMPLE_SEED = 7
 TRAIN_WINDOW = ("1996-01-01", "1997-12-31")
+ORDER_DONE = "CASE WHEN o_orderstatus = 'F' THEN 1 WHEN o_orderstatus = 'P' THEN NULL ELSE 0 END"
 SCORING_DAY = "1997-03-15"
 STATUS_REQUEST = ("events_a", "events_b", "no_such_model", "events_c")
 REQUEST_SIZE = 8
@@ -424,6 +425,38 @@ def q_train_job(spark, sf_dir):
         "n", *[F.round(F.lit(float(m[k])), 6).alias(k) for k in ("accuracy", "precision", "recall", "f1")])
 
 
+def _train_metrics(data: DataFrame, res) -> DataFrame:
+    return data.agg(F.count(F.lit(1)).alias("n")).select(
+        "n", *[F.round(F.lit(float(res.metrics[k])), 6).alias(k) for k in METRICS])
+
+
+def q_train_from_config(spark, sf_dir):
+    """Settings from a nested config, defaults for what it leaves out."""
+    data = labelled_documents(spark, sf_dir)
+    return _train_metrics(data, jobs.train_from_config(data, ["n_chars"], "quality", "doc_id",
+                                                       {"test_size": 0.2, "hyperparameters": {"max_iter": 200, "tol": 1e-10}}))
+
+
+def q_train_own_function(spark, sf_dir):
+    """A user's training function: the cut is the mean length of the good documents, a third of it."""
+    def fit(train, features, label):
+        mean = train.where(F.col(label) == 1).agg(F.avg(features[0])).first()[0]
+        return LinearModel(tuple(features), (1.0,), -mean / 3)
+
+    data = labelled_documents(spark, sf_dir)
+    return _train_metrics(data, jobs.train_job(data, ["n_chars"], "quality", "doc_id", fit=fit, version="own"))
+
+
+def q_train_from_extract(spark, sf_dir):
+    """Straight from the SQL extract of a table: orders of a window, finished ones against the others."""
+    table(spark, sf_dir, "orders").withColumn("done", F.expr(ORDER_DONE)).createOrReplaceTempView("tabscore_orders_done")
+    res = jobs.train_from_extract(spark, "tabscore_orders_done", ["o_totalprice"], "done", "o_orderdate", *TRAIN_WINDOW,
+                                  "o_orderkey", config={"hyperparameters": {"max_iter": 200, "tol": 1e-10}})
+    rows = res.sizes
+    return spark.createDataFrame([(rows["rows_in"], rows["train"], rows["test"])], "n bigint, train bigint, test bigint").select(
+        "*", *[F.round(F.lit(float(res.metrics[k])), 6).alias(k) for k in METRICS])
+
+
 def q_train_and_score(spark, sf_dir):
     # fit on the labelled documents, then score every document with the fitted model
     res = jobs.train_job(labelled_documents(spark, sf_dir), ["n_chars"], "quality", "doc_id",
@@ -764,6 +797,9 @@ QUERIES: dict[str, Query] = {
     "train_wide_mllib": q_train_wide_mllib,
     "train_job": q_train_job,
     "train_and_score": q_train_and_score,
+    "train_from_config": q_train_from_config,
+    "train_own_function": q_train_own_function,
+    "train_from_extract": q_train_from_extract,
     "score_python_invalid": q_score_python_invalid,
     "score_udf_invalid": q_score_udf_invalid,
     "score_many_invalid": q_score_many_invalid,

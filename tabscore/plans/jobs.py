@@ -13,7 +13,7 @@ a second pass.  Several models: one pass, long-form output, per-model status.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
@@ -25,19 +25,24 @@ from tabscore.functions.hashing import hash32
 from tabscore.functions.linear import LinearModel
 from tabscore.functions.naming import free_name
 from tabscore.operators import logistic, metrics, profile, sampling, scaling
-from tabscore.operators.runlog import ModelStore, RunLog, generate_version
-from tabscore.operators.scoring import score
+from tabscore.operators.pyscore import BasePredictor, score_with_predictor
+from tabscore.operators.runlog import ArtifactStore, ModelStore, RunLog, generate_version
+from tabscore.operators.scoring import OutputLayout, score
 from tabscore.operators.validate import ON_INVALID, InputSchema, invalid_row
 from tabscore.sources.files import load_input, write_output
+from tabscore.sources.sql_extract import training_extract
+
+#: A user's training function: (training rows, features, label) -> a linear model or a predictor.
+Fit = Callable[[DataFrame, Sequence[str], str], "LinearModel | BasePredictor"]
 
 
 @dataclass
 class TrainResult:
     """Fitted model (scaler folded in), held-out metrics, scaler and row counts."""
 
-    model: LinearModel
+    model: LinearModel | BasePredictor
     metrics: dict[str, float]
-    scaler: scaling.ScalerParams
+    scaler: scaling.ScalerParams | None = None
     sizes: dict[str, int] = field(default_factory=dict)
 
 
@@ -46,7 +51,8 @@ def train_job(df: DataFrame, features: Sequence[str], label: str, key: str | Seq
               C: float = 1.0, max_iter: int = 1000, tol: float = 1e-6,
               name: str = "model", version: str | None = None,
               run_log: RunLog | None = None, store: ModelStore | None = None,
-              hash_algorithm: str = "md5", on_invalid: str = "error", solver: str = "newton") -> TrainResult:
+              hash_algorithm: str = "md5", on_invalid: str = "error", solver: str = "newton",
+              fit: Fit | None = None, artifacts: ArtifactStore | None = None) -> TrainResult:
     """Split, scale, fit, evaluate on the held-out rows, log and register.
 
     Rows without a label (NULL or NaN) cannot be trained on; rows with a NULL
@@ -54,6 +60,12 @@ def train_job(df: DataFrame, features: Sequence[str], label: str, key: str | Seq
     the split, so neither side loses rows unseen.  ``sizes`` counts all of
     them: rows_in, rows_unlabelled, rows_invalid, train, test.
 
+    ``fit`` is the user's own training function in place of scaler and
+    logistic fit: it gets the training side as a DataFrame, the features and
+    the label, and returns a :class:`LinearModel` or a predictor.  Either is
+    evaluated on the held-out side like ours; a predictor is saved in
+    ``artifacts`` under the name of the model.
+
     The projected input (key, features, label) is persisted for the job: the
     split's selection rounds, the scaler fit, the fit and the evaluation all
     read it, and an input that is itself a join would otherwise be
@@ -81,6 +93,11 @@ def train_job(df: DataFrame, features: Sequence[str], label: str, key: str | Seq
             raise ValueError(f"{n_invalid} labelled rows hold a NULL or NaN feature (on_invalid='skip' leaves them out)")
         data = marked.where("NOT _unlabelled AND NOT _invalid").drop("_unlabelled", "_invalid")
         train, test = sampling.split(data, test_fraction, keys, seed, split_mode, hash_algorithm, hashed)
+        if fit is not None:
+            model, params, n_train = fit(train.drop(hashed), list(features), label), None, train.count()
+            scores = metrics.metrics_dict(_evaluated(test.drop(hashed), model, label))
+            return _kept(model, scores, None, name, version, n_train, rows_in, n_unlabelled, n_invalid, run_log, store, artifacts,
+                         {"model_type": type(model).__name__, "test_size": test_fraction, "split_mode": split_mode})
         params = scaling.fit_scaler(train, features)
         fitted = logistic.fit_logistic(scaling.transform(train, params), features, label,
                                        C=C, max_iter=max_iter, tol=tol, solver=solver, name=name, version=version,
@@ -90,17 +107,34 @@ def train_job(df: DataFrame, features: Sequence[str], label: str, key: str | Seq
         scores = metrics.metrics_dict(metrics.evaluate(test, model, label))
     finally:
         marked.unpersist()
-    if store is not None:
-        store.save(model, scores)
+    return _kept(model, scores, params, name, version, params.n, rows_in, n_unlabelled, n_invalid, run_log, store, artifacts,
+                 {"model_type": "LogisticRegression", "max_iter": max_iter, "C": C, "test_size": test_fraction,
+                  "split_mode": split_mode, "solver": solver})
+
+
+def _evaluated(test: DataFrame, model: LinearModel | BasePredictor, label: str) -> DataFrame:
+    if isinstance(model, LinearModel):
+        return metrics.evaluate(test, model, label)
+    return metrics.binary_metrics(score_with_predictor(test, model), label, "prediction")
+
+
+def _kept(model, scores, scaler, name, version, n_train, rows_in, n_unlabelled, n_invalid, run_log, store, artifacts,
+          logged: dict) -> TrainResult:
+    """Register the model, log the run in one commit, count the rows."""
+    where = None
+    if isinstance(model, LinearModel) and store is not None:
+        store.save(model.renamed(name, version), scores)
+        where = (f"{store.feature_name}/{name}/{version}/model", store.path)
+    elif not isinstance(model, LinearModel) and artifacts is not None:
+        where = (artifacts.save(name, model), artifacts.path)
     if run_log is not None:
-        with run_log.together():    # one commit a run
-            run_log.log_params({"model_type": "LogisticRegression", "max_iter": max_iter, "C": C,
-                                "test_size": test_fraction, "split_mode": split_mode, "solver": solver})
+        with run_log.together():
+            run_log.log_params(logged)
             run_log.log_metrics(scores)
-            if store is not None:
-                run_log.log_artifact(f"{store.feature_name}/{name}/{version}/model", store.path)
-    return TrainResult(model, scores, params, {
-        "train": params.n, "test": rows_in - n_unlabelled - n_invalid - params.n, "rows_in": rows_in,
+            if where is not None:
+                run_log.log_artifact(*where)
+    return TrainResult(model, scores, scaler, {
+        "train": n_train, "test": rows_in - n_unlabelled - n_invalid - n_train, "rows_in": rows_in,
         "rows_unlabelled": n_unlabelled, "rows_invalid": n_invalid})
 
 
@@ -127,20 +161,34 @@ def train_from_config(df: DataFrame, features: Sequence[str], label: str, key, c
     return train_job(df, features, label, key, **settings)
 
 
+def train_from_extract(spark: SparkSession, table: str, features: Sequence[str], target_column: str, date_column: str,
+                       start_date, end_date, key: str | Sequence[str], *, sample_fraction: float = 1.0, sample_seed: str | None = None,
+                       config: dict | None = None, **kwargs) -> TrainResult:
+    """Train on the SQL extract of a table: a date window of labelled rows, sampled by the split's key."""
+    keys = [key] if isinstance(key, str) else list(key)
+    data = training_extract(spark, table, list(dict.fromkeys([*features, *keys])), target_column, date_column, start_date, end_date,
+                            sample_fraction, keys, sample_seed)
+    return train_from_config(data, features, "target", keys, config, **kwargs)
+
+
 def score_job(spark: SparkSession, model: LinearModel, *, input_path: str | None = None,
               table: str | None = None, output_path: str | None = None,
               output_table: str | None = None, schema: InputSchema | None = None,
               on_invalid: str = "error", threshold: float = 0.5, mode: str = "overwrite",
-              partition_by: list[str] | None = None,
+              partition_by: list[str] | None = None, layout: OutputLayout | None = None,
               run_log: RunLog | None = None) -> tuple[DataFrame, int | None]:
     """Returns the scored DataFrame and, when written, its row count.
 
     ``partition_by`` (for example a date column) lays the output out so that
-    readers prune partitions.
+    readers prune partitions.  Without a ``layout`` the output is the input
+    columns and ``prediction``; with one it is the columns it names.
     """
     df = load_input(spark, input_path, table)
     (schema or InputSchema.from_feature_columns(model.features)).validate(df)
-    scored = score(df, model, threshold=threshold, on_invalid=on_invalid, validate=False)
+    if layout is not None:
+        scored = layout.of(df, model, threshold, on_invalid)
+    else:
+        scored = score(df, model, threshold=threshold, on_invalid=on_invalid, validate=False)
     return scored, _write_counted(scored, output_path, output_table, mode, partition_by, run_log)
 
 
@@ -185,8 +233,6 @@ def predictor_score_job(spark: SparkSession, predictor, *, input_path: str | Non
     Input columns come through unchanged and ``on_invalid`` holds whether the
     predictor names its ``features`` or gets whole rows.
     """
-    from tabscore.operators.pyscore import score_with_predictor
-
     df = load_input(spark, input_path, table)
     scored = score_with_predictor(df, predictor, columns=columns, on_invalid=on_invalid)
     return scored, _write_counted(scored, output_path, output_table, mode, partition_by, run_log)

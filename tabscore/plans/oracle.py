@@ -270,6 +270,13 @@ SELECT {counts},
 FROM c"""
 
 
+def _train_own_function() -> str:
+    scored = "scored AS (SELECT y, CAST(x - (SELECT avg(x) FROM train WHERE y = 1) / 3 > 0 AS DOUBLE) AS p FROM test)"
+    sql = _train_job()
+    start = sql.index("scored AS (")
+    return sql[:start] + scored + sql[sql.index(",\nc AS ("):]
+
+
 def _train_and_score() -> str:
     margin = "(((CAST(d.n_chars AS DOUBLE) - m) / sd) * w + b)"
     return _train_job_ctes() + f"""
@@ -425,6 +432,12 @@ def build() -> dict[str, str]:
         "train_wide_lbfgs": _train_wide(5),
         "train_wide_mllib": _train_wide(3),
         "train_job": _train_job(),
+        "train_from_config": _train_job(),
+        "train_own_function": _train_own_function(),
+        "train_from_extract": _train_job(
+            f"SELECT o_orderkey AS doc_id, o_totalprice AS n_chars, {c.ORDER_DONE} AS quality FROM orders WHERE CAST(o_orderdate AS DATE) "
+            f"BETWEEN DATE '{c.TRAIN_WINDOW[0]}' AND DATE '{c.TRAIN_WINDOW[1]}'",
+            "(SELECT count(*) FROM src) AS n, (SELECT count(*) FROM train) AS train, (SELECT count(*) FROM test) AS test"),
         "train_and_score": _train_and_score(),
         "score_python_invalid": _score_events("", inv, null_invalid=True),
         "score_udf_invalid": _score_events(f"WHERE {VALID}", inv),
