@@ -28,3 +28,26 @@ def test_every_oracle_names_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert set(oracles) <= set(queries)
     assert set(queries) - set(oracles) == {"random_sample"}
+
+
+def test_core_queries_survive_without_the_text_part(tmp_dir):
+    """The folder gone, left empty, or one of its imports missing: the other queries are all there."""
+    import shutil
+    copy = os.path.join(tmp_dir, "repo")
+    shutil.copytree(ROOT, copy, ignore=shutil.ignore_patterns(".git", "tests", "llm", "__pycache__"))
+    code = "import __spark_entry__ as e; q = e.queries(); o = e.oracle_sql(); print(len(q), len(o), [k for k in q if k.startswith('op')])"
+
+    def run(before=""):
+        return subprocess.run([sys.executable, "-c", before + code], cwd=copy, capture_output=True, text=True, timeout=300,
+                              env=dict(os.environ, PYTHONPATH=copy)).stdout.strip()
+
+    want = f"{len(catalogue.QUERIES)} {len(oracle.ORACLE)} []"
+    assert run() == want
+    os.makedirs(os.path.join(copy, "tabscore", "llm", "__pycache__"))
+    assert run() == want
+    if os.path.isdir(os.path.join(ROOT, "tabscore", "llm")):
+        shutil.rmtree(os.path.join(copy, "tabscore", "llm"))
+        shutil.copytree(os.path.join(ROOT, "tabscore", "llm"), os.path.join(copy, "tabscore", "llm"))
+        assert run("import sys; sys.modules['xxhash'] = None\n") == want
+        os.remove(os.path.join(copy, "corpus_pipeline.py"))
+        assert "op1_" in run() and "pipeline" not in run()
