@@ -43,7 +43,7 @@ from tabscore.llm.common import python_workers, F, T, col, free_name
 #: The broadcast vocabulary must stay below this.
 VOCABULARY_BYTES = 16 * 1024 * 1024
 #: Distinct pieces and pairs a worker remembers before it starts afresh (speed only, results do not depend on it).
-REMEMBERED = 100_000
+REMEMBERED = 1 << 19
 
 # Letters and numbers of Unicode versions after the one the
 # tokenizers library knows (16); it sees them as neither.
@@ -210,31 +210,60 @@ class Vocabulary:
                 return True
 
     def piece(self, data: bytes) -> list[int]:
-        """Token ids of one piece of bytes."""
-        text, n = data.decode("latin-1"), len(data)
-        matches, compatible, length = self.automaton.iter_long, self.compatible, self.length
-        longest = [-1] * n          # the longest token from a position, looked up when first needed
+        """Token ids of one piece of bytes.
+
+        One walk of the automaton gives the longest token from each end to
+        the next.  Where all neighbours are compatible that is the answer;
+        else the search goes back from the first that are not.
+        """
+        text, known = data.decode("latin-1"), self.pair_ok.get
+        greedy = [token for _, token in self.automaton.iter_long(text)]
+        last, k = greedy[0], 1
+        for token in greedy[1:]:
+            fits = known(last << 32 | token)
+            if fits is None:
+                fits = self.compatible(last, token)
+            if not fits:
+                return self._backtracked(text, greedy, k)
+            last = token
+            k += 1
+        return greedy
+
+    def _backtracked(self, text: str, greedy: list[int], k: int) -> list[int]:
+        """The exact tokens of a piece whose longest tokens fit up to the ``k``-th, which does not."""
+        n = len(text)
+        matches, known, length, shorter = self.automaton.iter_long, self.pair_ok.get, self.length, self.shorter
+        longest: dict[int, int] = {}          # the longest token from a position, looked up when first needed
+        at = 0
+        for i, token in enumerate(greedy):
+            if i == k:
+                pos = at
+            longest[at] = token
+            at += length[token]
         dead = bytearray(n + 1)
-        out: list[int] = []
-        pos, token = 0, -1
+        out, token = greedy[:k], shorter[greedy[k]]
         while pos < n:
-            if token == -1:
-                token = longest[pos]
+            if token == -1:    # the place is new
+                token = longest.get(pos, -1)
                 if token < 0:
                     token = longest[pos] = next(matches(text, pos))[1]
             while token >= 0:
                 end = pos + length[token]
-                if not dead[end] and (not out or compatible(out[-1], token)):
-                    out.append(token)
-                    pos, token = end, -1
-                    break
-                token = self.shorter[token]
+                if not dead[end]:
+                    fits = known(out[-1] << 32 | token) if out else True
+                    if fits is None:
+                        fits = self.compatible(out[-1], token)
+                    if fits:
+                        out.append(token)
+                        pos, token = end, -1
+                        break
+                token = shorter[token]
             else:
                 # dead end: no token fits here after this prefix
                 dead[pos] = 1
                 token = out.pop()
                 pos -= length[token]
-                token = self.shorter[token]
+                token = shorter[token]
         return out
 
     def plain(self, text: str) -> bytes:
