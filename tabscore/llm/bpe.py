@@ -2,8 +2,9 @@
 
 Encoding a piece of text (a run the pre-tokenizer pattern yields):
 
-* an Aho-Corasick automaton over the vocabulary gives the longest token
-  starting at a position, looked up when the position is first reached;
+* one walk of an Aho-Corasick automaton over the vocabulary gives the longest
+  token from each end to the next; other positions are looked up when the
+  search first reaches them;
 * the encoder takes the longest token, and accepts it after its left
   neighbour only if the pair is compatible: merging the neighbours' bytes by
   rank would leave the boundary between them alone;
@@ -22,7 +23,9 @@ a re-run of its tasks only.
 
 Defined results: a null or empty text has no tokens and decodes to the empty
 text; a special token's string in a text becomes that token, as the
-tokenizers library does by default; repeated rows and ids are separate rows.
+tokenizers library does by default; repeated rows and ids are separate rows;
+texts of any length are encoded whole; an empty table gives an empty result;
+new columns get names that are free, the others come back as they were.
 """
 
 from __future__ import annotations

@@ -30,8 +30,10 @@ Defined results: null, empty and wordless texts have no shingles and link to
 nothing; rows repeating an id or a text are separate documents of one class;
 a class id is the smallest id of the linked documents, null ids counting as
 the largest; ``links`` counts the other documents, copies included, whose
-similarity is at least the threshold.  Columns beyond id and text, whatever
-their names, are not read.
+similarity is at least the threshold; texts of any length are compared whole;
+an empty table gives an empty result.  Columns beyond id and text, whatever
+their names, are not read by ``join`` and are returned as they came by
+``keep_one``.
 """
 
 from __future__ import annotations

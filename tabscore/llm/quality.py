@@ -17,7 +17,9 @@ matrices of (features + 1)^2 numbers and a fixed histogram.
 Defined results: null and empty texts get the statistics of an empty text and
 a score like any other; several labels of one document are averaged; null
 labels and labels without a document are ignored; with no label to learn from
-nothing can be rejected, so every score is 1.0.
+nothing can be rejected, so every score is 1.0; texts of any length are read
+whole; an empty table gives an empty result; new columns get names that are
+free, and no other column is read or changed.
 """
 
 from __future__ import annotations

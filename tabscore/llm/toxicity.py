@@ -22,7 +22,9 @@ cost alone, so no word has another's score.
 Defined results: null and empty texts have no words, no segments and the
 evidence of an empty text; several labels of one document are averaged (ties
 count as toxic); labels without a document are ignored; with no labels every
-score is 0.0.
+score is 0.0; repeated rows are scored one by one; texts of any length are
+scored whole, in time linear in their words; an empty table gives an empty
+result; columns beyond id and text, whatever their names, are not read.
 """
 
 from __future__ import annotations

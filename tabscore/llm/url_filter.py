@@ -21,7 +21,8 @@ the table's measured size is small, shuffled beyond) and adds up per URL.
 Defined results: a null URL, or one without ``://``, has empty host and path
 and fits no rule; the empty URL scores 0.  Where rules give no URL of one
 side, both models are equal, every score is 0 and the threshold is 0, so URLs
-without a rule are allowed.  Equal URLs get equal verdicts; other columns,
+without a rule are allowed.  Equal URLs get equal verdicts; an empty table
+gives an empty result; URLs of any length are scored whole; other columns,
 whatever their names, are not read.
 """
 
