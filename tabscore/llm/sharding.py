@@ -81,11 +81,11 @@ def shuffle_into_shards(docs: DataFrame, shards: int = 40, text: str = "text", s
     rows = rows.withColumn("bucket", bucket)
     perms = permutations(rows, buckets, seed)
 
-    # as many partitions as buckets: a task sorts a few buckets of bounded size, however large the table
-    scattered = rows.select("record", "file", "pos", "bucket").repartition(buckets, "bucket")
+    # a partition is one bucket: a task sorts a bucket of bounded size, however large the table
+    scattered = rows.select("record", "file", "pos", "bucket").repartitionById(buckets, "bucket")
     place = Window.partitionBy("bucket").orderBy("file", "pos")
     numbered = scattered.select("record", "bucket", F.row_number().over(place).alias("rn"))
-    placed = numbered.join(perms, "bucket").select(
+    placed = numbered.join(perms.repartitionById(buckets, "bucket"), "bucket").select(
         "record", (F.col("start") + F.get("perm", F.col("rn") - 1)).alias("position"))
     total = F.lit(max(n, 1))
     placed = placed.withColumn("shard", F.call_function("div", F.col("position") * F.lit(shards), total))
