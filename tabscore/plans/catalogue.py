@@ -91,6 +91,14 @@ def labelled_documents(spark, sf_dir) -> DataFrame:
     return docs.join(labels, "doc_id")
 
 
+class WholeRowPredictor(LinearPredictor):
+    """The same model as a predictor that does not say which columns it reads; its schema says which must be there."""
+
+    def __init__(self, model: LinearModel):
+        super().__init__(model)
+        del self.features
+
+
 # ---------------------------------------------------------------- queries
 
 
@@ -166,7 +174,8 @@ def q_score_lineitem(spark, sf_dir):
 
 def q_score_lineitem_python(spark, sf_dir):
     df = table(spark, sf_dir, "lineitem")
-    scored = score_with_predictor(df, LinearPredictor(LINEITEM_MODEL),
+    # whole rows through Python: the predictor does not name its features (score_lineitem_udf: it does)
+    scored = score_with_predictor(df, WholeRowPredictor(LINEITEM_MODEL),
                                   columns=["l_orderkey", "l_linenumber", *LINEITEM_FEATURES])
     return scored.select("l_orderkey", "l_linenumber", "prediction")
 
@@ -492,14 +501,6 @@ def q_score_python_invalid(spark, sf_dir):
                                 columns=SCORED, on_invalid="null")
 
 
-class WholeRowPredictor(LinearPredictor):
-    """The same model as a predictor that does not say which columns it reads; its schema says which must be there."""
-
-    def __init__(self, model: LinearModel):
-        super().__init__(model)
-        del self.features
-
-
 def q_predictor_whole_row_invalid(spark, sf_dir):
     """Whole rows through a predictor by policy; numbers beyond doubles, NULL and NaN come back unchanged."""
     rows = events_with_invalid(spark, sf_dir).select(*SCORED, F.expr(BIG_ID).alias("big_id"))
